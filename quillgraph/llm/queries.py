@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash
+from . import decontam, mixing, sharding, simhash
 from .tables import documents, table
 from .token_count import count_tokens
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,14 +27,51 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(documents(spark, sf_dir, "doc_id", "text"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return decontam.digest(found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op7_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op6_feistel_shards, op7_decontamination, op9_source_mix, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_source_mix": OP9_SQL}
+
+
+#: Word counts, water-filled targets by repeated resharing, and the part of the repeated source line that each document covers.
+OP9_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+  FROM d GROUP BY source
+), fill(round, level) AS (
+  SELECT 0, (SELECT 1.5 * sum(source_size) / sum(weight) FROM s)
+  UNION ALL
+  SELECT round + 1, (SELECT (sum(1.5 * source_size) - coalesce(sum(2.0 * source_size) FILTER (WHERE weight * f.level >= 2 * source_size), 0))
+                            / nullif(sum(weight) FILTER (WHERE weight * f.level < 2 * source_size), 0) FROM s)
+  FROM fill f WHERE round < 200 AND level IS NOT NULL
+), lvl AS (SELECT max(level) AS level, bool_or(level IS NULL) AS full_up FROM fill
+), t AS (
+  SELECT source, source_size, CAST(CASE WHEN full_up THEN 2.0 * source_size ELSE least(2.0 * source_size, weight * level) END AS DOUBLE) AS target
+  FROM s, lvl
+), line AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS tokens,
+         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0
+            ELSE size * (tokens // source_size) + greatest(0, least(first + size, tokens % source_size) - first) END AS BIGINT) AS taken
+FROM line
+"""
