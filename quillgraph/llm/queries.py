@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, simhash
+from . import decontam, mixing, quality_rules, sharding, simhash
 from .tables import documents, table
 from .token_count import count_tokens
 
@@ -27,6 +27,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.judge(documents(spark, sf_dir, "doc_id", "text", "lang", "source"), ["doc_id"])
+    return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(documents(spark, sf_dir, "doc_id", "text"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
@@ -38,11 +43,71 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op6_feistel_shards, op7_decontamination, op9_source_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_rules, op6_feistel_shards, op7_decontamination, op9_source_mix, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mix": OP9_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op9_source_mix": OP9_SQL}
+
+
+#: Base figures by unnesting words and lines; bounds from the same binned quartiles, written as plain aggregations.
+OP4_SQL = """
+WITH w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)
+), g AS (
+  SELECT doc_id, i, word, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (
+  SELECT doc_id, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w2, w3) >= 2 AS hit FROM g
+), cover AS (
+  SELECT doc_id, count(*) AS n_words,
+         count(*) FILTER (WHERE hit OR h1 OR h2) AS n_repeat_words
+  FROM (SELECT doc_id, hit, coalesce(lag(hit, 1) OVER p, false) AS h1, coalesce(lag(hit, 2) OVER p, false) AS h2
+        FROM twice WINDOW p AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+), b AS (
+  SELECT d.doc_id, d.lang, d.source, coalesce(cover.n_words, 0) AS n_words,
+         length(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+         len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols,
+         coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(cover.n_repeat_words, 0) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines
+  FROM documents d LEFT JOIN cover USING (doc_id) LEFT JOIN l USING (doc_id)
+), r AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_symbols * 1000 // greatest(word_chars, 1) AS symbol_ratio, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_ratio,
+         n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_ratio, word_chars * 100 // greatest(n_words, 1) AS word_length
+  FROM b
+), v AS (
+  SELECT lang, source, ratio, CAST(value AS BIGINT) AS value, greatest(0, length(bin(CAST(value AS BIGINT))) - 7) AS s
+  FROM (UNPIVOT (SELECT lang, source, symbol_ratio, dup_line_ratio, repeat_ratio, word_length FROM r WHERE NOT base_failed)
+        ON symbol_ratio, dup_line_ratio, repeat_ratio, word_length INTO NAME ratio VALUE value)
+), binned AS (SELECT lang, source, ratio, (value >> s) << s AS bin FROM v
+), q AS (
+  SELECT level, lang, source, ratio, total, min(bin) FILTER (WHERE upto * 4 >= total) AS q1, min(bin) FILTER (WHERE upto * 4 >= total * 3) AS q3
+  FROM (SELECT level, lang, source, ratio, bin, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bin) AS upto,
+               sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total
+        FROM (SELECT 0 AS level, lang, source, ratio, bin, count(*) AS n FROM binned GROUP BY ALL
+              UNION ALL SELECT 1, lang, NULL, ratio, bin, count(*) FROM binned GROUP BY ALL
+              UNION ALL SELECT 2, NULL, NULL, ratio, bin, count(*) FROM binned GROUP BY ALL))
+  GROUP BY level, lang, source, ratio, total
+), bounds AS (
+  SELECT k.lang, k.source, k.ratio, arg_min(q.q1, q.level) AS q1, arg_min(q.q3, q.level) AS q3
+  FROM (SELECT DISTINCT lang, source, ratio FROM binned) k
+  JOIN q ON q.ratio = k.ratio AND (q.level = 2 OR q.total >= 50 AND q.lang IS NOT DISTINCT FROM k.lang AND (q.level = 1 OR q.source IS NOT DISTINCT FROM k.source))
+  GROUP BY k.lang, k.source, k.ratio
+), out_of AS (
+  SELECT DISTINCT doc_id FROM (UNPIVOT r ON symbol_ratio, dup_line_ratio, repeat_ratio, word_length INTO NAME ratio VALUE value) u
+  JOIN bounds t ON u.lang IS NOT DISTINCT FROM t.lang AND u.source IS NOT DISTINCT FROM t.source AND u.ratio = t.ratio
+  WHERE value > q3 + 3 * (q3 - q1) + CASE u.ratio WHEN 'symbol_ratio' THEN 30 WHEN 'dup_line_ratio' THEN 350 WHEN 'repeat_ratio' THEN 200 ELSE 150 END
+     OR u.ratio = 'word_length' AND value < q1 - 3 * (q3 - q1) - 150
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM out_of) AS kept
+FROM r
+"""
 
 
 #: Word counts, water-filled targets by repeated resharing, and the part of the repeated source line that each document covers.
