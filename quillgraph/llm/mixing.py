@@ -134,3 +134,15 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeat: int = 2, weights: tuple
     taken = spots.join(grid, ["sid", "cell"]).groupBy("row").agg(F.sum(shared).alias("taken"))
     full = line.join(taken, "row", "left")
     return full.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first")
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it: its taken share of its size, rounded.
+
+    Only the document at the end of a source's last lap has a broken share.
+    Rows with equal ids share one rate.
+    """
+    rate = mix(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    rate = rate.where("taken > 0").select(F.col("doc_id").alias(id_col), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__copies")).where("__copies > 0")
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("__copies")))
+    return docs.join(rate, id_col).withColumn("__copy", copies).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality_rules, sharding, simhash
+from . import decontam, langid, mixing, quality_rules, sharding, simhash
 from .tables import documents, table
 from .token_count import count_tokens
 
@@ -22,6 +22,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir, "doc_id", "text", "lang"), ["doc_id"])
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -42,8 +46,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(found)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_rules, op6_feistel_shards, op7_decontamination, op9_source_mix, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op3_simhash_near_dedup, op4_quality_rules, op6_feistel_shards, op7_decontamination, op9_source_mix, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
