@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality_rules, sharding, simhash
+from . import decontam, langid, mil_quality, mixing, quality_rules, sharding, simhash
 from .tables import documents, table
 from .token_count import count_tokens
 
 
+def op8_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.classify(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_simhash_near_dedup, op4_quality_rules, op6_feistel_shards, op7_decontamination, op9_source_mix, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op3_simhash_near_dedup, op4_quality_rules, op6_feistel_shards, op7_decontamination, op8_mil_quality, op9_source_mix, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
