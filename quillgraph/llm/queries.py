@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mil_quality, mixing, quality_rules, sharding, simhash
+from . import decontam, langid, license_scan, mil_quality, mixing, quality_rules, sharding, simhash, surrogates
 from .tables import documents, table
 from .token_count import count_tokens
 
@@ -30,6 +30,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir, "doc_id", "text", "lang"), ["doc_id"])
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"])
+    names = F.array_join(F.transform("matches", lambda m: m["license"]), ",")
+    return found.select("doc_id", "n_blocks", F.size("matches").cast("long").alias("n_licenses"), names.alias("licenses"), "matches")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -40,6 +46,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"])
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(documents(spark, sf_dir, "doc_id", "text"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
@@ -57,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_simhash_near_dedup, op4_quality_rules, op6_feistel_shards, op7_decontamination, op8_mil_quality, op9_source_mix, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_simhash_near_dedup, op4_quality_rules, op5_pii_surrogates, op6_feistel_shards, op7_decontamination, op8_mil_quality, op9_source_mix, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
