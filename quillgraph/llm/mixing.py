@@ -88,7 +88,7 @@ def schedule(plan: DataFrame, slots_per_source: int = SLOTS_PER_SOURCE) -> DataF
     points = points.withColumn("cell", F.floor(F.col("u") * cells).cast("long"))
     covered = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells).cast("long"), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)).cast("long"))))
     named = points.join(covered, "cell").where("u >= lo and u < hi").select("slot", "sid")
-    chunk = F.floor(F.col("slot") / 65536).cast("long")
+    chunk = F.floor(F.col("slot") / 1024).cast("long")
     named = named.withColumn("chunk", chunk)
     counts = named.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
