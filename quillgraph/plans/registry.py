@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("text_plans",)
 
 
 def _gather(kind: str) -> dict:
