@@ -121,11 +121,12 @@ class Network:
         best = probs.argmax(1).T.reshape(-1)[: len(text.encode())]
         return [self.langs[i] for i in best]
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.02, seed: int = 11) -> None:
-        """Adam on the cross-entropy of every letter position; x (windows, time), y (windows,)."""
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.02, seed: int = 11, min_steps: int = 300) -> None:
+        """Adam on the cross-entropy of every letter position; x (windows, time), y (windows,). Small samples are read more often."""
         rng = np.random.default_rng(seed)
         params = [self.left.table, self.left.recur, self.right.table, self.right.recur, self.head, self.bias]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        epochs = max(epochs, -(-min_steps // max(1, -(-len(x) // batch))))
         total = max(1, epochs * -(-len(x) // batch))
         for _ in range(epochs):
             order = rng.permutation(len(x))
