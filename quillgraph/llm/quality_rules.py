@@ -25,7 +25,7 @@ from ..storage import materialize
 
 BLANKS = " \t\n\x0b\f\r"
 #: ratio -> (slack, whether low values are out of bounds too)
-RATIOS = {"symbol_ratio": (30, False), "dup_line_ratio": (350, False), "repeat_ratio": (200, False), "word_length": (150, True)}
+RATIOS = {"symbol_ratio": (30, False), "dup_line_ratio": (350, False), "repeat_ratio": (300, False), "word_length": (150, True)}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MIN_ROWS, SPREAD = 50, 3
 

@@ -124,7 +124,7 @@ WITH w AS (
 ), out_of AS (
   SELECT DISTINCT doc_id FROM (UNPIVOT r ON symbol_ratio, dup_line_ratio, repeat_ratio, word_length INTO NAME ratio VALUE value) u
   JOIN bounds t ON u.lang IS NOT DISTINCT FROM t.lang AND u.source IS NOT DISTINCT FROM t.source AND u.ratio = t.ratio
-  WHERE value > q3 + 3 * (q3 - q1) + CASE u.ratio WHEN 'symbol_ratio' THEN 30 WHEN 'dup_line_ratio' THEN 350 WHEN 'repeat_ratio' THEN 200 ELSE 150 END
+  WHERE value > q3 + 3 * (q3 - q1) + CASE u.ratio WHEN 'symbol_ratio' THEN 30 WHEN 'dup_line_ratio' THEN 350 WHEN 'repeat_ratio' THEN 300 ELSE 150 END
      OR u.ratio = 'word_length' AND value < q1 - 3 * (q3 - q1) - 150
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
