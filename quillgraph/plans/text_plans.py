@@ -283,7 +283,7 @@ def prj2_light_context(spark, sf):
 
 @BOOK.query("SELECT conv_id, turn, len(list_filter(list_transform(string_split(coalesce(text, ''), ';'), lambda x: trim(x)), lambda x: x <> '')) AS n_evidences FROM conversations")
 def prj8_split_evidence(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(F.filter(F.transform(F.split(X.text_or_empty(F.col("text")), ";"), F.trim), lambda x: x != "")).alias("n_evidences"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(F.filter(F.transform(F.split(X.text_or_empty(F.col("text")), ";"), lambda x: F.trim(x)), lambda x: x != "")).alias("n_evidences"))
 
 
 @BOOK.query("SELECT event_id, CASE event_type WHEN 'view' THEN 'simple' WHEN 'click' THEN 'relation' WHEN 'purchase' THEN 'multi_hop' ELSE event_type END AS query_type FROM events")
