@@ -16,6 +16,11 @@ LATIN_TERM = "[A-Za-z0-9][A-Za-z0-9_-]+"
 EMPTY = "array<string>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where the plain expression would repeat it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -125,24 +130,30 @@ def occurrences(text: Column, part: Column) -> Column:
 
 def mention_score(text: Column, forms: Column) -> Column:
     """F1 without its fuzzy rule: best score over forms, the first rule that fires per form."""
-    low, plain, tokens = fold(text), alias_signature(text), token_signatures(text)
-
-    def one(form: Column) -> Column:
-        f = F.trim(form)
-        n = F.length(f)
-        sig, abbr = alias_signature(f), abbreviation(f)
-        words = whole_word_count(text, f)
-        cjk = F.least(occurrences(low, fold(f)), F.lit(3)) * F.greatest(F.lit(1.0), n / 4.0)
-        latin = (
-            F.when(words > 0, F.least(words, F.lit(3)) * F.greatest(F.lit(1.0), n / 5.0))
-            .when((n > 4) & F.contains(low, F.lower(f)), F.greatest(F.lit(0.5), n / 12.0))
-            .when((F.length(sig) >= 5) & F.contains(plain, sig), F.greatest(F.lit(0.8), F.length(sig) / 10.0))
-            .when((abbr != "") & F.array_contains(tokens, abbr), F.lit(0.95))
-            .otherwise(F.lit(0.0))
-        )
-        return F.when(n == 0, F.lit(0.0)).when(has_cjk(f), cjk).otherwise(latin)
-
-    return F.coalesce(F.array_max(F.transform(forms, one)), F.lit(0.0))
+
+    def best(given: Column) -> Column:
+        low, plain, tokens = given["low"], given["plain"], given["tokens"]
+
+        def one(form: Column) -> Column:
+            f = F.trim(form)
+            n = F.length(f)
+            sig, abbr = alias_signature(f), abbreviation(f)
+            cjk = F.least(occurrences(low, fold(f)), F.lit(3)) * F.greatest(F.lit(1.0), n / 4.0)
+            # a form that isn't in the folded text at all can't stand in it as a whole word
+            words = F.when(F.contains(low, fold(f)), whole_word_count(text, f)).otherwise(0)
+            latin = let(
+                words,
+                lambda w: F.when(w > 0, F.least(w, F.lit(3)) * F.greatest(F.lit(1.0), n / 5.0))
+                .when((n > 4) & F.contains(low, F.lower(f)), F.greatest(F.lit(0.5), n / 12.0))
+                .when((F.length(sig) >= 5) & F.contains(plain, sig), F.greatest(F.lit(0.8), F.length(sig) / 10.0))
+                .when((abbr != "") & F.array_contains(tokens, abbr), F.lit(0.95))
+                .otherwise(F.lit(0.0)),
+            )
+            return F.when(n == 0, F.lit(0.0)).when(has_cjk(f), cjk).otherwise(latin)
+
+        return F.coalesce(F.array_max(F.transform(forms, one)), F.lit(0.0))
+
+    return let(F.struct(fold(text).alias("low"), alias_signature(text).alias("plain"), token_signatures(text).alias("tokens")), best)
 
 
 def contains_surface(text: Column, surface: Column) -> Column:
@@ -165,22 +176,23 @@ def sentences(text: Column, style: str = "generator") -> Column:
 
 
 def stop_word_ratio(text: Column, stop_words: tuple[str, ...] = L.STOP_WORDS) -> Column:
-    tokens = F.regexp_extract_all(fold(text), F.lit("[A-Za-z]+"), F.lit(0))
-    stops = F.array(*map(F.lit, stop_words))
-    hits = F.size(F.filter(tokens, lambda t: F.array_contains(stops, t)))
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(hits / F.size(tokens))
+    found = F.regexp_extract_all(fold(text), F.lit("[A-Za-z]+"), F.lit(0))
+    return let(found, lambda tokens: F.when(F.size(tokens) == 0, 0.0).otherwise(F.size(F.filter(tokens, lambda t: t.isin(*stop_words))) / F.size(tokens)))
 
 
 def information_score(text: Column) -> Column:
     """FLT2: one point for each of five shape tests; empty texts have none."""
-    chars = F.regexp_replace(text_or_empty(text), "\\s+", "")
-    n = F.length(chars)
-    unique = F.size(F.array_distinct(F.split(chars, "")))
-    punctuation = n - F.length(F.regexp_replace(chars, "[^\\p{L}\\p{M}\\p{N}_]", ""))
-    alnum = F.length(F.regexp_replace(chars, "[^\\p{L}\\p{N}]", ""))
     point = lambda test: F.when(test, 1.0).otherwise(0.0)
-    score = point(n >= 24) + point(unique / n >= 0.35) + point(stop_word_ratio(text_or_empty(text)) <= 0.65) + point(punctuation / n <= 0.55) + point(alnum / n >= 0.35)
-    return F.when(n == 0, 0.0).otherwise(score)
+
+    def score(chars: Column) -> Column:
+        n = F.length(chars)
+        unique = F.size(F.array_distinct(F.split(chars, "")))
+        punctuation = n - F.length(F.regexp_replace(chars, "[^\\p{L}\\p{M}\\p{N}_]+", ""))
+        alnum = F.length(F.regexp_replace(chars, "[^\\p{L}\\p{N}]+", ""))
+        points = point(n >= 24) + point(unique / n >= 0.35) + point(stop_word_ratio(text_or_empty(text)) <= 0.65) + point(punctuation / n <= 0.55) + point(alnum / n >= 0.35)
+        return F.when(n == 0, 0.0).otherwise(points)
+
+    return let(F.regexp_replace(text_or_empty(text), "\\s+", ""), score)
 
 
 # Fixed values.

@@ -8,14 +8,14 @@ from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import entities as E
 from ..sources import readers as S
-from .kit import Book, table
+from .kit import Book, table, texts
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return texts(spark, sf).select("doc_id", "text")
 
 
 @BOOK.query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import tfidf
-from .kit import Book, table
+from .kit import Book, table, texts
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -21,7 +21,7 @@ _STOPS = "(" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + ")"
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return texts(spark, sf)
 
 
 @BOOK.query(f"SELECT doc_id, len({_TERMS}) AS n_terms, md5(array_to_string(list_sort({_TERMS}), ' ')) AS terms_md5 FROM documents")
@@ -152,14 +152,18 @@ def flt4_short_repeats(spark, sf):
 
 def low_information(rows, text_col="text"):
     """FLT1: rows with ``kept``; if nothing survives, everything is kept."""
-    t = X.squeeze(X.text_or_empty(F.col(text_col)))
-    rows = rows.withColumn("__n", t)
-    counts = rows.where(F.length("__n") <= 12).groupBy("__n").agg(F.count(F.lit(1)).alias("__c"))  # only short texts can be repeats that matter
-    rows = rows.join(counts, "__n", "left")
-    drop = ~X.strong_fact_shape(F.col("__n")) & (((F.col("__n") != "") & (F.coalesce("__c", F.lit(0)) >= 2)) | (X.information_score(F.col("__n")) <= 0))
-    rows = rows.withColumn("__k", ~drop)
-    some = rows.agg(F.coalesce(F.max("__k"), F.lit(False)).alias("__any"))
-    return rows.join(F.broadcast(some), F.lit(True)).withColumn("kept", F.col("__k") | ~F.col("__any")).drop("__n", "__c", "__k", "__any")
+    columns = rows.columns
+    flagged = rows.withColumn("__n", X.squeeze(X.text_or_empty(F.col(text_col))))
+    # only short texts can be repeats that matter, so long ones never enter a join
+    short = flagged.where(F.length("__n").between(1, 12))
+    counts = short.groupBy("__n").agg(F.count(F.lit(1)).alias("__c"))
+    short = short.join(counts, "__n").select(*columns, "__n", (F.col("__c") >= 2).alias("__twice"))
+    other = flagged.where(~F.length("__n").between(1, 12)).select(*columns, "__n", F.lit(False).alias("__twice"))
+    keep = X.strong_fact_shape(F.col("__n")) | ~(F.col("__twice") | (X.information_score(F.col("__n")) <= 0))
+    judged = other.unionByName(short).withColumn("kept", keep)
+    if judged.where("kept").isEmpty():  # stops at the first survivor
+        return rows.withColumn("kept", F.lit(True))
+    return judged.drop("__n", "__twice")
 
 
 @BOOK.query(f"WITH x AS (SELECT doc_id, {_NORM} AS n, length({_CHARS}) = 0 AS blank FROM documents), y AS (SELECT doc_id, {_FACT.format('n')} OR NOT ((n <> '' AND length(n) <= 12 AND count(*) OVER (PARTITION BY n) >= 2) OR blank) AS k FROM x) SELECT doc_id, k OR NOT (SELECT bool_or(k) FROM y) AS kept FROM y")
