@@ -1,7 +1,7 @@
 """From raw documents to training shards: five stages, each over all that its predecessor kept.
 
 1. language: documents whose language can't be told go (no letters, or no language above the floor).
-2. near_duplicates: one document of each class of linked fingerprints stays, the smallest doc_id.
+2. near_duplicates: one document of each class linked by 5-word shingle similarity of 0.8 or more stays, the smallest doc_id.
 3. decontaminate: documents that hold a window of a benchmark item go.
 4. mix: sources are brought to their target weights; a document stays as often as the mix takes it.
 5. shards: every row gets its shard and slot by the keyed permutation.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontam, langid, mixing, sharding, simhash
+from quillgraph.llm import decontam, langid, mixing, sharding, shingle_join
 from quillgraph.llm.tables import table
 from quillgraph.storage import materialize
 
@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return shingle_join.keep_one(docs, width=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
