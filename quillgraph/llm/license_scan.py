@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-Candidate blocks are a text's lines that hold a cue, and paragraphs of up to
-``MAX_LINES`` lines around such lines for long notices.  A block's words are
-compressed alone and with each template as a zstandard raw dictionary; a
-template that shares wording with the block saves many bytes.  Templates are
-ranked by the share saved and the best ones are confirmed by the exact word
-differences to the template: its key words must all be there and nearly all of
-its words must match in order.
-
-Edge cases: null, empty and blank texts have no block; every block of a text of
+Every cue in a text is laid on every place of the same cue in a template, and
+the words around it that the template would cover, with some slack on both
+sides and across line breaks, form a window.  A window's words are compressed
+alone and with the template as a zstandard raw dictionary; a window that shares
+wording saves many of the bytes that the template's own words would save.
+Templates are ranked by that share and the best ones are confirmed by the exact
+word differences to the template: its key words must all be there and nearly all
+of its words must match in order, close together.  ``n_blocks`` counts the lines
+that hold a cue and their paragraphs.
+
+Edge cases: null, empty and blank texts have no block; every cue of a text of
 any length is looked at; ties in rank go to fewer differences, then to the
 template's name; repeated rows are scanned each; an empty table gives an empty
 result; other columns are kept, clashing output names are replaced.
@@ -17,6 +19,7 @@ result; other columns are kept, clashing output names are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -51,41 +54,67 @@ TEMPLATES: list[tuple[str, str, str]] = [
 ]
 CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "spdx")
 MAX_LINES, MIN_SAVED, MIN_MATCH, FINALISTS = 12, 0.15, 0.8, 4
+_cue = re.compile("|".join(c.replace(" ", r"\s+") for c in CUES))
 _word = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 MATCH = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("line", T.LongType()), T.StructField("saved", T.DoubleType()), T.StructField("n_diff", T.LongType()), T.StructField("diff", T.StringType())]))
 
 
+def slack(size: int) -> int:
+    """Words that a wording of ``size`` words may be longer by."""
+    return max(4, size // 4)
+
+
 def words_of(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
+def cues_of(text: str, starts: list[int]) -> list[tuple[int, str]]:
+    """(number of the word, cue) of every cue in a lower-cased text whose words begin at ``starts``."""
+    return [(max(0, bisect_right(starts, m.start()) - 1), " ".join(m.group().split())) for m in _cue.finditer(text)] if starts else []
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str, str]] = TEMPLATES, level: int = 9):
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.known = []
-        for name, wording, keys in templates:
-            words = words_of(wording)
-            raw = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.known.append((name, words, set(keys.split()), zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False)))
-
-    def rank(self, words: list[str]) -> list[tuple[float, int]]:
-        """(share of bytes saved, template number), best first."""
+        self.known, self.places = [], {}
+        for number, (name, wording, keys) in enumerate(templates):
+            low = " ".join(words := words_of(wording))
+            raw = zstandard.ZstdCompressionDict(low.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known = zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False)
+            own = len(self.plain.compress(low.encode())) - len(known.compress(low.encode()))
+            self.known.append((name, words, set(keys.split()), known, own))
+            for at, cue in cues_of(low, [m.start() for m in _word.finditer(low)]):
+                self.places.setdefault(cue, set()).add((number, at))
+
+    def share(self, words: list[str], number: int) -> float:
+        """Bytes that the template saves on ``words``, as a share of what it saves on its own wording."""
         raw = " ".join(words).encode()
-        alone = len(self.plain.compress(raw))
-        saved = [(1 - len(z.compress(raw)) / alone, i) for i, (*_, z) in enumerate(self.known)]
-        return sorted((s for s in saved if s[0] >= MIN_SAVED), key=lambda s: (-s[0], s[1]))
+        *_, known, own = self.known[number]
+        return (len(self.plain.compress(raw)) - len(known.compress(raw))) / max(1, own)
 
-    def confirm(self, words: list[str], number: int) -> tuple[int, str] | None:
-        """(number of differing template words, the differences), or None if the wording is another one."""
-        _, template, keys, _ = self.known[number]
+    def confirm(self, words: list[str], number: int) -> tuple[int, str, list[int]] | None:
+        """(number of differing template words, the differences, places of the matched words), or None if the wording is another one."""
+        _, template, keys, *_ = self.known[number]
         if not keys <= set(words):
             return None
         match = SequenceMatcher(None, template, words, autojunk=False)
-        same = sum(m.size for m in match.get_matching_blocks())
-        if same < MIN_MATCH * len(template):
+        places = [m.b + k for m in match.get_matching_blocks() for k in range(m.size)]
+        if len(places) < MIN_MATCH * len(template) or not keys <= {words[p] for p in places}:
+            return None
+        first, last = places[0], places[-1] + 1
+        if last - first > len(template) + slack(len(template)):
             return None
-        edits = [f"-{' '.join(template[a:b])}+{' '.join(words[c:d])}" for op, a, b, c, d in match.get_opcodes() if op != "equal" and (b > a or (c > 0 and d < len(words)))]
-        return len(template) - same, "; ".join(edits)[:500]
+        edits = [f"-{' '.join(template[a:b])}+{' '.join(words[max(c, first):min(d, last)])}" for op, a, b, c, d in match.get_opcodes() if op != "equal" and (b > a or (c >= first and d <= last))]
+        return len(template) - len(places), "; ".join(edits)[:500], places
+
+    def windows(self, words: list[str], cues: list[tuple[int, str]]) -> Iterator[list[tuple[int, int, int]]]:
+        """For each cue, the (template number, first word, end) that the template would cover there."""
+        for at, cue in cues:
+            found = set()
+            for number, place in self.places.get(cue, ()):
+                size = len(self.known[number][1])
+                found.add((number, max(0, at - place - slack(size)), min(len(words), at - place + size + slack(size))))
+            yield sorted(found)
 
     def blocks(self, text: str) -> Iterator[tuple[int, list[str]]]:
         """(line number, words) of candidate lines, and of their paragraphs where these have more lines."""
@@ -106,19 +135,32 @@ class Scanner:
     def scan(self, text: str | None) -> tuple[int, list[dict]]:
         """(number of candidate blocks, confirmed licenses, one per license, in text order)."""
         low = text.lower() if text else ""
-        if not any(c in low for c in CUES):
+        if not _cue.search(low):
             return 0, []
+        n = sum(1 for _ in self.blocks(text))
+        spans = [(m.start(), m.group()) for m in _word.finditer(low)]
+        starts, words = [p for p, _ in spans], [w for _, w in spans]
+        breaks = [m.start() for m in re.finditer("\n", low)]
+        tried: dict[tuple, tuple | None] = {}
         found: dict[str, dict] = {}
-        n = 0
-        for line, words in self.blocks(text):
-            n += 1
+        for windows in self.windows(words, cues_of(low, starts)):
             options = []
-            for saved, number in self.rank(words)[:FINALISTS]:
-                if (fit := self.confirm(words, number)) is not None:
-                    options.append((fit[0], -len(self.known[number][2]), -saved, self.known[number][0], fit[1]))
-            if options:
-                diff, _, saved, name, edits = min(options)
-                found.setdefault(name, {"license": name, "line": line, "saved": -saved, "n_diff": diff, "diff": edits})
+            for number, a, b in windows:
+                part = words[a:b]
+                key = (number, *part)
+                if key not in tried:
+                    saved = self.share(part, number) if self.known[number][2] <= set(part) else 0.0
+                    tried[key] = (saved, number) if saved >= MIN_SAVED else None
+                if tried[key]:
+                    options.append((-tried[key][0], number, a, b))
+            fits = []
+            for saved, number, a, b in sorted(options)[:FINALISTS]:
+                if (fit := self.confirm(words[a:b], number)) is not None:
+                    name, _, keys, *_ = self.known[number]
+                    fits.append((fit[0], -len(keys), saved, name, fit[1], [a + p for p in fit[2]]))
+            if fits:
+                diff, _, saved, name, edits, places = min(fits)
+                found.setdefault(name, {"license": name, "line": bisect_right(breaks, starts[places[0]]), "saved": -saved, "n_diff": diff, "diff": edits})
         return n, sorted(found.values(), key=lambda m: (m["line"], m["license"]))
 
 
