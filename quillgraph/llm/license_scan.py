@@ -5,10 +5,13 @@ the words around it that the template would cover, with some slack on both
 sides and across line breaks, form a window.  A window's words are compressed
 alone and with the template as a zstandard raw dictionary; a window that shares
 wording saves many of the bytes that the template's own words would save.
-Templates are ranked by that share and the best ones are confirmed by the exact
-word differences to the template: its key words must all be there and nearly all
-of its words must match in order, close together.  ``n_blocks`` counts the lines
-that hold a cue and their paragraphs.
+Every template that saves enough is confirmed by the exact word differences to
+it: its key words must all be there and nearly all of its words must match in
+order, close together.  A text has every confirmed license that rests on key
+words of its own: where wordings overlap, the better one (fewer differences,
+more key words, more bytes saved) takes its words first, and another one stays
+only if its other key words stand beside a neighbour they have in the template.
+``n_blocks`` counts the lines that hold a cue and their paragraphs.
 
 Edge cases: null, empty and blank texts have no block; every cue of a text of
 any length is looked at; ties in rank go to fewer differences, then to the
@@ -53,7 +56,7 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("ISC", "Licensed under the ISC License.", "isc"),
 ]
 CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "spdx")
-MAX_LINES, MIN_SAVED, MIN_MATCH, FINALISTS = 12, 0.15, 0.8, 4
+MAX_LINES, MIN_SAVED, MIN_MATCH = 12, 0.15, 0.8
 _cue = re.compile("|".join(c.replace(" ", r"\s+") for c in CUES))
 _word = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 MATCH = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("line", T.LongType()), T.StructField("saved", T.DoubleType()), T.StructField("n_diff", T.LongType()), T.StructField("diff", T.StringType())]))
@@ -92,8 +95,8 @@ class Scanner:
         *_, known, own = self.known[number]
         return (len(self.plain.compress(raw)) - len(known.compress(raw))) / max(1, own)
 
-    def confirm(self, words: list[str], number: int) -> tuple[int, str, list[int]] | None:
-        """(number of differing template words, the differences, places of the matched words), or None if the wording is another one."""
+    def confirm(self, words: list[str], number: int) -> tuple[int, str, list[int], dict[int, bool]] | None:
+        """(number of differing template words, the differences, places of the matched words, places of key words and whether a neighbour stands beside), or None if the wording is another one."""
         _, template, keys, *_ = self.known[number]
         if not keys <= set(words):
             return None
@@ -105,7 +108,9 @@ class Scanner:
         if last - first > len(template) + slack(len(template)):
             return None
         edits = [f"-{' '.join(template[a:b])}+{' '.join(words[max(c, first):min(d, last)])}" for op, a, b, c, d in match.get_opcodes() if op != "equal" and (b > a or (c >= first and d <= last))]
-        return len(template) - len(places), "; ".join(edits)[:500], places
+        met = {m.a + k: m.b + k for m in match.get_matching_blocks() for k in range(m.size)}
+        beside = {q: any(0 <= t + d < len(template) and 0 <= q + d < len(words) and template[t + d] == words[q + d] for d in (-1, 1)) for t, q in met.items() if template[t] in keys}
+        return len(template) - len(places), "; ".join(edits)[:500], places, beside
 
     def windows(self, words: list[str], cues: list[tuple[int, str]]) -> Iterator[list[tuple[int, int, int]]]:
         """For each cue, the (template number, first word, end) that the template would cover there."""
@@ -142,25 +147,26 @@ class Scanner:
         starts, words = [p for p, _ in spans], [w for _, w in spans]
         breaks = [m.start() for m in re.finditer("\n", low)]
         tried: dict[tuple, tuple | None] = {}
-        found: dict[str, dict] = {}
+        fits = set()
         for windows in self.windows(words, cues_of(low, starts)):
-            options = []
             for number, a, b in windows:
                 part = words[a:b]
                 key = (number, *part)
                 if key not in tried:
                     saved = self.share(part, number) if self.known[number][2] <= set(part) else 0.0
-                    tried[key] = (saved, number) if saved >= MIN_SAVED else None
-                if tried[key]:
-                    options.append((-tried[key][0], number, a, b))
-            fits = []
-            for saved, number, a, b in sorted(options)[:FINALISTS]:
-                if (fit := self.confirm(words[a:b], number)) is not None:
+                    tried[key] = (saved, self.confirm(part, number)) if saved >= MIN_SAVED else None
+                if tried[key] and (fit := tried[key][1]):
                     name, _, keys, *_ = self.known[number]
-                    fits.append((fit[0], -len(keys), saved, name, fit[1], [a + p for p in fit[2]]))
-            if fits:
-                diff, _, saved, name, edits, places = min(fits)
-                found.setdefault(name, {"license": name, "line": bisect_right(breaks, starts[places[0]]), "saved": -saved, "n_diff": diff, "diff": edits})
+                    fits.add((fit[0], -len(keys), -tried[key][0], name, fit[1], tuple(a + p for p in fit[2]), tuple((a + p, by) for p, by in fit[3].items())))
+        found: dict[str, dict] = {}
+        taken: set[int] = set()
+        for diff, _, saved, name, edits, places, keys in sorted(fits):
+            own = [by for p, by in keys if p not in taken]
+            if taken.isdisjoint(places) or (own and all(own)):
+                taken.update(places)
+                line = bisect_right(breaks, starts[places[0]])
+                if name not in found or line < found[name]["line"]:
+                    found[name] = {"license": name, "line": line, "saved": -saved, "n_diff": diff, "diff": edits}
         return n, sorted(found.values(), key=lambda m: (m["line"], m["license"]))
 
 

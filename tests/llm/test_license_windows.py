@@ -13,3 +13,20 @@ def test_statements_inside_prose(name, statement, around):
     assert [m["license"] for m in license_scan.Scanner().scan(text)[1]] == [name]
     broken = statement.replace(" ", "\n")
     assert [m["license"] for m in license_scan.Scanner().scan(" ".join(prose) + "\n" + broken + " " + " ".join(prose))[1]] == [name]
+
+
+@pytest.mark.parametrize(
+    "text,names",
+    [
+        ("Released under the MIT License. Licensed under CC BY 4.0.", ["CC-BY-4.0", "MIT"]),
+        ("Licensed under the MIT License or the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+        ("Licensed under the BSD 2-Clause License or the ISC License.", ["BSD-2-Clause", "ISC"]),
+        ("This work is licensed under the GNU General Public License, version 2 or version 3.", ["GPL-2.0", "GPL-3.0"]),
+        (" ".join(t[1] for t in license_scan.TEMPLATES), sorted({t[0] for t in license_scan.TEMPLATES})),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 2. 3 apples", ["GPL-2.0"]),
+        ("Licensed under the Apache License, Version 2.0. Mit Freude", ["Apache-2.0"]),
+    ],
+)
+def test_every_license_of_a_line(text, names):
+    assert sorted(m["license"] for m in license_scan.Scanner().scan(text)[1]) == names
