@@ -1,4 +1,4 @@
-"""Queries on retrieval: vectors, BM25, fusion and ranking (R*, W*, J13-J15, A7, F11, F28, S*)."""
+"""Queries on retrieval: vectors, BM25, fusion and ranking (R*, W*, J13, J14, A7, F11, F28, S*)."""
 
 from __future__ import annotations
 
