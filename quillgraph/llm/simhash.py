@@ -10,11 +10,11 @@ copies cost one row.  To spread the search over tasks, the 64 bits are cut into
 blocks such that linked fingerprints agree on at least one combination of
 blocks (pigeonhole), and rows that share a combination meet in a cell.  Within
 a cell the pivot table does the work: each fingerprint's Hamming distances to
-reference fingerprints are its coordinates; since |d(x,p) - d(y,p)| <= d(x,y)
-for every reference p, a pair whose largest coordinate difference is over
-``max_bits`` can't link.  Rows sorted by the first coordinate meet only within
-that band, the other coordinates discard most of the rest, and survivors are
-verified by their true distance.  A cell gives back only a spanning star of
+reference fingerprints, computed once and stored beside it, are its coordinates;
+since |d(x,p) - d(y,p)| <= d(x,y) for every reference p, a pair whose largest
+coordinate difference is over ``max_bits`` can't link and is discarded.  In a
+large cell rows sorted by the first coordinate meet only within that band.
+Survivors are verified by their true distance; :func:`discards` counts both.  A cell gives back only a spanning star of
 each connected set it finds, at most one row per member.
 
 Large cells are cut into slices and each pair of slices becomes a task of its
@@ -22,8 +22,9 @@ own, so no task holds a whole hot cell and no pair is left out.
 
 Edge cases: a null, empty or blank text has fingerprint zero and links like any
 other; texts of under four words hash their whole word sequence; repeated
-doc_ids share a class row each; null doc_ids get a fingerprint but no class
-(null); an empty table gives an empty result; extra columns are ignored.
+doc_ids have a row each; rows with a null doc_id take part in linking, and their
+own class is null; ids may be strings; an empty table gives an empty result;
+texts of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,12 +71,14 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 4) -> DataFrame:
     """(doc_id, fp) with the fingerprint's 64 bits in a signed long."""
 
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__read_text"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("fp", "long"))
 
 
 def pivots(count: int = N_PIVOTS) -> np.ndarray:
@@ -83,13 +86,55 @@ def pivots(count: int = N_PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"pivot", i) for i in range(count)], np.uint64)
 
 
-def links_within(fps: np.ndarray, max_bits: int, other: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs at ``max_bits`` or fewer differing bits: within ``fps``, or between ``fps`` and ``other``."""
-    refs = pivots()
-    table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
+def coordinates(fps: np.ndarray) -> np.ndarray:
+    """Rows of the pivot table: each fingerprint's Hamming distances to the reference fingerprints."""
+    return np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
+
+
+def with_pivots(reps: DataFrame) -> DataFrame:
+    """``reps(fp, rep)`` with ``at``: the row of the pivot table, computed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = coordinates(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(N_PIVOTS), len(table), [None, pa.py_buffer(table.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows.cast(pa.binary())], names=["fp", "rep", "at"])
+
+    return reps.select("fp", "rep").mapInArrow(run, "fp long, rep long, at binary")
+
+
+class Tally:
+    """What the pivot table did: pairs met, discarded by coordinates, verified, and linked."""
+
+    def __init__(self):
+        self.met = self.discarded = self.verified = self.linked = 0
+
+    def sift(self, fps: np.ndarray, other: np.ndarray, table: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (i, j) at ``max_bits`` or fewer, after those that a coordinate discards."""
+        self.met += len(i)
+        for p in range(table.shape[1]):
+            near = np.abs(table[i, p] - right[j, p]) <= max_bits
+            self.discarded += len(i) - int(near.sum())
+            i, j = i[near], j[near]
+        near = np.bitwise_count(fps[i] ^ other[j]) <= max_bits
+        self.verified += len(i)
+        self.linked += int(near.sum())
+        return i[near], j[near]
+
+
+def links_within(fps: np.ndarray, max_bits: int, other: np.ndarray | None = None, table: np.ndarray | None = None, right: np.ndarray | None = None, tally: Tally | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs at ``max_bits`` or fewer differing bits: within ``fps``, or between ``fps`` and ``other``.
+
+    ``table`` and ``right`` are the rows of the pivot table, where they are known.
+    """
+    tally = tally or Tally()
+    table = coordinates(fps) if table is None else table
     order = np.argsort(table[:, 0], kind="stable")
-    right_fps, right = (fps, table) if other is None else (other, np.bitwise_count(other[:, None] ^ refs[None, :]).astype(np.int8))
-    right_order = order if other is None else np.argsort(right[:, 0], kind="stable")
+    if other is None:
+        right_fps, right, right_order = fps, table, order
+    else:
+        right_fps, right = other, coordinates(other) if right is None else right
+        right_order = np.argsort(right[:, 0], kind="stable")
     first, first_right = table[order, 0].astype(np.int64), right[right_order, 0].astype(np.int64)
     lo = np.arange(1, len(order) + 1) if other is None else np.searchsorted(first_right, first - max_bits, "left")
     hi = np.searchsorted(first_right, first + max_bits, "right")
@@ -103,13 +148,7 @@ def links_within(fps: np.ndarray, max_bits: int, other: np.ndarray | None = None
         offsets = np.arange(int(part.sum())) - np.repeat(np.cumsum(part) - part, part)
         i, j = order[left], right_order[lo[left] + offsets]
         at += take
-        for p in range(1, len(refs)):  # discard by the next coordinate while it pays
-            if len(i) < 64:
-                break
-            near = np.abs(table[i, p] - right[j, p]) <= max_bits
-            i, j = i[near], j[near]
-        near = np.bitwise_count(fps[i] ^ right_fps[j]) <= max_bits
-        yield i[near], j[near]
+        yield tally.sift(fps, right_fps, table, right, i, j, max_bits)
 
 
 def _star(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -146,8 +185,8 @@ def choose_blocks(n: int, max_bits: int, target: float = 64.0) -> int:
     return max_bits + extra
 
 
-def similar_edges(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
-    """(a, b): stars over representatives that connect exactly what links of ``reps(fp, rep)`` connect."""
+def tasks_of(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """(task, lo, hi, slice, fp, rep, at): cells of equal blocks, cut into slices; one task per pair of slices."""
     count = choose_blocks(n, max_bits)
     blocks = _blocks(count)
     keys = []
@@ -161,50 +200,69 @@ def similar_edges(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(F.least("slice", k).alias("lo"), F.greatest("slice", k).alias("hi")))
     tasks = cells.select("cell", "fp", "rep", "slice", F.explode(others).alias("t")).select("cell", "t.lo", "t.hi", "slice", "fp", "rep")
     tasks = tasks.withColumn("task", F.xxhash64("cell", "lo", "hi")).drop("cell")
+    held = tasks.join(reps.select("rep", "at"), "rep")
+    return held.repartition("task").sortWithinPartitions("task").select("task", "lo", "hi", "slice", "fp", "rep", "at")
+
+
+def _by_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames that hold whole tasks."""
+    held: pd.DataFrame | None = None
+    for frame in frames:
+        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(held):
+            continue
+        cut = int(np.searchsorted(held["task"].to_numpy(), held["task"].iloc[-1], "left"))
+        if cut:
+            yield held.iloc[:cut]
+            held = held.iloc[cut:]
+    if held is not None and len(held):
+        yield held
+
+
+def similar_edges(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """(a, b): stars over ``reps(fp, rep, at)`` that connect exactly what links connect; a and b are ``rep`` numbers."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _by_task(frames):
+            yield _compare(rows, max_bits, Tally())
+
+    return tasks_of(reps, n, max_bits).mapInPandas(run, "a long, b long").where("a <> b")
+
+
+def discards(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """One row (met, discarded, verified, linked): how many pairs of a cell the pivot table looks at and throws out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for frame in frames:
-            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            last = held["task"].iloc[-1]
-            cut = int(np.searchsorted(held["task"].to_numpy(), last, "left"))
-            if cut:
-                yield _compare(held.iloc[:cut], max_bits)
-                held = held.iloc[cut:]
-        if held is not None and len(held):
-            yield _compare(held, max_bits)
-
-    dealt = tasks.repartition("task").sortWithinPartitions("task")
-    return dealt.select("task", "lo", "hi", "slice", "fp", "rep").mapInPandas(run, "a long, b long").where("a <> b")
-
-
-def _compare(rows: pd.DataFrame, max_bits: int) -> pd.DataFrame:
+        for rows in _by_task(frames):
+            _compare(rows, max_bits, tally := Tally())
+            yield pd.DataFrame({k: [getattr(tally, k)] for k in ("met", "discarded", "verified", "linked")})
+
+    counts = tasks_of(reps, n, max_bits).mapInPandas(run, "met long, discarded long, verified long, linked long")
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns))
+
+
+def _compare(rows: pd.DataFrame, max_bits: int, tally: Tally) -> pd.DataFrame:
     """Stars of all tasks in ``rows`` (sorted by task)."""
     task = rows["task"].to_numpy()
     fps = rows["fp"].to_numpy().view(np.uint64)
+    table = np.frombuffer(b"".join(rows["at"]), np.int8).reshape(-1, N_PIVOTS)
     reps, slices, lows, highs = (rows[c].to_numpy() for c in ("rep", "slice", "lo", "hi"))
     edges = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
     sizes = np.diff(edges)
     out_a, out_b = [], []
-    # the many small cells together: pairs at lag 1, 2, ... inside a cell, discarded by pivot coordinates
+    # the many small cells together: pairs at lag 1, 2, ... inside a cell
     small = sizes <= 256
     if small.any():
         cell = np.repeat(np.arange(len(sizes)), sizes)
         keep = small[cell]
-        f, r, c = fps[keep], reps[keep], cell[keep]
-        refs = pivots()[:4]
-        table = np.bitwise_count(f[:, None] ^ refs[None, :]).astype(np.int8)
+        f, r, c, t = fps[keep], reps[keep], cell[keep], table[keep]
         for lag in range(1, int(sizes[small].max())):
             i = np.flatnonzero(c[lag:] == c[:-lag])
             if not len(i):
                 break
-            j = i + lag
-            for p in range(len(refs)):
-                near = np.abs(table[i, p] - table[j, p]) <= max_bits
-                i, j = i[near], j[near]
-            near = np.bitwise_count(f[i] ^ f[j]) <= max_bits
-            out_a.append(r[i[near]])
-            out_b.append(r[j[near]])
+            i, j = tally.sift(f, f, t, t, i, i + lag, max_bits)
+            out_a.append(r[i])
+            out_b.append(r[j])
         if out_a:
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -212,13 +270,13 @@ def _compare(rows: pd.DataFrame, max_bits: int) -> pd.DataFrame:
             out_a, out_b = [nodes], [nodes[root]]
     for k in np.flatnonzero(~small):
         at = slice(edges[k], edges[k + 1])
-        f, r = fps[at], reps[at]
+        f, r, t = fps[at], reps[at], table[at]
         if lows[at.start] == highs[at.start]:
-            root = _star(len(f), links_within(f, max_bits))
+            root = _star(len(f), links_within(f, max_bits, table=t, tally=tally))
         else:
             left = np.flatnonzero(slices[at] == lows[at.start])
             right = np.flatnonzero(slices[at] == highs[at.start])
-            root = _star(len(f), ((left[i], right[j]) for i, j in links_within(f[left], max_bits, f[right])))
+            root = _star(len(f), ((left[i], right[j]) for i, j in links_within(f[left], max_bits, f[right], t[left], t[right], tally)))
         out_a.append(r)
         out_b.append(r[root])
     if not out_a:
@@ -226,20 +284,32 @@ def _compare(rows: pd.DataFrame, max_bits: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
 
+def representatives(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(fp, rep, at, first): one row per fingerprint; rep is the fingerprint as a node, first its smallest id (null if it has none)."""
+    firsts = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-firsts")
+    pivoted = with_pivots(firsts.select("fp", F.col("fp").alias("rep")))
+    return materialize(pivoted.join(firsts, "fp"), "simhash-reps")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
     prints = materialize(fingerprints(docs, text_col, id_col, width), "simhash")
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-reps")
-    links = similar_edges(reps, reps.count(), max_bits)
-    classes = components(links)
-    named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    reps = representatives(prints)
+    classes = components(similar_edges(reps, reps.count(), max_bits))
+    linked = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "first", F.coalesce("component", "rep").alias("component"))
+    smallest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = linked.join(smallest, "component").select("fp", "component_id")
     joined = prints.join(named, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with only the smallest doc_id of each class (rows without a doc_id are kept)."""
-    found = near_duplicates(docs, **options)
-    id_col = options.get("id_col", "doc_id")
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(losers, id_col, "left_anti")
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each class of texts linked by a shingle similarity of ``similarity`` or more.
+
+    Links are found by the pivot tables first and confirmed on the shingles;
+    64-bit fingerprints of texts that are just similar enough differ in some ten
+    bits, so :mod:`shingle_join` finds the links that are left, exactly.
+    """
+    from .shingle_join import keep_one as keep
+
+    return keep(docs, width, similarity, max_bits, text_col, id_col)

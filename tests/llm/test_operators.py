@@ -124,9 +124,17 @@ def test_near_duplicates(docs, empty):
             assert r.fp & (2**64 - 1) == fps[r.doc_id]
             assert r.component_id == want[r.doc_id]
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == {None} | set(want.values())
+    reps = simhash.representatives(simhash.fingerprints(docs))
+    told = simhash.discards(reps, reps.count(), 4).first()
+    assert told.met == told.discarded + told.verified and told.linked <= told.verified
+
+
+def test_null_ids_still_link_others(spark):
+    base = xxhash.xxh64_intdigest(b"base", 1)
+    rows = [(1, base), (None, base ^ 0b1111), (2, base ^ 0b11111111)]
+    prints = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in rows], "doc_id long, fp long")
+    reps = simhash.representatives(prints)
+    assert len({r.component for r in components(simhash.similar_edges(reps, 3, 4)).collect()}) == 1
 
 
 @pytest.mark.parametrize("n", [50, 3000])
@@ -136,7 +144,7 @@ def test_pivot_search_finds_every_link(spark, monkeypatch, n):
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(n)], np.uint64)
     fps = np.unique(base[rng.integers(0, len(base), n)] ^ flips)
     monkeypatch.setattr(simhash, "SLICE", 40)
-    reps = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, rep long")
+    reps = simhash.with_pivots(spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, rep long"))
     for size in (n, 10**9):  # both numbers of blocks
         found = {r.node: r.component for r in components(simhash.similar_edges(reps, size, 4)).collect()}
         parent = list(range(len(fps)))

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from quillgraph.llm import shingle_join
+from quillgraph.llm.tables import plain_scan, with_places
 
 
 def texts():
@@ -52,8 +54,37 @@ def test_stage_links_by_true_similarity(spark, monkeypatch, small):
 
 
 def test_null_and_repeated_ids(spark):
-    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
-    rows = [(None, one), (None, one), (1, one), (1, one), (2, one), (2, two), (3, two)]
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(None, one), (None, one), (1, one), (1, one), (2, one), (2, two), (3, two), (None, three), (None, three), (7, None), (8, "")]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
-    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, one), (None, one), (1, one), (2, two)], key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, one), (2, two), (None, three), (7, None)], key=str)
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_string_ids_and_clashing_columns(spark):
+    one = " ".join(f"a{i}" for i in range(40))
+    rows = [("b", one, "x", "y", 1), ("a", one, "x", "z", 2), ("c", "other", "x", "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, fp string, component string, __row long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [rows[1], rows[2]]
+
+
+def test_parity_sketches_never_overstate_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m, both in ((5, 9, 3), (100, 40, 30), (1000, 900, 850), (700, 20, 0), (0, 4, 0)):
+        shared = rng.integers(0, 2**63, both, dtype=np.uint64)
+        x = np.unique(np.concatenate([shared, rng.integers(0, 2**63, n - both, dtype=np.uint64)])) if n else np.zeros(0, np.uint64)
+        y = np.unique(np.concatenate([shared, rng.integers(0, 2**63, m - both, dtype=np.uint64)]))
+        got = shingle_join.apart(shingle_join.parity_sketch(x), shingle_join.parity_sketch(y))
+        assert got <= len(np.setxor1d(x, y))
+
+
+def test_row_places_are_the_same_at_every_reading(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert plain_scan(docs.where("doc_id > 3")) and not plain_scan(docs.crossJoin(spark.range(2)))
+    rows = with_places(docs.where("doc_id > 3"), "t")
+    once = {(r["__file"], r["__at"]): r.doc_id for r in rows.collect()}
+    again = with_places(docs.select("*").where("doc_id > 3").where("doc_id > 100"), "t").collect()
+    assert again and all(once[r["__file"], r["__at"]] == r.doc_id for r in again)
+    assert len(once) == rows.count()
