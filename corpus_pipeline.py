@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import decontam, langid, mixing, sharding, shingle_join
+from quillgraph.llm import decontam, langid, mixing, sharding, simhash
 from quillgraph.llm.tables import table
 from quillgraph.storage import materialize
 
@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingle_join.keep_one(docs, width=5, similarity=0.8)
+    return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
