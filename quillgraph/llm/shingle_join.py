@@ -20,10 +20,10 @@ a sketch is the parity of the shingles that hash to b, so two sketches differ in
 at most as many bits as the sets differ in shingles.  Every pair left is
 confirmed on its sets.
 
-A cell of up to ``SMALL`` rows gives all its pairs.  A larger one gives a star
-at first, confirmed like the rest; then only its pairs that are still in
+A cell of up to ``SMALL`` rows gives all its pairs.  A larger one gives a few
+stars at first, confirmed like the rest; then only its pairs that are still in
 different classes are looked at, in slices of ``SLICE`` rows, so a large group
-of copies costs one confirmation a row and no pair is left out.
+of copies costs a few confirmations a row and no pair is left out.
 
 Edge cases: null, empty and blank texts are copies of each other; rows without a
 doc_id take part like others and come last when a class's row is chosen; of rows
@@ -49,7 +49,7 @@ from .components import components
 from .simhash import LOWER, representatives, similar_edges
 from .tables import set_aside, with_places
 
-SMALL, SLICE, SAMPLE, MAX_FREQUENT, MAX_WORDS = 64, 2048, 4000, 50_000, 1_000_000
+SMALL, SLICE, ROUNDS, SAMPLE, MAX_FREQUENT, MAX_WORDS = 64, 2048, 2, 4000, 50_000, 1_000_000
 PAIRS = "a long, b long"
 
 
@@ -249,6 +249,12 @@ def links(cells: DataFrame, confirm: Confirm, near: DataFrame, similarity: float
     large = shared.where(F.col("size") > SMALL).select("token", "row", "n", "pos")
     if large.isEmpty():
         return found
+    for salt in range(ROUNDS):  # stars around other rows, while cells hold rows of several classes
+        rest = _mixed(large, found)
+        leads = rest.groupBy("token").agg(F.min_by(F.struct("row", "n", "pos", "component"), F.xxhash64("row", F.lit(salt))).alias("x"))
+        star = rest.select("token", F.struct("row", "n", "pos", "component").alias("y")).join(leads, "token").where("x.component <> y.component")
+        pairs = star.where(_possible("x", "y", similarity)).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"))
+        found = found.unionByName(confirm(pairs))
     rest = _mixed(large, found).withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int"))
     rest = materialize(rest.withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int")).drop("lead", "size"), "shingle-rest")
     # one task per pair of slices: the left row lies in the first, the right one in the second
