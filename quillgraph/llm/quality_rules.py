@@ -5,15 +5,24 @@ whole numbers.  Their distribution per language and source is kept in mergeable
 quantile sketches: a sketch is a histogram whose bins are exact below 128 and
 then keep seven leading bits (relative error under 1/64), so sketches of parts
 add up cell by cell, and those of sources merge into one per language and one
-for everything.  A group with few rows uses the next wider sketch.  A ratio is
-out of bounds beyond the quartiles by three interquartile ranges plus a slack,
-so a group that is uniform rejects nobody and a group's ordinary tail stays.
+for everything.  A group with few rows uses the next wider sketch.
+
+A ratio's bound is a high quantile of the group's sketch plus a multiple of its
+distance from a lower one, so each language and source has bounds of its own: a
+group whose texts are full of symbols or repeats allows more of them than one
+that has none.  Which quantiles are read, and how far a bound lies beyond them,
+is all that ``RATIOS`` fixes.  Counts scatter about their rate, so a text is out
+of bounds if its count is above what the bound gives for its size by more than
+three standard deviations of such a count and three more (what a count of mean
+zero may show).  Word lengths are averages and have a bound on both sides.
 The thresholds are joined back to the rows.
 
 Edge cases: null and blank texts have no words and fail the base rules; null
 languages and sources are groups of their own; a whole table below the group
-minimum uses the overall sketch; repeated rows count each; an empty table gives
-an empty result; other columns are dropped.
+minimum uses the overall sketch; texts of any length are read whole; repeated
+rows count each; ties at a bound are inside; an empty table gives an empty
+result; columns that are not kept are dropped, and kept columns with the name of
+an output are replaced; :func:`filter_documents` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -22,12 +31,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .tables import set_aside
 
 BLANKS = " \t\n\x0b\f\r"
-#: ratio -> (slack, whether low values are out of bounds too)
-RATIOS = {"symbol_ratio": (30, False), "dup_line_ratio": (350, False), "repeat_ratio": (300, False), "word_length": (150, True)}
+#: ratio -> (its count, its size, times, lower and upper percentile of the sketch, distances beyond the upper one, bounded below too)
+RATIOS = {
+    "symbol_ratio": ("n_symbols", "word_chars", 1000, 50, 85, 3, False),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 1000, 90, 99, 2, False),
+    "repeat_ratio": ("n_repeat_words", "n_words", 1000, 90, 99, 2, False),
+    "word_length": ("word_chars", "n_words", 100, 25, 75, 5, True),
+}
+SPLITS = 16
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MIN_ROWS, SPREAD = 50, 3
+MIN_ROWS = 100
 
 
 def base_figures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -66,10 +82,7 @@ def with_ratios(rows: DataFrame) -> DataFrame:
         return F.call_function("div", F.col(a) * times, F.greatest(F.col(b), F.lit(1).cast("long")))
 
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return rows.select(
-        "*", failed.alias("base_failed"), per("n_symbols", "word_chars", 1000).alias("symbol_ratio"), per("n_dup_lines", "n_lines", 1000).alias("dup_line_ratio"),
-        per("n_repeat_words", "n_words", 1000).alias("repeat_ratio"), per("word_chars", "n_words", 100).alias("word_length"),
-    )
+    return rows.select("*", failed.alias("base_failed"), *(per(count, size, times).alias(r) for r, (count, size, times, *_) in RATIOS.items()))
 
 
 def sketch_bin(value: Column) -> Column:
@@ -96,13 +109,14 @@ def thresholds(cells: DataFrame, lang: str = "lang", source: str = "source") ->
     upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("n").over(group)
     cum = merged.withColumn("upto", upto).withColumn("total", total)
-    quarter = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bin")))
-    quart = cum.groupBy("level", "lang", "source", "ratio").agg(quarter(1).alias("q1"), quarter(3).alias("q3"), F.max("total").alias("total"))
-    bounds = quart.groupBy("level", "lang", "source").agg(
-        F.max("total").alias("total"),
-        *(F.max(F.when(F.col("ratio") == r, F.col("q3") + (F.col("q3") - F.col("q1")) * SPREAD + slack)).alias(f"hi_{r}") for r, (slack, _) in RATIOS.items()),
-        *(F.max(F.when(F.col("ratio") == r, F.col("q1") - (F.col("q3") - F.col("q1")) * SPREAD - slack)).alias(f"lo_{r}") for r, (slack, low) in RATIOS.items() if low),
-    )
+    pick = lambda ratio, k: F.min(F.when((F.col("ratio") == ratio) & (F.col("upto") * 100 >= F.col("total") * RATIOS[ratio][k]), F.col("bin")))
+    bounds = cum.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *(pick(r, k).alias(f"{r}_{k}") for r in RATIOS for k in (3, 4)))
+    reach = lambda r: (F.col(f"{r}_4") - F.col(f"{r}_3")) * RATIOS[r][5]
+    bounds = bounds.select(
+        "level", "lang", "source", "total",
+        *((F.col(f"{r}_4") + reach(r)).alias(f"hi_{r}") for r in RATIOS),
+        *((F.col(f"{r}_3") - reach(r)).alias(f"lo_{r}") for r in RATIOS if RATIOS[r][6]),
+    )
     own = keys.join(bounds.where("level = 0").drop("level"), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left").drop("lang", "source").withColumn("level", F.lit(0))
     wide = keys.join(bounds.where("level = 1").drop("level"), F.col("lang").eqNullSafe(F.col("g_lang")), "left").drop("lang", "source").withColumn("level", F.lit(1))
     all_ = keys.join(bounds.where("level = 2").drop("level"), F.lit(True), "left").drop("lang", "source").withColumn("level", F.lit(2))
@@ -112,26 +126,42 @@ def thresholds(cells: DataFrame, lang: str = "lang", source: str = "source") ->
     return best.select("g_lang", "g_source", "b.*")
 
 
-def judge(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def outside(ratio: str) -> Column:
+    """Is a row beyond the bounds hi_<ratio> (and lo_<ratio>) that stand beside its figures?"""
+    count, size, times, *_, low = RATIOS[ratio]
+    if low:
+        return (F.col(ratio) > F.col(f"hi_{ratio}")) | (F.col(ratio) < F.col(f"lo_{ratio}"))
+    expected = F.col(f"hi_{ratio}") * F.col(size) / F.lit(float(times))
+    return F.col(count) > expected + F.sqrt(expected) * 3 + 3
+
+
+def judge(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_broadcast: int = 50_000) -> DataFrame:
     """Columns ``keep`` with base figures, ratios, base_failed and kept.
 
     The figures are written once as narrow rows; sketches and the joined filter
-    read those.  Thresholds have a row per language and source and are broadcast
-    only if there are at most 50,000 of them.
+    read those.  Thresholds have a row per language and source; up to
+    ``max_broadcast`` of them are broadcast, more are joined on language, source
+    and one of ``SPLITS`` copies, so that a hot group is spread over tasks.
     """
-    extra = [c for c in (lang_col, source_col) if c not in keep]
-    rows = materialize(with_ratios(base_figures(docs, [*keep, *extra], text_col)), "quality-figures")
-    bounds = materialize(thresholds(sketches(rows, [lang_col, source_col]), lang_col, source_col), "quality-bounds")
-    joined = rows.join(F.broadcast(bounds) if bounds.count() <= 50_000 else bounds, rows[lang_col].eqNullSafe(bounds["g_lang"]) & rows[source_col].eqNullSafe(bounds["g_source"]), "left")
-    inside = F.lit(True)
-    for r, (_, low) in RATIOS.items():
-        inside = inside & (F.col(r) <= F.coalesce(F.col(f"hi_{r}"), F.col(r)))
-        if low:
-            inside = inside & (F.col(r) >= F.coalesce(F.col(f"lo_{r}"), F.col(r)))
-    return joined.select(*keep, *BASE, *RATIOS, "base_failed", (~F.col("base_failed") & inside).alias("kept"))
-
-
-def filter_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without rejected rows (joined by id)."""
-    bad = judge(docs, [id_col], **options).where("not kept").select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    keep = [c for c in keep if c not in (*BASE, "n_lines", *RATIOS, "base_failed", "kept")]
+    given = docs.select(*keep, F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"), F.col(source_col).cast("string").alias("__source"))
+    rows = materialize(with_ratios(base_figures(given, [*keep, "__lang", "__source"], "__text")), "quality-figures")
+    bounds = materialize(thresholds(sketches(rows, ["__lang", "__source"]), "__lang", "__source"), "quality-bounds").drop("level")
+    same = F.col("__lang").eqNullSafe(F.col("g_lang")) & F.col("__source").eqNullSafe(F.col("g_source"))
+    if bounds.count() <= max_broadcast:
+        joined = rows.join(F.broadcast(bounds), same, "left")
+    else:
+        copies = bounds.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+        split = rows.withColumn("__split", F.pmod(F.xxhash64(*BASE, F.monotonically_increasing_id()), F.lit(SPLITS)).cast("int"))
+        joined = split.join(copies, same & (F.col("__split") == F.col("__copy")), "left")
+    bad = F.lit(False)
+    for r in RATIOS:
+        bad = bad | F.coalesce(outside(r), F.lit(False))
+    return joined.select(*keep, *BASE, *RATIOS, "base_failed", (~F.col("base_failed") & ~bad).alias("kept"))
+
+
+def filter_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``docs`` without rejected rows."""
+    given, names = set_aside(docs)
+    judged = judge(given, list(names.values()), names[text_col], names[lang_col], names[source_col])
+    return judged.where("kept").select(*names.values()).toDF(*docs.columns)

@@ -17,7 +17,7 @@ def op8_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "slot")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,24 +130,29 @@ WITH w AS (
   FROM (UNPIVOT (SELECT lang, source, symbol_ratio, dup_line_ratio, repeat_ratio, word_length FROM r WHERE NOT base_failed)
         ON symbol_ratio, dup_line_ratio, repeat_ratio, word_length INTO NAME ratio VALUE value)
 ), binned AS (SELECT lang, source, ratio, (value >> s) << s AS bin FROM v
+), cum AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total
+  FROM (SELECT 0 AS level, lang, source, ratio, bin, count(*) AS n FROM binned GROUP BY ALL
+        UNION ALL SELECT 1, lang, NULL, ratio, bin, count(*) FROM binned GROUP BY ALL
+        UNION ALL SELECT 2, NULL, NULL, ratio, bin, count(*) FROM binned GROUP BY ALL)
+), levels(ratio, a, b, k) AS (VALUES ('symbol_ratio', 50, 85, 3), ('dup_line_ratio', 90, 99, 2), ('repeat_ratio', 90, 99, 2), ('word_length', 25, 75, 5)
 ), q AS (
-  SELECT level, lang, source, ratio, total, min(bin) FILTER (WHERE upto * 4 >= total) AS q1, min(bin) FILTER (WHERE upto * 4 >= total * 3) AS q3
-  FROM (SELECT level, lang, source, ratio, bin, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bin) AS upto,
-               sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total
-        FROM (SELECT 0 AS level, lang, source, ratio, bin, count(*) AS n FROM binned GROUP BY ALL
-              UNION ALL SELECT 1, lang, NULL, ratio, bin, count(*) FROM binned GROUP BY ALL
-              UNION ALL SELECT 2, NULL, NULL, ratio, bin, count(*) FROM binned GROUP BY ALL))
-  GROUP BY level, lang, source, ratio, total
+  SELECT level, lang, source, ratio, k, total, min(bin) FILTER (WHERE upto * 100 >= total * a) AS qa, min(bin) FILTER (WHERE upto * 100 >= total * b) AS qb
+  FROM cum JOIN levels USING (ratio) GROUP BY level, lang, source, ratio, k, total
 ), bounds AS (
-  SELECT k.lang, k.source, k.ratio, arg_min(q.q1, q.level) AS q1, arg_min(q.q3, q.level) AS q3
-  FROM (SELECT DISTINCT lang, source, ratio FROM binned) k
-  JOIN q ON q.ratio = k.ratio AND (q.level = 2 OR q.total >= 50 AND q.lang IS NOT DISTINCT FROM k.lang AND (q.level = 1 OR q.source IS NOT DISTINCT FROM k.source))
-  GROUP BY k.lang, k.source, k.ratio
+  SELECT g.lang, g.source, g.ratio, arg_min(qb + (qb - qa) * k, level) AS hi, arg_min(qa - (qb - qa) * k, level) AS lo
+  FROM (SELECT DISTINCT lang, source, ratio FROM binned) g
+  JOIN q ON q.ratio = g.ratio AND (q.level = 2 OR q.total >= 100 AND q.lang IS NOT DISTINCT FROM g.lang AND (q.level = 1 OR q.source IS NOT DISTINCT FROM g.source))
+  GROUP BY g.lang, g.source, g.ratio
 ), out_of AS (
-  SELECT DISTINCT doc_id FROM (UNPIVOT r ON symbol_ratio, dup_line_ratio, repeat_ratio, word_length INTO NAME ratio VALUE value) u
+  SELECT DISTINCT doc_id
+  FROM (SELECT doc_id, lang, source, 'symbol_ratio' AS ratio, n_symbols AS n, word_chars AS size, symbol_ratio AS value FROM r
+        UNION ALL SELECT doc_id, lang, source, 'dup_line_ratio', n_dup_lines, n_lines, dup_line_ratio FROM r
+        UNION ALL SELECT doc_id, lang, source, 'repeat_ratio', n_repeat_words, n_words, repeat_ratio FROM r
+        UNION ALL SELECT doc_id, lang, source, 'word_length', word_chars, n_words, word_length FROM r) u
   JOIN bounds t ON u.lang IS NOT DISTINCT FROM t.lang AND u.source IS NOT DISTINCT FROM t.source AND u.ratio = t.ratio
-  WHERE value > q3 + 3 * (q3 - q1) + CASE u.ratio WHEN 'symbol_ratio' THEN 30 WHEN 'dup_line_ratio' THEN 350 WHEN 'repeat_ratio' THEN 300 ELSE 150 END
-     OR u.ratio = 'word_length' AND value < q1 - 3 * (q3 - q1) - 150
+  WHERE CASE WHEN u.ratio = 'word_length' THEN value > hi OR value < lo
+             ELSE n > hi * size / CAST(1000 AS DOUBLE) + sqrt(hi * size / CAST(1000 AS DOUBLE)) * 3 + 3 END
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
@@ -156,7 +161,7 @@ FROM r
 """
 
 
-#: Word counts, water-filled targets by repeated resharing, and the part of the repeated source line that each document covers.
+#: Word counts, water-filled targets by repeated resharing, the schedule by a range join of golden-ratio points, and each document's part and slot from the blocks of its source's repeated line.
 OP9_SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
@@ -174,15 +179,29 @@ WITH RECURSIVE d AS (
   FROM fill f WHERE round < 200 AND level IS NOT NULL
 ), lvl AS (SELECT max(level) AS level, bool_or(level IS NULL) AS full_up FROM fill
 ), t AS (
-  SELECT source, source_size, CAST(CASE WHEN full_up THEN 2.0 * source_size ELSE least(2.0 * source_size, weight * level) END AS DOUBLE) AS target
-  FROM s, lvl
+  SELECT *, CAST(round(target) AS BIGINT) AS tokens, row_number() OVER (ORDER BY source NULLS LAST) AS sid
+  FROM (SELECT source, source_size, CAST(CASE WHEN full_up THEN 2.0 * source_size ELSE least(2.0 * source_size, weight * level) END AS DOUBLE) AS target FROM s, lvl)
+), total AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, greatest(1, CAST(ceil(sum(tokens) / (count(*) * 65536.0)) AS BIGINT)) AS block FROM t
+), bounds AS (
+  SELECT sid, CAST(sum(tokens) OVER (ORDER BY sid) AS DOUBLE) / total AS hi, CAST(sum(tokens) OVER (ORDER BY sid) - tokens AS DOUBLE) / total AS lo
+  FROM t, total WHERE tokens > 0
+), slots AS (
+  SELECT slot, sid, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank
+  FROM (SELECT slot, slot * CAST(0.6180339887498949 AS DOUBLE) - floor(slot * CAST(0.6180339887498949 AS DOUBLE)) AS u
+        FROM (SELECT unnest(range((SELECT CAST(ceil(total / CAST(block AS DOUBLE)) AS BIGINT) FROM total))) AS slot)) p
+  JOIN bounds ON u >= lo AND u < hi
+), given AS (SELECT sid, count(*) AS n FROM slots GROUP BY sid
+), p AS (
+  SELECT t.*, block, least(tokens, block * greatest(least(greatest(coalesce(n, 0), tokens // block), (tokens + block - 1) // block), least(1, tokens))) AS give
+  FROM t CROSS JOIN total LEFT JOIN given USING (sid)
 ), line AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS tokens,
+  SELECT d.doc_id, d.size, p.sid, p.source_size, p.target, p.give, p.block,
          CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0
-            ELSE size * (tokens // source_size) + greatest(0, least(first + size, tokens % source_size) - first) END AS BIGINT) AS taken
-FROM line
+            ELSE size * (give // source_size) + greatest(0, least(first + size, give % source_size) - first) END AS BIGINT) AS taken,
+       CAST(CASE WHEN size > 0 AND first < give THEN coalesce(slot, 1099511627776 + first // block) END AS BIGINT) AS slot
+FROM line LEFT JOIN slots ON slots.sid = line.sid AND slots.rank = line.first // line.block
 """

@@ -199,6 +199,37 @@ def test_adaptive_bounds_reject_the_odd_ones(spark):
     assert cells(figures.where("doc_id % 2 = 0")) + cells(figures.where("doc_id % 2 = 1")) == cells(figures)
 
 
+def test_every_ratio_gets_bounds_of_its_group(spark):
+    rng = random.Random(6)
+
+    def text(source):
+        length, symbols, repeats = (4, 0, 0) if source == "plain" else (8, 3, 2)
+        lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(length - 1, length + 1))) for _ in range(15)) for _ in range(8)]
+        for _ in range(rng.randint(0, symbols)):
+            lines[rng.randrange(8)] += " ##"
+        for _ in range(rng.randint(0, repeats)):
+            lines.append(rng.choice(lines))
+        return "\n".join(lines)
+
+    rows = [(i, text(source), "en", source) for i, source in enumerate(["plain", "rich"] * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    figures = quality_rules.with_ratios(quality_rules.base_figures(docs, ["doc_id", "lang", "source"]))
+    bounds = {r.g_source: r for r in quality_rules.thresholds(quality_rules.sketches(figures, ["lang", "source"])).collect()}
+    for ratio in quality_rules.RATIOS:
+        assert bounds["plain"][f"hi_{ratio}"] < bounds["rich"][f"hi_{ratio}"], ratio
+    judged = quality_rules.judge(docs, ["doc_id"])
+    assert judged.where("not kept").count() <= 4
+    joined = quality_rules.judge(docs, ["doc_id"], max_broadcast=0)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, judged.collect()))
+
+
+def test_quality_columns_that_clash_keep_their_values(docs):
+    odd = docs.withColumnRenamed("score", "n_words").withColumnRenamed("size", "kept").withColumnRenamed("shard", "base_failed")
+    assert quality_rules.judge(odd, odd.columns).count() == len(corpus())
+    kept = quality_rules.filter_documents(odd)
+    assert kept.columns == odd.columns and {(r.n_words, r["kept"], r.base_failed) for r in kept.collect()} == {("clash",) * 3}
+
+
 # --- 6: sharding
 
 
@@ -287,21 +318,64 @@ def test_mixing(docs, empty):
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
         assert 0 <= r.taken <= 2 * r["size"]
         taken[r.source] += r.taken
+    block = -(-sum(map(round, want.values())) // (3 * 64))
     for s, target in want.items():
-        assert abs(taken[s] - target) <= 1
+        assert target - block <= taken[s] <= target + 0.5
+    assert all((r.slot is None) == (r.taken == 0) for r in rows)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(5), slots_per_source=64).collect()))
     assert mixing.mix(empty).count() == 0
-    assert mixing.apply_mix(docs).columns == docs.columns
+    for mixed in (mixing.apply_mix(docs, slots_per_source=64), mixing.apply_mix(empty)):
+        assert mixed.columns == docs.columns
+
+
+def test_the_mix_matches_a_plain_walk_through_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 30])), rng.choice(["a", "a", "b", None])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: (r.taken, r.slot) for r in mixing.mix(docs, slots_per_source=16).collect()}
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    tokens = {s: round(t) for s, t in plain_targets(sizes).items()}
+    total = sum(tokens.values())
+    block = -(-total // (16 * len(names)))
+    edges, at = [], 0
+    for s in names:
+        edges.append((at / total, (at + tokens[s]) / total, s))
+        at += tokens[s]
+    slots = defaultdict(list)
+    for i in range(-(-total // block)):
+        u = i * mixing.GOLDEN - int(i * mixing.GOLDEN)
+        slots[next(s for lo, hi, s in edges if lo <= u < hi)].append(i)
+    for s in names:
+        n = max(min(max(len(slots[s]), tokens[s] // block), -(-tokens[s] // block)), 1)
+        line = [i for i, t, src in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()) if src == s for _ in words(t)]
+        part = Counter(line[k % len(line)] for k in range(min(tokens[s], n * block)))
+        for i, _, src in rows:
+            if src == s:
+                first = line.index(i) if i in part else 0
+                want = (slots[s][first // block] if first // block < len(slots[s]) else (1 << 40) + first // block) if part[i] else None
+                assert got[i] == (part[i], want)
+
+
+def test_mixed_rows_keep_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "a b c", "s", 1, "x"), (None, "d e", "s", 2, "y"), (4, "f g h", "s", 3, "z"), (4, "i", "t", 4, "u"), (5, None, "t", 5, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int, size string")
+    got = mixing.apply_mix(docs).collect()
+    assert set(map(tuple, got)) == {r for r in rows if r[1]}
+    assert max(Counter(map(tuple, got)).values()) <= 2
 
 
 def test_schedule_keeps_every_prefix_near_the_shares(spark):
-    plan = spark.createDataFrame([(1, 600.0), (2, 300.0), (3, 100.0), (4, 0.0)], "sid long, target double")
-    order = [r.sid for r in mixing.schedule(plan, 200).orderBy("slot").collect()]
+    plan = spark.createDataFrame([(1, 600), (2, 300), (3, 100), (4, 0)], "sid long, tokens long")
+    order = [r.sid for r in mixing.schedule(plan, 600, 4).orderBy("slot").collect()]
     assert len(order) == 600
     for n in (50, 200, 600):
         for sid, part in ((1, 0.6), (2, 0.3), (3, 0.1)):
             assert abs(order[:n].count(sid) - part * n) <= 4
-    ranks = mixing.schedule(plan, 200).where("sid = 1").orderBy("slot").collect()
+    ranks = mixing.schedule(plan, 600, 4).where("sid = 1").orderBy("slot").collect()
     assert [r["rank"] for r in ranks] == list(range(len(ranks)))
 
 
