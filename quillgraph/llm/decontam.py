@@ -2,19 +2,25 @@
 
 Words are runs of digits, lower-cased ASCII letters and non-ASCII characters.
 A window is ``n`` consecutive words of an item; an item of fewer words is one
-window.  The benchmark's vocabulary gets small word numbers, every window a
-rolling hash of its numbers; the hash set is broadcast as a bit table and every
-document position whose window hash is in it is verified word by word, so hits
+window.  The benchmark's words get small numbers and every window a rolling hash
+of its numbers; what is broadcast is the vocabulary and flat arrays: one line of
+word numbers, and per window length the sorted hashes with a place in that line
+and the item.  A bit table of hashes throws out nearly all document positions at
+once; the rest are looked up and verified word by word against the line, so hits
 are exact.  Document words inside a verified window are hit.
 
-The broadcast holds the benchmark, not the corpus, and only after its words have
-been counted: above ``max_broadcast_words`` :func:`scan` joins document windows
-with benchmark windows by hash instead and verifies the joined pairs.
+The broadcast holds the benchmark, not the corpus, and its bytes are bounded
+before it is made: where words and distinct words would take more than
+``max_broadcast_bytes``, :func:`scan` joins document windows with benchmark
+windows by hash instead and compares the joined pairs.
 
 Edge cases: a null or word-less document has n_words 0 and no hits; null and
-word-less items have no window; repeated items are distinct items with the same
-windows; repeated documents are scanned each; an empty benchmark hits nothing;
-other columns are kept, except that clashing output names are replaced.
+word-less items and items without an id have no window; repeated items are
+distinct items with the same windows; items of one id are one item; ids may be
+strings; repeated documents are scanned each; texts of any length are read
+whole; an empty benchmark hits nothing, an empty table gives an empty result;
+:func:`scan` replaces kept columns with the name of an output, and
+:func:`decontaminate` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -27,6 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..storage import materialize
+from .tables import set_aside
 
 #: Byte classes: letters are folded to lower case, separators become blanks.
 FOLD = bytes(
@@ -37,40 +47,54 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 OUT = ["n_words", "n_hit", "item_ids", "spans"]
 
 
+#: Bytes that a word and a distinct word of the benchmark may take in the broadcast.
+WORD_BYTES, DISTINCT_BYTES = 64, 160
+
+
 class WindowSet:
     """Benchmark windows over numbered words, in the form that scans of documents need."""
 
-    def __init__(self, items: list[tuple[int, bytes]], n: int):
+    def __init__(self, items: list[tuple[object, bytes]], n: int):
         self.n = n
         self.vocab: dict[bytes, int] = {}
-        self.owners: dict[tuple, list[int]] = {}
-        by_length: dict[int, set[tuple]] = {}
+        self.items: list = []
+        parts, by_length = [], {}
+        at = 0
         for item, text in items:
             words = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in text.translate(FOLD).split()]
-            size = min(n, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                window = tuple(words[i : i + size])
-                by_length.setdefault(size, set()).add(window)
-                owners = self.owners.setdefault(window, [])
-                if item not in owners:
-                    owners.append(item)
+            if words:
+                parts.append(np.array(words, np.uint32))
+                size = min(n, len(words))
+                places, owners = by_length.setdefault(size, ([], []))
+                places.append(np.arange(at, at + len(words) - size + 1, dtype=np.int64))
+                owners.append(np.full(len(words) - size + 1, len(self.items), np.int32))
+                at += len(words)
+                self.items.append(item)
+        self.line = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        hashes = {size: rolling(self.line.astype(np.uint64), size) for size in by_length}
         self.tables = {}
-        for size, windows in by_length.items():
-            bits = max(16, (16 * len(windows)).bit_length())
-            table = np.zeros(1 << bits, bool)
-            table[(rolling(np.array([x for w in windows for x in w], np.uint64), size)[::size]) >> np.uint64(64 - bits)] = True
-            self.tables[size] = (np.uint64(64 - bits), table)
-
-    def find(self, numbers: np.ndarray) -> list[tuple[int, int, list[int]]]:
+        for size, (places, owners) in by_length.items():
+            place, owner = np.concatenate(places), np.concatenate(owners)
+            h = hashes[size][place]
+            order = np.argsort(h, kind="stable")
+            bits = max(16, (16 * len(h)).bit_length())
+            table = np.zeros(1 << (bits - 3), np.uint8)
+            np.bitwise_or.at(table, (h >> np.uint64(67 - bits)).astype(np.int64), np.uint8(1) << ((h >> np.uint64(64 - bits)) & np.uint64(7)).astype(np.uint8))
+            self.tables[size] = (bits, table, h[order], place[order], owner[order])
+
+    def find(self, numbers: np.ndarray) -> list[tuple[int, int, list]]:
         """(start, length, items) of every window that occurs in a sequence of word numbers (0: not in the benchmark)."""
         hits = []
-        for size, (shift, table) in self.tables.items():
+        for size, (bits, table, known, place, owner) in self.tables.items():
             if len(numbers) < size:
                 continue
-            for at in np.flatnonzero(table[rolling(numbers, size) >> shift]).tolist():
-                owners = self.owners.get(tuple(numbers[at : at + size].tolist()))
-                if owners:
-                    hits.append((at, size, owners))
+            h = rolling(numbers, size)
+            maybe = np.flatnonzero(table[(h >> np.uint64(67 - bits)).astype(np.int64)] >> ((h >> np.uint64(64 - bits)) & np.uint64(7)).astype(np.uint8) & 1)
+            lo, hi = np.searchsorted(known, h[maybe], "left"), np.searchsorted(known, h[maybe], "right")
+            for at, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                same = (self.line[place[a:b, None] + np.arange(size)] == numbers[at : at + size]).all(1)
+                if same.any():
+                    hits.append((at, size, [self.items[i] for i in np.unique(owner[a:b][same]).tolist()]))
         return hits
 
 
@@ -120,17 +144,20 @@ def _scan_batch(texts: list[bytes | None], grams: WindowSet) -> dict[str, list]:
 SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast_words: int = 5_000_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast_bytes: int = 256 << 20) -> DataFrame:
     """Columns ``keep`` of ``docs`` with n_words, n_hit, item_ids (sorted) and spans (word ranges, merged)."""
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in OUT]
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("bench_text")).where("bench_text is not null and item is not null")
-    words = bench.agg(F.sum(F.regexp_count("bench_text", F.lit(WORD)))).first()[0] or 0
-    if words > max_broadcast_words:
-        return _scan_by_join(docs, bench, n, keep, text_col)
+    bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("bench_text")).where("bench_text is not null and item is not null")
+    rows = docs.select(*keep, F.col(text_col).alias("__scanned_text"))
+    listed = bench.select(F.explode(_words(F.col("bench_text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words, distinct, letters = listed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("w")), F.lit(0))).first()
+    if words * WORD_BYTES + distinct * DISTINCT_BYTES + letters > max_broadcast_bytes:
+        return _scan_by_join(rows, bench, n, keep)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(WindowSet([(r.item, r.bench_text.encode()) for r in bench.collect()], n))
-    schema = docs.select(*keep).schema.add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(T.LongType())).add("spans", SPAN)
-    out_types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
+    shared = spark.sparkContext.broadcast(WindowSet([(r.item, r.bench_text.encode("utf-8", "replace")) for r in bench.collect()], n))
+    kind = bench.schema["item"].dataType
+    schema = docs.select(*keep).schema.add("n_words", "long").add("n_hit", "long").add("item_ids", T.ArrayType(kind)).add("spans", SPAN)
+    out_types = [pa.int64(), pa.int64(), pa.list_(to_arrow_type(kind)), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = shared.value
@@ -142,14 +169,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | N
                 cols = [pa.array(found[c], t) for c, t in zip(OUT, out_types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *cols], names=[*keep, *OUT])
 
-    return docs.select(*keep, F.col(text_col).alias("__scanned_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _words(col):
     return F.regexp_extract_all(F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
 
 
-def _scan_by_join(docs: DataFrame, bench: DataFrame, n: int, keep: list[str], text_col: str) -> DataFrame:
+def _scan_by_join(rows: DataFrame, bench: DataFrame, n: int, keep: list[str]) -> DataFrame:
     """The same rows for a benchmark too large to broadcast: windows of both sides meet by hash and are compared as text."""
 
     def windows(words, size):
@@ -159,18 +186,17 @@ def _scan_by_join(docs: DataFrame, bench: DataFrame, n: int, keep: list[str], te
     items = bench.withColumn("w", _words(F.col("bench_text"))).withColumn("size", F.least(F.size("w"), F.lit(n)))
     items = items.select("item", "size", F.explode(F.array_distinct(windows(F.col("w"), F.col("size")))).alias("gram"))
     sizes = [r.size for r in items.select("size").distinct().collect()]  # at most n values
-    base = docs.select(*keep, F.col(text_col).alias("__t")).withColumn("__row", F.expr("uuid()"))
-    from ..storage import materialize
-
-    base = materialize(base, "decontam-rows").withColumn("__w", F.coalesce(_words(F.col("__t")), F.array().cast("array<string>")))
+    base = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
+    base = base.withColumn("__w", F.coalesce(_words(F.col("__scanned_text")), F.array().cast("array<string>"))).drop("__scanned_text")
+    ids = T.ArrayType(bench.schema["item"].dataType)
     found = None
     for size in sizes:
         grams = base.select("__row", F.posexplode(windows(F.col("__w"), F.lit(size))).alias("first", "gram"))
         part = grams.join(items.where(F.col("size") == size), "gram").select("__row", "item", F.col("first").cast("long").alias("first"), (F.col("first") + size).cast("long").alias("end"))
         found = part if found is None else found.unionByName(part)
-    plain = base.withColumn("n_words", F.size("__w").cast("long")).drop("__w", "__t")
+    plain = base.withColumn("n_words", F.size("__w").cast("long")).drop("__w")
     if found is None:
-        return plain.select(*keep, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("item_ids"), F.array().cast(SPAN).alias("spans"))
+        return plain.select(*keep, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast(ids).alias("item_ids"), F.array().cast(SPAN).alias("spans"))
     spans = found.groupBy("__row").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.sort_array(F.collect_set(F.struct("first", "end"))).alias("all"))
     merged = F.aggregate(
         "all",
@@ -181,7 +207,7 @@ def _scan_by_join(docs: DataFrame, bench: DataFrame, n: int, keep: list[str], te
     )
     spans = spans.withColumn("spans", merged).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"]))
     full = plain.join(spans, "__row", "left")
-    return full.select(*keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return full.select(*keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast(ids)).alias("item_ids"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def without_spans(text: str | None, spans: list) -> str | None:
@@ -199,17 +225,25 @@ def without_spans(text: str | None, spans: list) -> str | None:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without its contaminated documents, or with the hit spans cut out of them (``remove="spans"``)."""
-    columns = docs.columns
-    text_col = options.get("text_col", "text")
-    found = scan(docs, benchmark, **options)
+    given, names = set_aside(docs)
+    text = names[text_col]
+    found = scan(given, benchmark, text_col=text, **options)
     if remove == "documents":
-        return found.where("n_hit = 0").select(*columns)
+        return found.where("n_hit = 0").select(*names.values()).toDF(*docs.columns)
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
-    cut = F.udf(lambda text, spans: without_spans(text, spans), "string")
-    return found.withColumn(text_col, F.when(F.col("n_hit") > 0, cut(text_col, "spans")).otherwise(F.col(text_col))).select(*columns)
+    rows = found.select(*names.values(), "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = batch.schema.get_field_index(text)
+            texts = [without_spans(t, s) if s else t for t, s in zip(batch.column(where).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            cols = [pa.array(texts, pa.string()) if i == where else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=list(names.values()))
+
+    return rows.mapInArrow(cut, given.schema).toDF(*docs.columns)
 
 
 def digest(ids: DataFrame) -> DataFrame:

@@ -6,13 +6,16 @@ and a document's score is the mean of its letter positions' probabilities, over
 the whole text.  The network is trained in numpy by backpropagation through
 time, on the driver, from a bounded sample of labelled rows.
 
-The sample (``per_lang`` rows of each language, ``WINDOWS_PER_DOC`` windows of
-each, chosen by a hash) is the only bounded part; every row is scored whole.
+The sample (``per_lang`` rows of each language, ``WINDOWS_PER_DOC`` passages of
+each, chosen by a hash) is the only bounded part: every labelled language is
+learned and every row is scored whole.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; one
 learned language gives that language; without any labelled row everything with
-letters is ``und``; ties between languages go to the first by code point;
-repeated rows get equal results; an empty table gives an empty result.
+letters is ``und``; ties between languages go to the first by code point; texts
+of any length are read whole, in windows; repeated rows get equal results; an
+empty table gives an empty result; kept columns with the name of an output are
+replaced by :func:`identify`, and stay as they are in :func:`keep_identified`.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .tables import set_aside
 
 WINDOW, HIDDEN, BATCH = 128, 8, 2048
 WINDOWS_PER_DOC = 4
@@ -206,29 +212,38 @@ def _drain(net: Network, queue: list[tuple[int, bytes]], sums: np.ndarray) -> No
         np.add.at(sums, owner[at : at + BATCH], part)
 
 
-def training_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int = 400, max_langs: int = 100) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(langs, windows, labels): at most 2 * per_lang rows of each of the max_langs most frequent languages."""
+def training_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int = 400) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(langs, windows, labels) of at most per_lang rows of each language; all languages take part."""
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
     h = F.xxhash64(F.col(id_col), F.lit(17))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 20, 1 + (per_lang * 3 // 2 << 20) // n))))
-    rows = rows.where(F.pmod(h, F.lit(1 << 20)) < F.element_at(share, F.col(lang_col)))
+    share = docs_share(rows.sparkSession, {lang: min(1 << 20, 1 + (per_lang * 3 // 2 << 20) // n) for lang, n in counts.items()}, rows.schema[lang_col].dataType)
+    rows = rows.join(F.broadcast(share), F.col(lang_col) == F.col("__lang")).where(F.pmod(h, F.lit(1 << 20)) < F.col("__share"))
     places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.substr(F.col(text_col), (F.pmod(F.xxhash64(h, i), F.greatest(F.length(text_col) - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)))
     picked = rows.select(h.alias("h"), F.col(lang_col).alias("lang"), places.alias("parts")).orderBy("h").limit(2 * per_lang * len(counts)).collect()
     langs = sorted(counts)
+    number = {lang: i for i, lang in enumerate(langs)}
     seen = dict.fromkeys(langs, 0)
     windows, labels = [], []
     for r in picked:
         if seen[r.lang] < per_lang:
             seen[r.lang] += 1
             for part in dict.fromkeys(r.parts):
-                windows.append(part.encode("utf-8", "replace")[:WINDOW])
-                labels.append(langs.index(r.lang))
+                raw = part.encode("utf-8", "replace")
+                for at in range(0, max(1, len(raw)), WINDOW):
+                    if at == 0 or len(raw) - at >= WINDOW // 4:  # a short rest teaches little
+                        windows.append(raw[at : at + WINDOW])
+                        labels.append(number[r.lang])
     return langs, to_windows([w or b" " for w in windows])[0], np.array(labels, np.int64)
 
 
+def docs_share(spark, shares: dict, kind) -> DataFrame:
+    """(__lang, __share): one row per language, the hash range that its sample is taken from."""
+    return spark.createDataFrame(list(shares.items()), T.StructType([T.StructField("__lang", kind), T.StructField("__share", T.LongType())]))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **sample) -> Network | None:
     langs, x, y = training_sample(labelled, text_col, lang_col, id_col, **sample)
     if not langs:
@@ -260,11 +275,13 @@ def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2):
 def identify(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **sample) -> DataFrame:
     """Columns ``keep`` with held_out, lang_pred and score, by a network trained on the rows not held out."""
     net = fit(docs.where(~held_out(id_col)), text_col, lang_col, id_col, **sample)
-    return score(docs.withColumn("held_out", held_out(id_col)), net, [*keep, "held_out"], text_col)
+    keep = [c for c in keep if c != "held_out"]
+    rows = docs.select(*keep, held_out(id_col).alias("held_out"), F.col(text_col).alias("__text"))
+    return score(rows, net, [*keep, "held_out"], "__text")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.3, **options) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.3, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **sample) -> DataFrame:
     """``docs`` without rows that are ``und`` or whose best language scores below ``min_score``."""
-    columns = docs.columns
-    found = identify(docs, columns, **options)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*columns)
+    given, names = set_aside(docs)
+    found = identify(given, list(names.values()), names[text_col], names[lang_col], names[id_col], **sample)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*names.values()).toDF(*docs.columns)

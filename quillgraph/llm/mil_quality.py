@@ -217,4 +217,6 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Columns ``keep`` with held_out, score and predicted."""
     model = fit(docs, labels, text_col=text_col, id_col=id_col, **options)
-    return score(docs.withColumn("held_out", held_out(id_col)), model, [*keep, "held_out"], text_col)
+    keep = [c for c in keep if c != "held_out"]
+    rows = docs.select(*keep, held_out(id_col).alias("held_out"), F.col(text_col).alias("__text"))
+    return score(rows, model, [*keep, "held_out"], "__text")

@@ -21,7 +21,8 @@ and :func:`scan` folds them as a balanced tree.
 Edge cases: a null text counts as the empty text (0 bytes, 0 tokens); a
 character outside the vocabulary emits its UTF-8 bytes and resets the state;
 texts of any length are read whole; repeated rows are counted each; an empty
-table gives an empty result; extra columns are dropped by the query.
+table gives an empty result; other columns are kept, those with the name of an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -88,6 +89,8 @@ def read_pieces(model: bytes) -> dict[str, float]:
             raise ValueError("only identity normalisation with a leading blank is supported")
     if any(BLANK in p.lstrip(BLANK) for p in pieces):
         raise ValueError("a piece has a blank after another character")
+    if any("\n" in p and p != "\n" for p in pieces):
+        raise ValueError("a piece joins a line break with another character")
     return pieces
 
 
@@ -358,17 +361,17 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", limit
         model = f.read()
     read_pieces(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != text_col]
+    keep = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_tokens", "over_limit")]
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _transducer(hash(shared.value), shared.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            texts = batch.column(len(keep))
             counts = [0 if t is None else machine.count(t, chunk) for t in texts.to_pylist()]
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
             tokens = pa.array(counts, pa.int64())
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            cols = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, sizes, tokens, pa.compute.greater(tokens, limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(*keep, F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)

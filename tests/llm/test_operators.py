@@ -274,8 +274,8 @@ def bench_rows():
 def test_decontamination_matches_brute_force(spark, docs, empty):
     bench = spark.createDataFrame(bench_rows(), "item_id long, text string")
     want = sorted(decontam.brute_force([(i, t) for i, t, *_ in corpus()], bench_rows()), key=str)
-    for limit in (5_000_000, 1):
-        got = decontam.digest(decontam.scan(docs, bench, keep=["doc_id"], max_broadcast_words=limit))
+    for limit in (256 << 20, 1):
+        got = decontam.digest(decontam.scan(docs, bench, keep=["doc_id"], max_broadcast_bytes=limit))
         assert sorted(map(tuple, got.collect()), key=str) == want
     assert any(w[5] for w in want)
     assert decontam.scan(empty, bench).count() == 0
