@@ -5,6 +5,14 @@
 3. decontaminate: documents that hold a window of a benchmark item go.
 4. mix: sources are brought to their target weights; a document stays as often as the mix takes it.
 5. shards: every row gets its shard and slot by the keyed permutation.
+
+Edge cases: null texts and texts without letters go at the first stage; null
+doc_ids take part like others (a class keeps its smallest id, nulls last); of
+rows that repeat, near_duplicates keeps one and mix may take it twice; rows with
+equal doc_ids and different texts are judged apart; texts of any length are read
+whole; ties are broken by id, then by place in the input; an empty table gives
+an empty result; extra columns stay as they are, whatever their names, except
+that shards replaces columns with the names of its outputs.
 """
 
 from __future__ import annotations

@@ -28,17 +28,22 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers.
 
-    Nothing to do where workers find it by PYTHONPATH or the working folder;
-    else it is sent as a zip file, once per application.
+    Local workers find it where the driver does, by PYTHONPATH or the working
+    folder.  Workers of a cluster share neither with the driver, so it is sent
+    to them as a zip file, once per application.
     """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    paths = [os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
     context = spark.sparkContext
-    if os.path.realpath(root) in paths or getattr(context, "_quillgraph_shipped", False):
+    if getattr(context, "_quillgraph_shipped", False):
         return
-    import shutil
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="quillgraph-zip-")
-    context.addPyFile(shutil.make_archive(os.path.join(folder, "quillgraph"), "zip", root, "quillgraph"))
+    paths = [os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
+    local = context.master == "local" or context.master.startswith("local[")
+    if not (local and os.path.realpath(root) in paths):
+        import atexit
+        import shutil
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="quillgraph-zip-")  # on the driver, which serves it to executors until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "quillgraph"), "zip", root, "quillgraph"))
     context._quillgraph_shipped = True

@@ -7,6 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import ship_package
+
+
+#: Temporary folders of local applications that name no checkpoint folder.
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one."""
@@ -15,9 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    named = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    application = spark.sparkContext.applicationId
+    if application not in _local:
+        _local[application] = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+    return _local[application]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -27,6 +34,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     ``checkpoint`` it stays columnar, so later scans read only needed columns.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

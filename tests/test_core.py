@@ -240,3 +240,45 @@ def test_label_report(spark):
     cells = M.confusion(spark.createDataFrame([("x", "x"), ("x", "y"), ("y", "y")], "g string, p string"), "g", "p")
     got = {r.label: (r.precision, r.recall, r.support) for r in M.per_label(cells).collect()}
     assert got == {"x": (1.0, 0.5, 2), "y": (0.5, 1.0, 1)}
+
+
+def test_package_reaches_workers_from_another_folder(tmp_path):
+    """A driver outside the repository, without PYTHONPATH: workers get the package as a file."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from quillgraph.session import local_session, ship_package
+spark = local_session(2, "1g", 2, "elsewhere")
+ship_package(spark)
+def run(frames):
+    import quillgraph.functions.lexicons
+    for frame in frames:
+        yield frame
+print("rows", spark.range(5).mapInPandas(run, "id long").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows 5" in done.stdout, done.stderr[-2000:]
+
+
+def test_only_the_missing_subpackage_is_passed_over(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as entry
+
+    def missing(name):
+        def load(_):
+            raise ModuleNotFoundError(name=name)
+
+        return load
+
+    monkeypatch.setattr(importlib, "import_module", missing("quillgraph.llm.queries"))
+    assert entry._corpus() is None
+    monkeypatch.setattr(importlib, "import_module", missing("zstandard"))
+    with pytest.raises(ModuleNotFoundError):
+        entry._corpus()
