@@ -47,7 +47,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"])
+    key = spark.conf.get("spark.quillgraph.surrogateKey", "key of the fixture tables")
+    return surrogates.replace(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"], key.encode())
 
 
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,40 @@
 """Surrogates for personal data and secrets.
 
 Detected entities are replaced by keyed look-alikes: digits by digits, letters
-by letters of the same script and case, a card number that passes its checksum
-by one that passes, an address by an address, a titled name by a name of the
-title's gender in the same script.  The replacement is a Feistel permutation,
-keyed per type, of all strings of the entity's format, so within a format two
-entities never share a surrogate, and the same entity (whatever its case or
-punctuation) gets the same one everywhere: coreference needs no lookup.
+by letters of the same script and case, a card number or bank account that
+passes its checksum by one that passes, an address of the net by one of the same
+kind (private or public), a birth date by a date, a street by a street of the
+same type, a person's name by a pronounceable one of the same length and
+punctuation.  Given names keep their gender (from the title, a list of frequent
+names, or the ending); surnames have none, so a person called with and without
+title or given name keeps one surname, and a feminine Slavic ending is put back.
+The replacement is a Feistel permutation, keyed per type, of all strings of the
+entity's format, so within a format two entities hardly ever share a surrogate,
+and the same entity (whatever its case or punctuation) gets the same one
+everywhere: coreference needs no lookup.
+
+Names are found by titles and by frequent given names before a capitalised word;
+every other mention of a name found so in the same text is replaced with it.
 
 A collision check over all entities of the corpus finds the surrogates that are
 another entity's surrogate (formats can meet after case folding), equal a real
 entity, or equal their own; those few get the next permutation of a numbered
-family, and are checked again.  Only these exceptions are looked up during the
-rewrite; they are broadcast after a count and joined per document beyond it.
+family (names grow longer after a few attempts), and are checked again.  Only
+these exceptions are looked up during the rewrite; they are broadcast after a
+count and joined per document beyond it.
 
 Edge cases: null texts stay null and empty texts empty; texts without entities
-are unchanged; texts of any length are read whole; repeated rows get equal
+are unchanged; texts of any length are read whole; of overlapping entities the
+first found stays, ties go to the longer pattern; repeated rows get equal
 results; an empty table gives an empty result; other columns are kept, clashing
 output names are replaced.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,26 +44,64 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 
+# Titles, frequent given names, and words that announce a secret, a birth date or a street.
+MALE_TITLES = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Господин", "Господина")
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Señora", "Sra", "Señorita", "Srta", "Doña", "Mme", "Madame", "Mlle", "Dra", "Госпожа", "Госпожи")
+OTHER_TITLES = ("Dr", "Prof", "Professor", "Doktor", "Doctor")
+MALE_NAMES = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Paul Steven Andrew Kenneth George Peter "
+    "Hans Klaus Jürgen Wolfgang Stefan Andreas Markus Uwe Dieter Heinz Jean Pierre Michel Philippe Jacques François Luc Henri Louis Antoine "
+    "José Juan Carlos Luis Miguel Pedro Javier Manuel Diego Pablo Иван Александр Сергей Дмитрий Андрей Алексей Михаил Николай Владимир Пётр"
+).split()
+FEMALE_NAMES = (
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Emily Laura Jane Alice Helen Rachel Julia "
+    "Anna Ursula Monika Petra Sabine Claudia Gisela Renate Heike Birgit Marie Nathalie Isabelle Catherine Sophie Camille Chloé Juliette Claire Hélène "
+    "María Carmen Ana Isabel Pilar Lucía Elena Teresa Rosa Marta Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия"
+).split()
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api[_-]?key", "access[_-]?key")
+BIRTH_CUES = ("born", "birth", "birthday", "dob", "geboren", "geburtsdatum", "geb\\.", "née?", "naissance", "nacid[oa]", "nacimiento", "родил(?:ся|ась)", "рождения")
+STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Drive", "Boulevard", "Blvd", "straße", "strasse", "weg", "platz", "gasse", "allee", "rue", "avenue", "boulevard", "chemin", "Calle", "Avenida", "Plaza", "Paseo", "улица", "ул")
+PARTICLES = {"von", "van", "der", "den", "de", "del", "la", "du", "des", "zu", "di", "da", "bis"}
+
+UP = "A-ZÀ-ÖØ-ÞЁА-Я"
+NAME = rf"[{UP}][\w'’\-]*[^\W\d_]|[{UP}]\."
+_cues = "|".join(SECRET_CUES)
 FINDER = re.compile(
-    r"""(?P<email>(?<![\w.%+\-@])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,})
-    |(?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key))\s*[=:]\s*["']?(?P<token>[A-Za-z0-9_\-/+]{12,})
-    |(?<![\w])(?P<hex>[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w)
-    |(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?!\d|\.\d)
-    |(?<![\w+])(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[ .\-]\d{3}[ .\-]\d{4})(?!\w)
-    |(?<![\w\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w\-])
-    |(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?!\w)
-    |(?<!\w)(?P<card>\d(?:[ \-]?\d){12,18})(?!\w)
-    |(?<!\w)(?P<title>Mr|Mrs|Ms|Herrn?|Frau|Señora?|Sra?|Mme|Madame|Monsieur|Господин|Госпожа)\.?[ ](?P<name>[A-ZÀ-ÖØ-ÞА-Я][\w'\-]*[^\W\d_](?:[ ][A-ZÀ-ÖØ-ÞА-Я][\w'\-]*[^\W\d_])?)""",
+    rf"""(?P<email>(?<![\w.%+\-@])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{{2,}})
+    |(?i:\b(?:{_cues}))["']?\s*[=:]\s*(?:["'](?P<quoted>[^\s"']{{4,}})["']|(?P<token>(?=[^\s"',;]*[\d_/+\-])[^\s"',;<>]{{6,}}|[A-Za-z]{{12,}}))
+    |(?<![\w])(?P<hex>[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}})(?!\w)
+    |(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?!\d|\.\d)
+    |(?i:\b(?:{"|".join(BIRTH_CUES)}))[^\d\n]{{0,20}}(?P<birth>\d{{4}}-\d\d-\d\d|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}})(?!\d)
+    |(?<![\w+])(?P<phone>\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .\-]?\d{{2,4}}){{2,4}}|\(\d{{3}}\)[ .\-]?\d{{3}}[ .\-]\d{{4}}|\d{{3}}[ .\-]\d{{3}}[ .\-]\d{{4}})(?!\w)
+    |(?<![\w\-])(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})(?![\w\-])
+    |(?<!\w)(?P<iban>[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)(?!\w)
+    |(?<!\w)(?P<card>\d(?:[ \-]?\d){{12,18}})(?!\w)
+    |(?<!\w)(?P<street>\d{{1,5}}[ ][{UP}]\w+[ ](?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd)|[{UP}]\w*(?:straße|strasse|weg|platz|gasse|allee)[ ]\d{{1,4}}[a-z]?|\d{{1,4}},?[ ](?:bis[ ])?(?:rue|avenue|boulevard|chemin)[ ](?:(?:de[ ]la|de|du|des)[ ])?[{UP}]\w+|(?:Calle|Avenida|Plaza|Paseo)[ ](?:(?:de|del)[ ])?[{UP}]\w+,?[ ]\d{{1,4}}|(?:улица|ул\.)[ ][{UP}]\w+,?[ ](?:дом[ ]|д\.[ ]?)?\d{{1,4}})(?!\w)""",
     re.VERBOSE,
 )
-HINT = re.compile(r"\d|@|\b(?:Mr|Mrs|Ms|Herrn?|Frau|Señora?|Sra?|Mme|Madame|Monsieur|Господин|Госпожа)\b|(?i:token|secret|passw|api.?key)")
-KINDS = ("email", "token", "hex", "ip", "phone", "ssn", "iban", "card", "name")
-FEMALE = {"Mrs", "Ms", "Frau", "Señora", "Sra", "Mme", "Madame", "Госпожа"}
+#: What every match of FINDER has: a digit, an at sign or a secret's cue.
+HINT = re.compile(rf"\d|@|(?i:{_cues})")
+_titles = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES), key=len, reverse=True))
+_rest = rf"(?:[ ](?:{'|'.join(sorted(PARTICLES))}))*[ ](?:{NAME})"
+TITLED = re.compile(rf"(?<!\w)(?P<titles>(?:(?:{_titles}|M\.)\.?[ ])+)(?P<name>(?:(?:{'|'.join(sorted(PARTICLES))})[ ])*(?:{NAME})(?:{_rest}){{0,2}})")
+PAIR = re.compile(rf"(?<![\w'’\-])(?P<given>[{UP}][^\W\d_]+)(?=[ ][{UP}])(?P<more>(?:{_rest}){{1,2}})")
+GENDER = {**dict.fromkeys((*MALE_TITLES, *MALE_NAMES, "M"), "m"), **dict.fromkeys((*FEMALE_TITLES, *FEMALE_NAMES), "f")}
+_names = {*MALE_NAMES, *FEMALE_NAMES}
+KINDS = ("email", "quoted", "token", "hex", "ip", "birth", "phone", "ssn", "iban", "card", "street")
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
+#: Letters that may stand for each other in a name: vowels and consonants of a script.
+SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çðñýþßÿ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ъь", "αεηιουω", "βγδζθκλμνξπρστφχψ", "0123456789")
+SOUND = {c: (a, i) for a in SOUNDS for i, c in enumerate(a)}
+FEMININE = ("ова", "ева", "ёва", "ина", "ova", "eva")
+PATRONYMS = ("ов", "ев", "ёв", "ин", "ov", "ev")
 HEX = "0123456789abcdef"
-SYLLABLES = {"latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu", "va", "ke", "li", "no", "ra", "se"], "cyrillic": ["ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "ту", "ва", "ке", "ли", "но", "ра", "се"]}
-ENDINGS = {("latin", "f"): "na", ("latin", "m"): "rin", ("cyrillic", "f"): "на", ("cyrillic", "m"): "рин"}
+ENDINGS = {("latin", "f"): "a", ("latin", "m"): "n", ("cyrillic", "f"): "а", ("cyrillic", "m"): "н"}
+SYLLABLES = {"latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri"], "cyrillic": ["ба", "де", "фи", "го", "лу", "ма", "не", "ри"]}
+#: Attempts after which a name's surrogate gets a syllable more.
+TRIES = 6
+FIRST_DAY, DAYS = dt.date(1900, 1, 1), 43829
+PRIVATE = [(10 << 24, 24), (127 << 24, 24), ((169 << 8 | 254) << 16, 16), ((172 << 8 | 16) << 16, 20), ((192 << 8 | 168) << 16, 16)]
 ROUNDS = 6
 
 
@@ -89,18 +139,18 @@ def _mixed(symbols: list[tuple[str, int]], key: bytes, tweak: str) -> list[str]:
     return out[::-1]
 
 
-def _like(text: str, key: bytes, tweak: str, alphabet: str | None = None) -> str:
-    """``text`` with its letters and digits permuted within their scripts, case and all other characters kept."""
+def _like(text: str, key: bytes, tweak: str, alphabet: str | None = None, places: dict = PLACE) -> str:
+    """``text`` with its letters and digits permuted within their alphabets, case and all other characters kept."""
     spots, symbols = [], []
     for i, c in enumerate(text):
         low = c.lower()
-        where = (alphabet, alphabet.index(low)) if alphabet and low in alphabet else PLACE.get(low)
+        where = (alphabet, alphabet.index(low)) if alphabet and low in alphabet else places.get(low)
         if where and len(low) == 1:
             spots.append(i)
             symbols.append(where)
     if not symbols:
         return text
-    form = "".join(str(ALPHABETS.index(s[0])) if s[0] in ALPHABETS else "h" for s in symbols)
+    form = ".".join(s[0][:2] for s in symbols)
     out = list(text)
     for i, c in zip(spots, _mixed(symbols, key, f"{tweak}|{form}"), strict=True):
         out[i] = c.upper() if text[i] != text[i].lower() and len(c.upper()) == 1 else c
@@ -112,6 +162,28 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(country: str, account: str) -> str:
+    """The two check digits of an account number."""
+    number = int("".join(str(int(c, 36)) for c in account + country + "00"))
+    return f"{98 - number % 97:02d}"
+
+
+def private_net(number: int) -> tuple[int, int]:
+    """(first address, bits) of the private net that an address lies in; (0, 0) for public ones."""
+    return next(((net, bits) for net, bits in PRIVATE if number >> bits == net >> bits), (0, 0))
+
+
+def day_of(text: str) -> dt.date | None:
+    """The date of a mention; day first, unless that can't be or the year stands first."""
+    try:
+        if "-" in text:
+            return dt.date.fromisoformat(text)
+        one, two, year = map(int, re.split(r"[./]", text))
+        return dt.date(year, one, two) if two > 12 else dt.date(year, two, one)
+    except ValueError:
+        return None
+
+
 def canonical(kind: str, value: str) -> str:
     """What coreferent mentions of an entity share."""
     if kind in ("phone", "card"):
@@ -119,9 +191,28 @@ def canonical(kind: str, value: str) -> str:
         return digits[-10:] if kind == "phone" else digits
     if kind == "iban":
         return value.replace(" ", "").lower()
+    if kind == "birth":
+        day = day_of(value)
+        return day.isoformat() if day and 0 <= (day - FIRST_DAY).days < DAYS else value
+    if kind == "surname":
+        low = value.lower()
+        return low[:-1] if len(low) > 5 and low.endswith(FEMININE) else low
     return " ".join(value.lower().split())
 
 
+def _name(word: str, gender: str, attempt: int, key: bytes, tweak: str) -> str:
+    """A pronounceable look-alike of one name word; hyphens and apostrophes stay where they are."""
+    kept = word[-2:] if not gender and len(word) > 4 and word.endswith(PATRONYMS) else ""
+    made = _like(word[: len(word) - len(kept)], key, f"{tweak}|{kept}", places=SOUND) + kept
+    script = "cyrillic" if "а" <= word[0] <= "я" or word[0] == "ё" else "latin"
+    number = _round(key, f"{tweak}|longer", 0, int.from_bytes(word.encode(), "big"))
+    more = "".join(SYLLABLES[script][number >> 3 * i & 7] for i in range(attempt // TRIES))
+    made = made[: len(made) - len(kept)] + more + kept if kept else made + more
+    if gender:
+        made = re.sub(r"(?<=[^\W\d_])[^\W\d_](?![^\W\d_])", ENDINGS[script, gender], made)
+    return made
+
+
 def surrogate(kind: str, name: str, attempt: int, key: bytes) -> str:
     """The surrogate of a canonical value, itself canonical; ``attempt`` numbers a family of permutations."""
     tweak = f"{kind}|{attempt}"
@@ -133,8 +224,13 @@ def surrogate(kind: str, name: str, attempt: int, key: bytes) -> str:
         number = 0
         for part in name.split("."):
             number = number * 256 + int(part)
-        number = permute(number, 1 << 16, 1 << 16, key, tweak)
-        return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
+        net, bits = private_net(number)
+        bits = bits or 32
+        low = number - net
+        while True:  # public addresses walk the cycle past the private nets
+            low = permute(low, 1 << bits - bits // 2, 1 << bits // 2, key, f"{tweak}|{net}")
+            if net or private_net(low) == (0, 0):
+                return ".".join(str(net + low >> s & 255) for s in (24, 16, 8, 0))
     if kind in ("hex", "token") and all(c in HEX for c in name):
         return _like(name, key, tweak, HEX)
     if kind == "card":
@@ -143,24 +239,65 @@ def surrogate(kind: str, name: str, attempt: int, key: bytes) -> str:
             out = _like(out, key, tweak)
         return out
     if kind == "iban":
-        return name[:2] + _like(name[2:], key, tweak)
-    if kind == "name":
-        gender, _, words = name.partition(":")
+        country, account = name[:2], _like(name[4:], key, f"{tweak}|{name[:2]}")
+        if iban_check(country, name[4:]) == name[2:4]:
+            return country + iban_check(country, account) + account
+        out = _like(name[2:], key, tweak)
+        while iban_check(country, out[2:]) == out[:2]:  # what fails its checksum stays so
+            out = _like(out, key, tweak)
+        return country + out
+    if kind == "birth":
+        if not re.fullmatch(r"\d{4}-\d\d-\d\d", name) or (day := day_of(name)) is None:
+            return _like(name, key, tweak)
+        side = math.isqrt(DAYS) + 1
+        number = (day - FIRST_DAY).days
+        while (number := permute(number, side, side, key, tweak)) >= DAYS:
+            pass
+        return (FIRST_DAY + dt.timedelta(number)).isoformat()
+    if kind == "given":
+        gender, _, word = name.partition(":")
+        return f"{gender}:{_name(word, gender, attempt, key, f'{tweak}|{gender}')}"
+    if kind == "surname":
+        return _name(name, "", attempt, key, tweak)
+    if kind == "street":
         made = []
-        for k, word in enumerate(words.split(" ")):
-            script = "cyrillic" if PLACE.get(word[0], ("",))[0] == ALPHABETS[3] else "latin"
-            number = _round(key, f"{tweak}|{gender}", 0, int.from_bytes(word.encode(), "big"))
-            body = "".join(SYLLABLES[script][number >> 4 * i & 15] for i in range(3 + attempt // 4))
-            last = k == len(words.split(" ")) - 1 and k > 0
-            made.append(body if last else body + ENDINGS[script, gender])
+        for word in name.split(" "):
+            end = next((e for e in STREETS if word.endswith(e.lower()) and len(word) > len(e)), "")
+            same = word in PARTICLES or word.strip(".,") in _street_words
+            made.append(word if same else _like(word[: len(word) - len(end)], key, f"{tweak}|{end}", places=SOUND) + end)
         return " ".join(made)
     return _like(name, key, tweak)
 
 
+_street_words = {w.lower() for w in STREETS} | {"д", "дом"}
+
+
+def _cased(value: str, made: str) -> str:
+    """``made`` in the case of ``value``."""
+    if len(value) > 1 and value.isupper():
+        return made.upper()
+    out = "".join(c.upper() if v.isupper() and len(c.upper()) == 1 else c for v, c in zip(value, made, strict=False))
+    return out + made[len(value) :]
+
+
 def _dress(kind: str, value: str, made: str) -> str:
     """The canonical surrogate in the mention's own punctuation and case."""
-    if kind == "name":
-        return " ".join(w.upper() if v.isupper() and len(v) > 1 else w[:1].upper() + w[1:] for v, w in zip(value.split(), made.split(), strict=True))
+    if kind in ("given", "surname"):
+        made = made.partition(":")[2] if kind == "given" else made
+        if kind == "surname" and len(value) > 5 and value.lower().endswith(FEMININE):
+            made += value[-1].lower()
+        return _cased(value, made)
+    if kind == "birth" and (day := day_of(value)) and re.fullmatch(r"\d{4}-\d\d-\d\d", made):
+        new = dt.date.fromisoformat(made)
+        if "-" in value:
+            return made
+        mark = "." if "." in value else "/"
+        month_first = int(value.split(mark)[1]) > 12
+        if not month_first and "/" not in value:
+            return f"{new.day:02d}.{new.month:02d}.{new.year:04d}"
+        if month_first and new.day <= 12:  # must be read the same way again
+            return f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year:04d}"
+        return f"{new.month:02d}{mark}{new.day:02d}{mark}{new.year:04d}" if month_first else f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year:04d}"
     if kind in ("phone", "card", "iban"):
         plain = [i for i, c in enumerate(value) if c.isalnum()][-len(made) :]
         out = list(value)
@@ -173,18 +310,58 @@ def _dress(kind: str, value: str, made: str) -> str:
     return made
 
 
+def _people(text: str) -> list[tuple[int, int, str, str]]:
+    """Name words of a text: those with a title or after a frequent given name, and every further mention of them."""
+    words: list[tuple[int, int, str, str]] = []
+    known: dict[str, tuple[str, str]] = {}
+
+    def take(start: int, name: str, gender: str | None) -> None:
+        spans = [(m.start() + start, m.group()) for m in re.finditer(r"\S+", name) if m.group() not in PARTICLES]
+        for k, (at, word) in enumerate(spans):
+            if k == len(spans) - 1:
+                kind, value = "surname", canonical("surname", word)
+            else:
+                low = word.lower().rstrip(".")
+                kind, value = "given", f"{gender or GENDER.get(word) or ('f' if low.endswith(('a', 'а', 'я')) else 'm')}:{low}"
+            words.append((at, at + len(word.rstrip(".")), kind, value))
+            if len(word) > 2:
+                known.setdefault(word.lower(), (kind, value))
+
+    for m in TITLED.finditer(text):
+        genders = [GENDER[t.strip(".")] for t in m.group("titles").split() if t.strip(".") in GENDER]
+        take(m.start("name"), m.group("name"), genders[0] if genders else None)
+    at = 0
+    while m := PAIR.search(text, at):
+        if m.group("given") in _names:
+            take(m.start(), m.group(), GENDER[m.group("given")])
+            at = m.end()
+        else:
+            at = m.end("given")
+    if known:
+        again = re.compile(rf"(?<![\w'’\-])(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?![\w'’\-])", re.IGNORECASE)
+        done = {w[0] for w in words}
+        words += [(m.start(), m.end(), *known[m.group().lower()]) for m in again.finditer(text) if m.group()[0].isupper() and m.start() not in done and m.group().lower() in known]
+    return words
+
+
 def find(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical) of the entities of a text."""
-    if not text or HINT.search(text) is None:
+    """(start, end, kind, canonical) of the entities of a text, in order, without overlaps."""
+    if not text:
         return []
     out = []
-    for m in FINDER.finditer(text):
-        kind = next(k for k in KINDS if m.group(k) is not None)
-        name = canonical(kind, m.group(kind))
-        if kind == "name":
-            name = ("f:" if m.group("title") in FEMALE else "m:") + name
-        out.append((m.start(kind), m.end(kind), kind, name))
-    return out
+    if HINT.search(text):
+        for m in FINDER.finditer(text):
+            group = next(k for k in KINDS if m.group(k) is not None)
+            kind = "token" if group == "quoted" else group
+            out.append((m.start(group), m.end(group), kind, canonical(kind, m.group(group))))
+    people = _people(text)
+    if not people:
+        return out
+    merged: list[tuple[int, int, str, str]] = []
+    for e in sorted([*out, *people], key=lambda e: (e[0], e[2] in ("given", "surname"), -e[1])):
+        if not merged or e[0] >= merged[-1][1]:
+            merged.append(e)
+    return merged
 
 
 def rewrite(text: str | None, key: bytes, exceptions: dict[tuple[str, str], int]) -> tuple[str | None, dict[str, int]]:
@@ -233,7 +410,7 @@ def assign(names: DataFrame, key: bytes, max_attempts: int = 40) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def replace(docs: DataFrame, keep: list[str], key: bytes = b"change this key", text_col: str = "text", id_col: str = "doc_id", max_broadcast: int = 100_000) -> DataFrame:
+def replace(docs: DataFrame, keep: list[str], key: bytes, text_col: str = "text", max_broadcast: int = 100_000) -> DataFrame:
     """Columns ``keep`` with text (rewritten), n_entities and entity_kinds (kind=count, comma-joined)."""
     made = ("text", "n_entities", "entity_kinds")
     keep = [c for c in keep if c not in made]

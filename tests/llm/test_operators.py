@@ -485,18 +485,59 @@ PEOPLE = "Mr John Smith met Mrs. Anna Petrova; Mr JOHN SMITH. Госпожа И
 
 def test_surrogates_keep_form_and_coreference():
     out, counts = surrogates.rewrite(PEOPLE, b"k", {})
-    assert counts["name"] == 4 and counts["email"] == counts["phone"] == 2 and sum(counts.values()) == 12
+    assert counts["given"] == 3 and counts["surname"] == 4 and counts["email"] == counts["phone"] == 2 and sum(counts.values()) == 15
     for secret in ("Smith", "Petrova", "a.b@", "10.0.0.1", "123-4567", "4111", "abcdef", "123-45-6789", "Иванова"):
         assert secret not in out
-    again = {k: [PEOPLE[a:b] for a, b, kind, _ in surrogates.find(PEOPLE) if kind == k] for k in surrogates.KINDS}
-    new = {k: [out[a:b] for a, b, kind, _ in surrogates.find(out) if kind == k] for k in surrogates.KINDS}
-    assert {k: len(v) for k, v in again.items()} == {k: len(v) for k, v in new.items()}
-    assert new["name"][2] == new["name"][0].upper() and new["email"][0].lower() == new["email"][1].lower()
-    assert re.sub(r"\D", "", new["phone"][0]) == re.sub(r"\D", "", new["phone"][1])[-10:]
-    assert surrogates.luhn(re.sub(r"\D", "", new["card"][0])) and re.search("[а-я]", new["name"][3])
+    found = lambda text, kind: [text[a:b] for a, b, k, _ in surrogates.find(text) if k == kind]
+    assert found(out, "surname")[2].lower() == found(out, "surname")[0].lower() != "smith"
+    assert found(out, "email")[0].lower() == found(out, "email")[1].lower()
+    assert re.sub(r"\D", "", found(out, "phone")[0]) == re.sub(r"\D", "", found(out, "phone")[1])[-10:]
+    assert surrogates.luhn(re.sub(r"\D", "", found(out, "card")[0])) and re.search("Госпожа [А-Я][а-я]+ова ", out)
+    assert found(out, "ip")[0].startswith("10.")
     assert surrogates.rewrite(PEOPLE, b"other", {})[0] != out
 
 
+def swapped(text):
+    """The words of a text and of its surrogate, side by side."""
+    out, _ = surrogates.rewrite(text, b"k", {})
+    assert len(out.split()) == len(text.split())
+    return dict(zip(text.split(), out.split(), strict=True)), out
+
+
+def test_names_keep_surname_gender_and_format():
+    by, out = swapped("Frau Anna Müller kam , Frau Müller blieb , Anna Müller schlief")
+    assert out.count(by["Müller"]) == 3 and out.count(by["Anna"]) == 2 and by["Frau"] == "Frau" and by["Anna"].endswith("a")
+    by, out = swapped("Mr John Smith left , Mr Smith slept , then Smith called John Smith")
+    assert out.count(by["Smith"]) == 4 and by["John"].endswith("n") and "Smith" not in out
+    by, out = swapped("Dr. Jane Roe and John Smith")
+    assert by["Dr."] == "Dr." and by["Jane"].endswith("a") and not {"Jane", "Roe", "John", "Smith"} & set(out.split())
+    by, out = swapped("Ms Anna-Lena O'Brien")
+    assert re.fullmatch(r"[A-Z][a-z]{2}a-[A-Z][a-z]{2}a", by["Anna-Lena"]) and re.fullmatch(r"[A-Z]'[A-Z][a-z]{4}", by["O'Brien"])
+    by, out = swapped("Госпожа Иванова , Господин Иванов")
+    assert by["Иванова"] == by["Иванов"] + "а" != "Иванова"
+    for plain in ("Mark my words. The end is near.", "He met the Queen of Spades", "secret: nobody knows"):
+        assert surrogates.rewrite(plain, b"k", {})[0] == plain
+
+
+def test_checksums_dates_streets_and_secrets():
+    check = lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    for account in ("DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR1420041010050500013M02606"):
+        out, _ = surrogates.rewrite(account, b"k", {})
+        assert out != account and check(out.replace(" ", "")) and [c.isdigit() for c in out] [4:] == [c.isdigit() for c in account][4:]
+    assert not check(surrogates.rewrite("DE88370400440532013000", b"k", {})[0])
+    out, counts = surrogates.rewrite("born on 12.03.1980, DOB: 1980-03-12, birth 03/25/1980, seen 12.03.1980", b"k", {})
+    assert counts == {"birth": 3} and out.endswith("seen 12.03.1980")
+    one, two = re.findall(r"\d{2}\.\d{2}\.\d{4}|\d{4}-\d{2}-\d{2}", out)[:2]
+    assert one.split(".") == two.split("-")[::-1] != ["12", "03", "1980"]
+    out, counts = surrogates.rewrite("12 Baker Street, Hauptstraße 5, 14 rue de Rivoli, Calle Mayor 3", b"k", {})
+    assert counts == {"street": 4} and re.fullmatch(r"\d\d [A-Z]\w{4} Street, [A-Z]\w{4}straße \d, \d\d rue de [A-Z]\w{5}, Calle [A-Z]\w{4} \d", out)
+    for secret in ('password = "hunter2abc"', "api_key: a1b2c3", "access_key = abcdefghijklmn"):
+        assert surrogates.rewrite(secret, b"k", {})[1] == {"token": 1}
+    for address, net in (("192.168.1.7", "192.168."), ("172.20.1.1", "172."), ("127.0.0.1", "127.")):
+        assert surrogates.surrogate("ip", address, 0, b"k").startswith(net)
+    assert all(surrogates.private_net(int.from_bytes(bytes(map(int, surrogates.surrogate("ip", f"8.8.{i}.1", 0, b"k").split("."))), "big")) == (0, 0) for i in range(250))
+
+
 def test_permutations_are_distinct():
     for kind, names in (("ip", [f"1.2.{i // 250}.{i % 250}" for i in range(2000)]), ("card", [f"{i:016d}" for i in range(2000)]), ("ssn", [f"{i:09d}"[:3] + "-11-" + f"{i:04d}" for i in range(2000)])):
         made = [surrogates.surrogate(kind, n, 0, b"k") for n in names]
@@ -504,7 +545,7 @@ def test_permutations_are_distinct():
 
 
 def test_collisions_are_resolved(spark):
-    names = spark.createDataFrame([("name", f"m:{chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(600)] + [("ssn", "1-1-1"), ("ssn", "2-2-2")], "kind string, name string")
+    names = spark.createDataFrame([("surname", f"{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)] + [("ssn", "1-1-1"), ("ssn", "2-2-2")], "kind string, name string")
     rows = surrogates.assign(names, b"k").collect()
     assert len(rows) == 602 and len({(r.kind, r.made) for r in rows}) == 602
     assert not {(r.kind, r.made) for r in rows} & {(r.kind, r["name"]) for r in rows}
@@ -514,10 +555,26 @@ def test_surrogates_over_a_table(spark, docs, empty):
     rows = spark.createDataFrame([(1, PEOPLE, "x"), (2, PEOPLE, "x"), (3, None, "x"), (4, "", "x"), (5, "no data", "x")], "doc_id long, text string, n_entities string")
     for limit in (100_000, -1):
         got = {r.doc_id: r for r in surrogates.replace(rows, ["doc_id", "n_entities"], key=b"k", max_broadcast=limit).collect()}
-        assert got[1].text == got[2].text != PEOPLE and got[1].n_entities == 12
+        assert got[1].text == got[2].text != PEOPLE and got[1].n_entities == 15
         assert got[3].text is None and got[4].text == "" and got[5].text == "no data"
-    assert surrogates.replace(docs, ["doc_id"]).count() == len(corpus())
-    assert surrogates.replace(empty, ["doc_id"]).count() == 0
+    assert surrogates.replace(docs, ["doc_id"], b"k").count() == len(corpus())
+    assert surrogates.replace(empty, ["doc_id"], b"k").count() == 0
+
+
+def test_surrogates_of_a_table_against_a_plain_check(spark):
+    """Every entity of every text is gone, equal ones have equal surrogates, different ones different ones, none is a real entity."""
+    rng = random.Random(9)
+    mails = [f"user{i}@mail{i % 3}.example.com" for i in range(40)]
+    cards = [f"{rng.randrange(10**16):016d}" for _ in range(40)]
+    texts = [f"start {rng.choice(mails)} middle {rng.choice(cards)} end" for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = {}
+    for r in surrogates.replace(rows, ["doc_id"], b"k").collect():
+        old, new = texts[r.doc_id].split(), r.text.split()
+        assert [old[0], old[2], old[4]] == [new[0], new[2], new[4]] and r.n_entities == 2
+        for k in (1, 3):
+            assert seen.setdefault(old[k], new[k]) == new[k]
+    assert len(set(seen.values())) == len(seen) and not set(seen) & set(seen.values())
 
 
 # --- the pipeline
