@@ -36,7 +36,9 @@ from pyspark.sql import types as T
 TEMPLATES: list[tuple[str, str, str]] = [
     ("MIT", "Released under the MIT License.", "mit"),
     ("MIT", "Licensed under the MIT License.", "mit"),
+    ("MIT", "MIT License", "mit license"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "permission hereby granted free charge"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", "permission hereby granted free charge notice"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache 2.0 compliance"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public 3"),
@@ -53,10 +55,22 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", "bsd 3-clause"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License.", "bsd 2-clause"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution source binary forms permitted"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.", "redistribution source binary forms permitted reproduce"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.", "redistribution source binary forms permitted reproduce neither endorse promote"),
     ("ISC", "Licensed under the ISC License.", "isc"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "permission use copy modify purpose fee hereby granted"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "permission granted anyone purpose commercial alter redistribute freely"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "apache 2.0 compliance limitations"),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu general public 3 later"),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gnu general public 2 later"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "mozilla public 2.0 mpl"),
 ]
+#: Identifiers that an SPDX line may name.
+SPDX = ["MIT", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC0-1.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense"]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}", f"spdx-license-identifier {name.lower()}") for name in SPDX]
 CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "spdx")
-MAX_LINES, MIN_SAVED, MIN_MATCH = 12, 0.15, 0.8
+MIN_SAVED, MIN_MATCH = 0.15, 0.8
 _cue = re.compile("|".join(c.replace(" ", r"\s+") for c in CUES))
 _word = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 MATCH = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("line", T.LongType()), T.StructField("saved", T.DoubleType()), T.StructField("n_diff", T.LongType()), T.StructField("diff", T.StringType())]))
@@ -110,7 +124,7 @@ class Scanner:
         edits = [f"-{' '.join(template[a:b])}+{' '.join(words[max(c, first):min(d, last)])}" for op, a, b, c, d in match.get_opcodes() if op != "equal" and (b > a or (c >= first and d <= last))]
         met = {m.a + k: m.b + k for m in match.get_matching_blocks() for k in range(m.size)}
         beside = {q: any(0 <= t + d < len(template) and 0 <= q + d < len(words) and template[t + d] == words[q + d] for d in (-1, 1)) for t, q in met.items() if template[t] in keys}
-        return len(template) - len(places), "; ".join(edits)[:500], places, beside
+        return len(template) - len(places), "; ".join(edits), places, beside
 
     def windows(self, words: list[str], cues: list[tuple[int, str]]) -> Iterator[list[tuple[int, int, int]]]:
         """For each cue, the (template number, first word, end) that the template would cover there."""
@@ -131,7 +145,7 @@ class Scanner:
                 yield i, words
             if i > done:
                 end = i + 1
-                while end < len(lines) and end - i < MAX_LINES and lines[end].strip():
+                while end < len(lines) and lines[end].strip():
                     end += 1
                 if end > i + 1 and (words := words_of(" ".join(lines[i:end]))):
                     yield i, words
