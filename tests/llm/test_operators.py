@@ -60,6 +60,8 @@ def test_token_counts_are_the_librarys(docs, empty):
         want = len(sp.encode(text or ""))
         assert (n_bytes, n_tokens, over) == (len((text or "").encode()), want, want > 4096)
     assert token_count.count_tokens(empty, model_path()).count() == 0
+    clash = token_count.count_tokens(docs.withColumnRenamed("size", "n_tokens"), model_path())
+    assert len(clash.columns) == len(set(clash.columns)) and clash.where("n_tokens is null").count() == 0
 
 
 def test_chunk_maps_compose_to_the_whole():
@@ -283,6 +285,12 @@ def test_decontamination_matches_brute_force(spark, docs, empty):
     assert decontam.scan(docs, none).where("n_hit > 0").count() == 0
     clean = decontam.decontaminate(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(not w[5] for w in want)
+    odd = docs.withColumnRenamed("size", "n_words").withColumnRenamed("shard", "spans").withColumnRenamed("score", "item_ids")
+    for remove in ("documents", "spans"):
+        out = decontam.decontaminate(odd, bench, remove=remove)
+        assert out.columns == odd.columns and {(r.n_words, r.spans, r.item_ids) for r in out.collect()} == {("clash",) * 3}
+    named = spark.createDataFrame([(f"i{i}", t) for i, t in bench_rows()], "item_id string, text string")
+    assert {i for r in decontam.scan(docs, named).collect() for i in r.item_ids} <= {f"i{i}" for i, _ in bench_rows()}
     cut = decontam.decontaminate(docs, bench, remove="spans")
     assert cut.count() == docs.count() and decontam.scan(cut, bench).where("n_hit > 0").count() == 0
     assert hashlib.sha256(b"").hexdigest() in {w[4] for w in want}
@@ -425,14 +433,103 @@ def test_language_scores_do_not_depend_on_neighbours():
     assert len(net.labels("abc é")) == 6
 
 
+def test_language_scores_equal_a_plain_walk():
+    """Each byte's label probabilities by a plain loop over the text's windows, pooled over letters."""
+    net = langid.Network(["a", "b", "c"])
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(part, data):
+        k, state, out = part.hidden, np.zeros(part.hidden), []
+        for byte in data:
+            given, own = part.table[:, byte], part.recur @ state
+            reset, keep = sig(given[:k] + own[:k]), sig(given[k : 2 * k] + own[k : 2 * k])
+            fresh = np.tanh(given[2 * k :] + reset * own[2 * k :])
+            state = keep * state + (1 - keep) * fresh
+            out.append(state)
+        return out
+
+    for text in ("der und die " * 30, "é", "one 2 three", "x" * langid.WINDOW):
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), langid.WINDOW):
+            data = raw[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            for byte, left, right in zip(data, states(net.left, data), states(net.right, data[::-1])[::-1], strict=True):
+                if byte >= 0x80 or chr(byte).isalpha():
+                    scores = np.exp(net.head @ np.concatenate([left, right]) + net.bias[:, 0])
+                    total += scores / scores.sum()
+        (lang,), (score,) = langid.predict(net, [text])
+        assert lang == "abc"[total.argmax()] and score == pytest.approx(total.max() / total.sum(), abs=1e-4)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in langid.identify(docs, ["doc_id", "lang"]).collect() if r.held_out and r.lang is not None and r.lang_pred != "und"]
+    assert len(rows) > 200 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    scored = {r.doc_id: r for r in mil_quality.classify(docs, labels, ["doc_id"]).collect()}
+    held = [(r.quality, scored[r.doc_id].predicted) for r in labels.collect() if r.quality is not None and r.doc_id in scored and scored[r.doc_id].held_out]
+    assert len(held) > 50 and sum(a == b for a, b in held) / len(held) > 0.95
+
+
+def test_language_stage_keeps_clashing_values_and_learns_every_language(spark, docs):
+    odd = docs.withColumnRenamed("size", "lang_pred").withColumnRenamed("shard", "held_out")
+    kept = langid.keep_identified(odd)
+    assert kept.columns == odd.columns and {(r.lang_pred, r.held_out, r.score) for r in kept.collect()} == {("clash",) * 3}
+    many = spark.createDataFrame([(i, f"text of number {i} here", f"l{i:03d}") for i in range(130)], "doc_id long, text string, lang string")
+    assert len(langid.training_sample(many, "text", "lang", "doc_id")[0]) == 130
+
+
 # --- 8: quality
 
 
 def test_passage_figures_do_not_depend_on_neighbours():
     texts = [(t or "").encode() for _, t, *_ in corpus()]
-    x, counts = mil_quality.figures(texts)
-    alone = np.concatenate([mil_quality.figures([t])[0] for t in texts])
-    assert np.allclose(x, alone) and counts.sum() == len(x) and not np.isnan(x).any()
+    p, counts = mil_quality.figures(texts)
+    alone = mil_quality.Passages.join([mil_quality.figures([t])[0] for t in texts])
+    assert np.allclose(p.x, alone.x) and counts.sum() == len(p) and not np.isnan(p.x).any()
+    assert (p.grams == alone.grams).all() and (p.sizes == alone.sizes).all() and p.sizes.sum() == 2 * sum(len(t.split()) for t in texts)
+
+
+def test_quality_gradients_agree_with_differences():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(EN.split()) for _ in range(rng.choice([5, 90, 150]))).encode() for _ in range(6)]
+    p, counts = mil_quality.figures(texts)
+    bags, y = np.repeat(np.arange(6), counts), np.array([0, 1, 1, 0, 1, 0])
+    model = mil_quality.Model()
+    model.constant = None
+
+    def loss():
+        q = model._parts(p, bags)[6]
+        return -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean()
+
+    for param, grad in zip(model.parameters(), model._gradients(p, bags, y), strict=True):
+        i = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        keep, eps = param[i], 1e-5
+        param[i] = keep + eps
+        up = loss()
+        param[i] = keep - eps
+        down = loss()
+        param[i] = keep
+        assert (up - down) / (2 * eps) == pytest.approx(grad[i], rel=1e-3, abs=1e-8)
+
+
+def test_quality_scores_equal_a_plain_forward_pass():
+    model = mil_quality.Model()
+    model.constant = None
+    texts = [(t or "").encode() for _, t, *_ in corpus()][:20]
+    p, counts = mil_quality.figures(texts)
+    got, at, first = model.score(p, counts), 0, 0
+    for k, n in enumerate(counts):
+        hidden, weights = [], []
+        for i in range(at, at + n):
+            grams = p.grams[first : first + p.sizes[i]]
+            first += p.sizes[i]
+            mean = sum((model.table[g] for g in grams), np.zeros(mil_quality.EMBED)) / max(1, len(grams))
+            h = np.tanh(np.concatenate([p.x[i], mean]) @ model.enc)
+            hidden.append(h)
+            weights.append(np.exp(np.tanh(h @ model.att_v) / (1 + np.exp(-(h @ model.att_u))) @ model.att_w))
+        z = sum(w * h for w, h in zip(weights, hidden, strict=True)) / sum(weights)
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(z @ model.out))), abs=1e-6)
+        at += n
 
 
 def test_quality_model(spark, docs, empty):
@@ -447,7 +544,7 @@ def test_quality_model(spark, docs, empty):
     held = [(r.predicted, rows[i][2]) for i, r in got.items() if r.held_out]
     assert held and all(a == b for a, b in held)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
-    assert mil_quality.classify(docs, labels, ["doc_id", "score"]).count() == len(corpus())
+    assert mil_quality.classify(docs.withColumnRenamed("shard", "held_out"), labels, ["doc_id", "score", "held_out"]).count() == len(corpus())
     assert mil_quality.classify(empty, labels, ["doc_id"]).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in mil_quality.classify(docs, none, ["doc_id"]).collect()} == {0.5}
