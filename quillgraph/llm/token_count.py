@@ -12,11 +12,16 @@ carries the number of tokens that its character adds to the count (it may be
 negative: a character can fuse earlier tokens).  States are determinised on
 demand and kept in a bounded table.
 
-A text is cut into chunks.  Since no piece has the blank mark after another
-character, every blank resets the transducer to one state whatever came before,
-so a chunk's state map is (the text before its first reset, the count from
-there to its last reset, the text after it).  These maps compose associatively
-and :func:`scan` folds them as a balanced tree.
+A text is cut into chunks.  Where no piece holds two neighbouring characters
+side by side, no token spans them, and the transducer goes on from its start
+state whatever came before; a blank after another character is always such a
+place.  So a chunk's state map (entry state to exit state and count) is constant
+after the chunk's first such place: it is kept as the text before it, which the
+entry state has yet to read, the count from there to the last such place, and
+the text after that, which names the exit state.  These maps compose
+associatively and :func:`scan` folds them as a balanced tree.  Texts of more than
+``LONG_BYTES`` are spread over tasks by chunks; their maps come together at the
+end, one small row a chunk.
 
 Edge cases: a null text counts as the empty text (0 bytes, 0 tokens); a
 character outside the vocabulary emits its UTF-8 bytes and resets the state;
@@ -36,10 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import with_places
+
 BLANK = "▁"
 #: Bounds on what a worker remembers; beyond them tables are rebuilt, counts stay the same.
 MAX_STATES, MAX_SEGMENTS = 250_000, 500_000
-CHUNK_CHARS = 1 << 16
+CHUNK_CHARS, LONG_BYTES = 1 << 16, 1 << 20
 #: Nodes with more pieces below them are kept apart by their last token without looking at followers.
 MAX_BELOW = 24
 
@@ -280,29 +287,19 @@ class Transducer:
         marked = (BLANK if after_blank else "") + line.replace(" ", BLANK)
         return sum(map(self.run, self._parts.findall(marked)))
 
-    def chunk_map(self, chunk: str) -> tuple:
-        """(text before the first reset, tokens to the last reset, text after it), or (text,) if there is no reset.
+    def parted(self, x: str, y: str) -> bool:
+        """Can no token hold the characters x and y side by side?"""
+        x, y = x.replace(" ", BLANK), y.replace(" ", BLANK)
+        return x + y not in self.neighbours and not (x == y == BLANK)
 
-        A reset is a blank that follows another character.
-        """
+    def chunk_map(self, chunk: str) -> tuple:
+        """(text before the first reset, tokens to the last reset, text after it), or (text,) if there is no reset."""
         marked = chunk.replace(BLANK, " ")
-        first = re.search("[^ ] ", marked)
+        first = next((i for i in range(1, len(marked)) if self.parted(marked[i - 1], marked[i])), None)
         if first is None:
             return (marked,)
-        cut = first.start() + 1
-        last = self._last_reset(marked)
-        inner = marked[cut:last]
-        return marked[:cut], self.count_from_blank(inner[1:]) if inner else 0, marked[last:]
-
-    @staticmethod
-    def _last_reset(marked: str) -> int:
-        at = len(marked)
-        while True:
-            at = marked.rfind(" ", 0, at)
-            if at > 0 and marked[at - 1] != " ":
-                return at
-            if at <= 0:
-                raise AssertionError("no reset")
+        last = next(i for i in range(len(marked) - 1, 0, -1) if self.parted(marked[i - 1], marked[i]))
+        return marked[:first], self.tail(marked[first:last]) if last > first else 0, marked[last:]
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         """The state map of two neighbouring chunks, from their maps alone."""
@@ -318,9 +315,13 @@ class Transducer:
         return a[0], a[1] + inner + b[1], b[2]
 
     def tail(self, text: str) -> int:
-        """Tokens of a text that starts at a reset blank and ends before the next one."""
-        assert text.startswith(" ")
-        return self.count_from_blank(text[1:])
+        """Tokens of a text that starts at a reset and ends before another one."""
+        if text.startswith(" "):
+            return self.count_from_blank(text[1:])
+        blank = re.search("(?<=[^ ]) ", text)
+        if blank is None:
+            return self.run(text)
+        return self.run(text[: blank.start()]) + self.count_from_blank(text[blank.end() :])
 
     def finish(self, whole: tuple) -> int:
         return self.tail(whole[0]) if len(whole) == 1 else self.tail(whole[0]) + whole[1] + self.tail(whole[2])
@@ -351,7 +352,7 @@ def _transducer(key: int, model: bytes) -> Transducer:
     return _compiled[key]
 
 
-def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", limit: int = 4096, chunk: int = CHUNK_CHARS) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", limit: int = 4096, chunk: int = CHUNK_CHARS, long_bytes: int = LONG_BYTES) -> DataFrame:
     """Add n_bytes, n_tokens and over_limit to ``docs`` (the text column itself is dropped).
 
     The model file (a vocabulary of bounded size) is read on the driver and
@@ -362,7 +363,8 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", limit
     read_pieces(model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_tokens", "over_limit")]
-    schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    size = F.octet_length("__text")
+    rows = docs.select(*keep, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _transducer(hash(shared.value), shared.value)
@@ -370,8 +372,46 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", limit
             texts = batch.column(len(keep))
             counts = [0 if t is None else machine.count(t, chunk) for t in texts.to_pylist()]
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
-            tokens = pa.array(counts, pa.int64())
             cols = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, sizes, tokens, pa.compute.greater(tokens, limit)], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([*cols, sizes, pa.array(counts, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
+
+    short = rows.where(F.coalesce(size, F.lit(0)) <= long_bytes).mapInArrow(run, docs.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long"))
+    placed = with_places(rows, "token-rows").where(size > long_bytes)
+    counted = _count_long(placed.select("__file", "__at", "__text"), shared, chunk)
+    long = placed.select(*keep, "__file", "__at", size.cast("long").alias("n_bytes")).join(counted, ["__file", "__at"]).select(*keep, "n_bytes", "n_tokens")
+    return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+MAP = "__file long, __at long, number long, head string, n long, rest string"
+
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+def _count_long(texts: DataFrame, shared, chunk: int) -> DataFrame:
+    """(__file, __at, n_tokens) of long texts: chunks are dealt over tasks, their maps meet and compose per text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                full = " " + text
+                for number, begin in enumerate(range(0, len(full), chunk)):
+                    yield pa.RecordBatch.from_pydict({"__file": [file], "__at": [at], "number": [number], "chunk": [full[begin : begin + chunk]]})
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _transducer(hash(shared.value), shared.value)
+        for batch in batches:
+            made = [machine.chunk_map(t) for t in batch.column(3).to_pylist()]
+            parts = [(m[0], None, None) if len(m) == 1 else m for m in made]
+            cols = [pa.array([p[k] for p in parts], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *cols], names=["__file", "__at", "number", "head", "n", "rest"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _transducer(hash(shared.value), shared.value)
+        for batch in batches:
+            totals = []
+            for rows in batch.column(2).to_pylist():
+                ordered = [(r["head"],) if r["n"] is None else (r["head"], r["n"], r["rest"]) for r in rows]
+                totals.append(machine.finish(machine.scan(ordered)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64())], names=["__file", "__at", "n_tokens"])
+
+    chunks = texts.mapInArrow(cut, "__file long, __at long, number long, chunk string").repartition("__file", "__at", "number")
+    met = chunks.mapInArrow(maps, MAP).groupBy("__file", "__at").agg(F.sort_array(F.collect_list(F.struct("number", "head", "n", "rest"))).alias("maps"))
+    return met.mapInArrow(fold, "__file long, __at long, n_tokens long")

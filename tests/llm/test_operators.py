@@ -72,6 +72,20 @@ def test_chunk_maps_compose_to_the_whole():
         assert machine.count(text) == machine.count(text, chunk=rng.randint(1, 12)), repr(text)
 
 
+def test_long_texts_are_counted_over_tasks(spark, docs):
+    short = {(r.doc_id, r.n_bytes): (r.n_tokens, r.over_limit) for r in token_count.count_tokens(docs.select("doc_id", "text"), model_path()).collect()}
+    for size in (1, 40):
+        got = token_count.count_tokens(docs.select("doc_id", "text"), model_path(), chunk=size * 7, long_bytes=size)
+        assert {(r.doc_id, r.n_bytes): (r.n_tokens, r.over_limit) for r in got.collect()} == short
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    texts = ["漢字仮名交じり文" * 400, "abcdefghij" * 500, "x" * 3000, "words and spaces  " * 300 + "\n\n end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in token_count.count_tokens(rows, model_path(), chunk=97, long_bytes=100).collect():
+        assert r.n_tokens == len(sp.encode(texts[r.doc_id]))
+
+
 def test_bounded_tables_do_not_change_counts(monkeypatch):
     machine = token_count.Transducer(token_count.read_pieces(open(model_path(), "rb").read()))
     texts = [t for _, t, *_ in corpus() if t]
