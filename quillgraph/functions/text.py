@@ -39,9 +39,14 @@ def no_strings() -> Column:
     return F.array().cast(EMPTY)
 
 
+def latin_tokens(text: Column) -> Column:
+    """Folded Latin tokens of two characters or more, repeats included; they are ASCII, so folding is ``lower``."""
+    return F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(LATIN_TERM), F.lit(0)), lambda t: F.lower(t))
+
+
 def latin_terms(text: Column) -> Column:
     """K1, Latin part: distinct folded tokens of two characters or more, in order of appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(LATIN_TERM), F.lit(0)), fold))
+    return F.array_distinct(latin_tokens(text))
 
 
 def cjk_terms(text: Column, longest: int = 8) -> Column:

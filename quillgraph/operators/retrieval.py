@@ -9,32 +9,35 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
+from ..storage import materialize
 from . import tfidf
 
 RESULT = ["query_id", "chunk_id", "score", "score_normalized", "rank", "source"]
 
 
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf, len): token counts of Latin terms with the document's length in tokens."""
-    tokens = F.transform(F.regexp_extract_all(X.text_or_empty(F.col(text_col)), F.lit(X.LATIN_TERM), F.lit(0)), X.fold)
-    rows = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    return rows.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: Distinct query terms up to which they are broadcast to filter the postings.
+MAX_BROADCAST_TERMS = 100_000
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
     """Top ``k`` documents of each query; ``queries(query_id, term)`` has distinct terms.
 
-    Only postings of query terms are kept before the group sum: the term join
-    filters the postings, and its size is that of the matching postings.
+    Texts are read once into an index (or ``index`` is given).  Only tokens that
+    some query asks for leave the explode, so what is grouped and shuffled are
+    the matching postings alone; lengths come from the same rows.
     """
-    tf = term_counts(docs)
-    stats = docs.select(F.size(F.regexp_extract_all(X.text_or_empty(F.col("text")), F.lit(X.LATIN_TERM), F.lit(0))).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    index = tfidf.term_index(docs) if index is None else index
+    queries = materialize(queries.select("query_id", "term"), "query-terms")
     wanted = queries.select("term").distinct()
-    tf = tf.join(wanted, "term", "left_semi")
+    few = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
+    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
+    found = index.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    tf = materialize(found.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "query-postings")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = tf.join(df, "term").join(F.broadcast(stats), F.lit(True)).select("doc_id", "term", weight.alias("w"))
-    total = queries.join(scored, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
+    asked = queries.join(df, "term")  # a query's terms with their document counts; the postings' side is shuffled once
+    scored = tf.join(asked, "term").join(F.broadcast(stats), F.lit(True)).select("query_id", "doc_id", weight.alias("w"))
+    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
 

@@ -10,7 +10,7 @@ from ..operators import retrieval as R
 from ..operators import tfidf
 from ..operators import vectors as V
 from ..sources.readers import keep_last
-from .kit import Book, table
+from .kit import Book, table, texts
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -66,9 +66,9 @@ idf AS (SELECT term, ln((1.0 + (SELECT count(*) FILTER (WHERE trim(coalesce(text
 wt AS (SELECT doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS w FROM tf JOIN df USING (term), ln)"""
 
 
-def _bench_terms(spark, sf):
+def _bench_terms(spark, sf, index=None):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.focus_queries(items, tfidf.idf_table(table(spark, sf, "documents")))
+    return R.focus_queries(items, tfidf.index_profile(index or tfidf.term_index(texts(spark, sf))))
 
 
 _FOCUS = f"""q0 AS (SELECT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark),
@@ -86,7 +86,9 @@ _BM25 = f"WITH {_BM}, {_FOCUS}, s AS (SELECT query_id, doc_id, round(sum(w), 9)
 
 @BOOK.query(f"{_BM25} SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def r3_bm25_search(spark, sf):
-    return R.bm25(_bench_terms(spark, sf), table(spark, sf, "documents")).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    docs = texts(spark, sf)
+    index = tfidf.term_index(docs)
+    return R.bm25(_bench_terms(spark, sf, index), docs, index=index).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 _DOCQ = _FOCUS.replace("SELECT item_id AS query_id, unnest", "SELECT doc_id AS query_id, unnest").replace("FROM benchmark", "FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id % 20 = 0")
@@ -100,8 +102,9 @@ def channels(spark, sf, k=10):
     ids = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("doc_id"))
     asked = docs.join(ids, "doc_id", "left_semi")
     vec = vector_channel(spark, sf, k).select("query_id", "chunk_id", "score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score_normalized"), "rank", F.lit("vector").alias("source"))
-    terms = R.focus_queries(asked.select(F.col("doc_id").alias("query_id"), "text"), tfidf.idf_table(docs))
-    lex = R.bm25(terms, docs, k).select("query_id", "chunk_id", "score", R.bm25_confidence(F.col("score")).alias("score_normalized"), "rank", F.lit("bm25").alias("source"))
+    index = tfidf.term_index(texts(spark, sf))
+    terms = R.focus_queries(asked.select(F.col("doc_id").alias("query_id"), "text"), tfidf.index_profile(index))
+    lex = R.bm25(terms, docs, k, index=index).select("query_id", "chunk_id", "score", R.bm25_confidence(F.col("score")).alias("score_normalized"), "rank", F.lit("bm25").alias("source"))
     # a source's longest documents are found once per source, then joined to the questions of that source
     best = docs.select("source", "doc_id", "n_chars").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where(F.col("rank") <= k)
     graph = asked.select(F.col("doc_id").alias("query_id"), "source").join(best, "source").select("query_id", F.col("doc_id").alias("chunk_id"), (1.0 / F.col("rank")).alias("score"), F.least(F.lit(0.6), 1.0 / F.col("rank")).alias("score_normalized"), "rank", F.lit("graph").alias("source"))

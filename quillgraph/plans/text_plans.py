@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
-from ..operators import tfidf
+from ..operators import filters, tfidf
 from .kit import Book, table, texts
 
 BOOK = Book()
@@ -146,66 +146,29 @@ _NORM = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
 
 @BOOK.query(f"SELECT doc_id, length(n) <= 12 AND n <> '' AND count(*) OVER (PARTITION BY n) >= 2 AS short_repeat FROM (SELECT doc_id, {_NORM} AS n FROM documents)")
 def flt4_short_repeats(spark, sf):
-    rows = docs(spark, sf).select("doc_id", X.squeeze(X.text_or_empty(F.col("text"))).alias("n"))
-    return rows.select("doc_id", ((F.length("n") <= 12) & (F.col("n") != "") & (F.count(F.lit(1)).over(Window.partitionBy("n")) >= 2)).alias("short_repeat"))
-
-
-def low_information(rows, text_col="text"):
-    """FLT1: rows with ``kept``; if nothing survives, everything is kept."""
-    columns = rows.columns
-    flagged = rows.withColumn("__n", X.squeeze(X.text_or_empty(F.col(text_col))))
-    # only short texts can be repeats that matter, so long ones never enter a join
-    short = flagged.where(F.length("__n").between(1, 12))
-    counts = short.groupBy("__n").agg(F.count(F.lit(1)).alias("__c"))
-    short = short.join(counts, "__n").select(*columns, "__n", (F.col("__c") >= 2).alias("__twice"))
-    other = flagged.where(~F.length("__n").between(1, 12)).select(*columns, "__n", F.lit(False).alias("__twice"))
-    keep = X.strong_fact_shape(F.col("__n")) | ~(F.col("__twice") | (X.information_score(F.col("__n")) <= 0))
-    judged = other.unionByName(short).withColumn("kept", keep)
-    if judged.where("kept").isEmpty():  # stops at the first survivor
-        return rows.withColumn("kept", F.lit(True))
-    return judged.drop("__n", "__twice")
+    return filters.short_repeats(docs(spark, sf)).select("doc_id", "short_repeat")
 
 
 @BOOK.query(f"WITH x AS (SELECT doc_id, {_NORM} AS n, length({_CHARS}) = 0 AS blank FROM documents), y AS (SELECT doc_id, {_FACT.format('n')} OR NOT ((n <> '' AND length(n) <= 12 AND count(*) OVER (PARTITION BY n) >= 2) OR blank) AS k FROM x) SELECT doc_id, k OR NOT (SELECT bool_or(k) FROM y) AS kept FROM y")
 def flt1_low_information(spark, sf):
-    return low_information(docs(spark, sf)).select("doc_id", "kept")
-
-
-def negated(text, surface, triggers, before=18, after=6):
-    """FLT5: a trigger stands shortly before or right after the surface in the first sentence that holds it."""
-    first = F.try_element_at(F.filter(X.sentences(text, "graph"), lambda s: F.contains(F.lower(s), F.lit(surface.lower()))), F.lit(1))
-    at = F.instr(F.lower(first), surface.lower())
-    prefix = F.substr(first, F.greatest(at - before, F.lit(1)), F.least(at - 1, F.lit(before)))
-    suffix = F.substr(first, at, F.lit(len(surface) + after))
-    hit = F.lit(False)
-    for t in triggers:
-        hit = hit | F.contains(F.lower(prefix), F.lit(t)) | F.contains(F.lower(suffix), F.lit(t))
-    return F.coalesce(hit, F.lit(False))
+    return filters.low_information(docs(spark, sf)).select("doc_id", "kept")
 
 
 @BOOK.query("""WITH s AS (SELECT doc_id, list_filter(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([。！？!?；;])\\s*|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda x: contains(lower(x), 'the'))[1] AS s FROM documents),
 p AS (SELECT doc_id, s, strpos(lower(s), 'the') AS pos FROM s), q AS (SELECT doc_id, lower(substr(s, greatest(pos - 18, 1), least(pos - 1, 18))) AS pre, lower(substr(s, pos, 9)) AS suf FROM p)
 SELECT doc_id, coalesce(contains(pre, 'of ') OR contains(suf, 'of ') OR contains(pre, 'by ') OR contains(suf, 'by '), false) AS negated FROM q""")
 def flt5_negation_scope(spark, sf):
-    return docs(spark, sf).select("doc_id", negated(F.col("text"), "the", ("of ", "by ")).alias("negated"))
+    return docs(spark, sf).select("doc_id", filters.negated(F.col("text"), "the", ("of ", "by ")).alias("negated"))
 
 
 _CAND = "(VALUES ('- aspirin ->'), ('(metformin)'), ('-->'), ('剂量'), ('  eGFR，'), ('a'), ('12.5'), ('>>'), ('* list item'), ('aaaa'), ('beta blocker')) AS v(raw)"
 
 
-def strip_noise(t):
-    """FLT6: punctuation, list marks and arrows around a candidate removed."""
-    t = F.regexp_replace(F.regexp_replace(t, "\\s+", " "), "^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$", "")
-    for p in ("^(?:[-*•]+|[—–]+|>)+\\s*", "\\s*(?:[-*•]+|[—–]+|>)+$", "^(?:--+|[-=]+>)\\s*", "\\s*(?:--+|[-=]+>)$"):
-        t = F.regexp_replace(t, p, "")
-    return F.regexp_replace(t, "^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$", "")
-
-
 @BOOK.query("SELECT raw, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$', '', 'g'), '^(?:[-*•]+|[—–]+|>)+\\s*', ''), '\\s*(?:[-*•]+|[—–]+|>)+$', ''), '^(?:--+|[-=]+>)\\s*', ''), '\\s*(?:--+|[-=]+>)$', ''), '^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$', '', 'g') AS cleaned, trim(raw) = '' OR lower(trim(raw)) IN ('-', '--', '->', '-->') OR raw LIKE '--%' OR raw LIKE '->%' OR raw LIKE '- %' OR raw LIKE '%--' OR raw LIKE '%->' OR raw LIKE '% -' OR regexp_full_match(raw, '[-*•>\\s]+') OR regexp_replace(raw, '\\s+', '', 'g') IN ('不良反应', '处理措施', '替代方案', '关键事实', '优势', '剂量', '起效时间', '持续时间', '推荐治疗') AS noisy FROM " + _CAND)
 def flt6_candidate_noise(spark, sf):
     r = F.col("raw")
     noisy = (X.name_normal(r) == "") | X.name_normal(r).isin("-", "--", "->", "-->") | r.rlike("^(?:--|->|- )") | r.rlike("(?:--|->| -)$") | r.rlike("^[-*•>\\s]+$") | F.regexp_replace(r, "\\s+", "").isin("不良反应", "处理措施", "替代方案", "关键事实", "优势", "剂量", "起效时间", "持续时间", "推荐治疗")
-    return spark.sql("SELECT * FROM " + _CAND).select("raw", strip_noise(r).alias("cleaned"), noisy.alias("noisy"))
+    return spark.sql("SELECT * FROM " + _CAND).select("raw", filters.strip_noise(r).alias("cleaned"), noisy.alias("noisy"))
 
 
 @BOOK.query(f"SELECT p_partkey, length(t) BETWEEN 2 AND 40 AND NOT regexp_full_match(t, '[0-9]+(\\.[0-9]+)?') AND len(list_distinct(string_split(t, ''))) > 1 AS valid FROM (SELECT p_partkey, trim(p_name) AS t FROM part)")
