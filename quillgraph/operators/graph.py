@@ -97,9 +97,26 @@ def trails(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
 
 
 def trail_triples(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
-    """Distinct (connected, src, relation_type, dst, length) of all edges on trails."""
-    each = trails(seeds, edges, hops).select(F.col("node").alias("connected"), "length", F.explode("path").alias("e")).select("connected", "length", "e.src", "e.dst").distinct()
-    return each.join(edges, ["src", "dst"]).select("connected", "src", "relation_type", "dst", "length")
+    """Distinct (connected, src, relation_type, dst, length) of all edges on trails.
+
+    Trails are rows of edge numbers; those that end at one node by the same
+    edges are one, whatever seed they began at, and the last step keeps only
+    which edges lead to which end, so no list of paths is ever held or sorted.
+    """
+    numbered = materialize(edges.select("src", "dst", "relation_type").withColumn("edge", F.monotonically_increasing_id()), "trail-edges")
+    step = numbered.select(F.col("src").alias("a"), F.col("dst").alias("b"), "edge").unionByName(numbered.select(F.col("dst").alias("a"), F.col("src").alias("b"), "edge"))
+    layer, used, found = seeds.select(F.col("id").alias("node")).distinct(), [], None
+    for n in range(1, hops + 1):
+        grown = layer.join(step, layer["node"] == step["a"])
+        for e in used:
+            grown = grown.where(F.col(e) != F.col("edge"))
+        used = [*used, f"e{n}"]
+        layer = grown.select(F.col("b").alias("node"), *used[:-1], F.col("edge").alias(f"e{n}"))
+        if n < hops:
+            layer = materialize(layer.distinct(), "trail-layer")
+        ends = layer.select(F.col("node").alias("connected"), F.explode(F.array(*used)).alias("edge")).distinct().withColumn("length", F.lit(n))
+        found = ends if found is None else found.unionByName(ends)
+    return found.join(numbered, "edge").select("connected", "src", "relation_type", "dst", "length")
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:

@@ -89,7 +89,7 @@ def r9_full_document_read(spark, sf):
     return V.block_top_k(q, held, 5).select("query_id", F.col("vec_id").alias("chunk_id"), "rank")
 
 
-@BOOK.query("""WITH rel AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity >= 44 AND b.l_quantity >= 44 AND a.l_partkey <> b.l_partkey GROUP BY 1, 2),
+@BOOK.query("""WITH rel AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2),
 seeds AS (SELECT p_partkey AS id FROM part WHERE p_size = 50), near AS (SELECT id FROM seeds UNION SELECT dst FROM rel JOIN seeds ON src = id UNION SELECT src FROM rel JOIN seeds ON dst = id),
 m AS (SELECT DISTINCT l_partkey AS phrase_id, l_orderkey AS passage_id FROM lineitem), b AS (SELECT passage_id, max(p_retailprice) AS score FROM m JOIN near ON phrase_id = id JOIN part ON p_partkey = id GROUP BY 1)
 SELECT passage_id, score FROM b ORDER BY score DESC, passage_id LIMIT 12""")
