@@ -167,3 +167,29 @@ def parse_extraction(raw: Column) -> Column:
     entities = F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("ENTITY:"))), lambda x: F.struct(field(x, 1).alias("name"), field(x, 2).alias("entity_type")))
     relations = F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("RELATIONSHIP:"))), lambda x: F.struct(field(x, 1).alias("source"), field(x, 2).alias("relation_type"), field(x, 3).alias("target")))
     return F.struct(F.filter(entities, lambda e: e["name"] != "").alias("entities"), F.filter(relations, lambda r: (r["source"] != "") & (r["target"] != "")).alias("relations"))
+
+
+def salvage(rows: DataFrame, text_col: str, schema: str) -> DataFrame:
+    """``rows`` with value: the first balanced JSON object in a model's answer, read by ``schema`` (null if there is none)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [first_object(t or "") for t in f[text_col]]
+            yield f.assign(__json=[json.dumps(v) if v else None for v in found])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{names}, __json string").withColumn("value", F.from_json("__json", schema)).drop("__json")
+
+
+def segments(rows: DataFrame, text_col: str) -> DataFrame:
+    """SRC14: the rows' other columns with (place, segment): one row per JSON value in a text, whatever stands between them."""
+    keep = [c for c in rows.columns if c != text_col]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            listed = f.assign(__s=[[json.dumps(v) for v in json_segments(t or "")] for t in f[text_col]])
+            parts = listed[[*keep, "__s"]].explode("__s").dropna(subset=["__s"]).rename(columns={"__s": "segment"})
+            yield parts.assign(place=parts.groupby(level=0).cumcount().astype("int32"))[[*keep, "place", "segment"]]
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_col)
+    return rows.mapInPandas(run, f"{names}, place int, segment string")

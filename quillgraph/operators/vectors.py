@@ -72,3 +72,10 @@ def knn_graph(vectors: DataFrame, k: int = 10) -> DataFrame:
     top = block_top_k(vectors.withColumnRenamed("vec_id", "query_id"), vectors, k, ties="large", exclude_self=True).where("score > 0")
     cuts = adaptive_cut(top)
     return top.join(cuts, "query_id").where(F.col("score") >= F.col("cut") - 1e-9).select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.col("score").alias("weight"))
+
+
+def passage_search(queries: DataFrame, passages: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, passage_id, score, rank and the passage's columns): the ``k`` nearest of passages(id, ...) by cosine; passages without a vector are left out."""
+    held = vectors.join(passages.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    found = block_top_k(queries, held, k).withColumnRenamed("vec_id", "passage_id")
+    return found.join(passages.withColumnRenamed("id", "passage_id"), "passage_id")

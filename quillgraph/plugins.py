@@ -150,3 +150,21 @@ class RetryingCall:
                 self.failures = 0
                 return value
         raise CallFailed("no attempt was made")
+
+
+def embed_phrases(df: DataFrame, plugin: ModelPlugin | None = None) -> DataFrame:
+    """PRJ5: ``df(name, entity_type)`` with the embedding of "name: type"."""
+    text = F.concat_ws(": ", F.coalesce("name", F.lit("")), F.coalesce("entity_type", F.lit("")))
+    return embed(df.withColumn("__phrase", text), "__phrase", plugin).drop("__phrase")
+
+
+def enrichment_mode(chunks: DataFrame, by: str, most_chunks: int = 6, most_chars: int = 5000) -> DataFrame:
+    """PRJ3: per document (n_chunks, n_chars, mode): small ones get the light context, larger ones a model where one is plugged in."""
+    sizes = chunks.groupBy(by).agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+    return sizes.withColumn("mode", F.when((F.col("n_chunks") <= most_chunks) & (F.col("n_chars") <= most_chars), "light").otherwise("model"))
+
+
+def expand_queries(queries: DataFrame, n: int, rewrite=None) -> DataFrame:
+    """``n`` variants of each query, numbered from 1: the rewriter's (a column function of query and number), else the query itself."""
+    rows = queries.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return rows if rewrite is None else rows.withColumn("query", F.coalesce(rewrite(F.col("query"), F.col("variant")), "query"))

@@ -76,3 +76,23 @@ def augment_markdown(markdown, tables, formulas):
     """SRC8: sections of extracted tables and formulas after the text."""
     section = lambda title, items: F.when(F.size(items) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(items, "\n\n")))
     return F.concat_ws("\n\n", markdown, section("Extracted Tables", tables), section("Extracted Formulas", F.transform(formulas, lambda f: F.concat(F.lit("$$"), f, F.lit("$$")))))
+
+
+#: Byte order mark that spreadsheet programs look for.
+MARK = "﻿"
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """SNK7: JSON lines, nulls left out."""
+    rows.write.json(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """SNK7: CSV files with a header behind a byte order mark, quotes doubled."""
+    named = rows.toDF(MARK + rows.columns[0], *rows.columns[1:])
+    named.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SNK7's files again, by position."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"').option("multiLine", True).csv(path)
