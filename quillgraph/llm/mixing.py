@@ -40,7 +40,7 @@ GOLDEN = 0.6180339887498949
 #: Slots of the schedule for each source, on average.
 SLOTS_PER_SOURCE = 65536
 #: Rows of a bucket whose tokens are summed inside one window.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 WEIGHTS = (3, 1, 2)
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
