@@ -20,10 +20,12 @@ a sketch is the parity of the shingles that hash to b, so two sketches differ in
 at most as many bits as the sets differ in shingles.  Every pair left is
 confirmed on its sets.
 
-A cell of up to ``SMALL`` rows gives all its pairs.  A larger one gives a few
-stars at first, confirmed like the rest; then only its pairs that are still in
-different classes are looked at, in slices of ``SLICE`` rows, so a large group
-of copies costs a few confirmations a row and no pair is left out.
+A cell of up to ``SMALL`` rows gives all its pairs.  A larger one gives a star
+at first, confirmed like the rest.  Then only its pairs that are still in
+different classes are looked at, inside tasks of two slices of ``SLICE`` rows,
+which give back only what sizes, places and sketches allow: for ``ROUNDS`` rounds
+each row's nearest partner, at last everything left.  So a large group of copies
+costs a few confirmations a row and no pair is left out.
 
 Edge cases: null, empty and blank texts are copies of each other; rows without a
 doc_id take part like others and come last when a class's row is chosen; of rows
@@ -38,6 +40,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -46,7 +49,7 @@ from pyspark.sql import types as T
 
 from ..storage import discard, materialize
 from .components import components
-from .simhash import LOWER, representatives, similar_edges
+from .simhash import LOWER, by_task, representatives, similar_edges
 from .tables import set_aside, with_places
 
 SMALL, SLICE, ROUNDS, SAMPLE, MAX_FREQUENT, MAX_WORDS = 64, 2048, 2, 4000, 50_000, 1_000_000
@@ -97,6 +100,15 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
 
 
+#: Multipliers under which the least hash of a set is looked for.
+MARKS = np.array([xxhash.xxh64_intdigest(b"mark", i) | 1 for i in range(3)], np.uint64)
+
+
+def least_marks(hashes: np.ndarray) -> list[int]:
+    """The least hash of a set under a few orders: similar sets mostly share one."""
+    return [int((hashes * m).min().view(np.int64)) for m in MARKS] if len(hashes) else []
+
+
 def parity_sketch(hashes: np.ndarray) -> bytes:
     """Bit b is the parity of the number of hashes with remainder b; some two to four bits a hash, a power of two."""
     bits = 1 << max(6, (2 * len(hashes)).bit_length())
@@ -137,22 +149,23 @@ def frequent(docs: DataFrame, width: int, text_col: str) -> list[int]:
 
 
 def prints(docs: DataFrame, width: int, similarity: float, text_col: str, id_col: str, last: list[int]) -> DataFrame:
-    """(__file, __at, doc_id, hi, lo, fp, n, sketch, prefix, __row): hi and lo name the word sequence; __row numbers the written rows."""
+    """(__file, __at, doc_id, hi, lo, fp, marks, n, sketch, prefix, __row): hi and lo name the word sequence; __row numbers the written rows."""
     tokens = np.array(last, np.int64).view(np.uint64)
     by_value = np.argsort(tokens)
     rows = docs.select("__file", "__at", F.col(id_col).alias("doc_id"), F.col(text_col).alias("__read_text"))
-    schema = rows.drop("__read_text").schema.add("hi", "long").add("lo", "long").add("fp", "long").add("n", "integer").add("sketch", "binary").add("prefix", T.ArrayType(T.LongType()))
+    schema = rows.drop("__read_text").schema.add("hi", "long").add("lo", "long").add("fp", "long").add("marks", T.ArrayType(T.LongType())).add("n", "integer").add("sketch", "binary").add("prefix", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(width), tokens[by_value]
         for batch in batches:
-            digests, fps, sizes, sketches, prefixes = [], [], [], [], []
+            digests, fps, marks, sizes, sketches, prefixes = [], [], [], [], [], []
             for text in _texts(batch, 3):
                 words = words_of(text)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 every = shingler.hashes_of(words)
                 fps.append(fingerprint_of(every))
                 hashes = np.unique(every)
+                marks.append(least_marks(hashes))
                 sizes.append(len(hashes))
                 sketches.append(parity_sketch(hashes))
                 place = np.zeros(len(hashes), np.int64)
@@ -164,7 +177,7 @@ def prints(docs: DataFrame, width: int, similarity: float, text_col: str, id_col
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes or [np.zeros(0, np.int64)])))
-            made = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists]
+            made = [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(fps, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *made], names=schema.names)
 
     return rows.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id())
@@ -249,33 +262,101 @@ def links(cells: DataFrame, confirm: Confirm, near: DataFrame, similarity: float
     large = shared.where(F.col("size") > SMALL).select("token", "row", "n", "pos")
     if large.isEmpty():
         return found
-    for salt in range(ROUNDS):  # stars around other rows, while cells hold rows of several classes
-        rest = _mixed(large, found)
-        leads = rest.groupBy("token").agg(F.min_by(F.struct("row", "n", "pos", "component"), F.xxhash64("row", F.lit(salt))).alias("x"))
-        star = rest.select("token", F.struct("row", "n", "pos", "component").alias("y")).join(leads, "token").where("x.component <> y.component")
-        pairs = star.where(_possible("x", "y", similarity)).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"))
-        found = found.unionByName(confirm(pairs))
-    rest = _mixed(large, found).withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int"))
-    rest = materialize(rest.withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int")).drop("lead", "size"), "shingle-rest")
-    # one task per pair of slices: the left row lies in the first, the right one in the second
-    left = rest.withColumn("other", F.explode(F.expr("sequence(0, slices - 1)")))
-    right = rest.withColumn("first", F.explode(F.expr("sequence(0, slices - 1)")))
-    met = left.alias("x").join(right.alias("y"), F.expr("x.token = y.token and x.slice = y.first and x.other = y.slice"))
-    met = met.where("x.row < y.row and x.component <> y.component").where(_possible("x", "y", similarity))
-    out = found.unionByName(confirm(met.select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))))
-    discard(spark, shared, rest)
-    return out
+    for number in range(ROUNDS + 1):
+        rest = _mixed(large, found).drop("lead").withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int"))
+        rest = rest.join(confirm.found.select(F.col("__row").alias("row"), "sketch"), "row")
+        rest = rest.withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int"))
+        others = F.transform(F.expr("sequence(0, slices - 1)"), lambda k: F.struct(F.least("slice", k).alias("lo"), F.greatest("slice", k).alias("hi")))
+        tasks = rest.withColumn("t", F.explode(others)).select(F.xxhash64("token", "t.lo", "t.hi").alias("task"), (F.col("t.lo") == F.col("t.hi")).alias("one"), (F.col("slice") == F.col("t.lo")).alias("left"), "row", "n", "pos", "component", "sketch")
+        pairs = materialize(_close_pairs(tasks, similarity, number < ROUNDS), "shingle-close")
+        if pairs.isEmpty():
+            break
+        more = confirm(pairs)
+        discard(spark, pairs)
+        found = found.unionByName(more)
+    discard(spark, shared)
+    return found
+
+
+def _levels(sketches: list[bytes], most: int = 16) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each sketch's level, and for every level the sketches of it and above folded to 2 ** level 64-bit words."""
+    words = [np.frombuffer(s, np.uint64) for s in sketches]
+    own = np.array([len(w).bit_length() - 1 for w in words])
+    top = min(int(own.max()), most.bit_length() - 1)
+    tables = []
+    for level in range(top + 1):
+        table = np.zeros((len(words), 1 << level), np.uint64)
+        for i, w in enumerate(words):
+            if own[i] >= level:
+                table[i] = np.bitwise_xor.reduce(w.reshape(-1, 1 << level), axis=0)
+        tables.append(table)
+    return np.minimum(own, top), tables
+
+
+def _close_pairs(tasks: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """(a, b): pairs of different components in a task whose sizes, places and sketches allow the similarity.
+
+    With ``nearest`` every row gives just the partner whose sketch is nearest.
+    """
+    part = (1 - similarity) / (1 + similarity)
+
+    def compare(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        row, comp, n, pos = (rows[c].to_numpy() for c in ("row", "component", "n", "pos"))
+        level, tables = _levels(list(rows["sketch"]))
+        left = np.arange(len(rows)) if rows["one"].iloc[0] else np.flatnonzero(rows["left"].to_numpy())
+        right = left if rows["one"].iloc[0] else np.flatnonzero(~rows["left"].to_numpy())
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(left), 256):
+            i, j = left[at : at + 256, None], right[None, :]
+            total = n[i] + n[j]
+            ok = (comp[i] != comp[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= similarity / (1 + similarity) * total - 1e-6)
+            p, q = np.nonzero(ok)
+            p, q = left[at : at + 256][p], right[q]
+            if rows["one"].iloc[0] and not nearest:
+                p, q = p[row[p] < row[q]], q[row[p] < row[q]]
+            distance = np.zeros(len(p), np.int64)
+            lower = np.minimum(level[p], level[q])
+            for k, table in enumerate(tables):
+                here = np.flatnonzero(lower == k)
+                for b in range(0, len(here), 1 << 16):
+                    h = here[b : b + (1 << 16)]
+                    distance[h] = np.bitwise_count(table[p[h]] ^ table[q[h]]).sum(1, dtype=np.int64)
+            near = distance <= part * (n[p] + n[q]) + 1e-6
+            p, q, distance = p[near], q[near], distance[near]
+            if nearest and len(p):
+                order = np.lexsort((row[q], distance, p))
+                first = order[np.concatenate([[True], p[order][1:] != p[order][:-1]])]
+                p, q = p[first], q[first]
+            out.append((np.minimum(row[p], row[q]), np.maximum(row[p], row[q])))
+        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in by_task(frames):
+            for _, one in rows.groupby("task", sort=False):
+                a, b = compare(one)
+                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    dealt = tasks.repartition("task").sortWithinPartitions("task")
+    return dealt.mapInPandas(run, PAIRS).distinct()
 
 
 def near_links(reps: DataFrame, confirm: Confirm, max_bits: int) -> DataFrame:
-    """Links among ``reps(__row, fp)`` that SimHash finds: rows of one fingerprint, and fingerprints that the pivot tables bring together, confirmed."""
+    """Links among ``reps(__row, fp, marks)`` that cost a few confirmations a row.
+
+    SimHash gives rows of one fingerprint and fingerprints that the pivot tables
+    bring together; beside them every row is tried with the first row of its
+    marks, which connects most of a large group of looser copies.
+    """
     prints = representatives(reps.select(F.col("__row").alias("doc_id"), "fp"))
     first = prints.select("fp", F.col("first").alias("a"))
     same = reps.join(first, "fp").where("__row <> a").select("a", F.col("__row").alias("b"))
     stars = similar_edges(prints, prints.count(), max_bits)
     names = prints.select(F.col("rep").alias("a"), F.col("first").alias("one")), prints.select(F.col("rep").alias("b"), F.col("first").alias("two"))
     close = stars.join(names[0], "a").join(names[1], "b").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
-    return confirm(same.unionByName(close))
+    marked = reps.select("__row", F.posexplode("marks").alias("k", "mark"))
+    leads = marked.groupBy("k", "mark").agg(F.min("__row").alias("a"))
+    stars = marked.join(leads, ["k", "mark"]).where("__row <> a").select("a", F.col("__row").alias("b"))
+    return confirm(same.unionByName(close).unionByName(stars))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -287,12 +368,12 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     same = found.groupBy("hi", "lo").agg(F.min(order).alias("rep"))
     same = materialize(found.select("__row", "doc_id", "hi", "lo").join(same, ["hi", "lo"]).select("__row", "doc_id", F.col("rep.__row").alias("rep")), "shingle-copies")
-    reps = found.select("__row", "fp", "n", "prefix").join(same.where("__row = rep").select("__row"), "__row", "left_semi")
+    reps = found.select("__row", "fp", "marks", "n", "prefix").join(same.where("__row = rep").select("__row"), "__row", "left_semi")
     confirm = Confirm(rows, found, width, similarity, text)
     cells = reps.select(F.col("__row").alias("row"), "n", F.posexplode("prefix").alias("pos", "token"))
     shared = cells.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     cells = materialize(cells.join(shared, "token"), "shingle-tokens")
-    near = near_links(materialize(reps.select("__row", "fp"), "shingle-fps"), confirm, max_bits)
+    near = near_links(materialize(reps.select("__row", "fp", "marks"), "shingle-fps"), confirm, max_bits)
     classes = components(links(cells, confirm, near, similarity))
     members = same.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("__row", "doc_id", F.coalesce("component", "rep").alias("class"))
     members = materialize(members, "shingle-classes")

@@ -204,7 +204,7 @@ def tasks_of(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
     return held.repartition("task").sortWithinPartitions("task").select("task", "lo", "hi", "slice", "fp", "rep", "at")
 
 
-def _by_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def by_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames that hold whole tasks."""
     held: pd.DataFrame | None = None
     for frame in frames:
@@ -223,7 +223,7 @@ def similar_edges(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
     """(a, b): stars over ``reps(fp, rep, at)`` that connect exactly what links connect; a and b are ``rep`` numbers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _by_task(frames):
+        for rows in by_task(frames):
             yield _compare(rows, max_bits, Tally())
 
     return tasks_of(reps, n, max_bits).mapInPandas(run, "a long, b long").where("a <> b")
@@ -233,7 +233,7 @@ def discards(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
     """One row (met, discarded, verified, linked): how many pairs of a cell the pivot table looks at and throws out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _by_task(frames):
+        for rows in by_task(frames):
             _compare(rows, max_bits, tally := Tally())
             yield pd.DataFrame({k: [getattr(tally, k)] for k in ("met", "discarded", "verified", "linked")})
 

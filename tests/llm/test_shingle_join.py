@@ -53,6 +53,23 @@ def test_stage_links_by_true_similarity(spark, monkeypatch, small):
     assert {r.doc_id for r in got.collect()} == plain_kept(rows)
 
 
+def test_large_groups_beside_a_common_passage(spark, monkeypatch):
+    """Near copies that share a frequent passage with unrelated texts: all pairs against the stage, in small slices."""
+    monkeypatch.setattr(shingle_join, "SMALL", 4)
+    monkeypatch.setattr(shingle_join, "SLICE", 16)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(90):
+        base = [f"w{k}" for k in range(60)] if i % 3 else [f"u{i}x{k}" for k in range(rng.choice([4, 10, 60]))]
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words + passage)))
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert {r.doc_id for r in got.collect()} == plain_kept(rows)
+
+
 def test_null_and_repeated_ids(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
     rows = [(None, one), (None, one), (1, one), (1, one), (2, one), (2, two), (3, two), (None, three), (None, three), (7, None), (8, "")]
