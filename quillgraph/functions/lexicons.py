@@ -16,6 +16,9 @@ MEDICAL_HINTS = (
     "therapy", "drug", "medication", "dose", "adverse", "prognosis", "risk",
     "complication", "biomarker", "laboratory", "test", "screening", "imaging",
     "procedure", "syndrome", "infection", "cancer", "tumor", "mutation",
+    "patient", "clinical", "患者", "症状", "体征", "诊断", "治疗", "药物",
+    "剂量", "并发症", "预后", "风险", "检查", "检验", "影像", "手术", "感染",
+    "肿瘤", "癌", "综合征", "生物标志物",
 )
 COMMON_ENTITY_NAMES = (
     "patient", "patients", "treatment", "treatments", "method", "methods", "result", "results", "study", "studies",

@@ -8,6 +8,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,6 +161,17 @@ def vector_cache_key(vector: list[float], places: int = 4) -> str:
     return hashlib.md5(struct.pack(f">{len(vector)}f", *(round(v, places) for v in vector))).hexdigest()
 
 
+def vector_cache_keys(vectors: DataFrame, id_col: str, places: int = 4) -> DataFrame:
+    """F29 over a table: (id, cache_key), rounded and packed by Arrow batch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keys = [hashlib.md5(np.round(np.asarray(v, np.float64), places).astype(">f4").tobytes()).hexdigest() if v is not None else None for v in f["embedding"]]
+            yield pd.DataFrame({id_col: f[id_col], "cache_key": keys})
+
+    return vectors.select(F.col(id_col).cast("long").alias(id_col), "embedding").mapInPandas(run, f"{id_col} long, cache_key string")
+
+
 def parse_extraction(raw: Column) -> Column:
     """entity and relation lines ``ENTITY: name | type`` and ``RELATIONSHIP: a | r | b`` as arrays of structs."""
     field = lambda line, i: F.trim(F.coalesce(F.try_element_at(F.split(F.regexp_replace(line, "^[A-Z]+:", ""), "\\|"), F.lit(i)), F.lit("")))

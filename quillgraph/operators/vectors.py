@@ -79,3 +79,96 @@ def passage_search(queries: DataFrame, passages: DataFrame, vectors: DataFrame,
     held = vectors.join(passages.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
     found = block_top_k(queries, held, k).withColumnRenamed("vec_id", "passage_id")
     return found.join(passages.withColumnRenamed("id", "passage_id"), "passage_id")
+
+
+def mean_cosine(queries: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
+    """(query_id, mean_cosine): each query's mean cosine with the vectors of its group.
+
+    The mean of cosines is the product with the mean of unit vectors, so groups
+    are summed once, place by place and map-side, and no pair is ever formed.
+    """
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    unit = lambda v: F.transform(v, lambda x: F.when(norm(v) == 0, 0.0).otherwise(x.cast("double") / norm(v)))
+    sums = vectors.select(group, F.posexplode(unit(F.col("embedding"))).alias("place", "x")).groupBy(group, "place").agg(F.avg("x").alias("x"))
+    means = sums.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("m")).select(group, F.transform("m", lambda p: p["x"]).alias("m"))
+    rows = queries.select("query_id", group, unit(F.col("embedding")).alias("u")).join(means, group)
+    return rows.select("query_id", F.aggregate(F.zip_with("u", "m", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("mean_cosine"))
+
+
+#: Vectors that an index is fitted on, and the cells it has per root of their number.
+INDEX_SAMPLE = 20_000
+
+
+def fit_index(vectors: DataFrame, k: int = 10, recall: float = 0.95, cells: int | None = None, sample: int = INDEX_SAMPLE, rounds: int = 12, seed: int = 5) -> tuple[np.ndarray, int]:
+    """IDX1: (centroids, probes): spherical k-means in numpy on at most ``sample`` rows chosen by a hash of the id.
+
+    ``probes`` is the least number of cells in which the sample's own rows find
+    the share ``recall`` of their ``k`` nearest, so vectors without clusters get
+    more of them.
+    """
+    n = vectors.count()
+    some = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < min(1 << 20, 1 + (sample * 5 // 4 << 20) // max(1, n))).select("vec_id", "embedding")
+    rows = some.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(sample).toPandas()
+    if rows.empty:
+        return np.zeros((1, 1)), 1
+    x = _matrix(rows["embedding"])
+    k = min(len(x), cells or max(1, int(np.sqrt(min(n, 50 * sample)))))
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        own = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(x), 4096)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        empty = np.bincount(own, minlength=k) == 0
+        sums[empty] = x[rng.choice(len(x), int(empty.sum()))]
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    own = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(x), 4096)])
+    asked = x[rng.choice(len(x), min(len(x), 200), replace=False)]
+    nearest = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :k]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1, kind="stable"), axis=1)  # of each cell in a row's order
+    depth = np.sort(np.take_along_axis(place, own[nearest], 1).ravel())
+    return centres, int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) + 1
+
+
+def in_cells(vectors: DataFrame, centres: np.ndarray, probes: int, id_col: str) -> DataFrame:
+    """(id, embedding, cell): every row with its ``probes`` nearest cells."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                best = np.argsort(-(_matrix(f["embedding"]) @ shared.value.T), axis=1, kind="stable")[:, :probes]
+                out = f.loc[f.index.repeat(best.shape[1])]
+                yield out.assign(cell=best.ravel().astype(np.int32))
+
+    rows = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInPandas(run, f"{id_col} long, embedding array<double>, cell int")
+
+
+def indexed_top_k(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray, probes: int) -> DataFrame:
+    """IDX1, R1: like :func:`block_top_k`, looking only into each query's ``probes`` nearest cells.
+
+    Every vector is indexed, in one cell.  A cell of many rows is cut into slices
+    of ``BLOCK`` rows, each a task with the cell's queries, so a hot cell is spread.
+    Cosines are exact, what a query's cells don't hold is missed; recall is measured in the tests.
+    """
+    held = in_cells(vectors, centres, 1, "vec_id")
+    sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).withColumn("slices", F.ceil(F.col("size") / BLOCK).cast("int")).select("cell", "slices")
+    v = held.join(sizes, "cell").select("vec_id", F.col("embedding").alias("right_vec"), "cell", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice"))
+    q = in_cells(queries, centres, probes, "query_id").join(sizes, "cell").select("query_id", F.col("embedding").alias("left_vec"), "cell", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"))
+
+    def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        right = right.sort_values("vec_id")
+        parts = []
+        for i in range(0, len(left), BLOCK):
+            some = left.iloc[i : i + BLOCK]
+            scores = np.round(_matrix(some["left_vec"]) @ _matrix(right["right_vec"]).T, 9)
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            parts.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), best.shape[1]), "vec_id": right["vec_id"].to_numpy()[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+        return pd.concat(parts)
+
+    pairs = q.groupBy("cell", "slice").cogroup(v.groupBy("cell", "slice")).applyInPandas(product, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -78,8 +78,7 @@ def a35_rouge_l(spark, sf):
     c = table(spark, sf, "conversations")
     q = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("q"))
     pairs = q.join(c.where("role = 'assistant'"), ["conv_id", "turn"])
-    score = F.pandas_udf(lambda a, b: __import__("pandas").Series([E.rouge_l(x or "", y or "") for x, y in zip(a, b, strict=True)]), "double", F.PandasUDFType.SCALAR)
-    return pairs.select("conv_id", "turn", F.round(score("q", "text"), 6).alias("rouge_l"))
+    return E.rouge_scores(pairs.select("conv_id", "turn", F.col("q").alias("reference"), F.col("text").alias("candidate"))).select("conv_id", "turn", F.round("rouge_l", 6).alias("rouge_l"))
 
 
 @BOOK.query("SELECT page_id, length(html) AS n FROM pages WHERE html LIKE '<!DOCTYPE html>%'")

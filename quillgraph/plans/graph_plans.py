@@ -12,7 +12,7 @@ BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
 
 #: Relations: the parts of neighbouring lines of an order.
-_REL = """rel AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, arg_max(a.l_returnflag, (a.l_orderkey, a.l_linenumber)) AS relation_type
+_REL = """rel AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, arg_max(a.l_returnflag, (a.l_orderkey, a.l_linenumber, a.l_returnflag)) AS relation_type
  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
  WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
 _SEEDS = "seeds AS (SELECT p_partkey AS id FROM part WHERE p_size = 50)"
@@ -30,7 +30,7 @@ def relations(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     nxt = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
     rows = li.join(nxt, ["l_orderkey", "l_linenumber"]).where("l_partkey <> dst")
-    return rows.groupBy(F.col("l_partkey").alias("src"), "dst").agg(F.max_by("l_returnflag", F.struct("l_orderkey", "l_linenumber")).alias("relation_type"))
+    return rows.groupBy(F.col("l_partkey").alias("src"), "dst").agg(F.max_by("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_returnflag")).alias("relation_type"))
 
 
 def seeds(spark, sf):

@@ -12,7 +12,26 @@ from .kit import Book, table
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
 
-_SENT = "(VALUES ('患者否认糖尿病', '糖尿病'), ('不能排除肺炎', '肺炎'), ('父亲有高血压', '高血压'), ('如果eGFR<30则禁用二甲双胍', '二甲双胍'), ('既往冠心病病史', '冠心病'), ('诊断为肺癌', '肺癌'), ('无发热，但有咳嗽', '咳嗽'), ('未见异常', '结节'), ('无明显诱因；出现胸痛', '胸痛')) AS v(sentence, entity)"
+#: A sentence about each part, in ten forms that the rules tell apart; the same expression in both engines.
+_SENT = """(SELECT p_partkey, p_name AS entity, CASE p_size % 10 WHEN 0 THEN '患者否认' || p_name WHEN 1 THEN '不能排除' || p_name WHEN 2 THEN '父亲有' || p_name WHEN 3 THEN '如果eGFR<30则禁用' || p_name WHEN 4 THEN '既往' || p_name || '病史'
+ WHEN 5 THEN '诊断为' || p_name WHEN 6 THEN '无发热，但有' || p_name WHEN 7 THEN '未见异常' WHEN 8 THEN '无明显诱因；出现' || p_name ELSE '可能为' || p_brand || '，' || p_name END AS sentence FROM part)"""
+
+
+def _columns(select: str) -> list[str]:
+    """The expressions after the first column of a "(SELECT key, ... FROM part)" text."""
+    return _split(select[len("(SELECT ") : select.rindex(" FROM part")])[1:]
+
+
+def _split(inner: str) -> list[str]:
+    """Top-level comma parts of a select list."""
+    out, depth, quoted, at = [], 0, False, 0
+    for i, c in enumerate(inner):
+        quoted ^= c == "'"
+        depth += (c in "([") - (c in ")]") if not quoted else 0
+        if c == "," and not depth and not quoted:
+            out.append(inner[at:i].strip())
+            at = i + 1
+    return [*out, inner[at:].strip()]
 
 
 def _list(words):
@@ -32,9 +51,10 @@ def _assert_sql(src, keep, cues):
     return _ASSERT.format(src=src, keep=keep, fam=f"({_any(cues['family_history'], 'sentence')} OR {_any(cues['family_history'], 'near')})", spec=_any(cues["speculated"], "near"), neg=_any(cues["negated"], "near"), cond=f"({_any(cues['conditional'], 'near')} OR threshold AND {_any(cues['conditional'], 'sentence')})", hist=_any(cues["historical"], "near"))
 
 
-@BOOK.query(_assert_sql(_SENT, "sentence, entity", L.ASSERTION_CUES) + " FROM p")
+@BOOK.query(_assert_sql(_SENT, "p_partkey", L.ASSERTION_CUES).replace("SELECT sentence, entity, strpos", "SELECT p_partkey, sentence, entity, strpos") + " FROM p")
 def f16_assertion_rules(spark, sf):
-    return spark.sql("SELECT * FROM " + _SENT).select("sentence", "entity", P.classify_assertion(F.col("sentence"), F.col("entity"))["label"].alias("label"))
+    rows = table(spark, sf, "part").selectExpr("p_partkey", *_columns(_SENT))
+    return rows.select("p_partkey", P.classify_assertion(F.col("sentence"), F.col("entity"))["label"].alias("label"))
 
 
 _DOC_S = "(SELECT conv_id, turn, coalesce(text, '') AS sentence, regexp_extract(coalesce(text, ''), '[a-z]{6,}') AS entity FROM conversations)"
@@ -47,18 +67,24 @@ def f16_assertion_counts(spark, sf):
     return c.select(P.classify_assertion(F.col("sentence"), F.col("entity"), L.PLAIN_CUES)["label"].alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-_CLAIMS = [(1, ["ACEI"], [], ["禁用"]), (2, ["metformin"], ["eGFR<30"], ["禁用"]), (3, ["aspirin"], ["100 mg"], []), (4, ["warfarin"], ["5 mg"], ["推荐"]), (5, ["unknown"], [], []), (6, ["ARB"], [], ["改用"])]
-_EVIDENCE = [(1, 1, "e1", "ACEI 孕妇不能使用"), (2, 1, "e2", "metformin: eGFR < 30 禁用"), (3, 1, "e3", "aspirin 每次 75 mg"), (4, 1, "e4", "warfarin 5 mg 每日"), (5, 1, "e5", "nothing here"), (6, 1, "e6", "ACEI 干咳时 ARB 改用")]
-
-
-def _checked(spark):
-    claims = spark.createDataFrame(_CLAIMS, "claim_id int, entities array<string>, numbers array<string>, actions array<string>")
-    return P.check_claims(claims, spark.createDataFrame(_EVIDENCE, "claim_id int, pos int, chunk_id string, content string"))
+def _checked(spark, sf):
+    """A claim and one evidence text for each part, in six kinds."""
+    p, kind = table(spark, sf, "part"), F.col("p_size") % 6
+    none = X.no_strings()
+    pick = lambda *values: F.element_at(F.array(*values), (kind + 1).cast("int"))
+    claims = p.select(
+        F.col("p_partkey").alias("claim_id"), F.array("p_brand").alias("entities"),
+        pick(none, F.array(F.lit("eGFR<30")), F.array(F.lit("100 mg")), F.array(F.lit("5 mg")), none, none).alias("numbers"),
+        pick(F.array(F.lit("禁用")), F.array(F.lit("禁用")), none, F.array(F.lit("推荐")), none, F.array(F.lit("改用"))).alias("actions"),
+    )
+    texts = pick(F.concat("p_brand", F.lit(" 孕妇不能使用")), F.concat("p_brand", F.lit(": eGFR < 30 禁用")), F.concat("p_brand", F.lit(" 每次 75 mg")), F.concat("p_brand", F.lit("：5 mg 每日")), F.lit("nothing here"), F.concat(F.lit("ACEI 干咳时 "), "p_brand", F.lit(" 改用")))
+    evidence = p.select(F.col("p_partkey").alias("claim_id"), F.lit(1).alias("pos"), F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("chunk_id"), texts.alias("content"))
+    return P.check_claims(claims, evidence)
 
 
-@BOOK.query("SELECT * FROM (VALUES (1, 'correct', 'none', 'e1'), (2, 'correct', 'none', 'e2'), (3, 'incorrect', 'hard_fail', 'e3'), (4, 'possible_correct', 'soft_fail', 'e4'), (5, 'possible_correct', 'hard_fail', ''), (6, 'correct', 'none', 'e6')) AS v(claim_id, level, failure, chunk_id)")
+@BOOK.query("SELECT p_partkey AS claim_id, CASE p_size % 6 WHEN 2 THEN 'incorrect' WHEN 3 THEN 'possible_correct' WHEN 4 THEN 'possible_correct' ELSE 'correct' END AS level, CASE p_size % 6 WHEN 2 THEN 'hard_fail' WHEN 3 THEN 'soft_fail' WHEN 4 THEN 'hard_fail' ELSE 'none' END AS failure, CASE p_size % 6 WHEN 4 THEN '' ELSE 'e' || p_partkey END AS chunk_id FROM part")
 def f20_claim_checks(spark, sf):
-    return _checked(spark)
+    return _checked(spark, sf)
 
 
 @BOOK.query("WITH x AS (SELECT l_orderkey AS query_id, CASE l_returnflag WHEN 'A' THEN 'correct' WHEN 'N' THEN 'possible_correct' ELSE 'incorrect' END AS level FROM lineitem) SELECT query_id, count(*) AS claims_total, count(*) FILTER (WHERE level = 'correct') AS claims_supported, count(*) FILTER (WHERE level = 'possible_correct') AS claims_possible, count(*) FILTER (WHERE level = 'incorrect') AS claims_incorrect, CASE WHEN count(*) FILTER (WHERE level = 'incorrect') > 0 THEN 'retry_required' WHEN count(*) FILTER (WHERE level = 'possible_correct') > 0 THEN 'partial' ELSE 'passed' END AS status FROM x GROUP BY 1")
@@ -67,13 +93,14 @@ def a37_verification_summary(spark, sf):
     return P.verification_summary(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), level.alias("level")), "query_id")
 
 
-_ANS = "(VALUES (1, 'a [fact:f1] b [fact:f9]'), (2, '[fact:f1][fact:f2]'), (3, 'none'), (4, '')) AS v(id, answer)"
+_ANS = "(SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN p_name || ' [fact:f1] b [fact:f9]' WHEN 1 THEN '[fact:f1][fact:f2] ' || p_name WHEN 2 THEN p_brand || ' [fact:' || p_brand || ']' ELSE p_name END AS answer FROM part)"
 
 
 @BOOK.query("WITH c AS (SELECT id, list_distinct(regexp_extract_all(answer, '\\[fact:([^\\]]+)\\]', 1)) AS c FROM " + _ANS + ") SELECT id, CAST(len(c) AS INTEGER) AS cited, CAST(len(list_intersect(c, ['f1', 'f2'])) AS INTEGER) AS known, CASE WHEN len(c) > 0 AND len(list_intersect(c, ['f1', 'f2'])) = len(c) THEN 'passed' ELSE 'partial' END AS status FROM c")
 def a36_citation_coverage(spark, sf):
     c = P.citation_coverage(F.col("answer"), F.array(F.lit("f1"), F.lit("f2")))
-    return spark.sql("SELECT * FROM " + _ANS).select("id", c.alias("c")).select("id", "c.cited", "c.known", "c.status")
+    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", *_columns(_ANS))
+    return rows.select("id", c.alias("c")).select("id", "c.cited", "c.known", "c.status")
 
 
 @BOOK.query("SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text, ''), '\\d') THEN 'missing_numeric_fact' WHEN regexp_matches(coalesce(text, ''), '[A-Z][a-z]+') THEN 'missing_entity' ELSE 'missing_relation' END AS gap, CASE WHEN regexp_matches(coalesce(text, ''), '\\d') THEN 'bm25_search' WHEN regexp_matches(coalesce(text, ''), '[A-Z][a-z]+') THEN 'hybrid_search' ELSE 'cypher_traverse' END AS tool FROM conversations")

@@ -57,8 +57,7 @@ def f27_extraction_lines(spark, sf):
 
 @BOOK.query()
 def f29_vector_cache_keys(spark, sf):
-    key = F.udf(lambda v: Q.vector_cache_key(v), "string")
-    return table(spark, sf, "embeddings").select("vec_id", key("embedding").alias("cache_key"))
+    return Q.vector_cache_keys(table(spark, sf, "embeddings"), "vec_id")
 
 
 @BOOK.query()

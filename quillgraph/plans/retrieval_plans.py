@@ -33,11 +33,17 @@ def r1_vector_top_k(spark, sf):
     return _top(spark, sf, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@BOOK.query(f"WITH {_VEC} SELECT q.vec_id AS query_id, avg(round(list_cosine_similarity(q.v, x.v), 6)) AS mean_cosine FROM e q JOIN e x USING (label) WHERE q.vec_id % 20 = 0 GROUP BY 1")
+@BOOK.query(f"WITH {_VEC} SELECT q.vec_id AS query_id, round(avg(list_cosine_similarity(q.v, x.v)), 6) AS mean_cosine FROM e q JOIN e x USING (label) WHERE q.vec_id % 20 = 0 GROUP BY 1")
 def f28_cosine_within_label(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
-    return q.join(e, "label").groupBy("query_id").agg(F.avg(F.round(V.cosine(F.col("q"), F.col("embedding")), 6)).alias("mean_cosine")).select("query_id", "mean_cosine")
+    q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return V.mean_cosine(q, e, "label").select("query_id", F.round("mean_cosine", 6).alias("mean_cosine"))
+
+
+@BOOK.query()
+def idx1_indexed_top_k(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return V.indexed_top_k(_queries(spark, sf), e, 10, *V.fit_index(e)).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 _FP = "left(trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', ' ', 'g')), 520)"

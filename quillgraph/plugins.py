@@ -105,13 +105,27 @@ def relevance(df: DataFrame, query_col: str, text_col: str, plugin: ModelPlugin
     return apply_plugin(joined, plugin or OverlapScorer(), "__pair", "relevance", "double").drop("__pair")
 
 
+# What transient failures say.
+TRANSIENT_MARKS = ("504", "503", "502", "500", "429", "gateway time-out", "gateway timeout", "rate limit", "temporarily unavailable", "timed out", "timeout", "connection reset", "connection aborted", "connection error", "eof occurred", "retryable")
+
+
+def transient(error: Exception) -> bool:
+    """A status of the server's or of overload, or a message that says so."""
+    status = getattr(error, "status_code", None)
+    return (status is not None and (status in (408, 409, 429) or status >= 500)) or any(m in str(error).lower() for m in TRANSIENT_MARKS)
+
+
 class CallFailed(RuntimeError):
     """A call that was given up."""
 
 
 @dataclass
 class RetryingCall:
-    """Retries with exponential back-off and jitter, a circuit after repeated failures, a total time budget, an abort hook."""
+    """Retries of transient failures with exponential back-off and jitter, a circuit after repeated ones, a total time budget, an abort hook.
+
+    Errors that are not transient are raised as they are and count for nothing;
+    the last transient one is raised too once the retries are used up.
+    """
 
     max_retries: int = 3
     first_wait: float = 1.0
@@ -119,7 +133,7 @@ class RetryingCall:
     jitter: float = 0.2
     max_failures_in_row: int = 5
     budget: float | None = None
-    retryable: Callable[[Exception], bool] = lambda e: getattr(e, "status_code", 500) in (408, 409, 429) or getattr(e, "status_code", 500) >= 500
+    retryable: Callable[[Exception], bool] = lambda e: transient(e)
     should_abort: Callable[[], bool] = lambda: False
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
@@ -128,23 +142,30 @@ class RetryingCall:
 
     def wait(self, error: Exception, attempt: int) -> float:
         asked = getattr(error, "retry_after", None)
-        return float(asked) if asked is not None else min(self.longest_wait, self.first_wait * 2**attempt) + random.random() * self.jitter
+        if asked is None and (found := re.search(r"retry_after['\"]?\s*[:=]\s*(\d+(?:\.\d+)?)", str(error), re.IGNORECASE)):
+            asked = found[1]
+        return min(self.longest_wait, float(asked) if asked is not None else self.first_wait * 2**attempt) + random.random() * self.jitter
 
     def __call__(self, f: Callable, *args, **kwargs):
         self.started = self.clock() if self.started is None else self.started
         for attempt in range(self.max_retries + 1):
             if self.should_abort():
                 raise CallFailed("aborted")
-            if self.failures >= self.max_failures_in_row:
-                raise CallFailed("the circuit is open")
+            if self.budget is not None and self.clock() - self.started > self.budget:
+                raise CallFailed("the time budget is used up")
             try:
                 value = f(*args, **kwargs)
             except Exception as error:
+                if not self.retryable(error):
+                    raise
                 self.failures += 1
+                if self.failures >= self.max_failures_in_row:
+                    raise CallFailed(f"the circuit is open after {self.failures} failures: {error}") from error
+                if attempt == self.max_retries:
+                    raise
                 pause = self.wait(error, attempt)
-                late = self.budget is not None and self.clock() - self.started + pause > self.budget
-                if attempt == self.max_retries or late or not self.retryable(error):
-                    raise CallFailed(str(error)) from error
+                if self.budget is not None and self.clock() - self.started + pause > self.budget:
+                    raise CallFailed(f"the time budget is used up: {error}") from error
                 self.sleep(pause)
             else:
                 self.failures = 0
