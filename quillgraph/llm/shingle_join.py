@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import discard, materialize
-from .components import components
+from ..operators.components import components
 from .simhash import LOWER, by_task, representatives, similar_edges
 from .tables import set_aside, with_places
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .components import components
+from ..operators.components import components
 
 SEED = 42
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in (0x20, *range(9, 14)) else b for b in range(256))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from quillgraph.llm import decontam, langid, license_scan, mil_quality, mixing, quality_rules, sharding, simhash, surrogates, token_count
-from quillgraph.llm.components import components
+from quillgraph.operators.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, score string, size string"
 EN, DE = "the of and was in this with from the of anthe ", "der die und das nicht für schön über ein der "
