@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import entities as E
 from ..sources import readers as S
-from .kit import Book, table, texts
+from .kit import Book, made_of, table, texts
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -43,14 +43,13 @@ def src9_blocks(spark, sf):
     return C.apply_chunker(docs(spark, sf), lambda t: [{"order_index": i, "kind": b.kind, "content": b.text} for i, b in enumerate(C.blocks(t))], "order_index int, kind string, content string")
 
 
-_MD = "(VALUES (1, 'intro\n## One\na\n### Two\nb\nc'), (2, 'plain'), (3, '## Only\nx')) AS v(id, md)"
+_MD = "(SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN '## ' || source || chr(10) || coalesce(text, '') WHEN 2 THEN coalesce(text, '') || chr(10) || '### ' || lang || chr(10) || 'b' || chr(10) || 'c' ELSE 'intro' || chr(10) || '## One' || chr(10) || coalesce(text, '') || chr(10) || '# not cut' END AS md FROM documents)"
 
 
-@BOOK.query("WITH l AS (SELECT id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS i FROM " + _MD + "), h AS (SELECT *, regexp_matches(line, '^#{2,3}\\s+.+$') AS head, sum(CASE WHEN regexp_matches(line, '^#{2,3}\\s+.+$') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS s FROM l) SELECT id, coalesce(max(CASE WHEN head THEN regexp_replace(line, '^#{2,3}\\s+', '') END), '') AS title, string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i) AS content FROM h GROUP BY id, s HAVING count(*) FILTER (WHERE NOT head) > 0")
+@BOOK.query("WITH l AS (SELECT id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS i FROM " + _MD + "), h AS (SELECT *, regexp_matches(line, '^#{2,3}\\s+.+$') AS head, sum(CASE WHEN regexp_matches(line, '^#{2,3}\\s+.+$') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS s FROM l) SELECT id, coalesce(max(CASE WHEN head THEN regexp_replace(line, '^#{2,3}\\s+', '') END), '') AS title, md5(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i)) AS content_md5 FROM h GROUP BY id, s HAVING count(*) FILTER (WHERE NOT head) > 0")
 def c1_header_sections(spark, sf):
-    rows = spark.sql("SELECT id, md FROM " + _MD.replace("\n", "\\n"))
-    got = C.apply_chunker(rows, lambda t: [{"title": a, "content": b} for a, b in C.sections(t)], "title string, content string", "id", "md")
-    return got.select(F.col("doc_id").cast("int").alias("id"), "title", "content")
+    got = C.apply_chunker(made_of(spark, sf, _MD), lambda t: [{"title": a, "content": b} for a, b in C.sections(t)], "title string, content string", "id", "md")
+    return got.select(F.col("doc_id").alias("id"), "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 @BOOK.query("WITH x AS (SELECT l_orderkey, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_partkey) AS q FROM lineitem GROUP BY 1) SELECT l_orderkey, list_reduce(list_prepend(CAST(0 AS BIGINT), q), lambda a, v: CASE WHEN a + v <= 100 THEN a + v ELSE a END) AS used FROM x")
@@ -93,13 +92,12 @@ def src5_merge_tables(spark, sf):
     return S.merge_tables(rows.where("src = 'O'"), rows.where("src <> 'O'"))
 
 
-_TEX = "(VALUES (1, 'a $$x^2$$ b $$x^2$$'), (2, 'in \\(y\\) and \\[z\\]'), (3, 'none')) AS v(id, md)"
+_TEX = "(SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN p_name || ' $$x^' || p_size || '$$ b $$x^' || p_size || '$$' WHEN 1 THEN 'in (' || p_name || ') $$' || p_brand || '$$ and $$y$$' WHEN 2 THEN '$$' || chr(10) || p_name || chr(10) || '$$' ELSE p_name END AS md FROM part)"
 
 
-@BOOK.query("SELECT id, array_to_string(list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(md, '(?s)\\$\\$(.+?)\\$\\$', 1), regexp_extract_all(md, '(?s)\\\\\\[(.+?)\\\\\\]', 1)), regexp_extract_all(md, '(?s)\\\\\\((.+?)\\\\\\)', 1)))), ',') AS formulas FROM " + _TEX)
+@BOOK.query("SELECT id, array_to_string(list_sort(list_distinct(list_transform(list_concat(list_concat(regexp_extract_all(md, '(?s)\\$\\$(.+?)\\$\\$', 1), regexp_extract_all(md, '(?s)\\\\\\[(.+?)\\\\\\]', 1)), regexp_extract_all(md, '(?s)\\\\\\((.+?)\\\\\\)', 1)), lambda f: trim(f, chr(10) || ' ')))), ',') AS formulas FROM " + _TEX)
 def src7_formulas(spark, sf):
-    rows = spark.createDataFrame([(1, "a $$x^2$$ b $$x^2$$"), (2, "in \\(y\\) and \\[z\\]"), (3, "none")], "id int, md string")
-    return rows.select("id", F.array_join(F.array_sort(S.extract_formulas(F.col("md"))), ",").alias("formulas"))
+    return made_of(spark, sf, _TEX).select("id", F.array_join(F.array_sort(S.extract_formulas(F.col("md"))), ",").alias("formulas"))
 
 
 @BOOK.query("SELECT item_id, text || chr(10) || chr(10) || '## Extracted Formulas' || chr(10) || chr(10) || '$$x$$' AS md FROM benchmark")

@@ -46,3 +46,17 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def made_of(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
+    """A "(SELECT expressions FROM table)" text of the SQL twins as a DataFrame: the same rows for both engines."""
+    inner = select[len("(SELECT ") : select.rindex(" FROM ")]
+    name = select[select.rindex(" FROM ") + 6 :].rstrip(")")
+    parts, depth, quoted, at = [], 0, False, 0
+    for i, c in enumerate(inner):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            parts.append(inner[at:i])
+            at = i + 1
+    return table(spark, sf_dir, name).selectExpr(*parts, inner[at:])

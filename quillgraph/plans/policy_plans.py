@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import policy as P
-from .kit import Book, table
+from .kit import Book, made_of, table
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -17,23 +17,6 @@ _SENT = """(SELECT p_partkey, p_name AS entity, CASE p_size % 10 WHEN 0 THEN '
  WHEN 5 THEN '诊断为' || p_name WHEN 6 THEN '无发热，但有' || p_name WHEN 7 THEN '未见异常' WHEN 8 THEN '无明显诱因；出现' || p_name ELSE '可能为' || p_brand || '，' || p_name END AS sentence FROM part)"""
 
 
-def _columns(select: str) -> list[str]:
-    """The expressions after the first column of a "(SELECT key, ... FROM part)" text."""
-    return _split(select[len("(SELECT ") : select.rindex(" FROM part")])[1:]
-
-
-def _split(inner: str) -> list[str]:
-    """Top-level comma parts of a select list."""
-    out, depth, quoted, at = [], 0, False, 0
-    for i, c in enumerate(inner):
-        quoted ^= c == "'"
-        depth += (c in "([") - (c in ")]") if not quoted else 0
-        if c == "," and not depth and not quoted:
-            out.append(inner[at:i].strip())
-            at = i + 1
-    return [*out, inner[at:].strip()]
-
-
 def _list(words):
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -53,8 +36,7 @@ def _assert_sql(src, keep, cues):
 
 @BOOK.query(_assert_sql(_SENT, "p_partkey", L.ASSERTION_CUES).replace("SELECT sentence, entity, strpos", "SELECT p_partkey, sentence, entity, strpos") + " FROM p")
 def f16_assertion_rules(spark, sf):
-    rows = table(spark, sf, "part").selectExpr("p_partkey", *_columns(_SENT))
-    return rows.select("p_partkey", P.classify_assertion(F.col("sentence"), F.col("entity"))["label"].alias("label"))
+    return made_of(spark, sf, _SENT).select("p_partkey", P.classify_assertion(F.col("sentence"), F.col("entity"))["label"].alias("label"))
 
 
 _DOC_S = "(SELECT conv_id, turn, coalesce(text, '') AS sentence, regexp_extract(coalesce(text, ''), '[a-z]{6,}') AS entity FROM conversations)"
@@ -99,8 +81,7 @@ _ANS = "(SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN p_name || ' [fact:f
 @BOOK.query("WITH c AS (SELECT id, list_distinct(regexp_extract_all(answer, '\\[fact:([^\\]]+)\\]', 1)) AS c FROM " + _ANS + ") SELECT id, CAST(len(c) AS INTEGER) AS cited, CAST(len(list_intersect(c, ['f1', 'f2'])) AS INTEGER) AS known, CASE WHEN len(c) > 0 AND len(list_intersect(c, ['f1', 'f2'])) = len(c) THEN 'passed' ELSE 'partial' END AS status FROM c")
 def a36_citation_coverage(spark, sf):
     c = P.citation_coverage(F.col("answer"), F.array(F.lit("f1"), F.lit("f2")))
-    rows = table(spark, sf, "part").selectExpr("p_partkey AS id", *_columns(_ANS))
-    return rows.select("id", c.alias("c")).select("id", "c.cited", "c.known", "c.status")
+    return made_of(spark, sf, _ANS).select("id", c.alias("c")).select("id", "c.cited", "c.known", "c.status")
 
 
 @BOOK.query("SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text, ''), '\\d') THEN 'missing_numeric_fact' WHEN regexp_matches(coalesce(text, ''), '[A-Z][a-z]+') THEN 'missing_entity' ELSE 'missing_relation' END AS gap, CASE WHEN regexp_matches(coalesce(text, ''), '\\d') THEN 'bm25_search' WHEN regexp_matches(coalesce(text, ''), '[A-Z][a-z]+') THEN 'hybrid_search' ELSE 'cypher_traverse' END AS tool FROM conversations")

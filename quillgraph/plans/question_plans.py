@@ -11,19 +11,19 @@ from ..operators import questions as Q
 from ..operators import vectors as V
 from ..storage import materialize
 from .graph_plans import mentions, phrases, relations, seeds
-from .kit import Book, table
+from .kit import Book, made_of, table
 from .retrieval_plans import channels
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
 
-_Q = "(VALUES (1, 'eGFR小于30时二甲双胍禁用吗'), (2, 'PCI术后 DAPT 持续多久'), (3, 'ACEI 和 ARB 的区别'), (4, 'aspirin 100 mg'), (5, '')) AS v(id, q)"
+_Q = "(SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'eGFR小于30时' || p_name || '禁用吗' WHEN 1 THEN 'PCI术后 ' || p_brand || ' 持续多久' WHEN 2 THEN 'ACEI 和 ' || p_name || ' 的区别' WHEN 3 THEN p_name || ' ' || p_size || ' mg' WHEN 4 THEN p_name || ' >= ' || p_size || ' 或改用' ELSE '' END AS q FROM part)"
 
 
 @BOOK.query("SELECT id, CASE WHEN regexp_matches(q, '禁忌|禁用|不能用|不宜') THEN '禁忌' WHEN regexp_matches(q, '首选|推荐|应该用|选择') THEN '推荐' WHEN regexp_matches(q, '替代|改用|换用|过敏') THEN '替代' WHEN regexp_matches(q, '疗程|持续|多久|多长') THEN '疗程' WHEN regexp_matches(q, '剂量|目标剂量|滴定|多少mg') THEN '剂量' WHEN regexp_matches(q, '副作用|不良反应|导致|引起') THEN '副作用' WHEN regexp_matches(q, '比较|优势|劣势|区别|差异') THEN '比较' ELSE '' END AS intent, CAST(len(regexp_extract_all(q, '(?:[<>≤≥]=?\\s*\\d+(?:\\.\\d+)?)|(?:\\d+(?:\\.\\d+)?\\s*(?:mg|ml|mmol|pg|g/L|%|次|分|期|级))')) AS INTEGER) AS n_constraints FROM " + _Q)
 def f13_question_structure(spark, sf):
     s = Q.question_structure(F.col("q"))
-    return spark.sql("SELECT * FROM " + _Q).select("id", s.alias("s")).select("id", "s.intent", F.size("s.constraints").alias("n_constraints"))
+    return made_of(spark, sf, _Q).select("id", s.alias("s")).select("id", "s.intent", F.size("s.constraints").alias("n_constraints"))
 
 
 @BOOK.query()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import filters, tfidf
-from .kit import Book, table, texts
+from .kit import Book, made_of, table, texts
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -77,13 +77,12 @@ def k3_name_signatures(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.name_normal(F.col("p_name")).alias("name_normal"), X.alias_signature(F.col("p_brand")).alias("signature"), X.abbreviation(F.col("p_name")).alias("abbreviation"))
 
 
-_ALIASES = "(VALUES ('HT', 'high tension'), ('高血压', 'hypertension'), ('BP', 'blood pressure'), ('阿司匹林', '阿司匹林片'), ('aspirin', '阿司匹林'), ('X1', 'large ring')) AS v(alias, name)"
+_ALIASES = "(SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN upper(left(p_name, 1)) || upper(left(split_part(p_name, ' ', 2), 1)) WHEN 1 THEN '高血压' WHEN 2 THEN p_name WHEN 3 THEN p_brand ELSE '阿司匹林' || p_partkey END AS alias, CASE WHEN p_partkey % 3 = 0 THEN '阿司匹林片' ELSE p_name END AS name FROM part)"
 
 
-@BOOK.query("SELECT alias, name, abbr, NOT abbr AND cjk_a <> cjk_n AND lat_a <> lat_n AS cross_language FROM (SELECT alias, name, regexp_matches(trim(alias), '^[A-Za-z0-9]{2,10}$') AND len(regexp_extract_all(name, '[A-Za-z0-9]+')) >= 2 AND lower(trim(alias)) = lower(array_to_string(list_transform(regexp_extract_all(name, '[A-Za-z0-9]+'), lambda w: left(w, 1)), '')) AS abbr, regexp_matches(alias, '[一-鿿]') AS cjk_a, regexp_matches(name, '[一-鿿]') AS cjk_n, regexp_matches(alias, '[A-Za-z]') AS lat_a, regexp_matches(name, '[A-Za-z]') AS lat_n FROM " + _ALIASES + ")")
+@BOOK.query("SELECT p_partkey, abbr, NOT abbr AND cjk_a <> cjk_n AND lat_a <> lat_n AS cross_language FROM (SELECT p_partkey, regexp_matches(trim(alias), '^[A-Za-z0-9]{2,10}$') AND len(regexp_extract_all(name, '[A-Za-z0-9]+')) >= 2 AND lower(trim(alias)) = lower(array_to_string(list_transform(regexp_extract_all(name, '[A-Za-z0-9]+'), lambda w: left(w, 1)), '')) AS abbr, regexp_matches(alias, '[一-鿿]') AS cjk_a, regexp_matches(name, '[一-鿿]') AS cjk_n, regexp_matches(alias, '[A-Za-z]') AS lat_a, regexp_matches(name, '[A-Za-z]') AS lat_n FROM " + _ALIASES + ")")
 def k4_alias_scripts(spark, sf):
-    rows = spark.sql("SELECT * FROM " + _ALIASES)
-    return rows.select("alias", "name", X.abbreviation_alias(F.col("alias"), F.col("name")).alias("abbr"), X.cross_language_alias(F.col("alias"), F.col("name")).alias("cross_language"))
+    return made_of(spark, sf, _ALIASES).select("p_partkey", X.abbreviation_alias(F.col("alias"), F.col("name")).alias("abbr"), X.cross_language_alias(F.col("alias"), F.col("name")).alias("cross_language"))
 
 
 @BOOK.query(f"SELECT p_partkey, len(list_distinct(list_transform(list_filter([trim(p_name), {_SIG.format('p_name')}, trim(p_brand), {_SIG.format('p_brand')}], lambda x: length(x) >= 2), lambda x: lower(x)))) AS n_forms FROM part")
@@ -161,14 +160,14 @@ def flt5_negation_scope(spark, sf):
     return docs(spark, sf).select("doc_id", filters.negated(F.col("text"), "the", ("of ", "by ")).alias("negated"))
 
 
-_CAND = "(VALUES ('- aspirin ->'), ('(metformin)'), ('-->'), ('剂量'), ('  eGFR，'), ('a'), ('12.5'), ('>>'), ('* list item'), ('aaaa'), ('beta blocker')) AS v(raw)"
+_CAND = "(SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN '- ' || p_name || ' ->' WHEN 1 THEN '(' || p_name || ')' WHEN 2 THEN '-->' WHEN 3 THEN '剂量' WHEN 4 THEN '  ' || p_name || '，' WHEN 5 THEN 'a' WHEN 6 THEN p_size || '.5' WHEN 7 THEN '>>' WHEN 8 THEN '* ' || p_name WHEN 9 THEN '--' || p_brand ELSE p_name || '  ' || p_brand END AS raw FROM part)"
 
 
-@BOOK.query("SELECT raw, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$', '', 'g'), '^(?:[-*•]+|[—–]+|>)+\\s*', ''), '\\s*(?:[-*•]+|[—–]+|>)+$', ''), '^(?:--+|[-=]+>)\\s*', ''), '\\s*(?:--+|[-=]+>)$', ''), '^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$', '', 'g') AS cleaned, trim(raw) = '' OR lower(trim(raw)) IN ('-', '--', '->', '-->') OR raw LIKE '--%' OR raw LIKE '->%' OR raw LIKE '- %' OR raw LIKE '%--' OR raw LIKE '%->' OR raw LIKE '% -' OR regexp_full_match(raw, '[-*•>\\s]+') OR regexp_replace(raw, '\\s+', '', 'g') IN ('不良反应', '处理措施', '替代方案', '关键事实', '优势', '剂量', '起效时间', '持续时间', '推荐治疗') AS noisy FROM " + _CAND)
+@BOOK.query("SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$', '', 'g'), '^(?:[-*•]+|[—–]+|>)+\\s*', ''), '\\s*(?:[-*•]+|[—–]+|>)+$', ''), '^(?:--+|[-=]+>)\\s*', ''), '\\s*(?:--+|[-=]+>)$', ''), '^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$', '', 'g') AS cleaned, trim(raw) = '' OR lower(trim(raw)) IN ('-', '--', '->', '-->') OR raw LIKE '--%' OR raw LIKE '->%' OR raw LIKE '- %' OR raw LIKE '%--' OR raw LIKE '%->' OR raw LIKE '% -' OR regexp_full_match(raw, '[-*•>\\s]+') OR regexp_replace(raw, '\\s+', '', 'g') IN ('不良反应', '处理措施', '替代方案', '关键事实', '优势', '剂量', '起效时间', '持续时间', '推荐治疗') AS noisy FROM " + _CAND)
 def flt6_candidate_noise(spark, sf):
     r = F.col("raw")
     noisy = (X.name_normal(r) == "") | X.name_normal(r).isin("-", "--", "->", "-->") | r.rlike("^(?:--|->|- )") | r.rlike("(?:--|->| -)$") | r.rlike("^[-*•>\\s]+$") | F.regexp_replace(r, "\\s+", "").isin("不良反应", "处理措施", "替代方案", "关键事实", "优势", "剂量", "起效时间", "持续时间", "推荐治疗")
-    return spark.sql("SELECT * FROM " + _CAND).select("raw", filters.strip_noise(r).alias("cleaned"), noisy.alias("noisy"))
+    return made_of(spark, sf, _CAND).select("p_partkey", filters.strip_noise(r).alias("cleaned"), noisy.alias("noisy"))
 
 
 @BOOK.query(f"SELECT p_partkey, length(t) BETWEEN 2 AND 40 AND NOT regexp_full_match(t, '[0-9]+(\\.[0-9]+)?') AND len(list_distinct(string_split(t, ''))) > 1 AS valid FROM (SELECT p_partkey, trim(p_name) AS t FROM part)")
@@ -285,7 +284,7 @@ def c6_fixed_windows(spark, sf):
     return docs(spark, sf).select("doc_id", F.posexplode(X.fixed_windows(F.col("text"), 1000, 200)).alias("piece", "content")).select("doc_id", F.col("piece").cast("long").alias("piece"), "content")
 
 
-_FACTS = "(VALUES ('eGFR ≥ 30 mL/min, 每日2次'), ('剂量 5.0 mg 每周三次'), ('发生率 15％'), ('3次/周 且 <120'), ('12 个月'), ('10ug'), ('')) AS v(t)"
+_FACTS = "(SELECT CASE p_partkey % 7 WHEN 0 THEN 'eGFR ≥ ' || p_size || ' mL/min, 每日2次' WHEN 1 THEN '剂量 5.0 mg 每周三次: ' || p_name WHEN 2 THEN '发生率 ' || p_size || '％' WHEN 3 THEN '3次/周 且 <' || p_size WHEN 4 THEN p_size || ' 个月' WHEN 5 THEN p_size || 'ug' ELSE p_name END AS t FROM part)"
 
 
 @BOOK.query("""WITH n AS (SELECT t, regexp_replace(replace(replace(translate(replace(lower(t), 'ß', 'ss'), '（），％–—－', '(),%---'), '≤', '<='), '≥', '>='), '\\s+', '', 'g') AS x FROM """ + _FACTS + """),
@@ -299,4 +298,4 @@ k AS (SELECT t, unnest(list_concat(
 )) AS k FROM n)
 SELECT DISTINCT t, regexp_replace(replace(replace(replace(k, ':三:', ':3:'), ':二:', ':2:'), '5.0', '5'), '\\.0$', '') AS fact FROM k""")
 def f19_quantitative_facts(spark, sf):
-    return spark.sql("SELECT * FROM " + _FACTS).select("t", F.explode(X.quantitative_facts(F.col("t"))).alias("fact"))
+    return made_of(spark, sf, _FACTS).distinct().select("t", F.explode(X.quantitative_facts(F.col("t"))).alias("fact"))

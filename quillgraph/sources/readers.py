@@ -69,7 +69,7 @@ def merge_tables(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 def extract_formulas(markdown):
     """SRC7: LaTeX between $$, \\[ \\] and \\( \\), distinct."""
     found = [F.regexp_extract_all(markdown, F.lit(p), F.lit(1)) for p in ("(?s)\\$\\$(.+?)\\$\\$", "(?s)\\\\\\[(.+?)\\\\\\]", "(?s)\\\\\\((.+?)\\\\\\)")]
-    return F.array_distinct(F.transform(F.concat(*found), lambda x: F.trim(x)))
+    return F.array_distinct(F.transform(F.concat(*found), lambda x: F.btrim(x, F.lit(" \t\n\r"))))
 
 
 def augment_markdown(markdown, tables, formulas):
