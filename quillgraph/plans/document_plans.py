@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import entities as E
 from ..sources import readers as S
+from ..operators import control as C_
 from .kit import Book, made_of, table, texts
 
 BOOK = Book()
@@ -55,8 +56,18 @@ def c1_header_sections(spark, sf):
 @BOOK.query("WITH x AS (SELECT l_orderkey, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_partkey) AS q FROM lineitem GROUP BY 1) SELECT l_orderkey, list_reduce(list_prepend(CAST(0 AS BIGINT), q), lambda a, v: CASE WHEN a + v <= 100 THEN a + v ELSE a END) AS used FROM x")
 def w9_greedy_budget(spark, sf):
     x = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q")))).alias("s"))
-    used = F.aggregate("s", F.lit(0).cast("long"), lambda a, v: F.when(a + v["q"] <= 100, a + v["q"]).otherwise(a))
-    return x.select("l_orderkey", used.alias("used"))
+    return x.select("l_orderkey", C_.greedy_total(F.transform("s", lambda v: v["q"]), 100).alias("used"))
+
+
+@BOOK.query()
+def w9_prompt_selection(spark, sf):
+    from .retrieval_plans import _top
+
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    results = _top(spark, sf, 20).withColumnRenamed("vec_id", "chunk_id").join(d, "chunk_id")
+    asked = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+    anchors = asked.select("query_id", F.array(F.lit("the"), F.lit("der"), F.lit("license")).alias("phrases"), F.array(F.lit("token")).alias("strong"))
+    return C_.select_for_prompt(results, anchors, 5, 8000)
 
 
 @BOOK.query()

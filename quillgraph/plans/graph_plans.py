@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import graph as G
+from ..operators import control as C_
 from .kit import Book, table
 
 BOOK = Book()
@@ -99,26 +100,31 @@ def j12_collect_passages(spark, sf):
     return G.collect_passages(phrases(spark, sf).where("p_size = 50"), mentions(spark, sf))
 
 
-@BOOK.query("""WITH s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([。！？.!?；;])\\s*|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents),
-w AS (SELECT *, row_number() OVER (PARTITION BY doc_id) AS i FROM s), p(a, b) AS (VALUES ('the', 'of'), ('and', 'was'), ('der', 'und'))
-SELECT a AS source, b AS target, count(DISTINCT doc_id) AS n_passages FROM s, p WHERE contains(lower(s), a) AND contains(lower(s), b) GROUP BY ALL""")
+@BOOK.query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([。！？!?；;\\n])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM l), p(a, b) AS (VALUES ('the', 'of'), ('and', 'was'), ('der', 'und'))
+SELECT a AS source, 'CO_OCCURS_WITH' AS relation, b AS target, doc_id AS passage_id, md5(arg_min(s, i)) AS evidence_md5 FROM s, p WHERE contains(replace(lower(s), 'ß', 'ss'), a) AND contains(replace(lower(s), 'ß', 'ss'), b) AND (contains(lower(s), 'the') OR contains(lower(s), 'ge')) GROUP BY ALL""")
 def j11_weak_triplets(spark, sf):
     pairs = spark.createDataFrame([("the", "of"), ("and", "was"), ("der", "und")], "source string, target string")
-    s = table(spark, sf, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s")).withColumn("low", F.lower("s"))
-    hit = s.join(F.broadcast(pairs), F.contains("low", F.col("source")) & F.contains("low", F.col("target")))
-    return hit.groupBy("source", "target").agg(F.count_distinct("doc_id").alias("n_passages"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    asked = d.select("passage_id").join(F.broadcast(pairs), F.lit(True))
+    found = C_.weak_triplets(d, asked, "CO_OCCURS_WITH", intents=("the", "ge"))
+    return found.select("source", "relation", "target", "passage_id", F.md5(F.btrim("evidence", F.lit(" \n")).cast("binary")).alias("evidence_md5"))
 
 
+_WORD = "len(regexp_extract_all(' ' || regexp_replace({0}, '([^0-9A-Za-z_])', '\\1\\1', 'g') || ' ', '(?i)(?:^|[^0-9A-Za-z_])' || {1} || '(?:[^0-9A-Za-z_]|$)')) > 0"
 
 
-
-@BOOK.query("WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?；;])\\s*|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS s FROM d), e(entity) AS (VALUES ('license'), ('the'), ('token')), m AS (SELECT DISTINCT doc_id, s, entity FROM s JOIN e ON contains(lower(s), entity)) SELECT a.entity AS source, b.entity AS target, count(*) AS n FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.s = b.s AND a.entity <> b.entity GROUP BY ALL")
+@BOOK.query(f"""WITH s AS (SELECT DISTINCT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([。！？.!?；;])\\s*|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents),
+t AS (SELECT doc_id, s, CASE WHEN regexp_matches(s, '(license|token)') THEN 'mentions' WHEN regexp_matches(s, '(the|der)') THEN 'names' END AS relation_type FROM s), e(entity, entity_type) AS (VALUES ('of', 'Drug'), ('and', 'Disease'), ('und', 'Drug'), ('is', 'Test')),
+m AS (SELECT doc_id, s, relation_type, entity, entity_type FROM t JOIN e ON {_WORD.format('s', 'entity')} WHERE relation_type IS NOT NULL)
+SELECT source, relation_type, target, count(*) AS n FROM (SELECT DISTINCT a.doc_id, a.entity AS source, a.relation_type, b.entity AS target FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.s = b.s AND a.entity <> b.entity WHERE a.relation_type <> 'mentions' OR b.entity_type = 'Drug') GROUP BY ALL""")
 def j16_sentence_pairs(spark, sf):
-    e = spark.createDataFrame([("license",), ("the",), ("token",)], "entity string")
-    s = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(X.sentences(F.col("text")))).alias("s"))
-    m = s.join(F.broadcast(e), F.contains(F.lower("s"), F.col("entity"))).groupBy("doc_id", "s").agg(F.collect_set("entity").alias("es"))
-    pairs = m.where(F.size("es") > 1).select(F.explode("es").alias("source"), "es").select("source", F.explode("es").alias("target")).where("source <> target")
-    return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    e = spark.createDataFrame([("of", "Drug"), ("and", "Disease"), ("und", "Drug"), ("is", "Test")], "name string, entity_type string")
+    d = table(spark, sf, "documents")
+    s = d.select(F.col("doc_id").alias("chunk"), F.explode(F.array_distinct(X.sentences(F.col("text")))).alias("sentence"))
+    held = d.select(F.col("doc_id").alias("chunk")).join(F.broadcast(e), F.lit(True))  # here every document has the same four entities
+    found = C_.sentence_relations(s, held, (("mentions", "(license|token)"), ("names", "(the|der)")), ("mentions",))
+    return found.groupBy("source", "relation_type", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @BOOK.query("SELECT s.s_suppkey, count(*) AS n FROM supplier s JOIN lineitem l ON l.l_suppkey = s.s_suppkey WHERE EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND contains(p.p_name, 'ring')) GROUP BY 1")
@@ -164,10 +170,9 @@ def a9_personalised_pagerank(spark, sf):
 
 @BOOK.query("SELECT l_suppkey AS entity_id, round(max(p_retailprice / (SELECT max(p_retailprice) FROM part)), 6) AS score FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def a10_entity_rank_projection(spark, sf):
-    p = table(spark, sf, "part")
-    top = p.agg(F.max("p_retailprice").alias("top"))
-    rows = table(spark, sf, "lineitem").join(p, F.expr("p_partkey = l_partkey")).join(F.broadcast(top), F.lit(True))
-    return rows.groupBy(F.col("l_suppkey").alias("entity_id")).agg(F.round(F.max(F.col("p_retailprice") / F.col("top")), 6).alias("score"))
+    ranks = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("rank"))
+    rows = C_.project_rank(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("entity_id"), "l_partkey"), ranks, "entity_id", "l_partkey")
+    return rows.select("entity_id", F.round("score", 6).alias("score"))
 
 
 _SKEL = "x AS (SELECT p_partkey AS id, p_brand, 0.65 * p_retailprice / (SELECT max(p_retailprice) FROM part) + 0.35 * greatest(p_size / (SELECT CAST(max(p_size) AS DOUBLE) FROM part), CASE WHEN p_type = 'LARGE' THEN 1.0 ELSE 0.0 END) AS s FROM part)"

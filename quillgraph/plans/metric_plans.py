@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import metrics as M
+from ..operators import control as C_
 from .kit import Book, table
 
 BOOK = Book()
@@ -30,12 +31,13 @@ def a12_document_type(spark, sf):
 @BOOK.query("SELECT p_name AS entity, p_brand AS alias, count(DISTINCT l_orderkey) AS n_chunks FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL HAVING count(DISTINCT l_orderkey) >= 2")
 def a14_promoted_aliases(spark, sf):
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.expr("p_partkey = l_partkey"))
-    return rows.groupBy(F.col("p_name").alias("entity"), F.col("p_brand").alias("alias")).agg(F.count_distinct("l_orderkey").alias("n_chunks")).where("n_chunks >= 2")
+    return C_.promoted_aliases(rows.select(F.col("p_name").alias("entity"), F.col("p_brand").alias("alias"), F.col("l_orderkey").alias("chunk")))
 
 
 @BOOK.query("SELECT l_orderkey AS chunk, l_suppkey AS phrase, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS sources, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def a15_candidate_merge(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("chunk"), F.col("l_suppkey").alias("phrase")).agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("sources"), F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), F.col("l_suppkey").alias("phrase"), F.col("l_returnflag").alias("source"))
+    return C_.merge_candidates(rows).withColumn("sources", F.array_join("sources", ","))
 
 
 @BOOK.query("SELECT user_id, CAST(len(s) AS INTEGER) AS n, round(list_reduce(s, lambda a, x: (a + x) / 2), 6) AS running_mean FROM (SELECT user_id, list(value ORDER BY event_id) AS s FROM events GROUP BY 1)")
@@ -73,9 +75,8 @@ def a21_status_distribution(spark, sf):
 
 @BOOK.query("WITH x AS (SELECT d.doc_id, contains(lower(text), 'license') AS found, l.quality = 0 AS expected FROM documents d JOIN labels l USING (doc_id)) SELECT count(*) FILTER (WHERE found AND expected) AS tp, count(*) FILTER (WHERE found AND NOT expected) AS fp, count(*) FILTER (WHERE NOT found AND NOT expected) AS tn, count(*) FILTER (WHERE NOT found AND expected) AS fn FROM x")
 def a22_entity_scoring(spark, sf):
-    x = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.contains(F.lower("text"), F.lit("license")).alias("f"), (F.col("quality") == 0).alias("e"))
-    f, e = F.col("f"), F.col("e")
-    return x.agg(F.count_if(f & e).alias("tp"), F.count_if(f & ~e).alias("fp"), F.count_if(~f & ~e).alias("tn"), F.count_if(~f & e).alias("fn"))
+    x = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return C_.detection_counts(x, F.contains(F.lower("text"), F.lit("license")), F.col("quality") == 0)
 
 
 @BOOK.query("WITH r AS (SELECT avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) AS graph_rate, avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0 END) AS base_rate FROM lineitem) SELECT round(graph_rate, 6) AS graph_rate, round(base_rate, 6) AS base_rate, round(base_rate - graph_rate, 6) AS absolute, round(CASE WHEN base_rate = 0 THEN 0 ELSE (base_rate - graph_rate) / base_rate END, 6) AS relative FROM r")
@@ -117,9 +118,8 @@ def a28_trace_evaluation(spark, sf):
 
 @BOOK.query("WITH t AS (SELECT event_type, count(*) AS n, avg(value) AS mean_value FROM events GROUP BY 1) SELECT event_type, n, round(mean_value, 4) AS mean_value, round(n / (SELECT sum(n) FROM t), 6) AS share, CASE WHEN n / (SELECT sum(n) FROM t) > 0.3 THEN 'raise cache' WHEN n / (SELECT sum(n) FROM t) < 0.05 THEN 'drop tool' ELSE 'keep' END AS advice FROM t")
 def a29_query_monitor(spark, sf):
-    t = events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"))
-    t = t.join(F.broadcast(t.agg(F.sum("n").alias("total"))), F.lit(True)).withColumn("s", F.col("n") / F.col("total"))
-    return t.select("event_type", "n", F.round("m", 4).alias("mean_value"), F.round("s", 6).alias("share"), F.when(F.col("s") > 0.3, "raise cache").when(F.col("s") < 0.05, "drop tool").otherwise("keep").alias("advice"))
+    t = C_.monitor(events(spark, sf), "event_type", "value")
+    return t.select("event_type", "n", F.round("mean_value", 4).alias("mean_value"), F.round("share", 6).alias("share"), "advice")
 
 
 @BOOK.query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE CASE WHEN event_type = 'error' THEN 500 ELSE 200 END >= 400) AS errors, round(avg(value), 4) AS mean_ms, max(value) AS max_ms FROM events GROUP BY 1")
@@ -189,49 +189,49 @@ def w16_copies(spark, sf):
 @BOOK.query("SELECT a.l_orderkey AS a, list_has_any(list_distinct(list(l_suppkey)), [1, 5, 9]) AS overlaps FROM lineitem a GROUP BY 1")
 def s3_signature_overlap(spark, sf):
     want = F.array(*(F.lit(x).cast("long") for x in (1, 5, 9)))
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("a")).agg(F.arrays_overlap(F.collect_set("l_suppkey"), want).alias("overlaps"))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("a")).agg(C_.overlaps(F.collect_set("l_suppkey"), want).alias("overlaps"))
 
 
 @BOOK.query("WITH x AS (SELECT l_orderkey, list_distinct(list(l_suppkey) FILTER (WHERE l_returnflag = 'R')) AS cited, list_distinct(list(l_suppkey) FILTER (WHERE l_linestatus = 'O')) AS allowed FROM lineitem GROUP BY 1) SELECT l_orderkey, coalesce(len(list_intersect(cited, allowed)), 0) AS known, len(coalesce(cited, [])) - coalesce(len(list_intersect(cited, allowed)), 0) AS unknown FROM x")
 def s4_citation_sets(spark, sf):
     x = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("c"), F.collect_set(F.when(F.col("l_linestatus") == "O", F.col("l_suppkey"))).alias("a"))
-    return x.select("l_orderkey", F.size(F.array_intersect("c", "a")).cast("long").alias("known"), F.size(F.array_except("c", "a")).cast("long").alias("unknown"))
+    x = x.select("l_orderkey", C_.citation_sets(F.col("c"), F.col("a")).alias("s"))
+    return x.select("l_orderkey", F.size("s.known").cast("long").alias("known"), F.size("s.unknown").cast("long").alias("unknown"))
 
 
 @BOOK.query("WITH x AS (SELECT l_orderkey, list_distinct(list(l_suppkey) FILTER (WHERE l_returnflag = 'R')) AS c, list_distinct(list(l_suppkey) FILTER (WHERE l_linestatus = 'O')) AS a FROM lineitem GROUP BY 1) SELECT l_orderkey, list_has_all(coalesce(a, []), coalesce(c, [])) AS subset FROM x")
 def s5_subset_test(spark, sf):
     x = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("c"), F.collect_set(F.when(F.col("l_linestatus") == "O", F.col("l_suppkey"))).alias("a"))
-    return x.select("l_orderkey", (F.size(F.array_except("c", "a")) == 0).alias("subset"))
+    return x.select("l_orderkey", C_.is_subset(F.col("c"), F.col("a")).alias("subset"))
 
 
 @BOOK.query("SELECT p_brand, p_type, min(p_partkey) AS first_id FROM part GROUP BY ALL")
 def s6_first_of_bag(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("first_id"))
+    rows = table(spark, sf, "part").select("p_brand", "p_type", F.col("p_partkey").alias("first_id"))
+    return C_.first_of_bag(rows, ["p_brand", "p_type"], "first_id")
 
 
 @BOOK.query("SELECT user_id, array_to_string(list_sort(list_filter(['click', 'view', 'search'], lambda s: list_contains(t, s))), ',') AS reused, array_to_string(list_sort(list_filter(['click', 'view', 'search'], lambda s: NOT list_contains(t, s))), ',') AS executed FROM (SELECT user_id, list_distinct(list(event_type)) AS t FROM events GROUP BY 1)")
 def s7_channel_cache_plan(spark, sf):
     asked = F.array(F.lit("click"), F.lit("view"), F.lit("search"))
-    g = events(spark, sf).groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
-    return g.select("user_id", F.array_join(F.sort_array(F.array_intersect(asked, "t")), ",").alias("reused"), F.array_join(F.sort_array(F.array_except(asked, "t")), ",").alias("executed"))
+    g = events(spark, sf).groupBy("user_id").agg(C_.cache_plan(asked, F.collect_set("event_type")).alias("p"))
+    return g.select("user_id", F.array_join("p.reused", ",").alias("reused"), F.array_join("p.executed", ",").alias("executed"))
 
 
 @BOOK.query("SELECT event_id, n <= 5 AS within_calls, total <= 300 AS within_time FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS total FROM events)")
 def flt17_budgets(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return events(spark, sf).select("event_id", (F.row_number().over(w) <= 5).alias("within_calls"), (F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6) <= 300).alias("within_time"))
+    return C_.within_budgets(events(spark, sf), "user_id", "event_id", "value", 5, 300).select("event_id", "within_calls", "within_time")
 
 
 @BOOK.query("SELECT event_id, coalesce(event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), false) AS blocked FROM events")
 def flt16_repeated_retry(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return events(spark, sf).select("event_id", F.coalesce(F.col("event_type") == F.lag("event_type").over(w), F.lit(False)).alias("blocked"))
+    return C_.repeated_retry(events(spark, sf), "user_id", "event_id", "event_type").select("event_id", "blocked")
 
 
 @BOOK.query("SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-01 06:00:00' AND ts < TIMESTAMP '2024-01-02 00:00:00' AND event_type = 'view' ORDER BY ts DESC, event_id LIMIT 50")
 def flt19_temporal_filter(spark, sf):
-    rows = events(spark, sf).where("ts >= timestamp_ntz'2024-01-01 06:00:00' and ts < timestamp_ntz'2024-01-02 00:00:00' and event_type = 'view'")
-    return rows.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "event_type")
+    start, end = F.expr("timestamp_ntz'2024-01-01 06:00:00'"), F.expr("timestamp_ntz'2024-01-02 00:00:00'")
+    return C_.temporal_filter(events(spark, sf), "ts", start, end, F.col("event_type") == "view", 50, "event_id").select("event_id", "event_type")
 
 
 @BOOK.query("SELECT event_id, year(ts) AS y, contains(props, '2024') OR regexp_matches(props, '\\b\\d{4}\\b') AS dated FROM events")

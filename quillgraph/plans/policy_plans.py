@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import policy as P
+from ..operators import control as C_
 from .kit import Book, made_of, table
 
 BOOK = Book()
@@ -144,33 +145,31 @@ def gen4_follow_up_context(spark, sf):
 
 @BOOK.query("SELECT p_partkey, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'band') THEN p_name || CASE WHEN contains(p_name, 'ring') THEN '' ELSE ' ring' END || CASE WHEN contains(p_name, 'band') THEN '' ELSE ' band' END ELSE p_name END AS expanded FROM part")
 def gen5_alias_expansion(spark, sf):
-    group = F.array(F.lit("ring"), F.lit("band"))
-    hit = F.exists(group, lambda a: F.contains("p_name", a))
-    missing = F.filter(group, lambda a: ~F.contains("p_name", a))
-    return table(spark, sf, "part").select("p_partkey", F.when(hit & (F.size(missing) > 0), F.concat_ws(" ", "p_name", F.array_join(missing, " "))).otherwise(F.col("p_name")).alias("expanded"))
+    return table(spark, sf, "part").select("p_partkey", C_.expand_aliases(F.col("p_name"), ("ring", "band")).alias("expanded"))
 
 
 @BOOK.query("SELECT l_orderkey, array_to_string(list_slice(list(l_returnflag || '-' || l_suppkey ORDER BY l_linenumber, l_returnflag || '-' || l_suppkey), 1, 8), '; ') AS prefix FROM lineitem GROUP BY 1")
 def gen1_context_prefix(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat_ws("-", "l_returnflag", "l_suppkey").alias("t")))).alias("p"))
-    return rows.select("l_orderkey", F.array_join(F.slice(F.transform("p", lambda x: x["t"]), 1, 8), "; ").alias("prefix"))
+    rows = C_.ordered_join(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", F.concat_ws("-", "l_returnflag", "l_suppkey"), "; ", 8)
+    return rows.withColumnRenamed("text", "prefix")
 
 
 @BOOK.query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations GROUP BY 1")
 def gen3_messages(spark, sf):
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("t")))).alias("m"))
-    return rows.select("conv_id", F.array_join(F.transform("m", lambda x: x["t"]), "\n").alias("messages"))
+    rows = C_.ordered_join(table(spark, sf, "conversations"), "conv_id", "turn", F.concat_ws(": ", "role", "text"), "\n")
+    return rows.withColumnRenamed("text", "messages")
 
 
 @BOOK.query("SELECT event_id, event_type AS mode, CASE WHEN event_type = 'view' THEN 0 WHEN event_type = 'click' THEN 1 WHEN event_type = 'purchase' THEN 2 ELSE 3 END AS priority FROM events")
 def x5_channel_priority(spark, sf):
-    place = F.create_map(*(F.lit(x) for i, c in enumerate(("view", "click", "purchase")) for x in (c, i)))
-    return table(spark, sf, "events").select("event_id", F.col("event_type").alias("mode"), F.coalesce(F.try_element_at(place, F.col("event_type")), F.lit(3)).alias("priority"))
+    place = C_.channel_priority(F.col("event_type"), ("view", "click", "purchase"))
+    return table(spark, sf, "events").select("event_id", F.col("event_type").alias("mode"), place.alias("priority"))
 
 
 @BOOK.query("SELECT conv_id, turn, 'simple' AS query_type, 0.5 AS confidence, 'vector_search' AS suggested_tool FROM conversations WHERE role = 'user'")
 def x8_router(spark, sf):
-    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.lit("simple").alias("query_type"), F.lit(0.5).alias("confidence"), F.lit("vector_search").alias("suggested_tool"))
+    asked = table(spark, sf, "conversations").where("role = 'user'")
+    return C_.route(asked).select("conv_id", "turn", "query_type", "confidence", "suggested_tool")
 
 
 @BOOK.query("SELECT conv_id, turn, CAST(i AS INTEGER) AS seq, substr(text, CAST(i AS BIGINT), 1) AS token FROM conversations, generate_series(1, length(text)) AS g(i) WHERE role = 'assistant' AND length(text) > 0")
