@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import plugins
+from ..functions import lexicons as L
 from ..functions import text as X
+from ..operators import agent as A
 from ..operators import phrases as P
+from ..operators import policy
 from ..operators import questions as Q
 from ..operators import tfidf
 from ..sources import readers as S
 from ..storage import shared_dir
-from .kit import Book, table
+from .kit import Book, made_of, table, texts
+from .policy_plans import _assert_sql
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -234,3 +238,39 @@ def a34_lexical_faithfulness(spark, sf):
     q = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
     rows = c.where("role = 'assistant'").select("conv_id", "turn", "text").join(q, ["conv_id", "turn"])
     return rows.select("conv_id", "turn", F.round(P.containment(F.col("text"), F.col("context")), 6).alias("faithfulness"))
+
+
+@BOOK.query("SELECT item_id, text FROM benchmark")
+def src1_text_files(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    path = _folder(spark, "texts")
+    b.repartition("item_id").write.option("lineSep", "\n").partitionBy("item_id").text(path)
+    read = S.read_documents(spark, path + "/item_id=*")
+    return read.select(F.regexp_extract("path", "item_id=(\\d+)", 1).cast("long").alias("item_id"), F.regexp_replace("text", "\n\\z", "").alias("text"))
+
+
+@BOOK.query("""SELECT l_orderkey AS query_id, count(*) - 1 AS retries, arg_max(l_returnflag, (l_linenumber, l_linestatus, l_returnflag, l_discount)) AS status,
+ string_agg(l_linestatus || '=' || CAST(round(l_discount, 3) AS VARCHAR) || ' ' || l_returnflag, '; ' ORDER BY l_linenumber, l_linestatus, l_returnflag, l_discount) AS explanation FROM lineitem GROUP BY 1""")
+def prj7_trace_explained(spark, sf):
+    trace = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("attempt"), F.col("l_linestatus").alias("tool"), F.col("l_returnflag").alias("verdict"), F.col("l_discount").alias("signal"))
+    return A.explain_trace(trace).select("query_id", F.col("retries").cast("long").alias("retries"), "status", "explanation")
+
+
+_SILVER_TEXT = "(SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '患者否认' || p_name || '。未见' || p_brand WHEN 1 THEN '既往' || p_name WHEN 2 THEN '可能为' || p_name || '；' || p_brand ELSE p_name || ' ' || p_brand END AS text FROM part)"
+
+
+@BOOK.query("WITH s AS (SELECT p_partkey, p_name, p_brand, p_size % 5 AS k FROM part) SELECT p_partkey, p_name AS entity, CASE k WHEN 0 THEN 'negated' WHEN 1 THEN 'historical' WHEN 2 THEN 'speculated' ELSE 'affirmed' END AS label, CASE WHEN k IN (0, 1, 2) THEN 'medium' ELSE 'easy' END AS difficulty FROM s")
+def f17_assertion_candidates(spark, sf):
+    rows = made_of(spark, sf, _SILVER_TEXT).join(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    found = P.assertion_candidates(rows, "text", F.array("p_name"))
+    return found.select("p_partkey", "entity", "label", "difficulty")
+
+
+_SENTS = "(SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([。！？!?；;])\\s*|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS sentence FROM documents)"
+
+
+@BOOK.query("SELECT label, count(*) AS n FROM (" + _assert_sql(f"(SELECT sentence, regexp_extract(sentence, '[a-z]{{6,}}') AS entity FROM {_SENTS})", "sentence", L.PLAIN_CUES) + " FROM p) GROUP BY 1")
+def f16_sentence_labels(spark, sf):
+    s = texts(spark, sf).select(F.explode(X.sentences(F.col("text"), "assertion")).alias("sentence"))
+    s = s.withColumn("entity", F.regexp_extract("sentence", "[a-z]{6,}", 0))
+    return s.select(policy.classify_assertion(F.col("sentence"), F.col("entity"), L.PLAIN_CUES)["label"].alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))

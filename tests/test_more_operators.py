@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import plugins
 from quillgraph.operators import agent as A
+from quillgraph.operators import control as C
 from quillgraph.operators import entities as E
 from quillgraph.operators import evidence as V
 from quillgraph.operators import filters
@@ -230,3 +231,29 @@ def test_json_salvage(spark):
     got = {r.id: r["value"] for r in Q.salvage(rows, "raw", "a string").collect()}
     assert got[1].a == "1" and got[2] is None and got[3] is None and "}" in got[4].a
     assert Q.segments(spark.createDataFrame([(1, '{"a": 1} junk [2] {')], "id long, raw string"), "raw").count() == 2
+
+
+def test_prompt_selection_covers_anchors_first():
+    pick = C.prompt_selection
+    assert pick([5, 5, 5], [set(), {"b"}, {"a"}], [False] * 3, [0.9, 0.1, 0.2], ["a", "b"], 2) == [2, 1]
+    assert pick([50, 5], [set(), set()], [False, True], [0.9, 0.1], [], 5, 10) == [1]
+    assert pick([50], [set()], [False], [0.9], [], 5, 10) == [0]
+    assert pick([4, 4, 4], [set()] * 3, [False] * 3, [0.1, 0.3, 0.2], [], 2) == [1, 2]
+
+
+def test_prompt_selection_over_a_table(spark):
+    results = spark.createDataFrame([(1, 10, 1, 0.9, "x" * 30), (1, 11, 2, 0.5, "the Anchor"), (2, 12, 1, 0.4, None)], "query_id long, chunk_id long, rank int, score double, content string")
+    anchors = spark.createDataFrame([(1, ["anchor"], []), (2, [], [])], "query_id long, phrases array<string>, strong array<string>")
+    got = sorted(map(tuple, C.select_for_prompt(results, anchors, 1).collect()))
+    assert got == [(1, 11, 1), (2, 12, 1)]
+
+
+def test_sentence_relations_and_weak_triplets(spark):
+    s = spark.createDataFrame([(1, "NoxA 禁用 in PainB"), (1, "NoxA near PainB"), (2, "NoxA 导致 PainB")], "chunk long, sentence string")
+    e = spark.createDataFrame([(c, n, t) for c in (1, 2) for n, t in (("NoxA", "Drug"), ("PainB", "Disease"), ("ox", "Drug"))], "chunk long, name string, entity_type string")
+    got = {tuple(r) for r in C.sentence_relations(s, e).collect()}
+    assert got == {(1, "PainB", "禁忌", "NoxA"), (2, "NoxA", "副作用", "PainB"), (2, "PainB", "副作用", "NoxA")}
+    passages = spark.createDataFrame([(1, "a first.\nA and B here!\nA with B again")], "passage_id long, text string")
+    pairs = spark.createDataFrame([(1, "a", "b"), (1, "a", "z")], "passage_id long, source string, target string")
+    (row,) = C.weak_triplets(passages, pairs, "L").collect()
+    assert (row.source, row.relation, row.target, row.evidence.strip()) == ("a", "L", "b", "A and B here!")
