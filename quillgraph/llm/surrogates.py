@@ -79,14 +79,27 @@ FINDER = re.compile(
     |(?<!\w)(?P<street>\d{{1,5}}[ ][{UP}]\w+[ ](?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd)|[{UP}]\w*(?:straße|strasse|weg|platz|gasse|allee)[ ]\d{{1,4}}[a-z]?|\d{{1,4}},?[ ](?:bis[ ])?(?:rue|avenue|boulevard|chemin)[ ](?:(?:de[ ]la|de|du|des)[ ])?[{UP}]\w+|(?:Calle|Avenida|Plaza|Paseo)[ ](?:(?:de|del)[ ])?[{UP}]\w+,?[ ]\d{{1,4}}|(?:улица|ул\.)[ ][{UP}]\w+,?[ ](?:дом[ ]|д\.[ ]?)?\d{{1,4}})(?!\w)""",
     re.VERBOSE,
 )
-#: What every match of FINDER has: a digit, an at sign or a secret's cue.
-HINT = re.compile(rf"\d|@|(?i:{_cues})")
+_digit = re.compile(r"\d")
+#: Parts of every secret cue.
+CUE_PARTS = ("token", "secret", "passw", "pwd", "key")
+
+
+def may_match(text: str) -> bool:
+    """Has the text what every match of FINDER has: a digit, an at sign or a secret's cue?"""
+    if "@" in text or _digit.search(text):
+        return True
+    low = text.lower()
+    return any(part in low for part in CUE_PARTS)
+
+
 _titles = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES), key=len, reverse=True))
 _rest = rf"(?:[ ](?:{'|'.join(sorted(PARTICLES))}))*[ ](?:{NAME})"
 TITLED = re.compile(rf"(?<!\w)(?P<titles>(?:(?:{_titles}|M\.)\.?[ ])+)(?P<name>(?:(?:{'|'.join(sorted(PARTICLES))})[ ])*(?:{NAME})(?:{_rest}){{0,2}})")
 PAIR = re.compile(rf"(?<![\w'’\-])(?P<given>[{UP}][^\W\d_]+)(?=[ ][{UP}])(?P<more>(?:{_rest}){{1,2}})")
 GENDER = {**dict.fromkeys((*MALE_TITLES, *MALE_NAMES, "M"), "m"), **dict.fromkeys((*FEMALE_TITLES, *FEMALE_NAMES), "f")}
 _names = {*MALE_NAMES, *FEMALE_NAMES}
+_capital = re.compile(rf"[{UP}]\w*")
+_triggers = {*_names, *MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, "M"}
 KINDS = ("email", "quoted", "token", "hex", "ip", "birth", "phone", "ssn", "iban", "card", "street")
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
@@ -312,6 +325,8 @@ def _dress(kind: str, value: str, made: str) -> str:
 
 def _people(text: str) -> list[tuple[int, int, str, str]]:
     """Name words of a text: those with a title or after a frequent given name, and every further mention of them."""
+    if _triggers.isdisjoint(_capital.findall(text)):
+        return []
     words: list[tuple[int, int, str, str]] = []
     known: dict[str, tuple[str, str]] = {}
 
@@ -349,7 +364,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return []
     out = []
-    if HINT.search(text):
+    if may_match(text):
         for m in FINDER.finditer(text):
             group = next(k for k in KINDS if m.group(k) is not None)
             kind = "token" if group == "quoted" else group
