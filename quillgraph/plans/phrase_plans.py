@@ -13,7 +13,7 @@ from ..operators import policy
 from ..operators import questions as Q
 from ..operators import tfidf
 from ..sources import readers as S
-from ..storage import shared_dir
+from ..storage import application_dir
 from .kit import Book, made_of, table, texts
 from .policy_plans import _assert_sql
 
@@ -159,7 +159,7 @@ def snk7_csv_with_mark(spark, sf):
 def _folder(spark, tag: str) -> str:
     import uuid
 
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 _SILVER = "r AS (SELECT conv_id, turn, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '[A-Za-z]{3,}') AS entity, role FROM conversations), w AS (SELECT *, strpos(text, entity) - 1 AS s, strpos(text, entity) - 1 + length(entity) AS e FROM r WHERE entity <> ''), k AS (SELECT *, 'assertion-phrase-' || left(md5('set|' || entity), 16) AS phrase_id, 'assertion-passage-' || left(md5('set|' || text || '|' || entity || '|' || s || '|' || e), 16) AS passage_id FROM w)"

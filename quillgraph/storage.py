@@ -12,6 +12,7 @@ from .session import ship_package
 
 #: Temporary folders of local applications that name no checkpoint folder.
 _local: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[application]
 
 
+def application_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if path not in _marked:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _marked.add(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a fresh scan of it.
 
@@ -35,7 +49,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship_package(spark)
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
