@@ -14,8 +14,8 @@ every row's place.
 
 Edge cases: a null text has size 1 and checksum 0; null ids are numbered like
 others; rows equal in id and text are interchangeable and get different
-numbers; an empty table gives an empty result; extra columns stay, clashing
-output names are replaced.
+numbers; texts of any length only give their size and checksum; an empty table
+gives an empty result; extra columns stay, clashing output names are replaced.
 """
 
 from __future__ import annotations
@@ -107,12 +107,13 @@ def permuted(number: Column, n: int, key: int) -> Column:
     )
 
 
-def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 50_000) -> tuple[DataFrame, int]:
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 50_000, max_broadcast: int = 100_000) -> tuple[DataFrame, int]:
     """``docs`` with size, text_crc32 and row_number, and the number of rows.
 
     Two scans of ``docs``: the first counts buckets.  The offsets have one row
     per ``rows_per_bucket`` rows, under 0.1 % of the data, and are broadcast only
-    if there are few of them.
+    if there are ``max_broadcast`` of them at most; beyond that the rows of a
+    bucket meet its offset by a join on the bucket, which they lie by already.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text)
@@ -125,7 +126,7 @@ def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     offsets = counts.withColumn("__offset", F.sum("rows").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))).select("__bucket", F.coalesce("__offset", F.lit(0)).alias("__offset"))
     within = Window.partitionBy("__bucket").orderBy("__h", id_col, "size", "text_crc32")
     ranked = keyed.withColumn("__rank", F.row_number().over(within))
-    joined = ranked.join(F.broadcast(offsets) if buckets <= 100_000 else offsets, "__bucket")
+    joined = ranked.join(F.broadcast(offsets) if buckets <= max_broadcast else offsets, "__bucket")
     return joined.withColumn("row_number", F.col("__offset") + F.col("__rank") - 1).drop("__offset", "__rank", "__bucket", "__h"), n
 
 
