@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..functions import text as X
 
 #: Characters up to which a repeated text counts as low information, and from which its score can't be zero.
@@ -44,16 +47,31 @@ def low_information(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return judged.drop("short_repeat")
 
 
-def negated(text, surface, triggers, before=18, after=6):
+def negated(text: Column, surface: Column | str, triggers: Sequence[str] = L.NEGATION_TRIGGERS, before: int = 18, after: int = 6) -> Column:
     """FLT5: a trigger stands shortly before or right after the surface in the first sentence that holds it."""
-    first = F.try_element_at(F.filter(X.sentences(text, "graph"), lambda s: F.contains(F.lower(s), F.lit(surface.lower()))), F.lit(1))
-    at = F.instr(F.lower(first), surface.lower())
-    prefix = F.substr(first, F.greatest(at - before, F.lit(1)), F.least(at - 1, F.lit(before)))
-    suffix = F.substr(first, at, F.lit(len(surface) + after))
-    hit = F.lit(False)
-    for t in triggers:
-        hit = hit | F.contains(F.lower(prefix), F.lit(t)) | F.contains(F.lower(suffix), F.lit(t))
-    return F.coalesce(hit, F.lit(False))
+    low = F.lower(F.lit(surface) if isinstance(surface, str) else surface)
+    first = F.try_element_at(F.filter(X.sentences(text, "graph"), lambda s: F.contains(F.lower(s), low)), F.lit(1))
+
+    def test(s: Column) -> Column:
+        at = F.call_function("position", low, F.lower(s))
+        prefix = F.lower(F.substr(s, F.greatest(at - before, F.lit(1)), F.least(at - 1, F.lit(before))))
+        suffix = F.lower(F.substr(s, at, F.length(low) + after))
+        hit = F.lit(False)
+        for t in triggers:
+            hit = hit | F.contains(prefix, F.lit(t)) | F.contains(suffix, F.lit(t))
+        return hit
+
+    return F.coalesce(X.let(first, test), F.lit(False))
+
+
+# Headings that are no phrases.
+FRAGMENTS = ("不良反应", "处理措施", "替代方案", "关键事实", "优势", "剂量", "起效时间", "持续时间", "推荐治疗")
+
+
+def noisy(text: Column) -> Column:
+    """FLT6: blank, an arrow or a list mark, or a heading that is no phrase."""
+    plain = X.name_normal(text)
+    return (plain == "") | plain.isin("-", "--", "->", "-->") | text.rlike("^(?:--|->|- )") | text.rlike("(?:--|->| -)$") | text.rlike("^[-*•>\\s]+$") | F.regexp_replace(text, "\\s+", "").isin(*FRAGMENTS)
 
 
 def strip_noise(t):
@@ -62,3 +80,42 @@ def strip_noise(t):
     for p in ("^(?:[-*•]+|[—–]+|>)+\\s*", "\\s*(?:[-*•]+|[—–]+|>)+$", "^(?:--+|[-=]+>)\\s*", "\\s*(?:--+|[-=]+>)$"):
         t = F.regexp_replace(t, p, "")
     return F.regexp_replace(t, "^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$", "")
+
+
+# Patterns of candidates, the general ones first.
+LATIN_CANDIDATES = (
+    "\\b[A-Z]{2,}(?:-[A-Z0-9]+)*\\b",
+    "\\b(?:[A-Z][a-z0-9]+(?:\\s+[A-Z][a-z0-9]+){0,3})\\b",
+    "\\b(?:[A-Za-z]+[A-Z][A-Za-z0-9_-]+|[A-Z][a-z]+RAG|Neo4j|PageRank|GraphRAG)\\b",
+    "\\b(?:[A-Za-z]+(?:itis|emia|oma|osis|pathy|plasia|penia|cytosis|genic))\\b",
+)
+TERM_CANDIDATES = (
+    "[\u4e00-\u9fffA-Za-z0-9+-]{1,20}(?:类药物|类利尿剂|利尿剂|抑制剂|阻滞剂|激动剂|拮抗剂|单抗|药物)",
+    "[\u4e00-\u9fffA-Za-z0-9+-]{1,24}(?:治疗|疗法|方案|双抗|抗凝|抗血小板治疗)",
+    "[\u4e00-\u9fffA-Za-z0-9+-]{1,24}(?:支架|植入术|造影|检查)",
+)
+THRESHOLD_CANDIDATES = (
+    "(?:[A-Za-z][A-Za-z0-9/+.-]{1,20}|[\u4e00-\u9fff]{1,12})\\s*(?:<|>|<=|>=|=|≤|≥)\\s*\\d+(?:\\.\\d+)?(?:\\s*[A-Za-z%μ/²\\-.\\d]+)?",
+    "(?:至少|不低于|不超过|低于|高于)\\s*\\d+(?:\\.\\d+)?\\s*(?:个月|周|天|年|小时|分钟|mg|g|kg|ml|mL|mmol/L|mmHg|%|次/日)",
+)
+
+
+def candidate_entities(text: Column, most: int = 12, stop_words: Sequence[str] = L.STOP_WORDS) -> Column:
+    """entity candidates by patterns: cleaned, no noise, the first spelling of each, most words first, then by folded name.
+
+    Candidates of the domain patterns that stand negated in the text are left out.
+    """
+    t = X.text_or_empty(text)
+    stops = F.array(*map(F.lit, stop_words))
+
+    def found(patterns: Sequence[str], least: int, check: bool) -> Column:
+        every = F.concat(*(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), strip_noise) for p in patterns))
+        good = F.filter(F.array_distinct(every), lambda c: (F.length(c) >= least) & ~noisy(c) & ~F.array_contains(stops, X.name_normal(c)))
+        return F.filter(good, lambda c: ~negated(t, c)) if check else good
+
+    both = F.concat(found(LATIN_CANDIDATES, 3, False), found(TERM_CANDIDATES, 2, True), found(THRESHOLD_CANDIDATES, 3, True))
+    keyed = F.transform(both, lambda c, i: F.struct((-F.size(F.split(c, "\\s+"))).alias("w"), F.lower(c).alias("k"), i.alias("i"), c.alias("c")))
+    # of equal folded names the first; equal names have equal words, so they stand side by side once sorted
+    ordered = F.array_sort(keyed)
+    firsts = F.filter(ordered, lambda x, i: (i == 0) | (X.name_normal(F.get(ordered, i - 1)["c"]) != X.name_normal(x["c"])))
+    return F.slice(F.transform(firsts, lambda x: x["c"]), 1, most)

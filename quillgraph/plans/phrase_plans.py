@@ -8,6 +8,7 @@ from .. import plugins
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import agent as A
+from ..operators import filters
 from ..operators import phrases as P
 from ..operators import policy
 from ..operators import questions as Q
@@ -274,3 +275,65 @@ def f16_sentence_labels(spark, sf):
     s = texts(spark, sf).select(F.explode(X.sentences(F.col("text"), "assertion")).alias("sentence"))
     s = s.withColumn("entity", F.regexp_extract("sentence", "[a-z]{6,}", 0))
     return s.select(policy.classify_assertion(F.col("sentence"), F.col("entity"), L.PLAIN_CUES)["label"].alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@BOOK.query()
+def f4_candidate_entities(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(filters.candidate_entities(F.col("text"))).alias("place", "candidate"))
+    return rows.withColumn("place", F.col("place") + 1)
+
+
+_F18 = "(SELECT p_partkey, p_name AS entity, CASE p_size % 4 WHEN 0 THEN '患者否认' || p_name WHEN 1 THEN '可能为' || p_name ELSE p_name END AS sentence, CASE WHEN p_partkey % 2 = 0 THEN 'historical' ELSE 'negated' END AS guess, (p_partkey % 10) / 10.0 AS sure FROM part)"
+
+
+@BOOK.query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'negated' WHEN 1 THEN 'speculated' ELSE CASE WHEN p_partkey % 10 >= 8 THEN CASE WHEN p_partkey % 2 = 0 THEN 'historical' ELSE 'negated' END ELSE 'affirmed' END END AS label, CASE WHEN p_size % 4 >= 2 AND p_partkey % 10 >= 8 THEN 'model' ELSE 'rules' END AS labeler FROM part")
+def f18_guarded_labels(spark, sf):
+    return plugins.guarded_labels(made_of(spark, sf, _F18), "sentence", "entity", F.col("guess"), F.col("sure")).select("p_partkey", "label", "labeler")
+
+
+@BOOK.query("SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations")
+def src12_dialogue_csv(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    path = _folder(spark, "dialogues")
+    c.withColumn("part", F.col("role")).repartition("part").write.partitionBy("part").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return S.read_dialogues(spark, path, repair=False).select(F.col("row")["conv_id"].cast("long").alias("conv_id"), F.col("row")["turn"].cast("long").alias("turn"), F.col("row")["role"].alias("role"), F.col("row")["text"].alias("text"))
+
+
+@BOOK.query("SELECT CAST(item_id AS VARCHAR) AS name, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS INTEGER) AS segment, t AS text FROM (SELECT item_id, i, trim(substr(trim(text), CAST(i * 80 + 1 AS BIGINT), 80)) AS t FROM benchmark, generate_series(0, 100) AS g(i) WHERE i * 80 < length(trim(text))) WHERE t <> ''")
+def src13_corpus_segments(spark, sf):
+    one = F.struct(F.col("item_id").cast("string").alias("corpus_name"), F.col("text").alias("context"))
+    path = _folder(spark, "corpus")
+    table(spark, sf, "benchmark").agg(F.collect_list(one).alias("r")).select(F.to_json("r").alias("value")).write.text(path)  # one file of a fixed benchmark
+    return S.read_corpus(spark, path, 80)
+
+
+@BOOK.query("SELECT item_id, '# Item ' || item_id || chr(10) || chr(10) || text AS text FROM benchmark")
+def snk9_markdown_export(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("title"), "text")
+    path = _folder(spark, "markdown")
+    S.write_markdown(b, path, "item_id")
+    read = S.read_documents(spark, path + "/item_id=*")
+    return read.select(F.regexp_extract("path", "item_id=(\\d+)", 1).cast("long").alias("item_id"), F.regexp_replace("text", "\n\\z", "").alias("text"))
+
+
+@BOOK.query("SELECT l_orderkey AS query_id, string_agg('[Chunk ' || r || ' | score=' || printf('%.2f', l_discount) || '] ' || l_shipdate, chr(10) || chr(10) ORDER BY r) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey, l_quantity) AS r FROM lineitem) WHERE r <= 5 GROUP BY 1")
+def x11_results_summary(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.struct((F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("a"), "l_quantity").alias("rank"), F.col("l_discount").alias("score"), F.col("l_shipdate").cast("string").alias("content"))
+    return plugins.results_summary(rows)
+
+
+@BOOK.query("SELECT p_partkey AS query_id, p_partkey + 1 AS chunk_id, 'vector' AS source FROM part UNION ALL SELECT p_partkey, p_partkey + 2, 'graph' FROM part")
+def x4_fan_out(spark, sf):
+    asked = table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"))
+
+    def channel(name, step):
+        return lambda q: q.select("query_id", (F.col("query_id") + step).alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1.0).alias("score_normalized"), F.lit(1).alias("rank"), F.lit(name).alias("source"))
+
+    def away(q):
+        raise OSError("the index is not there")
+
+    failures: dict[str, str] = {}
+    found = A.fan_out(asked, {"vector": channel("vector", 1), "bm25": away, "web": channel("web", 9), "graph": channel("graph", 2)}, ["vector", "bm25", "graph"], failures)
+    if set(failures) != {"bm25"}:
+        raise AssertionError(failures)
+    return found.select("query_id", "chunk_id", "source")

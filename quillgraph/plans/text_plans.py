@@ -166,8 +166,7 @@ _CAND = "(SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN '- ' || p_name || '
 @BOOK.query("SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$', '', 'g'), '^(?:[-*•]+|[—–]+|>)+\\s*', ''), '\\s*(?:[-*•]+|[—–]+|>)+$', ''), '^(?:--+|[-=]+>)\\s*', ''), '\\s*(?:--+|[-=]+>)$', ''), '^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$', '', 'g') AS cleaned, trim(raw) = '' OR lower(trim(raw)) IN ('-', '--', '->', '-->') OR raw LIKE '--%' OR raw LIKE '->%' OR raw LIKE '- %' OR raw LIKE '%--' OR raw LIKE '%->' OR raw LIKE '% -' OR regexp_full_match(raw, '[-*•>\\s]+') OR regexp_replace(raw, '\\s+', '', 'g') IN ('不良反应', '处理措施', '替代方案', '关键事实', '优势', '剂量', '起效时间', '持续时间', '推荐治疗') AS noisy FROM " + _CAND)
 def flt6_candidate_noise(spark, sf):
     r = F.col("raw")
-    noisy = (X.name_normal(r) == "") | X.name_normal(r).isin("-", "--", "->", "-->") | r.rlike("^(?:--|->|- )") | r.rlike("(?:--|->| -)$") | r.rlike("^[-*•>\\s]+$") | F.regexp_replace(r, "\\s+", "").isin("不良反应", "处理措施", "替代方案", "关键事实", "优势", "剂量", "起效时间", "持续时间", "推荐治疗")
-    return made_of(spark, sf, _CAND).select("p_partkey", filters.strip_noise(r).alias("cleaned"), noisy.alias("noisy"))
+    return made_of(spark, sf, _CAND).select("p_partkey", filters.strip_noise(r).alias("cleaned"), filters.noisy(r).alias("noisy"))
 
 
 @BOOK.query(f"SELECT p_partkey, length(t) BETWEEN 2 AND 40 AND NOT regexp_full_match(t, '[0-9]+(\\.[0-9]+)?') AND len(list_distinct(string_split(t, ''))) > 1 AS valid FROM (SELECT p_partkey, trim(p_name) AS t FROM part)")

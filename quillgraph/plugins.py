@@ -15,7 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -189,3 +189,85 @@ def expand_queries(queries: DataFrame, n: int, rewrite=None) -> DataFrame:
     """``n`` variants of each query, numbered from 1: the rewriter's (a column function of query and number), else the query itself."""
     rows = queries.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(n))))
     return rows if rewrite is None else rows.withColumn("query", F.coalesce(rewrite(F.col("query"), F.col("variant")), "query"))
+
+
+def guarded_labels(rows: DataFrame, text_col: str, entity_col: str, model: Column | None = None, model_confidence: Column | None = None, threshold: float = 0.75, **cues) -> DataFrame:
+    """``rows`` with label and labeler: a confident rule that is not "affirmed" stands, else a confident model, else the rule.
+
+    ``model`` and ``model_confidence`` are a model's columns; without them the rules label everything.
+    """
+    from .operators.policy import classify_assertion
+
+    ruled = rows.withColumn("__d", classify_assertion(F.col(text_col), F.col(entity_col), **cues))
+    label, sure = F.col("__d.label"), (F.col("__d.label") != "affirmed") & (F.col("__d.confidence") >= threshold)
+    if model is None:
+        return ruled.withColumn("label", label).withColumn("labeler", F.lit("rules")).drop("__d")
+    use = ~sure & F.coalesce(model_confidence >= threshold, F.lit(False)) & model.isNotNull()
+    return ruled.withColumn("label", F.when(use, model).otherwise(label)).withColumn("labeler", F.when(use, "model").otherwise("rules")).drop("__d")
+
+
+def marked(text: Column, entity: Column) -> Column:
+    """the text with its first mention of the entity between marks."""
+    at = F.call_function("position", entity, text)
+    return F.when((at > 0) & (entity != ""), F.concat(F.left(text, at - 1), F.lit("[E]"), entity, F.lit("[/E]"), F.substr(text, at + F.length(entity), F.length(text)))).otherwise(text)
+
+
+class TraceStore(Protocol):
+    """Where traces are kept; :mod:`quillgraph.streaming.state` and SNK8's tables are two of them."""
+
+    def put(self, trace: dict) -> None: ...
+
+    def get(self, trace_id: str) -> dict | None: ...
+
+    def session(self, session_id: str, limit: int = 20) -> list[dict]: ...
+
+
+class MemoryTraces:
+    """U3's default: the newest ``most`` traces, and the last ``per_session`` of each session."""
+
+    def __init__(self, most: int = 100, per_session: int = 20):
+        self.most, self.per_session = most, per_session
+        self.traces: dict[str, dict] = {}
+        self.sessions: dict[str, list[dict]] = {}
+
+    def put(self, trace: dict) -> None:
+        self.traces.pop(trace["trace_id"], None)
+        self.traces[trace["trace_id"]] = trace
+        while len(self.traces) > self.most:
+            self.traces.pop(next(iter(self.traces)))
+        if trace.get("session_id"):
+            self.sessions[trace["session_id"]] = [*self.sessions.get(trace["session_id"], []), trace][-self.per_session :]
+
+    def get(self, trace_id: str) -> dict | None:
+        return self.traces.get(trace_id)
+
+    def session(self, session_id: str, limit: int = 20) -> list[dict]:
+        return self.sessions.get(session_id, [])[-limit:]
+
+
+class Tools(dict):
+    """U4: tools by name; a tool takes a table of questions and gives results."""
+
+    def register(self, name: str):
+        def note(tool):
+            if name in self:
+                raise ValueError(f"{name} is registered twice")
+            self[name] = tool
+            return tool
+
+        return note
+
+    def run(self, name: str, queries: DataFrame) -> DataFrame:
+        if name not in self:
+            raise KeyError(f"no tool {name}; there are {', '.join(sorted(self))}")
+        return self[name](queries)
+
+
+def results_summary(results: DataFrame, key: str = "query_id", most: int = 5, chars: int = 400) -> DataFrame:
+    """X11: (key, summary): a judge's view of the first results of results(key, rank, score, content), ranked before they are collected."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("rank")
+    line = F.concat(F.lit("[Chunk "), F.col("__r").cast("string"), F.format_string(" | score=%.2f] ", F.col("score").cast("double")), F.left(F.coalesce("content", F.lit("")), F.lit(chars)))
+    top = results.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).select(key, "__r", line.alias("__t"))
+    return top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", "__t"))), lambda x: x["__t"]), "\n\n").alias("summary"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +100,97 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SNK7's files again, by position."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+#: Encodings of dialogue files, in the order they are tried.
+ENCODINGS = ("utf-8-sig", "gb18030", "gbk")
+#: Letters that text of another encoding turns into.
+WRONG_LETTERS = set("ÃÂ\ufffdþýðÉñ¾¿Æçèéåäöü")
+
+
+def repair_mojibake(text: str) -> str:
+    """SRC12: UTF-8 or Chinese text that was read a byte a letter, as it was meant; the reading with the fewest wrong letters wins."""
+
+    def wrong(t: str) -> tuple[int, int]:
+        return sum(c in WRONG_LETTERS for c in t) - sum("\u4e00" <= c <= "\u9fff" for c in t), len(t)
+
+    raw = bytearray()
+    for c in text:
+        try:
+            raw += bytes([ord(c)]) if ord(c) < 256 else c.encode("cp1252")
+        except UnicodeEncodeError:
+            return text
+    readings = [text]
+    for encoding in ("utf-8", "gb18030"):
+        try:
+            readings.append(bytes(raw).decode(encoding))
+        except UnicodeDecodeError:
+            continue
+    return min(readings, key=wrong)
+
+
+def read_dialogues(spark: SparkSession, path: str, repair: bool = True) -> DataFrame:
+    """SRC12: (path, encoding, row) of all CSV files below ``path``; row maps lower-case column names to text.
+
+    ``repair`` takes back a wrong reading of Chinese text; accented Latin text
+    should be read without it.  A file is decoded by the first encoding that fits its beginning; each file is
+    read by one task, so dialogue files should be of ordinary size.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).select("path", "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, content in zip(f["path"], f["content"], strict=True):
+                encoding = next((e for e in ENCODINGS if _decodes(content[:65536], e)), "gb18030")
+                rows = csv.DictReader(io.StringIO(content.decode(encoding, "replace"), newline=""))
+                found = [{(k or "").strip().lower(): repair_mojibake(v or "") if repair else v or "" for k, v in row.items() if not isinstance(v, list)} for row in rows]
+                yield pd.DataFrame({"path": name, "encoding": encoding, "row": found})
+
+    return files.mapInPandas(run, "path string, encoding string, row map<string,string>")
+
+
+def _decodes(sample: bytes, encoding: str) -> bool:
+    try:
+        sample.decode(encoding)
+    except UnicodeDecodeError as error:
+        return len(sample) == 65536 and error.start >= len(sample) - 4  # cut inside a character
+    return True
+
+
+def split_corpus(text: str, most: int) -> list[str]:
+    """SRC13: paragraphs packed up to ``most`` characters; a longer paragraph is cut into pieces."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n").strip()
+    parts = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+    if most <= 0 or len(text) <= most or not parts:
+        return [text] if text else []
+    out: list[str] = []
+    held = ""
+    for p in parts:
+        if held and (len(held) + 2 + len(p) > most or len(p) > most):
+            out.append(held)
+            held = ""
+        if len(p) > most:
+            out += [piece for i in range(0, len(p), most) if (piece := p[i : i + most].strip())]
+        else:
+            held = f"{held}\n\n{p}" if held else p
+    return [*out, held] if held else out
+
+
+def read_corpus(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
+    """SRC13: (name, segment, text) of a corpus file: one JSON record or a list of records with ``context``."""
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    rows = raw.select(F.posexplode(listed).alias("place", "r")).select(F.coalesce(F.try_variant_get("r", "$.corpus_name", "string"), F.col("place").cast("string")).alias("name"), F.try_variant_get("r", "$.context", "string").alias("context"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(n, i, t) for n, c in zip(f["name"], f["context"], strict=True) for i, t in enumerate(split_corpus(c or "", most))]
+            yield pd.DataFrame(rows, columns=["name", "segment", "text"])
+
+    return rows.mapInPandas(run, "name string, segment int, text string")
+
+
+def write_markdown(rows: DataFrame, path: str, key: str) -> None:
+    """SNK9: one Markdown text per row(``key``, title, text), in a folder of its key."""
+    text = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    rows.select(key, text.alias("value")).repartition(key).write.partitionBy(key).text(path)

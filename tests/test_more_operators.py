@@ -257,3 +257,61 @@ def test_sentence_relations_and_weak_triplets(spark):
     pairs = spark.createDataFrame([(1, "a", "b"), (1, "a", "z")], "passage_id long, source string, target string")
     (row,) = C.weak_triplets(passages, pairs, "L").collect()
     assert (row.source, row.relation, row.target, row.evidence.strip()) == ("a", "L", "b", "A and B here!")
+
+
+def test_candidates_against_plain_patterns(spark):
+    """F4 on whole texts: Python's patterns, cleaning and order."""
+    import re
+
+    from quillgraph.functions import lexicons as L
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text").where("text is not null").limit(150).collect()
+    texts = [r.text for r in rows] + ["Neo4j and GraphRAG, ABC-12 Hepatitis; eGFR >= 30 and HbA1c < 7.5 % The", "阿司匹林药物 100", ""]
+
+    def cleaned(c):
+        c = re.sub(r"\s+", " ", c).strip(" ,.;:()[]{}，。；：、")
+        for p in (r"^(?:[-*•]+|[—–]+|>)+\s*", r"\s*(?:[-*•]+|[—–]+|>)+$", r"^(?:--+|[-=]+>)\s*", r"\s*(?:--+|[-=]+>)$"):
+            c = re.sub(p, "", c)
+        return c.strip(" ,.;:()[]{}，。；：、")
+
+    def plain(text):
+        seen = {}
+        for patterns, least in ((filters.LATIN_CANDIDATES, 3), (filters.TERM_CANDIDATES, 2), (filters.THRESHOLD_CANDIDATES, 3)):
+            for p in patterns:
+                for m in re.finditer(p, text):
+                    c = cleaned(m.group(0))
+                    if len(c) >= least and c.lower() not in L.STOP_WORDS and not re.match(r"^(?:--|->|- )", c):
+                        seen.setdefault(c.lower(), c)
+        return sorted(seen.values(), key=lambda c: (-len(c.split()), c.lower()))[:12]
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", filters.candidate_entities(F.col("t")).alias("c")).collect()
+    assert {r.i: r.c for r in got} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_readers_of_dialogues_and_corpora(spark, tmp_path):
+    from quillgraph.sources import readers as S
+
+    assert S.repair_mojibake("患者".encode().decode("latin-1")) == "患者" and S.repair_mojibake("plain") == "plain" and S.repair_mojibake("漢字") == "漢字"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_bytes("Ask,Answer\n问题,\"多行\n答案\"\n".encode("gb18030"))
+    (tmp_path / "y.csv").write_bytes("﻿ask,answer\nq,a\n".encode())
+    (tmp_path / "z.txt").write_text("no")
+    got = {r.encoding: dict(r.row) for r in S.read_dialogues(spark, f"file://{tmp_path}").collect()}
+    assert got == {"gb18030": {"ask": "问题", "answer": "多行\n答案"}, "utf-8-sig": {"ask": "q", "answer": "a"}}
+    assert S.split_corpus("a\r\n\r\nbb\n\nccc", 5) == ["a\n\nbb", "ccc"] and S.split_corpus("abcdef\n\ng", 4) == ["abcd", "ef", "g"] and S.split_corpus(" ", 4) == []
+    (tmp_path / "c.json").write_text('{"context": "one\\n\\ntwo"}')
+    assert [(r.name, r.segment, r.text) for r in S.read_corpus(spark, f"file://{tmp_path}/c.json", 4).collect()] == [("0", 0, "one"), ("0", 1, "two")]
+
+
+def test_seams():
+    traces = plugins.MemoryTraces(most=2, per_session=2)
+    for i in range(4):
+        traces.put({"trace_id": str(i), "session_id": "s"})
+    assert traces.get("0") is None and traces.get("3")["trace_id"] == "3" and [t["trace_id"] for t in traces.session("s")] == ["2", "3"]
+    tools = plugins.Tools()
+    tools.register("echo")(lambda q: q)
+    assert tools.run("echo", 5) == 5
+    with pytest.raises(KeyError, match="echo"):
+        tools.run("none", 1)
+    with pytest.raises(ValueError):
+        tools.register("echo")(lambda q: q)
