@@ -12,7 +12,7 @@ from ..operators import vectors as V
 from ..storage import materialize
 from .graph_plans import mentions, phrases, relations, seeds
 from .kit import Book, made_of, table
-from .retrieval_plans import channels
+from .retrieval_plans import _CHANNELS, _R2, channels
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -101,7 +101,13 @@ def r6_graph_search(spark, sf):
     return found.select("passage_id", F.col("phrase_pagerank").alias("score"))
 
 
-@BOOK.query()
+_ASKED = "(SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0)"
+_SAID = "'{0}=' || CAST(round({1}, 3) AS VARCHAR) || CASE WHEN {1} >= 0.9 THEN ' answer' ELSE ' retry' END"
+
+
+@BOOK.query(f"""{_CHANNELS}, m AS (SELECT a.query_id, coalesce(max(CAST(norm AS DOUBLE)) FILTER (WHERE source = 'vector'), 0.0::DOUBLE) AS v, coalesce(max(CAST(norm AS DOUBLE)) FILTER (WHERE source = 'bm25'), 0.0::DOUBLE) AS b, coalesce(max(CAST(norm AS DOUBLE)) FILTER (WHERE source = 'graph'), 0.0::DOUBLE) AS g FROM {_ASKED} a LEFT JOIN ch USING (query_id) GROUP BY 1)
+SELECT query_id, CASE WHEN v >= 0.9 THEN 0 WHEN b >= 0.9 THEN 1 ELSE 2 END AS retries, CASE WHEN v >= 0.9 OR b >= 0.9 OR g >= 0.9 THEN 'answer' ELSE 'retry' END AS status,
+ {_SAID.format('vector', 'v')} || CASE WHEN v < 0.9 THEN '; ' || {_SAID.format('bm25', 'b')} ELSE '' END || CASE WHEN v < 0.9 AND b < 0.9 THEN '; ' || {_SAID.format('graph', 'g')} ELSE '' END AS explanation FROM m""")
 def x1_question_loop(spark, sf):
     asked = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
     pool = materialize(channels(spark, sf), "channels")
@@ -111,13 +117,16 @@ def x1_question_loop(spark, sf):
     return A.explain_trace(trace).select("query_id", "retries", "status", "explanation")
 
 
-@BOOK.query()
+@BOOK.query(f"{_CHANNELS} SELECT a.query_id, s.source FROM {_ASKED} a, (VALUES ('vector'), ('bm25'), ('graph'), ('web')) AS s(source) WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.query_id = a.query_id AND ch.source = s.source)")
 def x3_silent_sources(spark, sf):
     asked = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
     return A.silent_sources(channels(spark, sf), ["vector", "bm25", "graph", "web"], asked)
 
 
-@BOOK.query()
+@BOOK.query(f"""WITH {_R2}, l AS (SELECT query_id, rank, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([。！？.!?；;])\\s*|\\n+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM v JOIN documents ON doc_id = chunk_id WHERE rank <= 10),
+ea AS (SELECT query_id, rank, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM l), fa AS (SELECT query_id, rank, i, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS s FROM ea WHERE regexp_matches(s, '\\d')),
+k AS (SELECT query_id, replace(lower(s), 'ß', 'ss') AS k, min((rank, i)) AS first, arg_min(s, (rank, i)) AS s FROM fa GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, k) AS fact_no FROM k)
+SELECT a.query_id, coalesce(string_agg(left(s, 500) || ' [fact:' || fact_no || ']', ' ' ORDER BY fact_no), '') AS answer, CASE WHEN count(fact_no) > 0 THEN 'passed' ELSE 'partial' END AS status FROM (SELECT DISTINCT query_id FROM v WHERE rank <= 10) a LEFT JOIN n ON n.query_id = a.query_id AND fact_no <= 3 GROUP BY 1""")
 def x10_extractive_answers(spark, sf):
     d = table(spark, sf, "documents")
     results = channels(spark, sf).where("source = 'vector'")
