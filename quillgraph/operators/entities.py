@@ -178,3 +178,14 @@ def rouge_scores(pairs: DataFrame) -> DataFrame:
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name in keep)
     return pairs.mapInPandas(run, f"{names}, rouge_l double")
+
+
+def fuzzy_ratios(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """``rows`` with ratio, the matching ratio of two columns, by Arrow batch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(ratio=[fuzzy_ratio(x or "", y or "") for x, y in zip(f[left], f[right], strict=True)])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{names}, ratio double")

@@ -194,3 +194,26 @@ def write_markdown(rows: DataFrame, path: str, key: str) -> None:
     """SNK9: one Markdown text per row(``key``, title, text), in a folder of its key."""
     text = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
     rows.select(key, text.alias("value")).repartition(key).write.partitionBy(key).text(path)
+
+
+#: A Markdown table: a header, a line of dashes, and rows.
+MARKDOWN_TABLE = "(?m)(^[ \\t]*\\|.*\\|[ \\t]*\\n[ \\t]*\\|(?:[ \\t]*:?-{2,}:?[ \\t]*\\|)+[ \\t]*(?:\\n[ \\t]*\\|.*\\|[ \\t]*)*)"
+
+
+def markdown_tables(markdown):
+    """SRC4: the tables of a Markdown text, as they stand."""
+    return F.regexp_extract_all(F.coalesce(markdown, F.lit("")), F.lit(MARKDOWN_TABLE), F.lit(1))
+
+
+def table_csv(table):
+    """SRC4: a Markdown table as CSV lines; cells with a comma or quote are quoted."""
+    lines = F.filter(F.split(table, "\n"), lambda x: ~x.rlike("^[ \\t]*\\|(?:[ \\t]*:?-{2,}:?[ \\t]*\\|)+[ \\t]*$"))
+    cell = lambda c: F.when(c.rlike('[,"]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    row = lambda x: F.array_join(F.transform(F.split(F.regexp_replace(F.trim(x), "^\\||\\|$", ""), "\\|"), lambda c: cell(F.trim(c))), ",")
+    return F.array_join(F.transform(lines, row), "\n")
+
+
+def load_result(rows: DataFrame, content_col: str) -> DataFrame:
+    """SRC3: ``rows`` with markdown, tables (as CSV) and formulas of decoded bytes; a projection gives the Markdown alone."""
+    text = decode(F.col(content_col))
+    return rows.withColumn("markdown", text).withColumn("tables", F.transform(markdown_tables(F.col("markdown")), table_csv)).withColumn("formulas", extract_formulas(F.col("markdown")))
