@@ -40,7 +40,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -52,7 +51,7 @@ from ..operators.components import components
 from .simhash import LOWER, by_task, representatives, similar_edges
 from .tables import set_aside, with_places
 
-SMALL, SLICE, ROUNDS, SAMPLE, MAX_FREQUENT, MAX_WORDS = 64, 2048, 2, 4000, 50_000, 1_000_000
+SMALL, SLICE, ROUNDS, SAMPLE, MAX_FREQUENT, MAX_WORDS = 64, 2048, 2, 4000, 50_000, 100_000
 PAIRS = "a long, b long"
 
 
@@ -133,6 +132,13 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so a worker holds few texts as objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def frequent(docs: DataFrame, width: int, text_col: str) -> list[int]:
     """Shingles of three or more texts of a sample of about ``SAMPLE`` rows, rarest first."""
     share = SAMPLE / max(1, docs.count())
@@ -140,7 +146,7 @@ def frequent(docs: DataFrame, width: int, text_col: str) -> list[int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = [shingler.set_of(words_of(t)) for t in _texts(batch, 0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))], names=["token"])
 
@@ -157,7 +163,7 @@ def prints(docs: DataFrame, width: int, similarity: float, text_col: str, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(width), tokens[by_value]
-        for batch in batches:
+        for batch in _pieces(batches):
             digests, fps, marks, sizes, sketches, prefixes = [], [], [], [], [], []
             for text in _texts(batch, 3):
                 words = words_of(text)
@@ -212,7 +218,7 @@ class Confirm:
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(width)
-            for batch in batches:
+            for batch in _pieces(batches):
                 made = [shingler.set_of(words_of(t)).tobytes() for t in _texts(batch, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["__row", "set"])
 
@@ -220,7 +226,7 @@ class Confirm:
         held = materialize(texts.mapInArrow(sets, "__row long, set binary"), "shingle-sets")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _pieces(batches):
                 keep = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
@@ -300,26 +306,25 @@ def _close_pairs(tasks: DataFrame, similarity: float, nearest: bool) -> DataFram
     """
     part = (1 - similarity) / (1 + similarity)
 
-    def compare(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        row, comp, n, pos = (rows[c].to_numpy() for c in ("row", "component", "n", "pos"))
-        level, tables = _levels(list(rows["sketch"]))
-        left = np.arange(len(rows)) if rows["one"].iloc[0] else np.flatnonzero(rows["left"].to_numpy())
-        right = left if rows["one"].iloc[0] else np.flatnonzero(~rows["left"].to_numpy())
+    def compare(one: bool, left_side: np.ndarray, row: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        level, tables = _levels(sketches)
+        left = np.arange(len(row)) if one else np.flatnonzero(left_side)
+        right = left if one else np.flatnonzero(~left_side)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(left), 256):
-            i, j = left[at : at + 256, None], right[None, :]
+        for at in range(0, len(left), 64):
+            i, j = left[at : at + 64, None], right[None, :]
             total = n[i] + n[j]
             ok = (comp[i] != comp[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= similarity / (1 + similarity) * total - 1e-6)
             p, q = np.nonzero(ok)
-            p, q = left[at : at + 256][p], right[q]
-            if rows["one"].iloc[0] and not nearest:
+            p, q = left[at : at + 64][p], right[q]
+            if one and not nearest:
                 p, q = p[row[p] < row[q]], q[row[p] < row[q]]
             distance = np.zeros(len(p), np.int64)
             lower = np.minimum(level[p], level[q])
             for k, table in enumerate(tables):
                 here = np.flatnonzero(lower == k)
-                for b in range(0, len(here), 1 << 16):
-                    h = here[b : b + (1 << 16)]
+                for b in range(0, len(here), 1 << 14):
+                    h = here[b : b + (1 << 14)]
                     distance[h] = np.bitwise_count(table[p[h]] ^ table[q[h]]).sum(1, dtype=np.int64)
             near = distance <= part * (n[p] + n[q]) + 1e-6
             p, q, distance = p[near], q[near], distance[near]
@@ -330,14 +335,16 @@ def _close_pairs(tasks: DataFrame, similarity: float, nearest: bool) -> DataFram
             out.append((np.minimum(row[p], row[q]), np.maximum(row[p], row[q])))
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in by_task(frames):
-            for _, one in rows.groupby("task", sort=False):
-                a, b = compare(one)
-                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_task(batches):
+            task, one, left, row, n, pos, comp = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            edges = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                found = compare(bool(one[a]), left[a:b], row[a:b], n[a:b], pos[a:b], comp[a:b], rows.column(7).slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
 
     dealt = tasks.repartition("task").sortWithinPartitions("task")
-    return dealt.mapInPandas(run, PAIRS).distinct()
+    return dealt.mapInArrow(run, PAIRS).distinct()
 
 
 def near_links(reps: DataFrame, confirm: Confirm, max_bits: int) -> DataFrame:

@@ -33,7 +33,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -204,49 +203,58 @@ def tasks_of(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
     return held.repartition("task").sortWithinPartitions("task").select("task", "lo", "hi", "slice", "fp", "rep", "at")
 
 
-def by_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames that hold whole tasks."""
-    held: pd.DataFrame | None = None
-    for frame in frames:
-        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        if not len(held):
+def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by their first column, the task, regrouped so that each holds whole tasks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        cut = int(np.searchsorted(held["task"].to_numpy(), held["task"].iloc[-1], "left"))
-        if cut:
-            yield held.iloc[:cut]
-            held = held.iloc[cut:]
-    if held is not None and len(held):
-        yield held
+        task = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(task, task[-1], "left"))
+        if cut or (held and held[-1].column(0)[-1] != batch.column(0)[-1]):
+            yield _one([*held, batch.slice(0, cut)] if cut else held)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def bytes_of(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8)
 
 
 def similar_edges(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
     """(a, b): stars over ``reps(fp, rep, at)`` that connect exactly what links connect; a and b are ``rep`` numbers."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in by_task(frames):
-            yield _compare(rows, max_bits, Tally())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_task(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _compare(rows, max_bits, Tally())], names=["a", "b"])
 
-    return tasks_of(reps, n, max_bits).mapInPandas(run, "a long, b long").where("a <> b")
+    return tasks_of(reps, n, max_bits).mapInArrow(run, "a long, b long").where("a <> b")
 
 
 def discards(reps: DataFrame, n: int, max_bits: int) -> DataFrame:
     """One row (met, discarded, verified, linked): how many pairs of a cell the pivot table looks at and throws out."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in by_task(frames):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_task(batches):
             _compare(rows, max_bits, tally := Tally())
-            yield pd.DataFrame({k: [getattr(tally, k)] for k in ("met", "discarded", "verified", "linked")})
+            yield pa.RecordBatch.from_pydict({k: [getattr(tally, k)] for k in ("met", "discarded", "verified", "linked")})
 
-    counts = tasks_of(reps, n, max_bits).mapInPandas(run, "met long, discarded long, verified long, linked long")
+    counts = tasks_of(reps, n, max_bits).mapInArrow(run, "met long, discarded long, verified long, linked long")
     return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns))
 
 
-def _compare(rows: pd.DataFrame, max_bits: int, tally: Tally) -> pd.DataFrame:
-    """Stars of all tasks in ``rows`` (sorted by task)."""
-    task = rows["task"].to_numpy()
-    fps = rows["fp"].to_numpy().view(np.uint64)
-    table = np.frombuffer(b"".join(rows["at"]), np.int8).reshape(-1, N_PIVOTS)
-    reps, slices, lows, highs = (rows[c].to_numpy() for c in ("rep", "slice", "lo", "hi"))
+def _compare(rows: pa.RecordBatch, max_bits: int, tally: Tally) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of all tasks in ``rows`` (task, lo, hi, slice, fp, rep, at), sorted by task."""
+    task, lows, highs, slices, fps, reps = (rows.column(i).to_numpy() for i in range(6))
+    fps = fps.view(np.uint64)
+    table = bytes_of(rows.column(6)).view(np.int8).reshape(-1, N_PIVOTS)
     edges = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
     sizes = np.diff(edges)
     out_a, out_b = [], []
@@ -280,8 +288,8 @@ def _compare(rows: pd.DataFrame, max_bits: int, tally: Tally) -> pd.DataFrame:
         out_a.append(r)
         out_b.append(r[root])
     if not out_a:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def representatives(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
