@@ -114,8 +114,9 @@ def surface_forms(name: Column, aliases: Column) -> Column:
 def token_signatures(text: Column) -> Column:
     """folded tokens of two characters or more and their signatures."""
     found = F.filter(F.regexp_extract_all(text_or_empty(text), F.lit("[\\u4e00-\\u9fff]+|[A-Za-z0-9][A-Za-z0-9_-]*"), F.lit(0)), lambda t: F.length(t) >= 2)
-    tokens = F.transform(found, fold)
-    return F.array_distinct(F.filter(F.concat(tokens, F.transform(tokens, alias_signature)), lambda t: t != ""))
+    # such tokens hold letters, digits, dashes and underscores only, so folding is ``lower`` and a signature drops the marks
+    tokens = F.array_distinct(F.transform(found, lambda t: F.lower(t)))
+    return F.array_distinct(F.filter(F.concat(tokens, F.transform(tokens, lambda t: F.translate(t, "-_", ""))), lambda t: t != ""))
 
 
 def quoted(text: Column) -> Column:

@@ -6,11 +6,13 @@ mentioned_in(phrase_id, passage_id), related_to(src, dst, relation_type).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..storage import discard, materialize
 
 
@@ -78,6 +80,47 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     return current.select("id", "score")
 
 
+def rule_entry_points(phrases: DataFrame, terms: Sequence[str], limit: int = 40) -> DataFrame:
+    """(id, n): phrases whose name or any alias holds a term, by the number of terms; ``phrases(id, name[, aliases])``."""
+    names = F.array(F.lower(F.coalesce("name", F.lit(""))))
+    if "aliases" in phrases.columns:
+        names = F.concat(names, F.coalesce(F.transform("aliases", lambda a: F.lower(a)), F.array().cast("array<string>")))
+    listed = F.array(*(F.lit(t.lower()) for t in terms))
+    hits = F.size(F.filter(listed, lambda t: F.exists(names, lambda n: F.contains(n, t))))
+    return phrases.select("id", hits.cast("long").alias("n")).where("n > 0").orderBy(F.desc("n"), "id").limit(limit)
+
+
+#: Entities up to which the keys of a mention scan are broadcast.
+MAX_BROADCAST_KEYS = 100_000
+
+
+def mention_scan(passages: DataFrame, entities: DataFrame) -> DataFrame:
+    """(name, passage_id, score): passages(passage_id, text) that mention an entity(name), with the mention score.
+
+    Whatever rule fires, the text's compact signature holds the name's, or the
+    text has the name's initials as a token.  So names meet passages by an equal
+    join on the first characters of the signature, three at most, against the
+    distinct character groups of the passage, and by initials against its tokens;
+    only these pairs are scored.
+    """
+    sig = X.alias_signature(F.col("name"))
+    names = entities.select("name").where(F.trim("name") != "").distinct()
+    keys = F.array_distinct(F.filter(F.array(F.concat(F.lit("s:"), F.left(sig, F.lit(3))), F.concat(F.lit("t:"), X.abbreviation(F.col("name")))), lambda k: F.length(k) > 2))
+    keyed = materialize(names.select("name", F.explode(keys).alias("key")), "mention-keys")
+    sizes = sorted(r.n for r in keyed.where(F.col("key").startswith("s:")).select((F.length("key") - 2).alias("n")).distinct().collect())  # at most 3 values
+    plain, tokens = X.alias_signature(F.col("text")), X.token_signatures(F.col("text"))
+
+    def grams(n: int) -> Column:
+        return F.transform(F.array_distinct(F.regexp_extract_all(plain, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))), lambda g: F.concat(F.lit("s:"), g))
+
+    marked = F.transform(tokens, lambda t: F.concat(F.lit("t:"), t))
+    rows = passages.select("passage_id", F.explode(F.array_distinct(F.concat(marked, *map(grams, sizes)))).alias("key"))
+    few = keyed.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    pairs = rows.join(F.broadcast(keyed) if few else keyed, "key").select("passage_id", "name").distinct()
+    scored = passages.join(pairs, "passage_id").select("name", "passage_id", X.mention_score(X.text_or_empty(F.col("text")), F.array("name")).alias("score"))
+    return scored.where("score > 0")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(a, b, edge): each edge seen from both ends; edge is its number (src, dst)."""
     e = F.struct("src", "dst")

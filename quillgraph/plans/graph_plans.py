@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import control as C_
-from .kit import Book, table
+from .kit import Book, table, texts
+from .text_plans import _F1_ROWS, _WORDS_OF_INTEREST
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -61,9 +62,7 @@ def j3_signature_match(spark, sf):
 
 @BOOK.query("WITH t(term) AS (VALUES ('ring'), ('bolt')) SELECT id, n FROM (SELECT p_partkey AS id, count(*) AS n FROM part JOIN t ON contains(lower(p_name), term) GROUP BY 1) ORDER BY n DESC, id LIMIT 40")
 def j6_rule_entry_points(spark, sf):
-    terms = spark.createDataFrame([("ring",), ("bolt",)], "term string")
-    hit = phrases(spark, sf).join(F.broadcast(terms), F.contains(F.lower("name"), F.col("term")))
-    return hit.groupBy("id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(40)
+    return G.rule_entry_points(phrases(spark, sf), ("ring", "bolt"), 40)
 
 
 @BOOK.query("WITH h AS (SELECT l_orderkey AS id, count(*) FILTER (WHERE l_returnflag = 'R') AS hits, count(*) FILTER (WHERE l_linestatus = 'O') AS background FROM lineitem GROUP BY 1), g AS (SELECT * FROM h WHERE hits >= 2 OR (hits >= 1 AND background >= 1)) SELECT l_partkey AS phrase_id, max(hits) AS hits FROM g JOIN lineitem ON l_orderkey = id GROUP BY 1 ORDER BY hits DESC, phrase_id LIMIT 30")
@@ -104,9 +103,9 @@ def j12_collect_passages(spark, sf):
 s AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM l), p(a, b) AS (VALUES ('the', 'of'), ('and', 'was'), ('der', 'und'))
 SELECT a AS source, 'CO_OCCURS_WITH' AS relation, b AS target, doc_id AS passage_id, md5(arg_min(s, i)) AS evidence_md5 FROM s, p WHERE contains(replace(lower(s), 'ß', 'ss'), a) AND contains(replace(lower(s), 'ß', 'ss'), b) AND (contains(lower(s), 'the') OR contains(lower(s), 'ge')) GROUP BY ALL""")
 def j11_weak_triplets(spark, sf):
-    pairs = spark.createDataFrame([("the", "of"), ("and", "was"), ("der", "und")], "source string, target string")
+    pairs = F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in (("the", "of"), ("and", "was"), ("der", "und"))))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    asked = d.select("passage_id").join(F.broadcast(pairs), F.lit(True))
+    asked = d.select("passage_id", F.inline(pairs))
     found = C_.weak_triplets(d, asked, "CO_OCCURS_WITH", intents=("the", "ge"))
     return found.select("source", "relation", "target", "passage_id", F.md5(F.btrim("evidence", F.lit(" \n")).cast("binary")).alias("evidence_md5"))
 
@@ -119,10 +118,10 @@ t AS (SELECT doc_id, s, CASE WHEN regexp_matches(s, '(license|token)') THEN 'men
 m AS (SELECT doc_id, s, relation_type, entity, entity_type FROM t JOIN e ON {_WORD.format('s', 'entity')} WHERE relation_type IS NOT NULL)
 SELECT source, relation_type, target, count(*) AS n FROM (SELECT DISTINCT a.doc_id, a.entity AS source, a.relation_type, b.entity AS target FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.s = b.s AND a.entity <> b.entity WHERE a.relation_type <> 'mentions' OR b.entity_type = 'Drug') GROUP BY ALL""")
 def j16_sentence_pairs(spark, sf):
-    e = spark.createDataFrame([("of", "Drug"), ("and", "Disease"), ("und", "Drug"), ("is", "Test")], "name string, entity_type string")
+    e = F.array(*(F.struct(F.lit(a).alias("name"), F.lit(b).alias("entity_type")) for a, b in (("of", "Drug"), ("and", "Disease"), ("und", "Drug"), ("is", "Test"))))
     d = table(spark, sf, "documents")
     s = d.select(F.col("doc_id").alias("chunk"), F.explode(F.array_distinct(X.sentences(F.col("text")))).alias("sentence"))
-    held = d.select(F.col("doc_id").alias("chunk")).join(F.broadcast(e), F.lit(True))  # here every document has the same four entities
+    held = d.select(F.col("doc_id").alias("chunk"), F.inline(e))  # here every document has the same four entities
     found = C_.sentence_relations(s, held, (("mentions", "(license|token)"), ("names", "(the|der)")), ("mentions",))
     return found.groupBy("source", "relation_type", "target").agg(F.count(F.lit(1)).alias("n"))
 
@@ -214,13 +213,8 @@ def a31_graph_counts(spark, sf):
     return count(table(spark, sf, "part"), "Phrase").unionByName(count(table(spark, sf, "orders"), "Passage")).unionByName(count(mentions(spark, sf), "MENTIONED_IN")).unionByName(count(relations(spark, sf), "RELATED_TO"))
 
 
-_LINK = "e(name) AS (VALUES ('heen'), ('license'), ('token'))"
-
-
-@BOOK.query(f"WITH {_LINK} SELECT name, doc_id, round(least(len(string_split(lower(coalesce(text, '')), name)) - 1, 3) * greatest(1.0, length(name) / 4.0), 6) AS score FROM documents, e WHERE contains(lower(coalesce(text, '')), name)")
+@BOOK.query(_F1_ROWS + " SELECT form AS name, doc_id, round(score, 6) AS score FROM scored WHERE score > 0")
 def j5_mention_scan(spark, sf):
-    e = spark.createDataFrame([("heen",), ("license",), ("token",)], "name string")
-    d = table(spark, sf, "documents").select("doc_id", F.lower(X.text_or_empty(F.col("text"))).alias("low"))
-    hit = d.join(F.broadcast(e), F.contains("low", F.col("name")))
-    score = F.least(X.occurrences(F.col("low"), F.col("name")), F.lit(3)) * F.greatest(F.lit(1.0), F.length("name") / 4.0)
-    return hit.select("name", "doc_id", F.round(score, 6).alias("score"))
+    e = spark.createDataFrame([(w,) for w in _WORDS_OF_INTEREST], "name string")
+    found = G.mention_scan(texts(spark, sf).select(F.col("doc_id").alias("passage_id"), "text"), e)
+    return found.select("name", F.col("passage_id").alias("doc_id"), F.round("score", 6).alias("score"))

@@ -98,15 +98,18 @@ def f3_token_signatures(spark, sf):
 _WORDS_OF_INTEREST = ("heen", "reing", "license", "keit", "en de")
 
 
-@BOOK.query(f"""
+_F1_ROWS = f"""
 WITH f(form) AS (VALUES ('heen'), ('reing'), ('license'), ('keit'), ('en de')),
 x AS (SELECT doc_id, form, coalesce(text, '') AS text, {_FOLD.format("coalesce(text, '')")} AS low FROM documents, f),
-y AS (SELECT *, len(regexp_extract_all(' ' || regexp_replace(lower(text), '([^0-9a-z_])', '\\1\\1', 'g') || ' ', '(?:^|[^0-9a-z_])' || regexp_replace(form, ' ', '  ', 'g') || '(?:[^0-9a-z_]|$)')) AS words FROM x)
-SELECT doc_id, round(max(CASE WHEN words > 0 THEN least(words, 3) * greatest(1.0, length(form) / 5.0)
+y AS (SELECT *, len(regexp_extract_all(' ' || regexp_replace(lower(text), '([^0-9a-z_])', '\\1\\1', 'g') || ' ', '(?:^|[^0-9a-z_])' || regexp_replace(form, ' ', '  ', 'g') || '(?:[^0-9a-z_]|$)')) AS words FROM x),
+scored AS (SELECT doc_id, form, CASE WHEN words > 0 THEN least(words, 3) * greatest(1.0, length(form) / 5.0)
   WHEN length(form) > 4 AND contains(low, form) THEN greatest(0.5, length(form) / 12.0)
   WHEN length({_SIG.format('form')}) >= 5 AND contains({_SIG.format('text')}, {_SIG.format('form')}) THEN greatest(0.8, length({_SIG.format('form')}) / 10.0)
   WHEN form = 'en de' AND list_contains(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]*'), lambda t: lower(t)), 'ed') THEN 0.95
-  ELSE 0 END), 6) AS score FROM y GROUP BY doc_id""")
+  ELSE 0 END AS score FROM y)"""
+
+
+@BOOK.query(_F1_ROWS + " SELECT doc_id, round(max(score), 6) AS score FROM scored GROUP BY doc_id")
 def f1_mention_score(spark, sf):
     forms = F.array(*map(F.lit, _WORDS_OF_INTEREST))
     return docs(spark, sf).select("doc_id", F.round(X.mention_score(X.text_or_empty(F.col("text")), forms), 6).alias("score"))
