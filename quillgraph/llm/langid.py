@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import set_aside
+from .tables import pieces, set_aside
 
 WINDOW, HIDDEN, BATCH = 128, 8, 2048
 WINDOWS_PER_DOC = 4
@@ -260,7 +260,7 @@ def score(docs: DataFrame, net: Network | None, keep: list[str], text_col: str =
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             langs, scores = predict(shared.value, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 

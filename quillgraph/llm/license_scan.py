@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import pieces
+
 # Statements and notices as their publishers word them, each with the words that tell it from its relatives.
 TEMPLATES: list[tuple[str, str, str]] = [
     ("MIT", "Released under the MIT License.", "mit"),
@@ -192,7 +194,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text", templates: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
-        for batch in batches:
+        for batch in pieces(batches):
             found = [scanner.scan(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             out = [pa.array([n for n, _ in found], pa.int64()), pa.array([m for _, m in found], kind)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *out], names=[*keep, "n_blocks", "matches"])

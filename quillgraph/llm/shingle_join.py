@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from ..storage import discard, materialize
 from ..operators.components import components
 from .simhash import LOWER, by_task, representatives, similar_edges
-from .tables import set_aside, with_places
+from .tables import pieces, set_aside, with_places
 
 SMALL, SLICE, ROUNDS, SAMPLE, MAX_FREQUENT, MAX_WORDS = 64, 2048, 2, 4000, 50_000, 100_000
 PAIRS = "a long, b long"
@@ -132,13 +132,6 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of a few rows, so a worker holds few texts as objects at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def frequent(docs: DataFrame, width: int, text_col: str) -> list[int]:
     """Shingles of three or more texts of a sample of about ``SAMPLE`` rows, rarest first."""
     share = SAMPLE / max(1, docs.count())
@@ -146,7 +139,7 @@ def frequent(docs: DataFrame, width: int, text_col: str) -> list[int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             sets = [shingler.set_of(words_of(t)) for t in _texts(batch, 0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))], names=["token"])
 
@@ -163,7 +156,7 @@ def prints(docs: DataFrame, width: int, similarity: float, text_col: str, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, known = Shingler(width), tokens[by_value]
-        for batch in _pieces(batches):
+        for batch in pieces(batches):
             digests, fps, marks, sizes, sketches, prefixes = [], [], [], [], [], []
             for text in _texts(batch, 3):
                 words = words_of(text)
@@ -218,7 +211,7 @@ class Confirm:
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingler = Shingler(width)
-            for batch in _pieces(batches):
+            for batch in pieces(batches):
                 made = [shingler.set_of(words_of(t)).tobytes() for t in _texts(batch, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["__row", "set"])
 
@@ -226,7 +219,7 @@ class Confirm:
         held = materialize(texts.mapInArrow(sets, "__row long, set binary"), "shingle-sets")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _pieces(batches):
+            for batch in pieces(batches):
                 keep = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")

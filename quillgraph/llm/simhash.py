@@ -38,8 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
 from ..operators.components import components
+from ..storage import materialize
+from .tables import pieces
 
 SEED = 42
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if b in (0x20, *range(9, 14)) else b for b in range(256))
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__read_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fps = [fingerprint(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 

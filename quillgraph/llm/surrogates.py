@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .tables import pieces
 
 # Titles, frequent given names, and words that announce a secret, a birth date or a street.
 MALE_TITLES = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Господин", "Господина")
@@ -393,7 +394,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct (kind, name) of all entities; repeats are removed before the shuffle as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             seen = {(k, n) for t in batch.column(0).to_pylist() for _, _, k, n in find(t)}
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in (0, 1)], names=["kind", "name"])
@@ -439,7 +440,7 @@ def replace(docs: DataFrame, keep: list[str], key: bytes, text_col: str = "text"
         rows = materialize(rows, "surrogate-rows")
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 hits = [(i, k, n) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, n in {(k, n) for _, _, k, n in find(t)}]
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), *(pa.array([h[j] for h in hits], pa.string()) for j in (1, 2))], names=["__row", "kind", "name"])
 
@@ -450,7 +451,7 @@ def replace(docs: DataFrame, keep: list[str], key: bytes, text_col: str = "text"
     schema = docs.select(*keep).schema.add("text", "string").add("n_entities", "long").add("entity_kinds", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n = len(keep)
             out = []
             for text, own in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +55,10 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """
     names = {c: f"__in{i}" for i, c in enumerate(docs.columns)}
     return docs.toDF(*names.values()), names
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of a few rows, so a worker holds few texts as objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

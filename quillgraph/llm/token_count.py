@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import with_places
+from .tables import pieces, with_places
 
 BLANK = "▁"
 #: Bounds on what a worker remembers; beyond them tables are rebuilt, counts stay the same.
@@ -368,7 +368,7 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", limit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _transducer(hash(shared.value), shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(len(keep))
             counts = [0 if t is None else machine.count(t, chunk) for t in texts.to_pylist()]
             sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
