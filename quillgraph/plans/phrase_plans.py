@@ -122,7 +122,7 @@ def j15_zip_vectors(spark, sf):
     return P.zip_vectors(e.select("vec_id", "label"), e.select("vec_id", F.size("embedding").cast("long").alias("dims")), "vec_id")
 
 
-@BOOK.query("SELECT source, count(*) AS n_chunks, sum(length(coalesce(text, ''))) AS n_chars, CASE WHEN count(*) <= 6 AND sum(length(coalesce(text, ''))) <= 5000 THEN 'light' ELSE 'model' END AS mode FROM documents GROUP BY source")
+@BOOK.query("SELECT source, count(*) AS n_chunks, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, CASE WHEN count(*) <= 6 AND sum(length(coalesce(text, ''))) <= 5000 THEN 'light' ELSE 'model' END AS mode FROM documents GROUP BY source")
 def prj3_enrichment_mode(spark, sf):
     return plugins.enrichment_mode(table(spark, sf, "documents"), "source")
 
