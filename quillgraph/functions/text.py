@@ -136,6 +136,11 @@ def occurrences(text: Column, part: Column) -> Column:
 
 def mention_score(text: Column, forms: Column) -> Column:
     """F1 without its fuzzy rule: best score over forms, the first rule that fires per form."""
+    return F.coalesce(F.array_max(F.transform(mention_scores(text, forms), lambda s: s["score"])), F.lit(0.0))
+
+
+def mention_scores(text: Column, forms: Column) -> Column:
+    """F1 for each form: array of (form, score); the text is folded and cut into tokens once."""
 
     def best(given: Column) -> Column:
         low, plain, tokens = given["low"], given["plain"], given["tokens"]
@@ -157,7 +162,7 @@ def mention_score(text: Column, forms: Column) -> Column:
             )
             return F.when(n == 0, F.lit(0.0)).when(has_cjk(f), cjk).otherwise(latin)
 
-        return F.coalesce(F.array_max(F.transform(forms, one)), F.lit(0.0))
+        return F.transform(forms, lambda f: F.struct(f.alias("form"), one(f).cast("double").alias("score")))
 
     return let(F.struct(fold(text).alias("low"), alias_signature(text).alias("plain"), token_signatures(text).alias("tokens")), best)
 

@@ -92,6 +92,8 @@ def rule_entry_points(phrases: DataFrame, terms: Sequence[str], limit: int = 40)
 
 #: Entities up to which the keys of a mention scan are broadcast.
 MAX_BROADCAST_KEYS = 100_000
+#: Keys up to which each is looked for in every text, instead of listing a text's character groups.
+FEW_KEYS = 256
 
 
 def mention_scan(passages: DataFrame, entities: DataFrame) -> DataFrame:
@@ -101,23 +103,32 @@ def mention_scan(passages: DataFrame, entities: DataFrame) -> DataFrame:
     text has the name's initials as a token.  So names meet passages by an equal
     join on the first characters of the signature, three at most, against the
     distinct character groups of the passage, and by initials against its tokens;
-    only these pairs are scored.
+    only these pairs are scored.  A few keys are looked for in the texts directly.
     """
     sig = X.alias_signature(F.col("name"))
     names = entities.select("name").where(F.trim("name") != "").distinct()
     keys = F.array_distinct(F.filter(F.array(F.concat(F.lit("s:"), F.left(sig, F.lit(3))), F.concat(F.lit("t:"), X.abbreviation(F.col("name")))), lambda k: F.length(k) > 2))
     keyed = materialize(names.select("name", F.explode(keys).alias("key")), "mention-keys")
-    sizes = sorted(r.n for r in keyed.where(F.col("key").startswith("s:")).select((F.length("key") - 2).alias("n")).distinct().collect())  # at most 3 values
     plain, tokens = X.alias_signature(F.col("text")), X.token_signatures(F.col("text"))
-
-    def grams(n: int) -> Column:
-        return F.transform(F.array_distinct(F.regexp_extract_all(plain, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))), lambda g: F.concat(F.lit("s:"), g))
-
-    marked = F.transform(tokens, lambda t: F.concat(F.lit("t:"), t))
-    rows = passages.select("passage_id", F.explode(F.array_distinct(F.concat(marked, *map(grams, sizes)))).alias("key"))
+    asked = [r.key for r in keyed.select("key").distinct().limit(FEW_KEYS + 1).collect()]
+    if len(asked) <= FEW_KEYS:  # look for each key in the text
+        parts, words = ([k[2:] for k in asked if k.startswith(m)] for m in ("s:", "t:"))
+        held = X.let(plain, lambda t: F.filter(F.array(*map(F.lit, parts)).cast("array<string>"), lambda k: F.contains(t, k)))
+        found = [F.transform(held, lambda k: F.concat(F.lit("s:"), k))]
+        if words:
+            found.append(F.transform(F.array_intersect(tokens, F.array(*map(F.lit, words))), lambda k: F.concat(F.lit("t:"), k)))
+    else:  # list all character groups of the text
+        sizes = sorted(r.n for r in keyed.where(F.col("key").startswith("s:")).select((F.length("key") - 2).alias("n")).distinct().collect())  # at most 3 values
+        groups = lambda n: F.array_distinct(F.regexp_extract_all(plain, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
+        found = [F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)), *(F.transform(groups(n), lambda g: F.concat(F.lit("s:"), g)) for n in sizes)]
+    rows = passages.select("passage_id", F.explode(F.array_distinct(F.concat(*found))).alias("key"))
     few = keyed.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
     pairs = rows.join(F.broadcast(keyed) if few else keyed, "key").select("passage_id", "name").distinct()
-    scored = passages.join(pairs, "passage_id").select("name", "passage_id", X.mention_score(X.text_or_empty(F.col("text")), F.array("name")).alias("score"))
+    # scoring is heavy per row and the rows are small, so both sides keep their number of partitions
+    parts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = pairs.repartition(parts, "passage_id").groupBy("passage_id").agg(F.collect_list("name").alias("names"))
+    met = passages.repartition(parts, "passage_id").join(listed, "passage_id")
+    scored = met.select("passage_id", F.explode(X.mention_scores(X.text_or_empty(F.col("text")), F.col("names"))).alias("s")).select(F.col("s.form").alias("name"), "passage_id", F.col("s.score").alias("score"))
     return scored.where("score > 0")
 
 

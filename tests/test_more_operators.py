@@ -315,3 +315,19 @@ def test_seams():
         tools.run("none", 1)
     with pytest.raises(ValueError):
         tools.register("echo")(lambda q: q)
+
+
+def test_mention_scan_finds_what_every_pair_scores(spark, monkeypatch):
+    from quillgraph.functions import text as X
+
+    names = ["heen", "en de", "token", "ab", "x", "高血压", "Beta-Blocker", "thonti", "Is And"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("passage_id"), "text").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(900, "the beta blocker for 高血压 ed"), (901, None), (902, "")], "passage_id long, text string"))
+    score = X.mention_score(X.text_or_empty(F.col("text")), F.array("name"))
+    entities = spark.createDataFrame([(n,) for n in names], "name string")
+    want = sorted((r.name, r.passage_id, r.score) for r in docs.crossJoin(entities).select("name", "passage_id", score.alias("score")).where("score > 0").collect())
+    for few in (256, 0):
+        monkeypatch.setattr(G, "FEW_KEYS", few)
+        got = sorted((r.name, r.passage_id, r.score) for r in G.mention_scan(docs, entities).collect())
+        assert got == want
+    assert len({w[0] for w in want}) >= 5
