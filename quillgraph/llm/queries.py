@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, license_scan, mil_quality, mixing, quality_rules, sharding, simhash, surrogates
+from . import decontam, infill, langid, license_scan, mil_quality, mixing, quality_rules, sharding, simhash, spelling, surrogates
 from .tables import documents, table
 from .token_count import count_tokens
 
@@ -61,6 +61,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(found)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"]))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,11 +76,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_simhash_near_dedup, op4_quality_rules, op5_pii_surrogates, op6_feistel_shards, op7_decontamination, op8_mil_quality, op9_source_mix, op10_token_counts, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_simhash_near_dedup, op4_quality_rules, op5_pii_surrogates, op6_feistel_shards, op7_decontamination, op8_mil_quality, op9_source_mix, op10_token_counts, op11_fill_in_middle, op13_spelling_variants, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_source_mix": OP9_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_source_mix": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op13_spelling_variants": OP13_SQL}
 
 
 #: Windows of both sides as joined words, matched as text; positions covered by any match are counted once.
@@ -206,3 +214,61 @@ SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN size > 0 AND first < give THEN coalesce(slot, 1099511627776 + first // block) END AS BIGINT) AS slot
 FROM line LEFT JOIN slots ON slots.sid = line.sid AND slots.rank = line.first // line.block
 """
+
+
+#: Units as a list, cut at the drawn ranks.
+OP11_SQL = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents
+), d AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t
+), r AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN text = '' OR h3 % 100 >= 90 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:n], '') AS suf FROM r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+#: The checksum byte by byte over each run's hexadecimal form, candidates by shared deletions, distances by the engine's own function, roots by recursion.
+OP13_SQL = """
+WITH RECURSIVE bits(b, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8
+), step AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8
+), r AS (
+  SELECT id, run, count(*) AS n
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL
+), x AS (
+  SELECT run, n, hex(encode(id || ':' || run)) AS hx FROM r
+), h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(hx), 2), lambda i: CAST('0x' || hx[i:i + 1] AS BIGINT))), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) AS crc FROM x, step
+), w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN crc % 199 = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), k AS (
+  SELECT DISTINCT word, n, unnest(list_append(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)), word)) AS key FROM w
+), near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM k a JOIN k b USING (key) WHERE a.word <> b.word
+), exact AS (
+  SELECT * FROM near WHERE abs(length(word) - length(other)) <= 1 AND len(list_filter(range(0, length(word) + 1), lambda i:
+    left(word, i) = left(other, i) AND CASE length(word) - length(other) WHEN 0 THEN substr(word, i + 2) = substr(other, i + 2) WHEN 1 THEN substr(word, i + 2) = substr(other, i + 1) ELSE substr(word, i + 1) = substr(other, i + 2) END)) > 0
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS form, max(other_n) AS form_n FROM exact GROUP BY word
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM w LEFT JOIN best USING (word)
+), up(word, root, depth) AS (
+  SELECT word, word, 0 FROM f
+  UNION ALL SELECT up.word, f.form, depth + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, u.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM up GROUP BY word) u USING (word)
+"""
