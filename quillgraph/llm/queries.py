@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, infill, langid, license_scan, mil_quality, mixing, quality_rules, sharding, simhash, spelling, surrogates
+from . import decontam, infill, langid, license_scan, mil_quality, mixing, quality_rules, sharding, simhash, spelling, surrogates, vector_graph
 from .tables import documents, table
 from .token_count import count_tokens
 
@@ -65,6 +65,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.transform(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"]))
 
 
+def op12_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -76,11 +80,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_simhash_near_dedup, op4_quality_rules, op5_pii_surrogates, op6_feistel_shards, op7_decontamination, op8_mil_quality, op9_source_mix, op10_token_counts, op11_fill_in_middle, op13_spelling_variants, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_simhash_near_dedup, op4_quality_rules, op5_pii_surrogates, op6_feistel_shards, op7_decontamination, op8_mil_quality, op9_source_mix, op10_token_counts, op11_fill_in_middle, op12_vector_near_dedup, op13_spelling_variants, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_source_mix": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op13_spelling_variants": OP13_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_source_mix": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_vector_near_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL}
 
 
 #: Windows of both sides as joined words, matched as text; positions covered by any match are counted once.
@@ -272,3 +276,19 @@ WITH RECURSIVE bits(b, c, k) AS (
 SELECT f.word, f.form, u.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
 FROM f JOIN (SELECT word, arg_max(root, depth) AS root FROM up GROUP BY word) u USING (word)
 """
+
+
+#: All pairs, and classes by recursion over the links.
+OP12_SQL = """
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach(a, b) AS (
+  SELECT a, b FROM l
+  UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a) USING (vec_id)
+"""
