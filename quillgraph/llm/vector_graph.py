@@ -6,7 +6,7 @@
    one of more than ``SHARD_ROWS`` rows is cut into slices, each a shard.
 3. Each shard builds a graph: candidates are a node's nearest in the shard and
    some far ones, robust pruning keeps those that no kept one covers, reverse
-   edges are added and pruned again.
+   edges are added and pruned again; every node stays reachable from its nearest.
 4. A node's adjacency lists of all its shards are united.
 5. In every shard each of its rows is searched for over the united lists: greedy,
    from the shard's medoid and from the row itself where the shard holds it, with a beam; whatever lies
@@ -14,7 +14,8 @@
    Only members at home in the shard are counted, so a link is counted once.
    Cosines at the threshold or above are confirmed in double precision.
 6. A hash sample is compared with all vectors; below ``recall`` of its links,
-   overlap and beam are doubled and the search is run again.
+   overlap and beam are doubled and the search is run again, up to all cells and
+   a beam of ``WIDEST``; a recall that is missed even then is a warning.
 
 Rows of a search are a node's count and the root of its links in the shard, so
 no pair leaves a task.  A cut cell is searched by pairs of slices, which is
@@ -31,6 +32,7 @@ an empty result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +48,9 @@ from .simhash import _star, by_task
 SAMPLE, CELL_ROWS, SHARD_ROWS = 20_000, 2048, 16_384
 #: Edges that pruning leaves a node, candidates from near and far, and the pruning factor.
 DEGREE, NEAR, FAR, ALPHA = 32, 48, 16, 1.2
-BEAM, EXPAND, LOOSE = 32, 4, 1.25
+#: A node's nearest neighbours from which it can be reached in any case.
+ENTRIES = 3
+BEAM, WIDEST, EXPAND, LOOSE = 32, 512, 4, 1.25
 #: Sampled rows of the audit.
 AUDITED = 1000
 
@@ -108,7 +112,7 @@ def prune(x: np.ndarray, at: np.ndarray, candidates: np.ndarray, degree: int = D
 
 
 def build(x: np.ndarray, seed: int) -> np.ndarray:
-    """The robust-pruned graph over the unit rows ``x``: (n, DEGREE) neighbours, -1 where there are fewer."""
+    """The robust-pruned graph over the unit rows ``x``: neighbours row by row, -1 where there are fewer."""
     n = len(x)
     rng = np.random.default_rng(seed)
     near = min(NEAR, n - 1)
@@ -132,7 +136,32 @@ def build(x: np.ndarray, seed: int) -> np.ndarray:
     for i in range(0, n, 256):
         at = np.arange(i, min(n, i + 256))
         graph[at] = prune(x, at, np.concatenate([graph[at], back[at]], axis=1))
-    return graph
+    return np.concatenate([graph, entries(graph)], axis=1)
+
+
+def entries(graph: np.ndarray) -> np.ndarray:
+    """Edges by which every node can be reached from its ``ENTRIES`` nearest neighbours, few per node.
+
+    Pruning may leave a node without an edge to it.  The nodes that have v among
+    their nearest form a heap below v: v leads to the first, the i-th to the 2i-th
+    and the next, so that v may have any number of them.
+    """
+    n = len(graph)
+    extra = np.full((n, 1 + 2 * ENTRIES), -1, np.int64)
+    source, rank = np.repeat(np.arange(n), ENTRIES), np.tile(np.arange(ENTRIES), n)
+    target = graph[:, :ENTRIES].ravel()
+    some = target >= 0
+    source, rank, target = source[some], rank[some], target[some]
+    order = np.lexsort((source, target))
+    source, rank, target = source[order], rank[order], target[order]
+    first = np.searchsorted(target, target, "left")
+    size = np.searchsorted(target, target, "right") - first
+    place = np.arange(len(target)) - first + 1
+    extra[target[place == 1], 0] = source[place == 1]
+    for child in (0, 1):
+        has = 2 * place + child <= size
+        extra[source[has], 1 + 2 * rank[has] + child] = source[(first + 2 * place + child - 1)[has]]
+    return extra
 
 
 def medoid(x: np.ndarray) -> int:
@@ -363,10 +392,12 @@ def find_links(nodes: DataFrame, threshold: float, recall: float, cell_rows: int
         reached = 1.0 if not got["all"] else got["found"] / got["all"]
         if report is not None:
             report.append({"cells": k, "overlap": overlap, "beam": beam, "audited": got["all"] or 0, "recall": reached})
-        if reached >= recall or (overlap == k and beam >= n):
+        if reached >= recall or (overlap == k and beam >= WIDEST):
+            if reached < recall:
+                warnings.warn(f"{reached:.4f} of the audited links were found, not {recall}", stacklevel=2)
             return found
         discard(nodes.sparkSession, found)
-        overlap, beam = min(k, 2 * overlap), min(2 * beam, max(BEAM, n))
+        overlap, beam = min(k, 2 * overlap), min(2 * beam, WIDEST)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, id_col: str = "vec_id", vector_col: str = "embedding", cell_rows: int = CELL_ROWS, shard_rows: int = SHARD_ROWS, report: list | None = None) -> DataFrame:
