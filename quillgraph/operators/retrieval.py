@@ -9,37 +9,57 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
-from ..storage import materialize
 from . import tfidf
 
 RESULT = ["query_id", "chunk_id", "score", "score_normalized", "rank", "source"]
 
 
-#: Distinct query terms up to which they are broadcast to filter the postings.
-MAX_BROADCAST_TERMS = 100_000
+# Words that are no anchors of a lexical query.
+ANCHOR_STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "described", "did", "do",
+    "does", "during", "events", "for", "from", "had", "has", "have", "he", "her",
+    "him", "his", "how", "in", "into", "is", "it", "its", "of", "on", "or",
+    "recorded", "that", "the", "their", "them", "there", "these", "this", "those",
+    "to", "was", "were", "what", "when", "where", "which", "who", "with",
+    "diary", "daily", "account",
+)
+TITLE_PHRASE = "\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b"
+ANCHOR_TOKEN = "[\\u4e00-\\u9fff]+|[A-Za-z0-9_-]+"
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
-    """Top ``k`` documents of each query; ``queries(query_id, term)`` has distinct terms.
+def anchors(text: Column) -> Column:
+    """struct(required, optional) of a question's lexical anchors.
 
-    Texts are read once into an index (or ``index`` is given).  Only tokens that
-    some query asks for leave the explode, so what is grouped and shuffled are
-    the matching postings alone; lengths come from the same rows.
+    Tokens of three characters or more are required, four at most, and two title
+    phrases are optional; without tokens, two phrases are required.  A token that
+    a phrase holds is no anchor of its own.
     """
-    index = tfidf.term_index(docs) if index is None else index
-    queries = materialize(queries.select("query_id", "term"), "query-terms")
-    wanted = queries.select("term").distinct()
-    few = wanted.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS
-    stats = index.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    found = index.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    tf = materialize(found.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "query-postings")
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    asked = queries.join(df, "term")  # a query's terms with their document counts; the postings' side is shuffled once
-    scored = tf.join(asked, "term").join(F.broadcast(stats), F.lit(True)).select("query_id", "doc_id", weight.alias("w"))
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("doc_id").alias("chunk_id"), "score", "rank")
+    held = lambda words: F.filter(words, lambda w: ~F.lower(w).isin(*ANCHOR_STOP_WORDS))
+    phrases = F.transform(F.regexp_extract_all(text, F.lit(TITLE_PHRASE), F.lit(0)), lambda p: held(F.split(p, "\\s+")))
+    blank = F.struct(X.no_strings().alias("phrases"), X.no_strings().alias("seen"))
+
+    def add(so_far: Column, words: Column) -> Column:
+        phrase = F.array_join(words, " ")
+        more = F.struct(F.array_append(so_far["phrases"], phrase).alias("phrases"), F.concat(so_far["seen"], F.array(F.lower(phrase)), F.transform(words, F.lower)).alias("seen"))
+        return F.when((F.size(words) == 0) | F.array_contains(so_far["seen"], F.lower(phrase)), so_far).otherwise(more)
+
+    def split(found: Column) -> Column:
+        tokens = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ANCHOR_TOKEN), F.lit(0)), F.lower))
+        tokens = F.filter(held(tokens), lambda t: (F.length(t) > 2) & ~F.array_contains(found["seen"], t))
+        return X.let(tokens, lambda t: F.when(F.size(t) > 0, F.struct(F.slice(t, 1, 4).alias("required"), F.slice(found["phrases"], 1, 2).alias("optional"))).otherwise(F.struct(F.slice(found["phrases"], 1, 2).alias("required"), X.no_strings().alias("optional"))))
+
+    return X.let(F.aggregate(phrases, blank, add), split)
+
+
+def anchor_order(results: DataFrame, content: Column, required: Column) -> DataFrame:
+    """R3's local order: ``results`` ranked anew by the share of required anchors in ``content``, how near their first places are, then score and rank."""
+    low = F.lower(content)
+    places = F.filter(F.transform(required, lambda a: F.call_function("instr", low, F.lower(a))), lambda p: p > 0)
+    rows = results.withColumn("__at", places).withColumn("__n", F.size(required))
+    rows = rows.withColumn("coverage", F.when(F.col("__n") == 0, 0.0).otherwise(F.size("__at") / F.col("__n")))
+    rows = rows.withColumn("proximity", F.when(F.size("__at") >= 2, 1.0 / (1.0 + (F.array_max("__at") - F.array_min("__at")) / 200.0)).otherwise(0.0))
+    order = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("proximity"), F.desc("score"), "rank", "chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).drop("__at", "__n")
 
 
 def focus_queries(queries: DataFrame, profile: DataFrame, k: int = 6, min_idf: float = 1.2) -> DataFrame:

@@ -8,25 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..storage import materialize
-
-
-def term_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, filled, tokens, cjk): a table of one pass over the texts, written, from which all term statistics come."""
-    text = F.col(text_col)
-    filled = F.trim(X.text_or_empty(text)) != ""
-    return materialize(docs.select(F.col(id_col).alias("doc_id"), filled.alias("filled"), X.latin_tokens(text).alias("tokens"), X.cjk_terms(text).alias("cjk")), "term-index")
-
-
-def index_postings(index: DataFrame) -> DataFrame:
-    """(doc_id, term): one row per distinct term of a document."""
-    return index.select("doc_id", F.explode(F.array_distinct(F.concat("tokens", "cjk"))).alias("term"))
-
-
-def index_profile(index: DataFrame) -> DataFrame:
-    """A1, A2 from an index: (term, df, idf)."""
-    df = index_postings(index).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = index.agg(F.greatest(F.count_if("filled"), F.lit(1)).alias("n"))
-    return df.join(F.broadcast(n), F.lit(True)).select("term", "df", (F.ln((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+from . import inverted_index
+from .inverted_index import TextIndex
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,22 +29,20 @@ def idf_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.join(F.broadcast(document_count(docs, text_col)), F.lit(True)).select("term", "df", idf.alias("idf"))
 
 
+def indexed_terms(index: TextIndex, min_idf: float = 1.2) -> DataFrame:
+    """:func:`scored_terms` of all documents of a stored index: a term's blocks meet its idf before they are unfolded."""
+    idf = inverted_index.profile(index).where(F.col("idf") >= min_idf).select("term", "idf", (F.col("idf") * X.length_boost(F.col("term"))).alias("score"))
+    return index.terms.select("term", "ids").join(idf, "term").select(F.explode("ids").alias("doc_id"), "term", "idf", "score")
+
+
 def scored_terms(docs: DataFrame, profile: DataFrame | None = None, min_idf: float = 1.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, idf, score) with score = idf times the length boost, terms below ``min_idf`` left out.
 
-    Without a ``profile`` the texts are read once, into an index.  A term below
-    ``min_idf`` is in a fixed share of all documents or more, so there are at most
-    a few times as many as a document has terms: these go by a broadcast before
-    the postings are shuffled.
+    Without a ``profile`` the texts' own is used.
     """
     if profile is None:
-        index = term_index(docs, id_col, text_col)
-        profile = materialize(index_profile(index), "term-profile")
-        pairs = index_postings(index)
-        if min_idf > 0:
-            pairs = pairs.join(F.broadcast(profile.where(F.col("idf") < min_idf).select("term")), "term", "left_anti")
-    else:
-        pairs = postings(docs, id_col, text_col)
+        profile = materialize(idf_table(docs, id_col, text_col), "term-profile")
+    pairs = postings(docs, id_col, text_col)
     rows = pairs.join(profile.select("term", "idf"), "term").where(F.col("idf") >= min_idf)
     return rows.select("doc_id", "term", "idf", (F.col("idf") * X.length_boost(F.col("term"))).alias("score"))
 

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import inverted_index
+from ..operators.inverted_index import TextIndex
+
 
 class Book:
     """A module's queries; ``queries`` and ``oracle_sql`` are what the registry collects."""
@@ -48,6 +51,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored inverted index of the documents, built by the first query that asks for it."""
+    return inverted_index.shared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def made_of(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
     """A "(SELECT expressions FROM table)" text of the SQL twins as a DataFrame: the same rows for both engines."""
     inner = select[len("(SELECT ") : select.rindex(" FROM ")]

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import inverted_index as II
 from ..operators import retrieval as R
-from ..operators import tfidf
 from ..operators import vectors as V
 from ..sources.readers import keep_last
-from .kit import Book, table, texts
+from .kit import Book, table, text_index
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -72,9 +72,9 @@ idf AS (SELECT term, ln((1.0 + (SELECT count(*) FILTER (WHERE trim(coalesce(text
 wt AS (SELECT doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS w FROM tf JOIN df USING (term), ln)"""
 
 
-def _bench_terms(spark, sf, index=None):
+def _bench_terms(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.focus_queries(items, tfidf.index_profile(index or tfidf.term_index(texts(spark, sf))))
+    return R.focus_queries(items, II.profile(text_index(spark, sf)))
 
 
 _FOCUS = f"""q0 AS (SELECT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark),
@@ -92,9 +92,61 @@ _BM25 = f"WITH {_BM}, {_FOCUS}, s AS (SELECT query_id, doc_id, round(sum(w), 9)
 
 @BOOK.query(f"{_BM25} SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def r3_bm25_search(spark, sf):
-    docs = texts(spark, sf)
-    index = tfidf.term_index(docs)
-    return R.bm25(_bench_terms(spark, sf, index), docs, index=index).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return II.bm25(text_index(spark, sf), _bench_terms(spark, sf)).results.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@BOOK.query(f"WITH {_BM}, {_FOCUS} SELECT query_id, term, CAST(df AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS max_weight FROM q JOIN df USING (term) JOIN tf USING (term), ln GROUP BY ALL")
+def idx1_term_blocks(spark, sf):
+    """The posting blocks of the questions' terms, added up."""
+    index = text_index(spark, sf)
+    sums = index.terms.groupBy("term").agg(F.sum("n_docs").alias("df"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).alias("cf"), F.round(F.max("max_weight"), 6).alias("max_weight"))
+    return _bench_terms(spark, sf).join(sums, "term").select("query_id", "term", "df", "cf", "max_weight")
+
+
+_ANCHORED = f"""a0 AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+ph AS (SELECT conv_id, turn, text, list_filter(list_transform(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b'), lambda p: array_to_string(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: lower(w) NOT IN {R.ANCHOR_STOP_WORDS}), ' ')), lambda p: p <> '') AS every FROM a0),
+pd AS (SELECT conv_id, turn, text, list_filter(list_transform(range(1, len(every) + 1), lambda i: CASE WHEN len(list_filter(every[1:i - 1], lambda e: lower(e) = lower(every[i]) OR list_contains(string_split(lower(e), ' '), lower(every[i])))) = 0 THEN every[i] END), lambda p: p IS NOT NULL) AS phrases FROM ph),
+tk AS (SELECT conv_id, turn, phrases, list_filter(list_transform(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]+|[A-Za-z0-9_-]+'), lambda t: lower(t)), lambda t: length(t) > 2 AND t NOT IN {R.ANCHOR_STOP_WORDS} AND NOT list_contains(string_split(lower(array_to_string(phrases, ' ')), ' '), t)) AS every FROM pd),
+an AS (SELECT conv_id, turn, phrases, list_filter(list_transform(range(1, len(every) + 1), lambda i: CASE WHEN list_position(every, every[i]) = i THEN every[i] END), lambda t: t IS NOT NULL) AS tokens FROM tk)"""
+
+
+@BOOK.query(f"WITH {_ANCHORED} SELECT conv_id, turn, array_to_string(CASE WHEN len(tokens) > 0 THEN tokens[1:4] ELSE phrases[1:2] END, '|') AS required, array_to_string(CASE WHEN len(tokens) > 0 THEN phrases[1:2] ELSE [] END, '|') AS optional FROM an")
+def r4_anchors(spark, sf):
+    a = R.anchors(X.text_or_empty(F.col("text")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", a.alias("a")).select("conv_id", "turn", F.array_join("a.required", "|").alias("required"), F.array_join("a.optional", "|").alias("optional"))
+
+
+def _clauses(spark, sf):
+    """Of every benchmark passage: its third to fifth token as a phrase that must stand, and its focus terms."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(II.clause_tokens(F.col("text")), 3, 3).alias("tokens")).where(F.size("tokens") > 0)
+    phrases = items.select("query_id", F.lit(" phrase").alias("clause"), F.lit(True).alias("must"), "tokens")
+    return phrases.unionByName(_bench_terms(spark, sf).select("query_id", F.col("term").alias("clause"), F.lit(False).alias("must"), F.array("term").alias("tokens")))
+
+
+_CLAUSES = f"""{_BM}, {_FOCUS}, ph AS (SELECT * FROM (SELECT item_id AS query_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9_-]+'), lambda t: lower(t))[3:5] AS p FROM benchmark) WHERE len(p) > 0),
+jt AS (SELECT doc_id, t, ' ' || array_to_string(t, ' ') || ' ' AS j FROM tok),
+hits AS (SELECT query_id, doc_id, p, len(t) AS len, len(list_filter(range(1, len(t) - len(p) + 2), lambda i: t[i:i + len(p) - 1] = p)) AS tf FROM ph JOIN jt ON contains(j, ' ' || array_to_string(p, ' ') || ' ')),
+pi AS (SELECT query_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) AS idf FROM (SELECT query_id, unnest(p) AS term FROM ph) JOIN df USING (term), ln GROUP BY query_id),
+pw AS (SELECT query_id, doc_id, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS w FROM hits JOIN pi USING (query_id), ln),
+s AS (SELECT pw.query_id, pw.doc_id, round(pw.w + coalesce(sum(wt.w), 0), 9) AS score, 1 + count(wt.w) AS n_clauses FROM pw LEFT JOIN q ON q.query_id = pw.query_id LEFT JOIN wt ON wt.term = q.term AND wt.doc_id = pw.doc_id GROUP BY pw.query_id, pw.doc_id, pw.w),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
+
+
+@BOOK.query(f"WITH {_CLAUSES} SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score, CAST(n_clauses AS BIGINT) AS n_clauses, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def r4_clause_search(spark, sf):
+    return II.clause_search(text_index(spark, sf), _clauses(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@BOOK.query(f"""WITH {_CLAUSES}, c AS (SELECT r.query_id, r.doc_id AS chunk_id, r.score, r.rank, list_filter([strpos(lower(text), p[1]), strpos(lower(text), p[len(p)])], lambda x: x > 0) AS places FROM r JOIN documents USING (doc_id) JOIN ph USING (query_id) WHERE r.rank <= 10)
+SELECT query_id, chunk_id, round(len(places) / 2.0, 6) AS coverage, round(CASE WHEN len(places) >= 2 THEN 1.0 / (1.0 + (list_max(places) - list_min(places)) / 200.0) ELSE 0 END, 6) AS proximity,
+CAST(row_number() OVER (PARTITION BY query_id ORDER BY len(places) DESC, CASE WHEN len(places) >= 2 THEN list_max(places) - list_min(places) ELSE 1e9 END, score DESC, rank, chunk_id) AS INTEGER) AS rank FROM c""")
+def r3_anchor_order(spark, sf):
+    """The clause search's results in R3's local order by the first and last token of their phrase."""
+    clauses = _clauses(spark, sf)
+    found = II.clause_search(text_index(spark, sf), clauses)
+    ends = clauses.where("must").select("query_id", F.array(F.element_at("tokens", 1), F.element_at("tokens", -1)).alias("required"))
+    rows = found.join(ends, "query_id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    return R.anchor_order(rows, F.col("text"), F.col("required")).select("query_id", "chunk_id", F.round("coverage", 6).alias("coverage"), F.round("proximity", 6).alias("proximity"), "rank")
 
 
 _DOCQ = _FOCUS.replace("SELECT item_id AS query_id, unnest", "SELECT doc_id AS query_id, unnest").replace("FROM benchmark", "FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id % 20 = 0")
@@ -108,9 +160,9 @@ def channels(spark, sf, k=10):
     ids = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("doc_id"))
     asked = docs.join(ids, "doc_id", "left_semi")
     vec = vector_channel(spark, sf, k).select("query_id", "chunk_id", "score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score_normalized"), "rank", F.lit("vector").alias("source"))
-    index = tfidf.term_index(texts(spark, sf))
-    terms = R.focus_queries(asked.select(F.col("doc_id").alias("query_id"), "text"), tfidf.index_profile(index))
-    lex = R.bm25(terms, docs, k, index=index).select("query_id", "chunk_id", "score", R.bm25_confidence(F.col("score")).alias("score_normalized"), "rank", F.lit("bm25").alias("source"))
+    index = text_index(spark, sf)
+    terms = R.focus_queries(asked.select(F.col("doc_id").alias("query_id"), "text"), II.profile(index))
+    lex = II.bm25(index, terms, k).results.select("query_id", "chunk_id", "score", R.bm25_confidence(F.col("score")).alias("score_normalized"), "rank", F.lit("bm25").alias("source"))
     # a source's longest documents are found once per source, then joined to the questions of that source
     best = docs.select("source", "doc_id", "n_chars").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where(F.col("rank") <= k)
     graph = asked.select(F.col("doc_id").alias("query_id"), "source").join(best, "source").select("query_id", F.col("doc_id").alias("chunk_id"), (1.0 / F.col("rank")).alias("score"), F.least(F.lit(0.6), 1.0 / F.col("rank")).alias("score_normalized"), "rank", F.lit("graph").alias("source"))

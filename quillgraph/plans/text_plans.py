@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import filters, tfidf
-from .kit import Book, made_of, table, texts
+from .kit import Book, made_of, table, text_index, texts
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -55,7 +55,7 @@ _RANKED = f"{_POST}, s AS (SELECT doc_id, term, idf, idf * {_BOOST} AS score FRO
 
 @BOOK.query(f"{_RANKED} SELECT doc_id, term, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 8")
 def k2_rank_keywords(spark, sf):
-    return tfidf.top_keywords(tfidf.scored_terms(docs(spark, sf))).select("doc_id", "term", "rank", F.round("score", 6).alias("score"))
+    return tfidf.top_keywords(tfidf.indexed_terms(text_index(spark, sf))).select("doc_id", "term", "rank", F.round("score", 6).alias("score"))
 
 
 @BOOK.query(f"{_RANKED}, t AS (SELECT doc_id, sum(score) AS total FROM r WHERE rank <= 8 GROUP BY doc_id) SELECT doc_id, round(coalesce(total / sqrt(greatest(len({_TERMS}), 1)), 0), 6) AS signal FROM documents LEFT JOIN t USING (doc_id)")
