@@ -91,10 +91,9 @@ def a35_rouge_l(spark, sf):
     return E.rouge_scores(pairs.select("conv_id", "turn", F.col("q").alias("reference"), F.col("text").alias("candidate"))).select("conv_id", "turn", F.round("rouge_l", 6).alias("rouge_l"))
 
 
-@BOOK.query("SELECT page_id, length(html) AS n FROM pages WHERE html LIKE '<!DOCTYPE html>%'")
+@BOOK.query("SELECT page_id, length(html) AS n FROM pages")
 def src2_decoded_pages(spark, sf):
-    p = table(spark, sf, "pages").where(F.col("html").startswith("<!DOCTYPE html>"))
-    return p.select("page_id", F.length(S.decode(F.col("html").cast("binary"))).cast("long").alias("n"))
+    return table(spark, sf, "pages").select("page_id", F.length(S.decode(F.col("html").cast("binary"))).cast("long").alias("n"))
 
 
 @BOOK.query("SELECT page, markdown, first AS src FROM (SELECT l_orderkey AS page, l_returnflag AS markdown, min(CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END) AS f, CASE WHEN min(CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END) = 0 THEN 'O' ELSE 'F' END AS first FROM lineitem GROUP BY 1, 2)")
