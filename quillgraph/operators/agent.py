@@ -1,45 +1,18 @@
-"""The question loop over tables (X1-X4, R10, R13, SNK8, PRJ7): one bounded driver loop, every step a DataFrame."""
+"""The question loop over tables (X1-X3, R10, R13, SNK8, PRJ7): one bounded driver loop, every step a DataFrame."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plugins import CallFailed
 from ..storage import materialize
 from . import policy, retrieval
-
-Channel = Callable[[DataFrame], DataFrame]
-RESULT_SCHEMA = "query_id long, chunk_id long, score double, score_normalized double, rank int, source string"
-
-
-#: Failures of a channel's source or model; anything else is a mistake in the program and is raised.
-CHANNEL_FAILURES = (OSError, TimeoutError, CallFailed, AnalysisException)
-
-
-def fan_out(queries: DataFrame, channels: Mapping[str, Channel], enabled: list[str] | None = None, failures: dict[str, str] | None = None) -> DataFrame:
-    """The union of all enabled channels; one whose source or model fails gives no rows.
-
-    ``failures`` takes the reason by channel name, so a missing channel is never silent.
-    """
-    parts = []
-    for name, channel in channels.items():
-        if enabled is not None and name not in enabled:
-            continue
-        try:
-            parts.append(channel(queries).select(*retrieval.RESULT))
-        except CHANNEL_FAILURES as error:  # a channel's failure leaves the others
-            if failures is None:
-                raise
-            failures[name] = f"{type(error).__name__}: {error}"
-            parts.append(queries.sparkSession.createDataFrame([], RESULT_SCHEMA))
-    return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], RESULT_SCHEMA)
+from .fanout import Channel
 
 
 @dataclass

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,24 +12,12 @@ from ..operators import inverted_index as II
 from ..operators import retrieval as R
 from ..operators import vectors as V
 from ..sources.readers import keep_last
+from .channel_kit import _COVER, _GRAPH, _QT, _SOURCE, _TOP, _VEC, _queries, _top, graph_rows
 from .kit import Book, table, text_index
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
 
-_VEC = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
-_TOP = f"{_VEC}, s AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_cosine_similarity(q.v, x.v), 9) AS score FROM e q, e x WHERE q.vec_id % 20 = 0), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"
-
-
-def _queries(spark, sf):
-    """The stated query set of searches: every vector whose id is divisible by 20, against all rows."""
-    return table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-
-
-def _top(spark, sf, k):
-    return V.block_top_k(_queries(spark, sf), table(spark, sf, "embeddings").select("vec_id", "embedding"), k)
-
-
 @BOOK.query(f"WITH {_TOP} SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 10")
 def r1_vector_top_k(spark, sf):
     return _top(spark, sf, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
@@ -151,28 +141,36 @@ def r3_anchor_order(spark, sf):
 
 _DOCQ = _FOCUS.replace("SELECT item_id AS query_id, unnest", "SELECT doc_id AS query_id, unnest").replace("FROM benchmark", "FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id % 20 = 0")
 _LEX = "bs AS (SELECT query_id, doc_id, round(sum(w), 9) AS score FROM q JOIN wt USING (term) GROUP BY ALL), br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs)"
-_GRAPH = "gr AS (SELECT q.doc_id AS query_id, d.doc_id AS chunk_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY d.n_chars DESC, d.doc_id) AS rank FROM (SELECT doc_id, source FROM documents JOIN embeddings ON vec_id = doc_id WHERE vec_id % 20 = 0) q JOIN documents d USING (source))"
+def channel_set(spark, sf, k=10):
+    """The three channels of the hybrid search by name, each a function of the questions (query_id) in the result schema."""
+    docs = table(spark, sf, "documents")
+    normal = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
+    of = lambda name, rows: rows.select("query_id", "chunk_id", "score", "score_normalized", "rank", F.lit(name).alias("source"))
+
+    def vector(asked):
+        return of("vector", vector_channel(spark, sf, k).join(asked, "query_id", "left_semi").withColumn("score_normalized", normal))
+
+    def lexical(asked):
+        index = text_index(spark, sf)
+        texts = docs.withColumnRenamed("doc_id", "query_id").join(asked, "query_id", "left_semi").select("query_id", "text")
+        return of("bm25", II.bm25(index, R.focus_queries(texts, II.profile(index)), k).results.withColumn("score_normalized", R.bm25_confidence(F.col("score"))))
+
+    def graph(asked):
+        return of("graph", graph_rows(spark, sf).join(asked, "query_id", "left_semi"))
+
+    return {"vector": vector, "bm25": lexical, "graph": graph}
 
 
 def channels(spark, sf, k=10):
-    """The three channels of the hybrid search in the result schema."""
-    docs, emb = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    ids = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("doc_id"))
-    asked = docs.join(ids, "doc_id", "left_semi")
-    vec = vector_channel(spark, sf, k).select("query_id", "chunk_id", "score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score_normalized"), "rank", F.lit("vector").alias("source"))
-    index = text_index(spark, sf)
-    terms = R.focus_queries(asked.select(F.col("doc_id").alias("query_id"), "text"), II.profile(index))
-    lex = II.bm25(index, terms, k).results.select("query_id", "chunk_id", "score", R.bm25_confidence(F.col("score")).alias("score_normalized"), "rank", F.lit("bm25").alias("source"))
-    # a source's longest documents are found once per source, then joined to the questions of that source
-    best = docs.select("source", "doc_id", "n_chars").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where(F.col("rank") <= k)
-    graph = asked.select(F.col("doc_id").alias("query_id"), "source").join(best, "source").select("query_id", F.col("doc_id").alias("chunk_id"), (1.0 / F.col("rank")).alias("score"), F.least(F.lit(0.6), 1.0 / F.col("rank")).alias("score_normalized"), "rank", F.lit("graph").alias("source"))
-    return vec.unionByName(lex).unionByName(graph)
+    """All rows of the three channels."""
+    asked = _queries(spark, sf).select("query_id")
+    return reduce(DataFrame.unionByName, (c(asked) for c in channel_set(spark, sf, k).values()))
 
 
-_CHANNELS = f"""WITH {_R2}, {_BM}, {_DOCQ}, {_LEX}, {_GRAPH}, ch AS (
+_CHANNELS = f"""WITH {_R2}, {_BM}, {_DOCQ}, {_LEX}, {_SOURCE}, {_QT}, {_GRAPH}, ch AS (
 SELECT query_id, chunk_id, score, greatest(0, least(1, score)) AS norm, rank, 'vector' AS source, 0 AS p FROM v WHERE rank <= 10
 UNION ALL SELECT query_id, doc_id, score, score / (score + 1), rank, 'bm25', 1 FROM br WHERE rank <= 10
-UNION ALL SELECT query_id, chunk_id, 1.0 / rank, least(0.6, 1.0 / rank), rank, 'graph', 2 FROM gr WHERE rank <= 10)"""
+UNION ALL SELECT query_id, chunk_id, 1.0 / rank, {_COVER.format('own')}, rank, 'graph', 2 FROM gz)"""
 
 
 @BOOK.query(f"{_CHANNELS}, k AS (SELECT *, max(norm) OVER (PARTITION BY query_id, chunk_id) AS best, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY p, rank) AS n FROM ch), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, rank, chunk_id) AS fr FROM k WHERE n = 1) SELECT query_id, chunk_id, round(best, 6) AS score_normalized, CAST(fr AS INTEGER) AS rank, source FROM o WHERE fr <= 15")

@@ -111,24 +111,6 @@ def test_trail_triples_against_a_plain_search(spark):
     assert {(r.connected, r.src, r.dst, r.length) for r in got} == want and len(got) == len(want)
 
 
-def test_channels_fail_in_the_open(spark):
-    asked = spark.createDataFrame([(1,)], "query_id long")
-    good = lambda q: q.select("query_id", F.lit(7).cast("long").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1.0).alias("score_normalized"), F.lit(1).alias("rank"), F.lit("good").alias("source"))
-
-    def away(q):
-        raise OSError("no such index")
-
-    def wrong(q):
-        raise TypeError("a mistake")
-
-    failures = {}
-    assert A.fan_out(asked, {"good": good, "away": away}, failures=failures).count() == 1 and "no such index" in failures["away"]
-    with pytest.raises(OSError):
-        A.fan_out(asked, {"away": away})
-    with pytest.raises(TypeError):
-        A.fan_out(asked, {"wrong": wrong}, failures={})
-
-
 def test_only_transient_failures_are_retried():
     slept = []
     call = plugins.RetryingCall(max_retries=2, jitter=0, longest_wait=3, max_failures_in_row=10, sleep=slept.append, clock=lambda: 0.0)
