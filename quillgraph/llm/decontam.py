@@ -12,12 +12,12 @@ are exact.  Document words inside a verified window are hit.
 The broadcast holds the benchmark, not the corpus, and its bytes are bounded
 before it is made: where words and distinct words would take more than
 ``max_broadcast_bytes``, :func:`scan` joins document windows with benchmark
-windows by hash instead and compares the joined pairs.
+windows by a 64-bit hash instead and compares what meets word by word.
 
 Edge cases: a null or word-less document has n_words 0 and no hits; null and
-word-less items and items without an id have no window; repeated items are
-distinct items with the same windows; items of one id are one item; ids may be
-strings; repeated documents are scanned each; texts of any length are read
+word-less items have no window; an item without an id hits like any other and
+is listed as null, once; repeated items are distinct items with the same windows;
+items of one id are one item; ids may be strings; repeated documents are scanned each; texts of any length are read
 whole; an empty benchmark hits nothing, an empty table gives an empty result;
 :func:`scan` replaces kept columns with the name of an output, and
 :func:`decontaminate` keeps all columns as they are.
@@ -137,7 +137,8 @@ def _scan_batch(texts: list[bytes | None], grams: WindowSet) -> dict[str, list]:
                 spans.append([begin, end])
         out["spans"][doc] = [{"first": a, "end": b} for a, b in spans]
         out["n_hit"][doc] = sum(b - a for a, b in spans)
-        out["item_ids"][doc] = sorted({i for _, _, owners in found for i in owners})
+        ids = {i for _, _, owners in found for i in owners}
+        out["item_ids"][doc] = sorted(ids - {None}) + [None] * (None in ids)
     return out
 
 
@@ -147,7 +148,7 @@ SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructF
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast_bytes: int = 256 << 20) -> DataFrame:
     """Columns ``keep`` of ``docs`` with n_words, n_hit, item_ids (sorted) and spans (word ranges, merged)."""
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in OUT]
-    bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("bench_text")).where("bench_text is not null and item is not null")
+    bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("bench_text")).where("bench_text is not null")
     rows = docs.select(*keep, F.col(text_col).alias("__scanned_text"))
     listed = bench.select(F.explode(_words(F.col("bench_text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     words, distinct, letters = listed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("w")), F.lit(0))).first()
@@ -189,15 +190,19 @@ def _scan_by_join(rows: DataFrame, bench: DataFrame, n: int, keep: list[str]) ->
     base = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
     base = base.withColumn("__w", F.coalesce(_words(F.col("__scanned_text")), F.array().cast("array<string>"))).drop("__scanned_text")
     ids = T.ArrayType(bench.schema["item"].dataType)
+    items = items.withColumn("h", F.xxhash64("gram"))
     found = None
     for size in sizes:
-        grams = base.select("__row", F.posexplode(windows(F.col("__w"), F.lit(size))).alias("first", "gram"))
-        part = grams.join(items.where(F.col("size") == size), "gram").select("__row", "item", F.col("first").cast("long").alias("first"), (F.col("first") + size).cast("long").alias("end"))
+        # hashes alone are shuffled; the few windows whose hash a benchmark window has are compared as text
+        hashes = base.select("__row", F.posexplode(F.transform(windows(F.col("__w"), F.lit(size)), lambda g: F.xxhash64(g))).alias("first", "h"))
+        part = hashes.join(items.where(F.col("size") == size), "h").join(base.select("__row", "__w"), "__row")
+        part = part.where(F.array_join(F.slice("__w", F.col("first") + 1, F.lit(size)), " ") == F.col("gram"))
+        part = part.select("__row", "item", F.col("first").cast("long").alias("first"), (F.col("first") + size).cast("long").alias("end"))
         found = part if found is None else found.unionByName(part)
     plain = base.withColumn("n_words", F.size("__w").cast("long")).drop("__w")
     if found is None:
         return plain.select(*keep, "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast(ids).alias("item_ids"), F.array().cast(SPAN).alias("spans"))
-    spans = found.groupBy("__row").agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.sort_array(F.collect_set(F.struct("first", "end"))).alias("all"))
+    spans = found.groupBy("__row").agg(F.array_sort(F.transform(F.collect_set(F.struct("item")), lambda i: i["item"])).alias("item_ids"), F.sort_array(F.collect_set(F.struct("first", "end"))).alias("all"))
     merged = F.aggregate(
         "all",
         F.array().cast(SPAN),
@@ -274,6 +279,6 @@ def brute_force(docs: list[tuple], items: list[tuple], n: int = 10) -> list[tupl
                 if tuple(w[i : i + k]) in windows:
                     hit.update(range(i, i + k))
                     found |= windows[tuple(w[i : i + k])]
-        listed = ",".join(sorted(map(str, found)))
+        listed = ",".join(sorted(str(i) for i in found if i is not None))
         rows.append((doc, len(w), len(hit), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(hit)))
     return rows

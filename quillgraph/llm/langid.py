@@ -6,14 +6,15 @@ and a document's score is the mean of its letter positions' probabilities, over
 the whole text.  The network is trained in numpy by backpropagation through
 time, on the driver, from a bounded sample of labelled rows.
 
-The sample (``per_lang`` rows of each language, ``WINDOWS_PER_DOC`` passages of
-each, chosen by a hash) is the only bounded part: every labelled language is
-learned and every row is scored whole.
+The sample (at most ``per_lang`` whole rows and ``windows_per_lang`` windows of
+each language, chosen by a hash of id and text) is the only bounded part: every
+labelled language, up to ``max_langs``, is learned and every row is scored whole.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; one
 learned language gives that language; without any labelled row everything with
 letters is ``und``; ties between languages go to the first by code point; texts
-of any length are read whole, in windows; repeated rows get equal results; an
+of any length are read whole, in windows; repeated rows get equal results and
+are learned once; null and repeated ids are sampled like others; an
 empty table gives an empty result; kept columns with the name of an output are
 replaced by :func:`identify`, and stay as they are in :func:`keep_identified`.
 """
@@ -32,7 +33,6 @@ from pyspark.sql import types as T
 from .tables import pieces, set_aside
 
 WINDOW, HIDDEN, BATCH = 128, 8, 2048
-WINDOWS_PER_DOC = 4
 IS_LETTER = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)], np.float32)
 
 
@@ -212,36 +212,51 @@ def _drain(net: Network, queue: list[tuple[int, bytes]], sums: np.ndarray) -> No
         np.add.at(sums, owner[at : at + BATCH], part)
 
 
-def training_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int = 400) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(langs, windows, labels) of at most per_lang rows of each language; all languages take part."""
+def training_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int = 400, windows_per_lang: int = 1200, max_langs: int = 512) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(langs, windows, labels) of whole rows: of each language at most ``per_lang`` and as many as ``windows_per_lang`` windows hold.
+
+    Rows are chosen by a hash of id and text, so neither null nor repeated ids
+    leave a language out; equal rows count once.  A language none of whose rows
+    fits gives its shortest sampled row, whole.  Beyond ``max_langs`` values the most frequent are learned.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    if not counts:
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(17)).alias("h"))
+    stats = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not stats:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
-    h = F.xxhash64(F.col(id_col), F.lit(17))
-    share = docs_share(rows.sparkSession, {lang: min(1 << 20, 1 + (per_lang * 3 // 2 << 20) // n) for lang, n in counts.items()}, rows.schema[lang_col].dataType)
-    rows = rows.join(F.broadcast(share), F.col(lang_col) == F.col("__lang")).where(F.pmod(h, F.lit(1 << 20)) < F.col("__share"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.substr(F.col(text_col), (F.pmod(F.xxhash64(h, i), F.greatest(F.length(text_col) - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)))
-    picked = rows.select(h.alias("h"), F.col(lang_col).alias("lang"), places.alias("parts")).orderBy("h").limit(2 * per_lang * len(counts)).collect()
-    langs = sorted(counts)
+    share = docs_share(rows.sparkSession, {r.lang: (min(1 << 20, 1 + (per_lang * 3 // 2 << 20) // r.n), r.least) for r in stats}, rows.schema["lang"].dataType)
+    drawn = (F.pmod("h", F.lit(1 << 20)) < F.col("__share")) | (F.col("h") == F.col("__least"))
+    sampled = rows.join(F.broadcast(share), F.col("lang") == F.col("__lang")).where(drawn)
+    sizes = sampled.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("size")).orderBy("h", "lang").limit(2 * per_lang * len(stats)).collect()
+    taken: dict[str, list[int]] = {r.lang: [] for r in stats}
+    left = dict.fromkeys(taken, windows_per_lang)
+    for r in sizes:
+        if len(taken[r.lang]) < per_lang and (need := -(-r.size // WINDOW)) <= left[r.lang]:
+            taken[r.lang].append(r.h)
+            left[r.lang] -= need
+    for r in sorted(sizes, key=lambda r: (r.size, r.h)):
+        if not taken[r.lang]:
+            taken[r.lang].append(r.h)
+    chosen = rows.sparkSession.createDataFrame([(h,) for hs in taken.values() for h in hs], "h long").distinct()
+    texts = rows.join(F.broadcast(chosen), "h").groupBy("lang", "h").agg(F.max("text").alias("text")).collect()
+    langs = sorted(taken)
     number = {lang: i for i, lang in enumerate(langs)}
-    seen = dict.fromkeys(langs, 0)
+    held = {lang: set(hs) for lang, hs in taken.items()}
     windows, labels = [], []
-    for r in picked:
-        if seen[r.lang] < per_lang:
-            seen[r.lang] += 1
-            for part in dict.fromkeys(r.parts):
-                raw = part.encode("utf-8", "replace")
-                for at in range(0, max(1, len(raw)), WINDOW):
-                    if at == 0 or len(raw) - at >= WINDOW // 4:  # a short rest teaches little
-                        windows.append(raw[at : at + WINDOW])
-                        labels.append(number[r.lang])
-    return langs, to_windows([w or b" " for w in windows])[0], np.array(labels, np.int64)
+    for r in sorted(texts, key=lambda r: (r.h, number.get(r.lang, -1))):
+        if r.h in held.get(r.lang, ()):
+            raw = r.text.encode("utf-8", "replace")
+            for at in range(0, len(raw), WINDOW):
+                if at == 0 or len(raw) - at >= WINDOW // 4:  # a short rest teaches little
+                    windows.append(raw[at : at + WINDOW])
+                    labels.append(number[r.lang])
+    return langs, to_windows(windows)[0], np.array(labels, np.int64)
 
 
 def docs_share(spark, shares: dict, kind) -> DataFrame:
-    """(__lang, __share): one row per language, the hash range that its sample is taken from."""
-    return spark.createDataFrame(list(shares.items()), T.StructType([T.StructField("__lang", kind), T.StructField("__share", T.LongType())]))
+    """(__lang, __share, __least): one row per language, the hash range that its sample is taken from and its smallest hash."""
+    fields = [T.StructField("__lang", kind), T.StructField("__share", T.LongType()), T.StructField("__least", T.LongType())]
+    return spark.createDataFrame([(lang, *values) for lang, values in shares.items()], T.StructType(fields))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", **sample) -> Network | None:

@@ -8,9 +8,9 @@ the bag) weighs the passages, and a logistic layer scores the weighted passage
 representation.  Table, encoder, attention and scorer are learned together from
 document labels only, by Adam in numpy on the driver.
 
-Training uses at most ``max_docs`` labelled documents (chosen by a hash of the
-id; a repeated id gives its last text) and at most ``passages_per_doc`` evenly
-spread passages of each; scoring uses all passages of all rows.
+Training uses whole labelled documents, at most ``max_docs`` of them and at most
+``max_bytes`` of text, chosen by a hash of id and text; all their passages are
+read.  Scoring uses all passages of all rows.
 
 Edge cases: null, empty and blank texts are a bag with one all-zero passage and
 get a score like any other; without labels, or with one kind of label only, the
@@ -223,8 +223,8 @@ def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, passages_per_doc: int = 64, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Model:
-    """A model from labels of rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_bytes: int = 32 << 20, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Model:
+    """A model from labels of rows that are not held out: ``max_docs`` whole rows at most, and as many as ``max_bytes`` of text hold."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64(id_col, F.lit(23)), id_col).limit(max_docs)
 
@@ -232,13 +232,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, passages_per_d
         for batch in batches:
             for i in range(batch.num_rows):
                 p, _ = figures([(batch.column(2)[i].as_py() or "").encode("utf-8", "replace")])
-                p = p.pick(np.unique(np.linspace(0, len(p) - 1, min(len(p), passages_per_doc)).astype(int)))
                 made = [pa.array([k.tobytes()], pa.binary()) for k in (p.x.astype("<f4"), p.grams.astype("<u2"), p.sizes.astype("<i8"))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *made], names=["h", "label", "x", "grams", "sizes"])
 
-    rows = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(chosen), id_col)
-    rows = rows.groupBy(id_col).agg(F.max("label").alias("label"), F.max("__text").alias("__text")).select(F.xxhash64(id_col, F.lit(23)).alias("h"), "label", "__text")
-    got = sorted(rows.mapInArrow(encode, "h long, label double, x binary, grams binary, sizes binary").collect(), key=lambda r: (r.h, r.label, bytes(r.x)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(id_col, text.alias("__text")).join(F.broadcast(chosen), id_col)
+    # the texts of a repeated id are rows of their own, equal ones are one row
+    rows = rows.select(F.xxhash64(F.xxhash64(id_col, F.lit(23)), "__text").alias("h"), "label", "__text")
+    sizes = rows.groupBy("h").agg(F.min(F.octet_length("__text")).alias("size")).orderBy("h").limit(max_docs).collect()
+    taken, left = [], max_bytes
+    for r in sizes:
+        if r.size <= left:
+            taken.append((r.h,))
+            left -= r.size
+    picked = rows.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "h long")), "h").groupBy("h").agg(F.max("label").alias("label"), F.max("__text").alias("__text"))
+    got = sorted(picked.mapInArrow(encode, "h long, label double, x binary, grams binary, sizes binary").collect(), key=lambda r: (r.h, r.label, bytes(r.x)))
     model = Model()
     bags = [Passages(np.frombuffer(bytes(r.x), "<f4").reshape(-1, FIGURES), np.frombuffer(bytes(r.grams), "<u2"), np.frombuffer(bytes(r.sizes), "<i8")) for r in got]
     everything = Passages.join(bags) if bags else figures([b""])[0].pick(np.zeros(0, np.int64))

@@ -81,3 +81,50 @@ def test_offsets_by_join(spark, folder):
     one, n = sharding.numbered(docs)
     two, m = sharding.numbered(docs, rows_per_bucket=5, max_broadcast=0)
     assert n == m and sorted(r.row_number for r in two.collect()) == sorted(r.row_number for r in one.collect()) == list(range(n))
+
+
+def test_a_language_without_ids_or_with_one_repeated_row_is_learned(spark):
+    from quillgraph.llm import langid
+
+    en, de = "the of and was in this with from ", "der die und das nicht für schön über "
+    rows = [(None, f"{en * 4} {i}", "en") for i in range(3000)] + [(7, de * 5, "de")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    langs, windows, labels = langid.training_sample(docs, "text", "lang", "doc_id", per_lang=40)
+    assert langs == ["de", "en"] and (labels == 0).sum() > 0 and (labels == 1).sum() >= 40
+    assert langid.keep_identified(docs, per_lang=40).count() == 6000
+    langs, windows, labels = langid.training_sample(docs, "text", "lang", "doc_id", per_lang=40, windows_per_lang=10, max_langs=1)
+    assert langs in (["de"], ["en"]) and len(windows) <= 12
+
+
+def test_training_reads_whole_rows(spark):
+    from quillgraph.llm import langid
+
+    text = "".join(chr(97 + i // 700 % 26) for i in range(12_000))
+    docs = spark.createDataFrame([(1, text, "xx"), (2, "short text", "yy")], "doc_id long, text string, lang string")
+    _, windows, labels = langid.training_sample(docs, "text", "lang", "doc_id")
+    assert bytes(windows[labels == 0].ravel()).rstrip(b"\x00 ").decode() == text
+
+
+def test_items_without_an_id_hit(spark):
+    from quillgraph.llm import decontam
+
+    passage = "one two three four five six seven eight nine ten eleven"
+    items = [(None, passage), (None, passage + " twelve"), (5, "one two three"), (None, None)]
+    docs = [(1, "x " + passage + " y"), (2, "clean words only"), (3, "one two three"), (None, passage)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(decontam.brute_force(docs, items), key=str)
+    for bound in (256 << 20, 0):
+        got = decontam.digest(decontam.scan(d, b, keep=["doc_id"], max_broadcast_bytes=bound))
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert dict((r[0], r[2]) for r in want)[1] == 11
+
+
+def test_quality_trains_on_every_text_of_a_repeated_id(spark):
+    from quillgraph.llm import mil_quality
+
+    docs = spark.createDataFrame([(1, "good words here " * 40), (1, "other words " * 40), (2, "| # $ " * 90), (None, "free"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    model = mil_quality.fit(docs, labels)
+    assert model is not None
+    assert mil_quality.fit(docs, labels, max_bytes=0) is not None
