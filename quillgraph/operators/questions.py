@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import tolerant_json
 
 # Fixed values.
 COMPARE_WORDS = {"小于等于": "≤", "不超过": "≤", "大于等于": "≥", "不低于": "≥", "至少": "≥", "小于": "<", "低于": "<", "大于": ">", "高于": ">", "超过": ">"}
@@ -193,6 +194,20 @@ def salvage(rows: DataFrame, text_col: str, schema: str) -> DataFrame:
     return rows.mapInPandas(run, f"{names}, __json string").withColumn("value", F.from_json("__json", schema)).drop("__json")
 
 
+def repaired(rows: DataFrame, text_col: str, key: str | None = None) -> DataFrame:
+    """``rows`` with json and how (strict, repaired or none); with ``key``, json is the list under it."""
+    keep = [c for c in rows.columns if c not in ("json", "how")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [tolerant_json.parse(t or "") for t in f[text_col]]
+            values = [tolerant_json.listed(t or "", key) for t in f[text_col]] if key else [v for v, _ in found]
+            yield f[keep].assign(json=[None if how == "none" and not key else json.dumps(v, ensure_ascii=False) for v, (_, how) in zip(values, found, strict=True)], how=[how for _, how in found])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    return rows.mapInPandas(run, f"{names}, json string, how string")
+
+
 def segments(rows: DataFrame, text_col: str) -> DataFrame:
     """SRC14: the rows' other columns with (place, segment): one row per JSON value in a text, whatever stands between them."""
     keep = [c for c in rows.columns if c != text_col]

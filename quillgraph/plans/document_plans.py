@@ -79,8 +79,14 @@ def a13_entity_merge(spark, sf):
 
 @BOOK.query()
 def j4_fuzzy_names(spark, sf):
-    names = table(spark, sf, "customer").select(F.col("c_name").alias("name")).unionByName(table(spark, sf, "part").select(F.concat("p_name", F.lit("s")).alias("name")))
-    return E.fuzzy_match(names.where(~F.col("name").startswith("Customer")), table(spark, sf, "part").select(F.col("p_name").alias("name")))
+    """All customers, and all part names with one letter lost, doubled or replaced, against all part names."""
+    p, size = table(spark, sf, "part"), F.length("p_name")
+    at = (F.pmod("p_partkey", size) + 1).cast("int")
+    head, tail = F.left("p_name", at - 1), F.substr("p_name", at + 1)
+    here = F.substr("p_name", at, F.lit(1))
+    typo = F.when(F.col("p_size") % 3 == 0, F.concat(head, tail)).when(F.col("p_size") % 3 == 1, F.concat(head, here, here, tail)).otherwise(F.concat(head, F.lit("x"), tail))
+    names = table(spark, sf, "customer").select(F.col("c_name").alias("name")).unionByName(p.select(typo.alias("name")))
+    return E.fuzzy_match(names, p.select(F.col("p_name").alias("name")))
 
 
 @BOOK.query()

@@ -68,9 +68,9 @@ def a20_qa_summary(spark, sf):
     return events(spark, sf).agg(F.count(F.lit(1)).alias("total"), judged.alias("judged"), correct.alias("correct"), F.round(M.ratio(correct, judged), 6).alias("accuracy"))
 
 
-@BOOK.query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean_value, round(sum(value), 2) AS total FROM events WHERE value > 0 GROUP BY 1")
+@BOOK.query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean_value, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def a21_status_distribution(spark, sf):
-    return events(spark, sf).where("value > 0").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value"), F.round(F.sum("value"), 2).alias("total"))
+    return events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @BOOK.query("WITH x AS (SELECT d.doc_id, contains(lower(text), 'license') AS found, l.quality = 0 AS expected FROM documents d JOIN labels l USING (doc_id)) SELECT count(*) FILTER (WHERE found AND expected) AS tp, count(*) FILTER (WHERE found AND NOT expected) AS fp, count(*) FILTER (WHERE NOT found AND NOT expected) AS tn, count(*) FILTER (WHERE NOT found AND expected) AS fn FROM x")

@@ -102,6 +102,23 @@ def f26_json_salvage(spark, sf):
     return Q.salvage(c.select("conv_id", "turn", raw.alias("raw")), "raw", "role string, n long").select("conv_id", "turn", "value.role", "value.n")
 
 
+@BOOK.query("""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, (conv_id + turn) % 6 AS kind FROM conversations)
+SELECT conv_id, turn, CASE WHEN kind = 5 THEN 'none' WHEN kind IN (0, 4) THEN 'strict' ELSE 'repaired' END AS how, CASE WHEN kind < 5 THEN role END AS role, CASE WHEN kind < 5 THEN n END AS n,
+CASE WHEN kind < 5 THEN md5(text) END AS text_md5, CASE WHEN kind < 5 THEN 'a|b' END AS tags FROM c""")
+def f26_json_repair(spark, sf):
+    """Every turn as a model might have written it: standard, single quotes, bare keys and comments, cut off, fenced, and no JSON at all."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", X.text_or_empty(F.col("text")).alias("text"))
+    n, kind = F.length("text").cast("string"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    strict = F.to_json(F.struct("role", F.length("text").alias("n"), "text", F.array(F.lit("a"), F.lit("b")).alias("tags")))
+    escaped = lambda quote: F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit(quote), F.lit("\\" + quote))
+    single = F.concat(F.lit("{'role': '"), "role", F.lit("', 'n': "), n, F.lit(", 'text': '"), escaped("'"), F.lit("', 'tags': ['a', 'b',],}"))
+    bare = F.concat(F.lit('Here: {role: "'), "role", F.lit('", // who\n n: +'), n, F.lit(', /* said */ text: "'), escaped('"'), F.lit('" tags: [a, b]} # end'))
+    cut = F.concat(F.lit('{"tags": ["a", "b"], "role": "'), "role", F.lit('", "n": '), n, F.lit(', "text": "'), escaped('"'))
+    raw = F.when(kind == 0, strict).when(kind == 1, single).when(kind == 2, bare).when(kind == 3, cut).when(kind == 4, F.concat(F.lit("```json\n"), strict, F.lit("\n```"))).otherwise("no value here")
+    found = Q.repaired(c.select("conv_id", "turn", raw.alias("raw")), "raw").withColumn("v", F.from_json("json", "role string, n long, text string, tags array<string>"))
+    return found.select("conv_id", "turn", "how", "v.role", "v.n", F.md5(F.col("v.text").cast("binary")).alias("text_md5"), F.array_join("v.tags", "|").alias("tags"))
+
+
 @BOOK.query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, i AS place FROM conversations, (VALUES (0), (1), (2)) AS v(i)")
 def src14_json_segments(spark, sf):
     c = table(spark, sf, "conversations")

@@ -181,10 +181,10 @@ def flt7_valid_phrases(spark, sf):
 _COMMON = "(" + ", ".join(f"'{w}'" for w in L.COMMON_ENTITY_NAMES) + ")"
 
 
-@BOOK.query(f"{_POST}, e AS (SELECT DISTINCT term AS name FROM f WHERE df > 1) SELECT name, length(name) < 2 OR (n >= 3 AND idf > 0 AND idf < 1.2 AND df / n >= 0.8) OR name IN {_COMMON} AS skip FROM e JOIN f ON term = name, n")
+@BOOK.query(f"{_POST}, e AS (SELECT DISTINCT term AS name FROM f) SELECT name, length(name) < 2 OR (n >= 3 AND idf > 0 AND idf < 1.2 AND df / n >= 0.8) OR name IN {_COMMON} AS skip FROM e JOIN f ON term = name, n")
 def flt8_skip_entities(spark, sf):
     d = docs(spark, sf)
-    rows = tfidf.idf_table(d).where("df > 1").join(F.broadcast(tfidf.document_count(d)), F.lit(True))
+    rows = tfidf.idf_table(d).join(F.broadcast(tfidf.document_count(d)), F.lit(True))
     name = F.col("term")
     skip = (F.length(name) < 2) | ((F.col("n") >= 3) & (F.col("idf") > 0) & (F.col("idf") < 1.2) & (F.col("df") / F.col("n") >= 0.8)) | name.isin(*L.COMMON_ENTITY_NAMES)
     return rows.select(name.alias("name"), skip.alias("skip"))

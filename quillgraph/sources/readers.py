@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import re
@@ -133,7 +134,7 @@ def read_dialogues(spark: SparkSession, path: str, repair: bool = True) -> DataF
     """SRC12: (path, encoding, row) of all CSV files below ``path``; row maps lower-case column names to text.
 
     ``repair`` takes back a wrong reading of Chinese text; accented Latin text
-    should be read without it.  A file is decoded by the first encoding that fits its beginning; each file is
+    should be read without it.  A file is decoded by the first encoding that fits all of it; each file is
     read by one task, so dialogue files should be of ordinary size.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).select("path", "content")
@@ -141,7 +142,7 @@ def read_dialogues(spark: SparkSession, path: str, repair: bool = True) -> DataF
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, content in zip(f["path"], f["content"], strict=True):
-                encoding = next((e for e in ENCODINGS if _decodes(content[:65536], e)), "gb18030")
+                encoding = next((e for e in ENCODINGS if _decodes(content, e)), "gb18030")
                 rows = csv.DictReader(io.StringIO(content.decode(encoding, "replace"), newline=""))
                 found = [{(k or "").strip().lower(): repair_mojibake(v or "") if repair else v or "" for k, v in row.items() if not isinstance(v, list)} for row in rows]
                 yield pd.DataFrame({"path": name, "encoding": encoding, "row": found})
@@ -149,11 +150,15 @@ def read_dialogues(spark: SparkSession, path: str, repair: bool = True) -> DataF
     return files.mapInPandas(run, "path string, encoding string, row map<string,string>")
 
 
-def _decodes(sample: bytes, encoding: str) -> bool:
+def _decodes(content: bytes, encoding: str, step: int = 1 << 20) -> bool:
+    """Is the whole of ``content`` text in ``encoding``?  It is decoded in pieces, so nothing of its size is made."""
+    decoder = codecs.getincrementaldecoder(encoding)()
     try:
-        sample.decode(encoding)
-    except UnicodeDecodeError as error:
-        return len(sample) == 65536 and error.start >= len(sample) - 4  # cut inside a character
+        for at in range(0, len(content), step):
+            decoder.decode(content[at : at + step])
+        decoder.decode(b"", final=True)
+    except UnicodeDecodeError:
+        return False
     return True
 
 
