@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemming import stem
 from ..storage import materialize
 from .components import components
 
@@ -159,10 +160,11 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def rouge_l(reference: str, candidate: str) -> float:
-    """F-measure of the longest common word subsequence (lower case, no stemming)."""
+def rouge_l(reference: str, candidate: str, stemming: bool = True) -> float:
+    """F-measure of the longest common word subsequence, lower case; words of more than three letters are stemmed."""
     number: dict[str, int] = {}
-    a, b = (np.array([number.setdefault(w, len(number)) for w in re.findall(r"[a-z0-9]+", t.lower())], np.int64) for t in (reference, candidate))
+    known = lambda w: stem(w) if stemming and len(w) > 3 else w
+    a, b = (np.array([number.setdefault(known(w), len(number)) for w in re.findall(r"[a-z0-9]+", t.lower())], np.int64) for t in (reference, candidate))
     if not len(a) or not len(b):
         return 0.0
     return 2 * common_subsequence(a, b) / (len(a) + len(b))

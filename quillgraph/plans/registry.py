@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("text_plans", "retrieval_plans", "graph_plans", "metric_plans", "policy_plans", "document_plans", "question_plans", "evidence_plans", "phrase_plans", "run_plans", "web_plans")
+MODULES = ("text_plans", "retrieval_plans", "graph_plans", "metric_plans", "policy_plans", "document_plans", "question_plans", "evidence_plans", "phrase_plans", "run_plans", "web_plans", "answer_plans")
 
 
 def _gather(kind: str) -> dict:
