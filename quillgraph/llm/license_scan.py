@@ -1,21 +1,23 @@
 """License scans by conditional compression.
 
-Every cue in a text is laid on every place of the same cue in a template, and
-the words around it that the template would cover, with some slack on both
-sides and across line breaks, form a window.  A window's words are compressed
-alone and with the template as a zstandard raw dictionary; a window that shares
-wording saves many of the bytes that the template's own words would save.
-Every template that saves enough is confirmed by the exact word differences to
-it: its key words must all be there and nearly all of its words must match in
-order, close together.  A text has every confirmed license that rests on key
-words of its own: where wordings overlap, the better one (fewer differences,
-more key words, more bytes saved) takes its words first, and another one stays
-only if its other key words stand beside a neighbour they have in the template.
-``n_blocks`` counts the lines that hold a cue and their paragraphs.
+Every cue in a text is laid on every place of the same cue in every template; the
+words around it that the template would cover, across line breaks, are the block
+that is compressed alone and with the template as a zstandard raw dictionary, and once more with some slack on both sides.  What
+the dictionary saves, times the share that this is of the template's own saving,
+which is the most that counts, ranks the templates of a cue by either block, and only the
+``RANKED`` best go on.  A winner is confirmed, with the slack, by the exact word differences: its
+key words must all be there and nearly all of its words must match in order,
+close together.
+
+A text has every confirmed license that rests on key words of its own: where
+wordings overlap, the one that saved more takes its words first, and another one
+stays only if its other key words stand beside a neighbour they have in the
+template, or behind "or" or "and" and words already taken, as in "A OR B".
+``n_blocks`` counts the lines that hold a cue and their paragraphs.  ``v3``, ``3.0`` and ``3`` are one word.
 
 Edge cases: null, empty and blank texts have no block; every cue of a text of
 any length is looked at; ties in rank go to fewer differences, then to the
-template's name; repeated rows are scanned each; an empty table gives an empty
+license's name; repeated rows are scanned each; an empty table gives an empty
 result; other columns are kept, clashing output names are replaced.
 """
 
@@ -71,10 +73,30 @@ TEMPLATES: list[tuple[str, str, str]] = [
 #: Identifiers that an SPDX line may name.
 SPDX = ["MIT", "Apache-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC0-1.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense"]
 TEMPLATES += [(name, f"SPDX-License-Identifier: {name}", f"spdx-license-identifier {name.lower()}") for name in SPDX]
+TEMPLATES += [(name, f"Licensed under {name}", name.lower()) for name in SPDX]
+#: Names of licenses as they stand alone.
+TEMPLATES += [
+    ("Apache-2.0", "Apache License, Version 2.0", "apache 2.0"),
+    ("Apache-2.0", "Apache License 2.0", "apache license 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0", "mozilla public 2.0"),
+    ("GPL-2.0", "GNU General Public License version 2", "gnu general public 2"),
+    ("GPL-3.0", "GNU General Public License version 3", "gnu general public 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License version 2.1", "gnu lesser general public 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3", "gnu lesser general public 3"),
+    ("AGPL-3.0", "GNU Affero General Public License version 3", "gnu affero general public 3"),
+    ("ISC", "ISC License", "isc license"),
+    ("BSD-2-Clause", "BSD 2-Clause License", "bsd 2-clause license"),
+    ("BSD-3-Clause", "BSD 3-Clause License", "bsd 3-clause license"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission hereby granted free charge"),
+]
 CUES = ("licen", "copyright", "permission", "redistribut", "public domain", "spdx")
-MIN_SAVED, MIN_MATCH = 0.15, 0.8
+#: Share of its own saving that a template must save, share of its words that must match, and templates of a cue that are confirmed at most, by either block.
+MIN_SAVED, MIN_MATCH, RANKED = 0.15, 0.8, 12
+#: Words that join alternatives, and words that may stand between them and a name.
+JOINING, BETWEEN = {"or", "and"}, {"the", "a", "either", "both", "under"}
 _cue = re.compile("|".join(c.replace(" ", r"\s+") for c in CUES))
 _word = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+_version = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*")
 MATCH = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("line", T.LongType()), T.StructField("saved", T.DoubleType()), T.StructField("n_diff", T.LongType()), T.StructField("diff", T.StringType())]))
 
 
@@ -83,8 +105,14 @@ def slack(size: int) -> int:
     return max(4, size // 4)
 
 
+def plain_word(word: str) -> str:
+    """The word; a version number without its v and its last zeros."""
+    m = _version.fullmatch(word)
+    return m[1] if m else word
+
+
 def words_of(text: str) -> list[str]:
-    return _word.findall(text.lower())
+    return [plain_word(w) for w in _word.findall(text.lower())]
 
 
 def cues_of(text: str, starts: list[int]) -> list[tuple[int, str]]:
@@ -101,15 +129,31 @@ class Scanner:
             raw = zstandard.ZstdCompressionDict(low.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             known = zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False)
             own = len(self.plain.compress(low.encode())) - len(known.compress(low.encode()))
-            self.known.append((name, words, set(keys.split()), known, own))
+            self.known.append((name, words, {plain_word(k) for k in keys.split()}, known, own))
             for at, cue in cues_of(low, [m.start() for m in _word.finditer(low)]):
                 self.places.setdefault(cue, set()).add((number, at))
 
-    def share(self, words: list[str], number: int) -> float:
-        """Bytes that the template saves on ``words``, as a share of what it saves on its own wording."""
+    def saved(self, words: list[str], number: int) -> int:
+        """Bytes that the template saves on ``words``."""
         raw = " ".join(words).encode()
-        *_, known, own = self.known[number]
-        return (len(self.plain.compress(raw)) - len(known.compress(raw))) / max(1, own)
+        return len(self.plain.compress(raw)) - len(self.known[number][3].compress(raw))
+
+    def rank(self, words: list[str], blocks: list[tuple[int, int, int]], sizes: dict[tuple, int]) -> list[tuple[float, float, int, int, int]]:
+        """(score, share, template number, first word, end) of the best ``RANKED`` of a cue's exact blocks and of its wide ones, best first; ``sizes`` holds what was compressed before."""
+        exact, wide = [], []
+        for number, a, b in blocks:
+            own = max(1, self.known[number][4])
+            for ranked, part in ((exact, words[a:b]), (wide, words[slice(*self.widened(words, number, a, b))])):
+                key = (number, *part)
+                if key not in sizes:
+                    sizes[key] = min(own, self.saved(part, number))
+                if sizes[key] >= MIN_SAVED * own:
+                    ranked.append((sizes[key] ** 2 / own, round(sizes[key] / own, 6), number, a, b))
+        first = lambda ranked: sorted(ranked, key=lambda r: (-r[0], r[2:]))[:RANKED]
+        best = {}
+        for row in [*first(exact), *first(wide)]:
+            best[row[2:]] = max(best.get(row[2:], row), row)
+        return sorted(best.values(), key=lambda r: (-r[0], r[2:]))
 
     def confirm(self, words: list[str], number: int) -> tuple[int, str, list[int], dict[int, bool]] | None:
         """(number of differing template words, the differences, places of the matched words, places of key words and whether a neighbour stands beside), or None if the wording is another one."""
@@ -133,10 +177,14 @@ class Scanner:
         for at, cue in cues:
             found = set()
             for number, place in self.places.get(cue, ()):
-                size = len(self.known[number][1])
-                found.add((number, max(0, at - place - slack(size)), min(len(words), at - place + size + slack(size))))
+                found.add((number, max(0, at - place), min(len(words), at - place + len(self.known[number][1]))))
             yield sorted(found)
 
+    def widened(self, words: list[str], number: int, a: int, b: int) -> tuple[int, int]:
+        """A block with the slack in which its wording is looked for."""
+        more = slack(len(self.known[number][1]))
+        return max(0, a - more), min(len(words), b + more)
+
     def blocks(self, text: str) -> Iterator[tuple[int, list[str]]]:
         """(line number, words) of candidate lines, and of their paragraphs where these have more lines."""
         lines = text.split("\n")
@@ -158,32 +206,45 @@ class Scanner:
         low = text.lower() if text else ""
         if not _cue.search(low):
             return 0, []
-        n = sum(1 for _ in self.blocks(text))
-        spans = [(m.start(), m.group()) for m in _word.finditer(low)]
+        spans = [(m.start(), plain_word(m.group())) for m in _word.finditer(low)]
         starts, words = [p for p, _ in spans], [w for _, w in spans]
         breaks = [m.start() for m in re.finditer("\n", low)]
+        cues = cues_of(low, starts)
+        sizes: dict[tuple, int] = {}
         tried: dict[tuple, tuple | None] = {}
         fits = set()
-        for windows in self.windows(words, cues_of(low, starts)):
-            for number, a, b in windows:
-                part = words[a:b]
-                key = (number, *part)
+        for blocks in self.windows(words, cues):
+            for score, share, number, a, b in self.rank(words, blocks, sizes):
+                a, b = self.widened(words, number, a, b)
+                key = (number, *words[a:b])
                 if key not in tried:
-                    saved = self.share(part, number) if self.known[number][2] <= set(part) else 0.0
-                    tried[key] = (saved, self.confirm(part, number)) if saved >= MIN_SAVED else None
-                if tried[key] and (fit := tried[key][1]):
-                    name, _, keys, *_ = self.known[number]
-                    fits.add((fit[0], -len(keys), -tried[key][0], name, fit[1], tuple(a + p for p in fit[2]), tuple((a + p, by) for p, by in fit[3].items())))
-        found: dict[str, dict] = {}
-        taken: set[int] = set()
-        for diff, _, saved, name, edits, places, keys in sorted(fits):
-            own = [by for p, by in keys if p not in taken]
-            if taken.isdisjoint(places) or (own and all(own)):
-                taken.update(places)
-                line = bisect_right(breaks, starts[places[0]])
-                if name not in found or line < found[name]["line"]:
-                    found[name] = {"license": name, "line": line, "saved": -saved, "n_diff": diff, "diff": edits}
-        return n, sorted(found.values(), key=lambda m: (m["line"], m["license"]))
+                    tried[key] = self.confirm(words[a:b], number)
+                if fit := tried[key]:
+                    fits.add((-score, fit[0], self.known[number][0], share, fit[1], tuple(a + p for p in fit[2]), tuple((a + p, by) for p, by in fit[3].items())))
+        return sum(1 for _ in self.blocks(text)), accepted(fits, words, lambda place: bisect_right(breaks, starts[place]))
+
+
+def accepted(fits: set[tuple], words: list[str], line_of) -> list[dict]:
+    """The licenses of a text's confirmed wordings, best ranked first, each on words of its own."""
+    found: dict[str, dict] = {}
+    taken: set[int] = set()
+
+    def joined(place: int) -> bool:
+        """Does "or" or "and" lead from words already taken to the word at ``place``?"""
+        at, joins = place - 1, False
+        while at >= 0 and at not in taken and words[at] in JOINING | BETWEEN:
+            joins |= words[at] in JOINING
+            at -= 1
+        return joins and at in taken
+
+    for _, diff, name, share, edits, places, keys in sorted(fits):
+        own = [by or joined(p) for p, by in keys if p not in taken]
+        if taken.isdisjoint(places) or (own and all(own)):
+            taken.update(places)
+            line = line_of(places[0])
+            if name not in found or line < found[name]["line"]:
+                found[name] = {"license": name, "line": line, "saved": share, "n_diff": diff, "diff": edits}
+    return sorted(found.values(), key=lambda m: (m["line"], m["license"]))
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text", templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
