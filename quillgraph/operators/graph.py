@@ -94,6 +94,8 @@ def rule_entry_points(phrases: DataFrame, terms: Sequence[str], limit: int = 40)
 MAX_BROADCAST_KEYS = 100_000
 #: Keys up to which each is looked for in every text, instead of listing a text's character groups.
 FEW_KEYS = 256
+#: Names up to which they may go into the plan itself.
+FEW_NAMES = 1024
 
 
 def mention_scan(passages: DataFrame, entities: DataFrame) -> DataFrame:
@@ -110,17 +112,21 @@ def mention_scan(passages: DataFrame, entities: DataFrame) -> DataFrame:
     keys = F.array_distinct(F.filter(F.array(F.concat(F.lit("s:"), F.left(sig, F.lit(3))), F.concat(F.lit("t:"), X.abbreviation(F.col("name")))), lambda k: F.length(k) > 2))
     keyed = materialize(names.select("name", F.explode(keys).alias("key")), "mention-keys")
     plain, tokens = X.alias_signature(F.col("text")), X.token_signatures(F.col("text"))
-    asked = [r.key for r in keyed.select("key").distinct().limit(FEW_KEYS + 1).collect()]
-    if len(asked) <= FEW_KEYS:  # look for each key in the text
-        parts, words = ([k[2:] for k in asked if k.startswith(m)] for m in ("s:", "t:"))
-        held = X.let(plain, lambda t: F.filter(F.array(*map(F.lit, parts)).cast("array<string>"), lambda k: F.contains(t, k)))
-        found = [F.transform(held, lambda k: F.concat(F.lit("s:"), k))]
-        if words:
-            found.append(F.transform(F.array_intersect(tokens, F.array(*map(F.lit, words))), lambda k: F.concat(F.lit("t:"), k)))
-    else:  # list all character groups of the text
-        sizes = sorted(r.n for r in keyed.where(F.col("key").startswith("s:")).select((F.length("key") - 2).alias("n")).distinct().collect())  # at most 3 values
-        groups = lambda n: F.array_distinct(F.regexp_extract_all(plain, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
-        found = [F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)), *(F.transform(groups(n), lambda g: F.concat(F.lit("s:"), g)) for n in sizes)]
+    asked = keyed.groupBy("key").agg(F.collect_set("name").alias("names")).limit(FEW_KEYS + 1).collect() if keyed.limit(FEW_NAMES + 1).count() <= FEW_NAMES else []
+    if 0 < len(asked) <= FEW_KEYS:  # each key is looked for in the text, and its names are scored in the same row: no text is shuffled
+        of = lambda mark: [r.key[2:] for r in asked if r.key.startswith(mark)]
+        held = F.filter(F.array(*map(F.lit, of("s:"))).cast("array<string>"), lambda k: F.contains(F.col("plain"), k))
+        found = F.transform(held, lambda k: F.concat(F.lit("s:"), k))
+        if words := of("t:"):
+            found = F.concat(found, F.transform(F.array_intersect(tokens, F.array(*map(F.lit, words))), lambda k: F.concat(F.lit("t:"), k)))
+        names_of = F.create_map(*(x for r in asked for x in (F.lit(r.key), F.array(*map(F.lit, sorted(r.names))))))
+        rows = passages.select("passage_id", "text", plain.alias("plain")).select("passage_id", "text", F.array_distinct(F.flatten(F.transform(found, lambda k: F.element_at(names_of, k)))).alias("names"))
+        scores = X.mention_scores(X.text_or_empty(F.col("text")), F.col("names"))
+        return rows.where(F.size("names") > 0).select("passage_id", F.explode(scores).alias("s")).select(F.col("s.form").alias("name"), "passage_id", F.col("s.score").alias("score")).where("score > 0")
+    # all character groups of the text are listed
+    sizes = sorted(r.n for r in keyed.where(F.col("key").startswith("s:")).select((F.length("key") - 2).alias("n")).distinct().collect())  # at most 3 values
+    groups = lambda n: F.array_distinct(F.regexp_extract_all(plain, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
+    found = [F.transform(tokens, lambda t: F.concat(F.lit("t:"), t)), *(F.transform(groups(n), lambda g: F.concat(F.lit("s:"), g)) for n in sizes)]
     rows = passages.select("passage_id", F.explode(F.array_distinct(F.concat(*found))).alias("key"))
     few = keyed.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
     pairs = rows.join(F.broadcast(keyed) if few else keyed, "key").select("passage_id", "name").distinct()

@@ -156,8 +156,9 @@ def src10_questions(spark, sf):
     b = table(spark, sf, "benchmark")
     one = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, "even").alias("query_type"), F.array(F.lit("a"), F.lit("b")).alias("evidence_chunks"))
     path = _folder(spark, "questions")
-    b.agg(F.collect_list(one).alias("questions")).select(F.to_json(F.struct("questions")).alias("value")).write.text(path)  # one file of a fixed benchmark
-    return S.read_questions(spark, path).select("id", "question", "question_type", "evidence")
+    files = b.groupBy(F.pmod("item_id", F.lit(16)).alias("file")).agg(F.collect_list(one).alias("questions"))
+    files.select("file", F.to_json(F.struct("questions")).alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return S.read_questions(spark, f"{path}/file=*").select("id", "question", "question_type", "evidence")
 
 
 @BOOK.query("SELECT conv_id, turn, role, text FROM conversations")

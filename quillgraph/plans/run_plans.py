@@ -124,12 +124,15 @@ def f2_fuzzy_similarity(spark, sf):
     return E.fuzzy_ratios(p, "left", "right").select("p_partkey", F.round("ratio", 6).alias("ratio"))
 
 
-@BOOK.query("SELECT 1 AS n_files, md5(string_agg(text, chr(10) ORDER BY item_id) || chr(10)) AS text_md5 FROM benchmark")
+@BOOK.query("SELECT CAST(doc_id % 32 AS INTEGER) AS file, count(*) AS n_lines, CAST(sum(length(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS BIGINT) AS n_chars FROM documents GROUP BY 1")
 def src15_directory(spark, sf):
+    """All documents as the lines of 32 text files below one folder, read again file by file."""
     path = _folder(spark, "directory")
-    b = table(spark, sf, "benchmark").select("item_id", "text").coalesce(1).sortWithinPartitions("item_id")
-    b.select("text").write.text(path)
-    return S.read_documents(spark, path).groupBy().agg(F.count(F.lit(1)).alias("n_files"), F.max(F.md5(F.col("text").cast("binary"))).alias("text_md5"))
+    d = table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(32)).cast("int").alias("file"), F.regexp_replace(F.coalesce("text", F.lit("")), "\\s+", " ").alias("value"))
+    d.repartition(32, "file").write.partitionBy("file").text(path)
+    read = S.read_documents(spark, f"{path}/file=*").select(F.regexp_extract("path", "file=(\\d+)", 1).cast("int").alias("file"), F.regexp_replace("text", "\n\\z", "").alias("text"))
+    lines = F.split("text", "\n", -1)
+    return read.groupBy("file").agg(F.sum(F.size(lines)).alias("n_lines"), F.sum(F.aggregate(lines, F.lit(0).cast("long"), lambda s, x: s + F.length(x))).alias("n_chars"))
 
 
 @BOOK.query("SELECT p_partkey, p_name AS markdown, 0 AS n_tables FROM part")
