@@ -86,6 +86,28 @@ def abbreviation(text: Column) -> Column:
     return F.when(F.size(words) < 2, "").otherwise(fold(F.array_join(F.transform(words, lambda w: F.left(w, F.lit(1))), "")))
 
 
+# What stands around a phrase without belonging to it.
+EDGE_PUNCTUATION = " ,.;:()[]{}，。；：、"
+LIST_MARKS = "*•—–>-"
+LEADING_PARTICLES = "和与及或在对为是应需"
+TRAILING_PARTICLES = "的时后前中者"
+
+
+def without_edges(text: Column, particles: bool = False) -> Column:
+    """F7, FLT6: a phrase with single spaces and nothing around it: one anchored pattern for each side.
+
+    Behind the phrase go list marks and an arrow before them, before it list marks
+    and then an arrow; with
+    ``particles`` also one trailing and any leading particles, inside the marks.
+    """
+    behind = f"(?:(?:\\s*(?:--+|[-=]+>)(?=\\s))?\\s*[{LIST_MARKS}]+)?$"
+    before = f"^(?:[{LIST_MARKS}]+\\s*)?(?:=[-=]*>\\s*)?"
+    if particles:
+        behind, before = f"[{TRAILING_PARTICLES}]?{behind}", f"{before}[{LEADING_PARTICLES}]*"
+    inner = F.btrim(F.regexp_replace(text, "\\s+", " "), F.lit(EDGE_PUNCTUATION))
+    return F.btrim(F.regexp_replace(F.regexp_replace(inner, behind, ""), before, ""), F.lit(EDGE_PUNCTUATION))
+
+
 def has_cjk(text: Column) -> Column:
     return text.rlike(f"[{CJK}]")
 

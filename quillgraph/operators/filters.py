@@ -66,20 +66,19 @@ def negated(text: Column, surface: Column | str, triggers: Sequence[str] = L.NEG
 
 # Headings that are no phrases.
 FRAGMENTS = ("不良反应", "处理措施", "替代方案", "关键事实", "优势", "剂量", "起效时间", "持续时间", "推荐治疗")
+ARROWS = ("-", "--", "->", "-->")
+MARKED = ("^(?:--|->|- )", "(?:--|->| -)$", "^[-*•>\\s]+$")
 
 
 def noisy(text: Column) -> Column:
     """FLT6: blank, an arrow or a list mark, or a heading that is no phrase."""
     plain = X.name_normal(text)
-    return (plain == "") | plain.isin("-", "--", "->", "-->") | text.rlike("^(?:--|->|- )") | text.rlike("(?:--|->| -)$") | text.rlike("^[-*•>\\s]+$") | F.regexp_replace(text, "\\s+", "").isin(*FRAGMENTS)
+    return (plain == "") | plain.isin(*ARROWS) | text.rlike("|".join(MARKED)) | F.regexp_replace(text, "\\s+", "").isin(*FRAGMENTS)
 
 
-def strip_noise(t):
+def strip_noise(t: Column) -> Column:
     """FLT6: punctuation, list marks and arrows around a candidate removed."""
-    t = F.regexp_replace(F.regexp_replace(t, "\\s+", " "), "^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$", "")
-    for p in ("^(?:[-*•]+|[—–]+|>)+\\s*", "\\s*(?:[-*•]+|[—–]+|>)+$", "^(?:--+|[-=]+>)\\s*", "\\s*(?:--+|[-=]+>)$"):
-        t = F.regexp_replace(t, p, "")
-    return F.regexp_replace(t, "^[ ,.;:()\\[\\]{}，。；：、]+|[ ,.;:()\\[\\]{}，。；：、]+$", "")
+    return X.without_edges(t)
 
 
 # Patterns of candidates, the general ones first.

@@ -95,12 +95,17 @@ def relation_intent(text: Column) -> Column:
     return out
 
 
+# Focus tokens, words that are none, and constraints of a question.
+FOCUS_TOKEN = "[\\u4e00-\\u9fff]{2,}|[A-Z][A-Za-z0-9_-]*(?:\\s+[A-Z][a-z]+)*|[A-Z]{2,}[-]?\\d*"
+FOCUS_STOPS = ("患者", "治疗", "使用", "应该", "如何", "什么", "多少", "哪些")
+CONSTRAINT = "(?:[<>≤≥]=?\\s*\\d+(?:\\.\\d+)?)|(?:\\d+(?:\\.\\d+)?\\s*(?:mg|ml|mmol|pg|g/L|%|次|分|期|级))"
+
+
 def question_structure(text: Column) -> Column:
     """struct(focus, background, constraints, intent); the first two entity tokens are the focus."""
-    stop = F.array(*map(F.lit, ("患者", "治疗", "使用", "应该", "如何", "什么", "多少", "哪些")))
-    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit("[\\u4e00-\\u9fff]{2,}|[A-Z][A-Za-z0-9_-]*(?:\\s+[A-Z][a-z]+)*|[A-Z]{2,}[-]?\\d*"), F.lit(0)))
-    tokens = F.array_except(tokens, stop)
-    limits = F.regexp_extract_all(text, F.lit("(?:[<>≤≥]=?\\s*\\d+(?:\\.\\d+)?)|(?:\\d+(?:\\.\\d+)?\\s*(?:mg|ml|mmol|pg|g/L|%|次|分|期|级))"), F.lit(0))
+    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(FOCUS_TOKEN), F.lit(0)))
+    tokens = F.array_except(tokens, F.array(*map(F.lit, FOCUS_STOPS)))
+    limits = F.regexp_extract_all(text, F.lit(CONSTRAINT), F.lit(0))
     return F.struct(F.slice(tokens, 1, 2).alias("focus"), F.slice(tokens, F.lit(3), F.greatest(F.size(tokens) - 2, F.lit(0))).alias("background"), limits.alias("constraints"), relation_intent(text).alias("intent"))
 
 

@@ -27,10 +27,9 @@ _EDGE = "' ,.;:()[]{}，。；：、'"
 
 
 def _clean_sql(x: str) -> str:
-    out = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), {_EDGE})"
-    for pattern in ("^(?:[-*•]+|[—–]+|>)+\\s*", "\\s*(?:[-*•]+|[—–]+|>)+$", "^(?:--+|[-=]+>)\\s*", "\\s*(?:--+|[-=]+>)$", "^(?:和|与|及|或|在|对|为|是|应|需)+", "(?:的|时|后|前|中|者)$"):
-        out = f"regexp_replace({out}, '{pattern}', '')"
-    return f"trim({out}, {_EDGE})"
+    inner = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), {_EDGE})"
+    tail = f"regexp_replace(regexp_replace({inner}, '\\s*[*•—–>-]+$', ''), '[的时后前中者]$', '')"
+    return f"trim(regexp_replace(regexp_replace({tail}, '^[*•—–>-]+\\s*', ''), '^(=[-=]*>\\s*)?[和与及或在对为是应需]*', ''), {_EDGE})"
 
 
 #: Texts with structure: a name with its alias, a heading and a list head, made of each part's own columns.
