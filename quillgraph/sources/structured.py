@@ -9,7 +9,8 @@ A block has a kind (title, heading, paragraph, list_item, code or table), a
 level, a page (slide or sheet, from 1), the region of a web page it lies in, its
 text and, for a table, its rows.
 
-Edge cases: a null, empty or blockless document has no blocks; a damaged one has
+Edge cases: a null or blockless document has no blocks, files without a byte
+aren't listed by the reader; a damaged one has
 its error as text and the blocks before the damage, in case there are any; a tag
 cut off by the end of a page is dropped; unknown suffixes raise, or are left out with ``strict=False``.
 """
@@ -55,6 +56,8 @@ class Page(HTMLParser):
         self.blocks: list[dict] = []
         self.parts: list[str] = []
         self.tables: list[list[list[str]]] = []
+        #: What had been read of the cell around each open table.
+        self.around: list[list[str]] = []
         self.unread = 0
 
     def block(self, kind: str, text: str, level: int = 0, rows: list | None = None) -> None:
@@ -99,9 +102,17 @@ class Page(HTMLParser):
             self.unread += 1
         elif tag == "table":
             self.tables.append([])
+            self.around.append(self.parts)
             self.parts = []
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
+        if tag in ("tr", "td", "th") and len(self.tables) == 1:
+            self.stray()
+
+    def stray(self) -> None:
+        """Text of a table outside its cells, its caption too, stands before it."""
+        self.block("paragraph", squeezed(self.parts))
+        self.parts = []
 
     def close_open(self, tags: set[str], until: set[str]) -> None:
         while any(t in tags for t in self.stack):
@@ -123,10 +134,11 @@ class Page(HTMLParser):
             elif tag == "table" and self.tables:
                 rows = [r for r in self.tables.pop() if any(r)]
                 if self.tables:  # a table in a cell is its text
-                    self.parts.append(" ".join(c for r in rows for c in r))
+                    self.parts = [*self.around.pop(), " ", *(f"{c} " for r in rows for c in r), *self.parts]
                 else:
+                    self.stray()
+                    self.around.pop()
                     self.stack.pop()
-                    self.parts = []
                     self.block("table", "", rows=rows)
                     continue
             elif tag in ENDS_BLOCK or tag in HEADINGS or tag in ("li", "pre", "title"):
