@@ -1,4 +1,4 @@
-"""Queries on path context, statement alignment, learned labels and merged tables (GEN1, R6, A34, X18, F18, U8, SNK1, SNK3)."""
+"""Queries on path context, statement alignment, learned labels and merged tables (GEN1, R6, A34, X18, F18, U8, ST7, SNK1, SNK3)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as X
-from ..operators import alignment, assertion_model, paths, policy
+from ..operators import alignment, assertion_model, fanout, paths, policy
 from ..sources import merged
 from ..storage import application_dir
 from .graph_plans import _REL, _SEEDS, phrases, relations, seeds
@@ -51,7 +51,7 @@ def silver_sentences(spark, sf):
 
 
 @BOOK.query()
-def f18_model_accuracy(spark, sf):
+def u8_model_accuracy(spark, sf):
     """A classifier fitted on four fifths of the silver sentences: right labels in the last fifth, alone and behind the rules' guard."""
     rows = silver_sentences(spark, sf)
     held_out = F.pmod(F.xxhash64("conv_id", "turn", "place"), F.lit(5)) == 0
@@ -59,6 +59,17 @@ def f18_model_accuracy(spark, sf):
     return assertion_model.accuracy(rows.where(held_out), model, cues=L.PLAIN_CUES)
 
 
+@BOOK.query("SELECT source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents WHERE trim(coalesce(text, '')) <> '' GROUP BY source")
+def st7_staged_counts(spark, sf):
+    """An ingest of three stages, which a signal could stop; none comes."""
+    stages = [
+        ("filled", lambda d: d.where(F.trim(F.coalesce("text", F.lit(""))) != "")),
+        ("measured", lambda d: d.select("source", F.length("text").cast("long").alias("size"))),
+        ("counted", lambda d: d.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("n_chars"))),
+    ]
+    return fanout.run_stages(table(spark, sf, "documents"), stages, fanout.StopSignal())
+
+
 @BOOK.query("SELECT o_custkey, CASE WHEN count(*) FILTER (WHERE o_orderkey % 2 = 1) > 0 THEN arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderkey % 2 = 1) ELSE arg_max(o_orderkey, (o_orderdate, o_orderkey)) END AS last_order FROM orders GROUP BY o_custkey")
 def snk1_stored_merge(spark, sf):
     """Customers' last orders in a stored table: one merge of the even orders, then one of the odd."""
