@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph import plugins
-from quillgraph.operators import agent as A
 from quillgraph.operators import control as C
 from quillgraph.operators import entities as E
 from quillgraph.operators import evidence as V
