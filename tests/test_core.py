@@ -109,6 +109,20 @@ def test_vectors_by_blocks(spark, monkeypatch):
         assert got[i] == sorted((j for j in vec if j != i), key=lambda j: (-cos(vec[i], vec[j]), j))[:5]
 
 
+def test_blocks_meet_in_every_partition(spark, monkeypatch):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(90)], "vec_id long, embedding array<double>")
+    q = df.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    want = sorted(map(tuple, V.block_top_k(q, df, 5).select("query_id", "rank", "vec_id").collect()))
+    monkeypatch.setattr(V, "BLOCK", 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, V.block_top_k(q, df, 5).select("query_id", "rank", "vec_id").collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(want) == 150 and got == want and all(v == q for q, rank, v in got if rank == 1)
+
+
 def test_adaptive_cut(spark):
     rows = spark.createDataFrame([(1, 0.9), (1, 0.5), (1, 0.4), (2, 0.3), (3, -0.1)], "query_id long, score double")
     got = {r.query_id: r.cut for r in V.adaptive_cut(rows).collect()}
