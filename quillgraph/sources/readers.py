@@ -162,10 +162,13 @@ def _decodes(content: bytes, encoding: str, step: int = 1 << 20) -> bool:
     return True
 
 
-def split_corpus(text: str, most: int) -> list[str]:
-    """SRC13: paragraphs packed up to ``most`` characters; a longer paragraph is cut into pieces."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n").strip()
-    parts = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+def split_corpus(text: str, most: int, edge: str | None = None) -> list[str]:
+    """SRC13: paragraphs packed up to ``most`` characters; a longer paragraph is cut into pieces.
+
+    Texts and pieces lose the characters ``edge`` at both ends, or all white space without it.
+    """
+    text = text.replace("\r\n", "\n").replace("\r", "\n").strip(edge)
+    parts = [p.strip(edge) for p in re.split(r"\n\s*\n", text) if p.strip(edge)]
     if most <= 0 or len(text) <= most or not parts:
         return [text] if text else []
     out: list[str] = []
@@ -175,21 +178,21 @@ def split_corpus(text: str, most: int) -> list[str]:
             out.append(held)
             held = ""
         if len(p) > most:
-            out += [piece for i in range(0, len(p), most) if (piece := p[i : i + most].strip())]
+            out += [piece for i in range(0, len(p), most) if (piece := p[i : i + most].strip(edge))]
         else:
             held = f"{held}\n\n{p}" if held else p
     return [*out, held] if held else out
 
 
-def read_corpus(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
-    """SRC13: (name, segment, text) of a corpus file: one JSON record or a list of records with ``context``."""
+def read_corpus(spark: SparkSession, path: str, most: int = 0, edge: str | None = None) -> DataFrame:
+    """SRC13: (name, segment, text) of a corpus file: one JSON record or a list of records with ``context``; cut and trimmed as :func:`split_corpus` does."""
     raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
     rows = raw.select(F.posexplode(listed).alias("place", "r")).select(F.coalesce(F.try_variant_get("r", "$.corpus_name", "string"), F.col("place").cast("string")).alias("name"), F.try_variant_get("r", "$.context", "string").alias("context"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(n, i, t) for n, c in zip(f["name"], f["context"], strict=True) for i, t in enumerate(split_corpus(c or "", most))]
+            rows = [(n, i, t) for n, c in zip(f["name"], f["context"], strict=True) for i, t in enumerate(split_corpus(c or "", most, edge))]
             yield pd.DataFrame(rows, columns=["name", "segment", "text"])
 
     return rows.mapInPandas(run, "name string, segment int, text string")

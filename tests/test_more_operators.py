@@ -312,3 +312,12 @@ def test_mention_scan_finds_what_every_pair_scores(spark, monkeypatch):
         got = sorted((r.name, r.passage_id, r.score) for r in G.mention_scan(docs, entities).collect())
         assert got == want
     assert len({w[0] for w in want}) >= 5
+
+
+def test_corpus_pieces_keep_line_ends_at_cuts(spark, tmp_path):
+    from quillgraph.plans.phrase_plans import ZS
+    from quillgraph.sources import readers as S
+
+    assert S.split_corpus("abc\nd e\u00a0", 4, ZS) == ["abc\n", "d e"] and S.split_corpus("abc\nd e ", 4) == ["abc", "d e"]
+    (tmp_path / "c.json").write_text('{"context": " abc\\nd e "}')
+    assert [(r.segment, r.text) for r in S.read_corpus(spark, f"file://{tmp_path}/c.json", 4, ZS).collect()] == [(0, "abc\n"), (1, "d e")]
