@@ -24,6 +24,13 @@ from ..storage import materialize
 LONGEST = 3
 
 
+def _steps(edges: DataFrame, scores: DataFrame) -> DataFrame:
+    """(a, b, gain): every edge from both ends, once, with the score of the node it leads to."""
+    pairs = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    steps = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return materialize(steps.join(scores.select(F.col("id").alias("b"), "score"), "b", "left").select("a", "b", F.coalesce("score", F.lit(0)).alias("gain")), "path-steps")
+
+
 def best_paths(seeds: DataFrame, edges: DataFrame, scores: DataFrame, hops: int = LONGEST, k: int = 8) -> DataFrame:
     """(seed, node, path, score, length, rank): the ``k`` best paths of each length from each of ``seeds(id)`` to each node it reaches.
 
@@ -31,9 +38,7 @@ def best_paths(seeds: DataFrame, edges: DataFrame, scores: DataFrame, hops: int
     """
     if not 1 <= hops <= LONGEST:
         raise ValueError(f"paths have 1 to {LONGEST} edges")
-    pairs = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    steps = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    steps = materialize(steps.join(scores.select(F.col("id").alias("b"), "score"), "b", "left").select("a", "b", F.coalesce("score", F.lit(0)).alias("gain")), "path-steps")
+    steps = _steps(edges, scores)
     zero = F.lit(0).cast(steps.schema["gain"].dataType)
     layer = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.array("id").alias("path"), zero.alias("score")).distinct()
     order = Window.partitionBy("seed", "node").orderBy(F.desc("score"), "path")
@@ -47,6 +52,35 @@ def best_paths(seeds: DataFrame, edges: DataFrame, scores: DataFrame, hops: int
     return reduce(DataFrame.unionByName, layers).select("seed", "node", "path", "score", "length", "rank")
 
 
+def best_paths_of_seeds(seeds: DataFrame, edges: DataFrame, scores: DataFrame, hops: int = LONGEST, k: int = 8) -> DataFrame:
+    """(seed, node, path, score, length, rank): the ``k`` best paths of each length from each of ``seeds(id)``, whatever node they reach.
+
+    Of the paths with one beginning the best comes first, so the ``k`` best lie behind
+    the ``k`` beginnings whose best ends are best.  A beginning's best end is among the
+    few best neighbours of its last node, which are listed once; only the chosen
+    beginnings are walked on, and the longest paths never all exist.
+    """
+    if not 1 <= hops <= LONGEST:
+        raise ValueError(f"paths have 1 to {LONGEST} edges")
+    steps = _steps(edges, scores)
+    zero = F.lit(0).cast(steps.schema["gain"].dataType)
+    near = Window.partitionBy("a").orderBy(F.desc("gain"), "b")
+    # a path of n nodes bars n - 1 neighbours of its last one at most
+    ends = steps.withColumn("place", F.row_number().over(near)).where(F.col("place") <= hops).groupBy("a").agg(F.array_sort(F.collect_list(F.struct("place", "b", "gain"))).alias("ends"))
+    ends = materialize(ends, "path-ends")
+    layer = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.array("id").alias("path"), zero.alias("score")).distinct()
+    grow = lambda rows: rows.join(steps, rows["node"] == steps["a"]).where(~F.array_contains("path", F.col("b"))).select("seed", F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path"), (F.col("score") + F.col("gain")).alias("score"))
+    order = Window.partitionBy("seed").orderBy(F.desc("score"), "path")
+    layers = []
+    for n in range(1, hops + 1):
+        met = layer.join(ends, layer["node"] == ends["a"]).withColumn("end", F.get(F.filter("ends", lambda e: ~F.array_contains("path", e["b"])), F.lit(0))).where("end is not null")
+        first = Window.partitionBy("seed").orderBy(F.desc(F.col("score") + F.col("end.gain")), F.array_append("path", F.col("end.b")))
+        chosen = materialize(met.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).select("seed", "node", "path", "score"), "path-beginnings")
+        layers.append(grow(chosen).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("length", F.lit(n)))
+        layer = grow(layer)
+    return materialize(reduce(DataFrame.unionByName, layers).select("seed", "node", "path", "score", "length", "rank"), "path-best")
+
+
 def path_context(paths: DataFrame, edges: DataFrame, names: DataFrame, k: int = 8) -> DataFrame:
     """GEN1: (seed, path, score, length, rank, lines): the ``k`` best paths of each seed over all nodes and lengths.
 
@@ -57,9 +91,9 @@ def path_context(paths: DataFrame, edges: DataFrame, names: DataFrame, k: int =
     best = paths.drop("rank").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     parts = best.select("seed", "rank", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("x"), F.get("path", i).alias("y")))).alias("place", "p"))
     parts = parts.select("seed", "rank", "place", "p.x", "p.y")
-    walked = edges.select(F.col("src").alias("x"), F.col("dst").alias("y"), "src", "dst", "relation_type", F.lit(0).alias("turned"))
-    turned = edges.select(F.col("dst").alias("x"), F.col("src").alias("y"), "src", "dst", "relation_type", F.lit(1).alias("turned"))
-    met = parts.join(walked.unionByName(turned), ["x", "y"])
+    ends = F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")
+    parts = parts.withColumn("low", F.least("x", "y")).withColumn("high", F.greatest("x", "y"))
+    met = parts.join(edges.select(*ends, "src", "dst", "relation_type"), ["low", "high"]).withColumn("turned", (F.col("src") != F.col("x")).cast("int"))
     of = lambda end: names.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
     met = met.join(of("src"), "src").join(of("dst"), "dst")
     line = F.concat("src_name", F.lit(" -["), "relation_type", F.lit("]-> "), "dst_name")

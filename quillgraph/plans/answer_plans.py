@@ -10,7 +10,7 @@ from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import alignment, assertion_model, fanout, paths, policy
 from ..sources import merged
-from ..storage import application_dir
+from ..storage import application_dir, materialize
 from .graph_plans import _REL, _SEEDS, phrases, relations, seeds
 from .kit import Book, table
 
@@ -27,9 +27,9 @@ l AS (SELECT seed, rank, string_agg(s.p_name || ' -[' || coalesce(f.relation_typ
 SELECT seed, array_to_string(path, '>') AS path, score, CAST(length AS INTEGER) AS length, CAST(rank AS INTEGER) AS rank, lines FROM r JOIN l USING (seed, rank)""")
 def gen1_best_paths(spark, sf):
     """The eight best paths of every seed, by the numbers of neighbours of their nodes."""
-    rel = relations(spark, sf)
+    rel = materialize(relations(spark, sf), "relations")
     ends = rel.select("src", "dst").unionByName(rel.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    found = paths.best_paths(seeds(spark, sf), rel, ends.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("score")))
+    found = paths.best_paths_of_seeds(seeds(spark, sf), rel, ends.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("score")))
     return paths.path_context(found, rel, phrases(spark, sf).select("id", "name")).withColumn("path", F.array_join(F.transform("path", lambda n: n.cast("string")), ">"))
 
 

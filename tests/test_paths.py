@@ -51,6 +51,31 @@ def test_best_paths_equal_the_enumeration(spark, seed, k, hops):
     assert max(Counter((r.seed, r.node, r.length) for r in got).values()) <= k
 
 
+@pytest.mark.parametrize("seed,k,hops", [(1, 1, 3), (2, 2, 3), (3, 8, 3), (4, 3, 2), (5, 2, 1)])
+def test_best_paths_of_seeds_equal_the_enumeration(spark, seed, k, hops):
+    pairs, scores = graph(seed)
+    seeds = [0, 3, 5, 5, 99]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    weights = spark.createDataFrame(list(scores.items()), "id long, score long")
+    got = P.best_paths_of_seeds(spark.createDataFrame([(s,) for s in seeds], "id long"), edges, weights, hops, k).collect()
+    groups = {}
+    for s, _, path, score in enumerated(seeds, pairs, scores, hops):
+        groups.setdefault((s, len(path) - 1), []).append((-score, path))
+    want = {(*key, r + 1): (path, -neg) for key, rows in groups.items() for r, (neg, path) in enumerate(sorted(rows)[:k])}
+    assert {(r.seed, r.length, r["rank"]): (tuple(r.path), r.score) for r in got} == want and len(got) == len(want)
+
+
+def test_best_paths_of_seeds_write_few_rows(spark, monkeypatch):
+    """A complete graph has n^3 paths of three edges; none of a seed's are written but the best."""
+    from quillgraph import storage
+
+    written = []
+    monkeypatch.setattr(P, "materialize", lambda df, tag: written.append((tag, (made := storage.materialize(df, tag)).count())) or made)
+    edges = spark.range(30).selectExpr("id src").crossJoin(spark.range(30).selectExpr("id dst"))
+    found = P.best_paths_of_seeds(spark.range(2), edges, spark.range(30).selectExpr("id", "id AS score"), 3, 4)
+    assert found.count() == 2 * 3 * 4 and max(n for tag, n in written if tag != "path-steps") == 30
+
+
 def test_context_lines(spark):
     edges = spark.createDataFrame([(1, 2, "causes"), (2, 1, "follows"), (3, 2, "treats"), (1, 1, "is")], "src long, dst long, relation_type string")
     names = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "id long, name string")
