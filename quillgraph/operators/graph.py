@@ -181,13 +181,17 @@ def trail_triples(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFram
 
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(seed, node, hops): nodes within ``hops`` undirected steps with their distance; frontiers only, no paths."""
-    step = both_ways(edges).select("a", "b").distinct()
-    seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("hops"))
+    pairs = materialize(edges.select("src", "dst"), "reach-edges")
+    step = materialize(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct(), "reach-steps")
+    discard(edges.sparkSession, pairs)
+    seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("hops")).distinct()
     layer = seen
     for n in range(1, hops + 1):
-        nxt = layer.join(step, layer["node"] == step["a"]).select("seed", F.col("b").alias("node")).distinct()
-        layer = nxt.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(n))
-        seen = seen.unionByName(layer)
+        nxt = layer.join(step, layer["node"] == step["a"]).select("seed", F.col("b").alias("node"), F.lit(n).alias("hops"))
+        # a pair met before keeps its smaller distance; known and new pairs are one aggregation
+        met = seen.unionByName(nxt).groupBy("seed", "node").agg(F.min("hops").alias("hops"))
+        seen = materialize(met, "reach-seen") if n < hops else met
+        layer = seen.where(F.col("hops") == n).select("seed", "node")
     return seen.where("hops > 0")
 
 

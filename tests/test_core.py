@@ -123,6 +123,14 @@ def test_blocks_meet_in_every_partition(spark, monkeypatch):
     assert len(want) == 150 and got == want and all(v == q for q, rank, v in got if rank == 1)
 
 
+def test_reachable_reads_its_edges_once(spark, tmp_path):
+    path = f"file://{tmp_path}/edges"
+    spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 5)], "src long, dst long").write.parquet(path)
+    found = G.reachable(spark.createDataFrame([(1,), (1,), (9,)], "id long"), spark.read.parquet(path), 3)
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 5, 3)]
+    assert not any(str(tmp_path) in f for f in found.inputFiles())
+
+
 def test_adaptive_cut(spark):
     rows = spark.createDataFrame([(1, 0.9), (1, 0.5), (1, 0.4), (2, 0.3), (3, -0.1)], "query_id long, score double")
     got = {r.query_id: r.cut for r in V.adaptive_cut(rows).collect()}
