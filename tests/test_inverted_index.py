@@ -146,3 +146,29 @@ def test_anchors_of_questions(spark):
     assert got[0] == (("treated", "aspirin", "vitamin_c"), ("Captain James Cook", "New South Wales"))
     assert got[1] == (("Big One",), ()) and got[2] == ((), ()) and got[4] == ((), ())
     assert got[3] == (("高血压",), ("Rare Disease",))
+
+
+def test_blocks_equal_a_plain_listing(spark, monkeypatch):
+    import collections
+
+    from quillgraph.operators import inverted_index as II
+
+    monkeypatch.setattr(II, "RANGE", 4)
+    texts = ["Alpha beta alpha", None, "", "  ", "beta x 高血压 高血压 A-b", "İstanbul K2 ßeta", "alpha " * 5, "哈哈 alpha_1", "end beta"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.term, r.range): (list(r.ids), list(r.tfs), list(r.lens), [list(p) for p in r.positions]) for r in II._blocks(df, "doc_id", "text").collect()}
+    want = {}
+    for number in range(3):
+        part = rows[number * 4 : number * 4 + 4]
+        found = collections.defaultdict(list)
+        tokens = {i: [t.lower() for t in II.TOKEN.findall(t or "")] for i, t in part}
+        for i, t in part:
+            found[II.EVERY].append((i, int(bool((t or "").strip())), len(tokens[i]), []))
+            for term in dict.fromkeys(tokens[i]):
+                at = [n for n, x in enumerate(tokens[i]) if x == term]
+                found[term].append((i, len(at), len(tokens[i]), at))
+            for term, tf in II.cjk_grams(t or "").items():
+                found[term].append((i, tf, len(tokens[i]), []))
+        want |= {(term, number): tuple(map(list, zip(*held))) for term, held in found.items()}
+    assert got == want
