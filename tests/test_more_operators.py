@@ -321,3 +321,11 @@ def test_corpus_pieces_keep_line_ends_at_cuts(spark, tmp_path):
     assert S.split_corpus("abc\nd e\u00a0", 4, ZS) == ["abc\n", "d e"] and S.split_corpus("abc\nd e ", 4) == ["abc", "d e"]
     (tmp_path / "c.json").write_text('{"context": " abc\\nd e "}')
     assert [(r.segment, r.text) for r in S.read_corpus(spark, f"file://{tmp_path}/c.json", 4, ZS).collect()] == [(0, "abc\n"), (1, "d e")]
+
+
+def test_dialogue_files_are_bounded(spark, tmp_path):
+    from quillgraph.plans import phrase_plans
+
+    spark.range(25_000).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "concat('say \"', id, '\"\\nmore, too') AS text").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = phrase_plans.src12_dialogue_csv(spark, f"file://{tmp_path}")
+    assert len(found.inputFiles()) >= 3 and found.exceptAll(spark.read.parquet(f"file://{tmp_path}/conversations.parquet")).count() == 0 and found.count() == 25_000
