@@ -100,3 +100,17 @@ def test_cache_keys_are_digests_of_rounded_floats(spark, sf):
     near = [[0.123449, 1.0], [0.12341, 1.0], [0.1236, 1.0], None]
     keys = {r.vec_id: r.cache_key for r in __import__("quillgraph.operators.questions", fromlist=["x"]).vector_cache_keys(spark.createDataFrame(list(enumerate(near)), "vec_id long, embedding array<double>"), "vec_id").collect()}
     assert keys[0] == keys[1] != keys[2] and keys[3] is None
+
+
+def test_chunks_are_handed_over_by_length(spark, monkeypatch):
+    """However many rows a batch has, no frame holds the chunks of more than one text beyond the limit."""
+    import pandas as pd
+
+    from quillgraph.operators import chunking as C
+
+    docs, made = spark.createDataFrame([(1, "a")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, run, schema: made.append(run))
+    C.apply_chunker(docs, lambda t: [{"content": c} for c in t], "content string")
+    frames = list(made[0](iter([pd.DataFrame({"id": range(9), "text": ["xy" * (1 << 17)] * 4 + [None] + ["xy" * (1 << 18)] * 4})])))
+    assert sum(map(len, frames)) == 4 * (1 << 18) + 4 * (1 << 19) and max(map(len, frames)) <= 1 << 20
+    assert [sorted(set(f["doc_id"])) for f in frames if len(f)] == [[0, 1, 2, 3], [5, 6], [7, 8]]
