@@ -78,20 +78,28 @@ class OverlapScorer:
         return score
 
 
-def apply_plugin(df: DataFrame, plugin: ModelPlugin, inputs: str, output: str, kind: str, batch: int = 64) -> DataFrame:
-    """``df`` with ``output`` of SQL type ``kind`` made from the string column ``inputs``, in batches."""
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+#: Rows of a frame that go back at once.
+PART = 256
+
+
+def apply_plugin(df: DataFrame, plugin: ModelPlugin, inputs: str, output: str, kind: str, batch: int = 64, keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with ``output`` of SQL type ``kind`` made from the string column ``inputs``, in batches."""
+    kept = df.columns if keep is None else keep
+    names = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in kept)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = plugin.load()
+        step = max(1, PART // batch) * batch
         for f in frames:
-            values: list = []
-            texts = f[inputs].fillna("").tolist()
-            for i in range(0, len(texts), batch):
-                values += model(texts[i : i + batch])
-            yield f.assign(**{output: values})
+            for at in range(0, len(f), step):
+                part = f.iloc[at : at + step]
+                values: list = []
+                texts = part[inputs].fillna("").tolist()
+                for i in range(0, len(texts), batch):
+                    values += model(texts[i : i + batch])
+                yield part[kept].assign(**{output: values})
 
-    return df.mapInPandas(run, f"{names}, `{output}` {kind}")
+    return df.mapInPandas(run, f"{names}`{output}` {kind}")
 
 
 def embed(df: DataFrame, text_col: str = "content", plugin: ModelPlugin | None = None) -> DataFrame:
@@ -102,7 +110,7 @@ def embed(df: DataFrame, text_col: str = "content", plugin: ModelPlugin | None =
 def relevance(df: DataFrame, query_col: str, text_col: str, plugin: ModelPlugin | None = None) -> DataFrame:
     """``df`` with relevance of text to query."""
     joined = df.withColumn("__pair", F.concat_ws("\u0001", F.coalesce(query_col, F.lit("")), F.coalesce(text_col, F.lit(""))))
-    return apply_plugin(joined, plugin or OverlapScorer(), "__pair", "relevance", "double").drop("__pair")
+    return apply_plugin(joined, plugin or OverlapScorer(), "__pair", "relevance", "double", keep=df.columns)
 
 
 # What transient failures say.

@@ -329,3 +329,17 @@ def test_dialogue_files_are_bounded(spark, tmp_path):
     spark.range(25_000).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "concat('say \"', id, '\"\\nmore, too') AS text").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     found = phrase_plans.src12_dialogue_csv(spark, f"file://{tmp_path}")
     assert len(found.inputFiles()) >= 3 and found.exceptAll(spark.read.parquet(f"file://{tmp_path}/conversations.parquet")).count() == 0 and found.count() == 25_000
+
+
+def test_plugins_give_back_small_parts(spark, monkeypatch):
+    import pandas as pd
+
+    from quillgraph import plugins
+
+    df, made = spark.createDataFrame([(1, "a b", "a")], "id long, t string, q string"), []
+    assert [tuple(r) for r in plugins.relevance(df, "q", "t").select("id", "t", "q").collect()] == [(1, "a b", "a")]
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, run, schema: made.append((run, schema)) or self)
+    plugins.relevance(df, "q", "t")
+    run, schema = made[0]
+    frames = list(run(iter([pd.DataFrame({"id": range(600), "t": "a b", "q": "a", "__pair": "a\u0001a b"})])))
+    assert [len(f) for f in frames] == [256, 256, 88] and "__pair" not in schema and list(frames[0].columns) == ["id", "t", "q", "relevance"]
