@@ -343,3 +343,15 @@ def test_plugins_give_back_small_parts(spark, monkeypatch):
     run, schema = made[0]
     frames = list(run(iter([pd.DataFrame({"id": range(600), "t": "a b", "q": "a", "__pair": "a\u0001a b"})])))
     assert [len(f) for f in frames] == [256, 256, 88] and "__pair" not in schema and list(frames[0].columns) == ["id", "t", "q", "relevance"]
+
+
+def test_aliases_far_from_other_text(spark):
+    """Text far from parentheses isn't searched for aliases, and none is found or lost by that."""
+    rng = random.Random(8)
+    gap = lambda: "".join(rng.choice("ab 中") for _ in range(rng.choice([1, 2, 30, 31, 32, 33, 40, 41, 42, 74, 75, 76, 120])))
+    texts = ["".join(gap() + rng.choice(["(", ")", "（", "）", ",", "、"]) for _ in range(8)) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    near = F.regexp_replace("text", P.FAR_FROM_PARENS, "$1\n$2")
+    found = [F.regexp_extract_all(c, F.lit(P.PAREN_ALIAS), F.lit(i)) for i in (1, 2) for c in (F.col("text"), near)]
+    got = rows.select(*(f.alias(f"f{i}") for i, f in enumerate(found)), F.length(near).alias("n"), F.length("text").alias("all")).collect()
+    assert all(r.f0 == r.f1 and r.f2 == r.f3 for r in got) and sum(len(r.f0) for r in got) > 20 and sum(r.n for r in got) < sum(r["all"] for r in got)
