@@ -355,3 +355,11 @@ def test_aliases_far_from_other_text(spark):
     found = [F.regexp_extract_all(c, F.lit(P.PAREN_ALIAS), F.lit(i)) for i in (1, 2) for c in (F.col("text"), near)]
     got = rows.select(*(f.alias(f"f{i}") for i, f in enumerate(found)), F.length(near).alias("n"), F.length("text").alias("all")).collect()
     assert all(r.f0 == r.f1 and r.f2 == r.f3 for r in got) and sum(len(r.f0) for r in got) > 20 and sum(r.n for r in got) < sum(r["all"] for r in got)
+
+
+def test_injected_phrases_counted_without_lists(spark):
+    rows = spark.createDataFrame([("Ab", "x", 2), ("ab", "x", 2), ("aB", "x", 1), ("ab", "y", 2), ("c", "x", 1)], "phrase string, entity_type string, chunk long")
+    got = {(r.name, r.entity_type): (r.n_chunks, r.chunks) for r in P.inject_phrases(rows).collect()}
+    assert got == {("aB", "x"): (2, [1, 2]), ("ab", "y"): (1, [2]), ("c", "x"): (1, [1])}
+    counted = P.inject_phrases(rows, lists=False)
+    assert "chunks" not in counted.columns and {(r.name, r.entity_type): r.n_chunks for r in counted.collect()} == {k: n for k, (n, _) in got.items()}
