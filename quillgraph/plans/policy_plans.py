@@ -8,7 +8,7 @@ from ..functions import lexicons as L
 from ..functions import text as X
 from ..operators import policy as P
 from ..operators import control as C_
-from .kit import Book, made_of, table
+from .kit import Book, dealt, made_of, table
 
 BOOK = Book()
 queries, oracle_sql = BOOK.queries, BOOK.oracle_sql
@@ -37,7 +37,7 @@ def _assert_sql(src, keep, cues):
 
 @BOOK.query(_assert_sql(_SENT, "p_partkey", L.ASSERTION_CUES).replace("SELECT sentence, entity, strpos", "SELECT p_partkey, sentence, entity, strpos") + " FROM p")
 def f16_assertion_rules(spark, sf):
-    return made_of(spark, sf, _SENT).select("p_partkey", P.classify_assertion(F.col("sentence"), F.col("entity"))["label"].alias("label"))
+    return dealt(made_of(spark, sf, _SENT)).select("p_partkey", P.classify_assertion(F.col("sentence"), F.col("entity"))["label"].alias("label"))
 
 
 _DOC_S = "(SELECT conv_id, turn, coalesce(text, '') AS sentence, regexp_extract(coalesce(text, ''), '[a-z]{6,}') AS entity FROM conversations)"
@@ -52,7 +52,7 @@ def f16_assertion_counts(spark, sf):
 
 def _checked(spark, sf):
     """A claim and one evidence text for each part, in six kinds."""
-    p, kind = table(spark, sf, "part"), F.col("p_size") % 6
+    p, kind = dealt(table(spark, sf, "part")), F.col("p_size") % 6
     none = X.no_strings()
     pick = lambda *values: F.element_at(F.array(*values), (kind + 1).cast("int"))
     claims = p.select(

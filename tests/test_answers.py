@@ -150,3 +150,10 @@ def test_new_columns_and_skipped_updates(spark, tmp_path):
     more = spark.createDataFrame([(1, "b", [1.0]), (2, "c", []), (3, "d", None)], "id long, name string, embedding array<double>")
     S.merge_into(path, more, ["id"], ["name"], 4, skip="coalesce(size(embedding), 0) <= 0")
     assert {(r.id, r.name) for r in S.read_merged(spark, path).collect()} == {(1, "b")}
+
+
+@pytest.mark.parametrize("name", ["f5_injected_phrases", "f7_structural_phrases", "f17_assertion_candidates", "f20_claim_checks"])
+def test_heavy_rows_of_one_split_are_dealt(spark, sf, name):
+    """The part table is one split at any of the given sizes; its heavy rows must not be one task's."""
+    plan = __import__("__spark_entry__").queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
