@@ -152,18 +152,23 @@ def prompt_selection(lengths: list[int], hits: list[set[str]], strong: list[bool
 def select_for_prompt(results: DataFrame, anchors: DataFrame, most: int = 10, chars: int = 18_000) -> DataFrame:
     """(query_id, chunk_id, place) of results(query_id, chunk_id, rank, score, content) for anchors(query_id, phrases, strong).
 
-    One group holds one question's results, which its search has bounded.
+    One group holds one question's results, which its search has bounded: of each
+    its length, the phrases it holds and whether a strong form is there, not its text.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["rank", "chunk_id"]).reset_index(drop=True)
-        phrases, forms = list(rows["phrases"].iloc[0]), [s.lower() for s in rows["strong"].iloc[0]]
-        texts = [(t or "").lower() for t in rows["content"]]
-        hits = [{p for p in phrases if p.lower() in t} for t in texts]
-        picked = prompt_selection([len(t or "") for t in rows["content"]], hits, [any(f in t for f in forms) for t in texts], rows["score"].tolist(), phrases, most, chars)
+        picked = prompt_selection(rows["n"].tolist(), [set(h) for h in rows["hits"]], rows["sure"].tolist(), rows["score"].tolist(), list(rows["phrases"].iloc[0]), most, chars)
         return pd.DataFrame({"query_id": rows["query_id"].iloc[picked].to_numpy(), "chunk_id": rows["chunk_id"].iloc[picked].to_numpy(), "place": range(1, len(picked) + 1)})
 
-    joined = results.join(anchors, "query_id").select("query_id", "chunk_id", "rank", "score", "content", "phrases", "strong")
+    text = F.coalesce("content", F.lit(""))
+
+    def told(low):
+        held = lambda p: F.contains(low, F.lower(p))
+        return F.struct(F.filter("phrases", held).alias("hits"), F.exists("strong", held).alias("sure"))
+
+    joined = results.join(anchors, "query_id").withColumn("__t", X.let(F.lower(text), told))
+    joined = joined.select("query_id", "chunk_id", "rank", "score", "phrases", F.length(text).alias("n"), "__t.hits", "__t.sure")
     return joined.groupBy("query_id").applyInPandas(run, "query_id long, chunk_id long, place int")
 
 

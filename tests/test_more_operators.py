@@ -363,3 +363,28 @@ def test_injected_phrases_counted_without_lists(spark):
     assert got == {("aB", "x"): (2, [1, 2]), ("ab", "y"): (1, [2]), ("c", "x"): (1, [1])}
     counted = P.inject_phrases(rows, lists=False)
     assert "chunks" not in counted.columns and {(r.name, r.entity_type): r.n_chunks for r in counted.collect()} == {k: n for k, (n, _) in got.items()}
+
+
+def test_nearest_rows_by_strips(monkeypatch):
+    """Scores of a strip of queries are held at once, never those of a whole block."""
+    pd = vectors.pd
+    rng = np.random.default_rng(2)
+    x = [list(v) for v in rng.normal(size=(90, 4))]
+    left, right = pd.DataFrame({"query_id": range(90), "left_vec": x}), pd.DataFrame({"vec_id": range(90), "right_vec": x})
+    whole = [vectors._nearest(left, right, 5, t, e).values.tolist() for t in ("small", "large") for e in (False, True)]
+    monkeypatch.setattr(vectors, "STRIP", 7)
+    seen = []
+    monkeypatch.setattr(vectors.np, "argsort", lambda a, old=np.argsort, **k: (seen.append(a.shape), old(a, **k))[1])
+    assert whole == [vectors._nearest(left, right, 5, t, e).values.tolist() for t in ("small", "large") for e in (False, True)]
+    assert max(n for n, _ in seen) == 7 and len(whole[1]) == 450
+    assert vectors._nearest(left[:0], right, 5).empty
+
+
+def test_prompt_selection_takes_no_text_to_python(spark):
+    results = spark.createDataFrame([(1, 10, 1, 0.9, "The x"), (1, 11, 2, 0.5, None), (1, 12, 3, 0.1, "a TOKEN, der")], "query_id long, chunk_id long, rank int, score double, content string")
+    anchors = spark.createDataFrame([(1, ["the", "Der"], ["token"])], "query_id long, phrases array<string>, strong array<string>")
+    got = C.select_for_prompt(results, anchors, 2, 8000)
+    want = C.prompt_selection([5, 0, 12], [{"the"}, set(), {"Der"}], [False, False, True], [0.9, 0.5, 0.1], ["the", "Der"], 2, 8000)
+    assert [r.chunk_id for r in got.orderBy("place").collect()] == [[10, 11, 12][i] for i in want]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan[plan.index("FlatMapGroupsInPandas") : plan.index("\n", plan.index("FlatMapGroupsInPandas"))]
