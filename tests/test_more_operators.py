@@ -110,6 +110,20 @@ def test_trail_triples_against_a_plain_search(spark):
     assert {(r.connected, r.src, r.dst, r.length) for r in got} == want and len(got) == len(want)
 
 
+def test_trail_ends_are_shuffled_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(G, "LISTED", 2)
+    edges = [(a, b, f"{a}-{b}") for a, b in ((0, 1), (1, 0), (1, 2), (1, 3), (4, 1), (1, 5), (2, 3), (3, 5), (5, 1), (6, 5))]
+    table = spark.createDataFrame(edges, "src long, dst long, relation_type string")
+    seeds = spark.createDataFrame([(0,), (3,)], "id long")
+    got = G.trail_triples(seeds, table, 3)
+    want = {(t.node, e.src, e.dst, t.length) for t in G.trails(seeds, table, 3).collect() for e in t.path}
+    rows = [(r.connected, r.src, r.dst, r.length) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode(")]  # what becomes of the single ends
+    assert "Exchange" not in above
+
+
 def test_only_transient_failures_are_retried():
     slept = []
     call = plugins.RetryingCall(max_retries=2, jitter=0, longest_wait=3, max_failures_in_row=10, sleep=slept.append, clock=lambda: 0.0)
