@@ -94,6 +94,8 @@ def rule_entry_points(phrases: DataFrame, terms: Sequence[str], limit: int = 40)
 MAX_BROADCAST_KEYS = 100_000
 #: Keys up to which each is looked for in every text, instead of listing a text's character groups.
 FEW_KEYS = 256
+#: Initials up to which they are looked for one by one, instead of listing a text's tokens.
+FEW_WORDS = 4
 #: Names up to which they may go into the plan itself.
 FEW_NAMES = 1024
 
@@ -115,14 +117,20 @@ def mention_scan(passages: DataFrame, entities: DataFrame) -> DataFrame:
     asked = keyed.groupBy("key").agg(F.collect_set("name").alias("names")).limit(FEW_KEYS + 1).collect() if keyed.limit(FEW_NAMES + 1).count() <= FEW_NAMES else []
     if 0 < len(asked) <= FEW_KEYS:  # each key is looked for in the text, and its names are scored in the same row: no text is shuffled
         of = lambda mark: [r.key[2:] for r in asked if r.key.startswith(mark)]
-        held = X.let(plain, lambda t: F.filter(F.array(*map(F.lit, of("s:"))).cast("array<string>"), lambda k: F.contains(t, k)))
-        found = F.transform(held, lambda k: F.concat(F.lit("s:"), k))
-        if words := of("t:"):
-            found = F.concat(found, F.transform(F.array_intersect(tokens, F.array(*map(F.lit, words))), lambda k: F.concat(F.lit("t:"), k)))
+        words = of("t:")
+
+        def scores(given):
+            found = F.transform(F.filter(F.array(*map(F.lit, of("s:"))).cast("array<string>"), lambda k: F.contains(given["plain"], k)), lambda k: F.concat(F.lit("s:"), k))
+            if len(words) > FEW_WORDS:
+                found = F.concat(found, F.transform(F.array_intersect(tokens, F.array(*map(F.lit, words))), lambda k: F.concat(F.lit("t:"), k)))
+            elif words:  # names of so few initials are scored in any case: that looks for them more cheaply than listing the tokens
+                found = F.concat(found, F.array(*(F.lit(f"t:{w}") for w in words)))
+            names = F.array_distinct(F.flatten(F.transform(found, lambda k: F.element_at(names_of, k))))
+            return X.let(names, lambda n: F.when(F.size(n) > 0, X.mention_scores(text, n, given)))
+
         names_of = F.create_map(*(x for r in asked for x in (F.lit(r.key), F.array(*map(F.lit, sorted(r.names))))))
-        names = F.array_distinct(F.flatten(F.transform(found, lambda k: F.element_at(names_of, k))))
-        scores = X.let(names, lambda n: F.when(F.size(n) > 0, X.mention_scores(X.text_or_empty(F.col("text")), n)))
-        return passages.select("passage_id", F.explode(scores).alias("s")).select(F.col("s.form").alias("name"), "passage_id", F.col("s.score").alias("score")).where("score > 0")
+        text = X.text_or_empty(F.col("text"))
+        return passages.select("passage_id", F.explode(X.let(X.mention_given(text), scores)).alias("s")).select(F.col("s.form").alias("name"), "passage_id", F.col("s.score").alias("score")).where("score > 0")
     # all character groups of the text are listed
     sizes = sorted(r.n for r in keyed.where(F.col("key").startswith("s:")).select((F.length("key") - 2).alias("n")).distinct().collect())  # at most 3 values
     groups = lambda n: F.array_distinct(F.regexp_extract_all(plain, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))

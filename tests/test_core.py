@@ -160,6 +160,23 @@ def test_pagerank_sums_to_one_and_matches_plain(spark):
     assert got == pytest.approx(score) and sum(got.values()) == pytest.approx(1)
 
 
+def test_signatures_without_listing_tokens(spark):
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("eEdD-_ .ßéK中\t\n9") for _ in range(rng.randrange(14))),) for _ in range(600)]
+    t = F.col("t")
+    df = spark.createDataFrame([*rows, ("--ed",), ("a-ed",), ("e-_d",), ("中ed",), ("",)], "t string")
+    long_way = F.regexp_replace(F.regexp_replace(X.fold(F.trim(t)), "[\\s\\-_/.]+", ""), f"[^0-9a-z{X.CJK}]+", "")
+    got = df.select(X.has_token_signature(t, F.lit("ed")).alias("found"), F.array_contains(X.token_signatures(t), "ed").alias("held"), X.alias_signature(t).alias("sig"), long_way.alias("want")).collect()
+    assert all(r.found == r.held and r.sig == r.want for r in got) and 0 < sum(r.found for r in got) < len(got)
+    passages = df.select(F.monotonically_increasing_id().alias("passage_id"), t.alias("text"))
+    names = spark.createDataFrame([("eed",), ("en de",), ("dd ee 9",)], "name string")
+    found = G.mention_scan(passages, names)
+    assert "A-Za-z0-9][A-Za-z0-9_-]*" not in found._jdf.queryExecution().optimizedPlan().toString()  # no token is listed
+    every = F.explode(X.mention_scores(F.col("text"), F.array(*map(F.lit, ("eed", "en de", "dd ee 9"))))).alias("s")
+    want = passages.select("passage_id", every).where("s.score > 0").select(F.col("s.form").alias("name"), "passage_id", F.col("s.score").alias("score"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+
+
 def test_trails_use_an_edge_once(spark):
     edges = spark.createDataFrame([(1, 2, "x"), (2, 3, "y"), (3, 1, "z")], "src long, dst long, relation_type string")
     got = Counter((r.node, r.length) for r in G.trails(spark.createDataFrame([(1,)], "id long"), edges, 3).collect())
