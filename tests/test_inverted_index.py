@@ -172,3 +172,14 @@ def test_blocks_equal_a_plain_listing(spark, monkeypatch):
                 found[term].append((i, tf, len(tokens[i]), []))
         want |= {(term, number): tuple(map(list, zip(*held))) for term, held in found.items()}
     assert got == want
+
+
+def test_blocks_stay_where_their_range_was_read(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"same words here w{i % 7} w{i % 11}") for i in range(700)], "doc_id long, text string").repartition(3)
+    index = II.build(docs, f"file://{tmp_path}/index")
+    rows = index.blocks.select("range", "term", F.input_file_name().alias("file")).collect()
+    files = {}
+    for r in rows:
+        files.setdefault(r.range, set()).add(r.file)
+    assert len(files) >= 6 and all(len(f) == 1 for f in files.values())  # nothing was dealt anew by term
+    assert index.n == 700 and all([r.term for r in rows if r.file == f] == sorted(r.term for r in rows if r.file == f) for f in {r.file for r in rows})
