@@ -177,6 +177,19 @@ def test_signatures_without_listing_tokens(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
 
 
+def test_signal_joins_only_rare_terms(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("alpha", "be", "gammas", "delta") for b in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[: rng.choice((6, 160))]) for _ in range(rng.randrange(40)))) for i in range(120)] + [(500, None), (501, "")], "doc_id long, text string")
+    every = {(r.doc_id, r.rank): r.term for r in tfidf.top_keywords(tfidf.scored_terms(docs)).collect()}
+    for held in (0, 12, 1000):
+        monkeypatch.setattr(tfidf, "FREQUENT", held)
+        rows = tfidf.strongest_terms(docs)
+        assert {(r.doc_id, r.rank): r.term for r in tfidf.top_keywords(rows).collect()} == every
+    assert rows.count() <= 8 * 120 < tfidf.scored_terms(docs).count()
+    assert tfidf.signal_scores(docs).count() == 122
+
+
 def test_trails_use_an_edge_once(spark):
     edges = spark.createDataFrame([(1, 2, "x"), (2, 3, "y"), (3, 1, "z")], "src long, dst long, relation_type string")
     got = Counter((r.node, r.length) for r in G.trails(spark.createDataFrame([(1,)], "id long"), edges, 3).collect())
