@@ -123,6 +123,20 @@ def test_blocks_meet_in_every_partition(spark, monkeypatch):
     assert len(want) == 150 and got == want and all(v == q for q, rank, v in got if rank == 1)
 
 
+#: Queries whose neighbours come from several blocks of vectors.
+BLOCKED = ["a40_top_evidence_signal"]
+
+
+@pytest.mark.parametrize("name", BLOCKED)
+def test_queries_of_many_blocks_equal_their_sql(spark, sf, name, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        test_queries_equal_their_sql(spark, sf, name)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_reachable_reads_its_edges_once(spark, tmp_path):
     path = f"file://{tmp_path}/edges"
     spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 5)], "src long, dst long").write.parquet(path)
