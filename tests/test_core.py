@@ -124,7 +124,7 @@ def test_blocks_meet_in_every_partition(spark, monkeypatch):
 
 
 #: Queries whose neighbours come from several blocks of vectors.
-BLOCKED = ["a40_top_evidence_signal", "a7_adaptive_cut", "r1_vector_top_k"]
+BLOCKED = ["a40_top_evidence_signal", "a7_adaptive_cut", "r1_vector_top_k", "r2_vector_provider"]
 
 
 @pytest.mark.parametrize("name", BLOCKED)
