@@ -124,7 +124,7 @@ def test_blocks_meet_in_every_partition(spark, monkeypatch):
 
 
 #: Queries whose neighbours come from several blocks of vectors.
-BLOCKED = ["a40_top_evidence_signal", "a7_adaptive_cut", "r1_vector_top_k", "r2_vector_provider", "r5_graph_provider", "r7_passage_vector_search", "r8_temporal_boost", "r9_full_document_read"]
+BLOCKED = ["a40_top_evidence_signal", "a7_adaptive_cut", "r1_vector_top_k", "r2_vector_provider", "r5_graph_provider", "r7_passage_vector_search", "r8_temporal_boost", "r9_full_document_read", "s1_ordered_union"]
 
 
 @pytest.mark.parametrize("name", BLOCKED)
