@@ -137,6 +137,27 @@ def test_queries_of_many_blocks_equal_their_sql(spark, sf, name, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+#: Queries that show a vector's score, and whether their question's own document is there.
+SCORED = [("a40_top_evidence_signal", False), ("w6_fusion", True)]
+
+
+@pytest.mark.parametrize("name, own", SCORED)
+def test_scores_round_as_their_sql_does(spark, tmp_path, name, own):
+    import duckdb
+    from quillgraph.plans import registry
+
+    score = 0.5047875  # a half by its digits, times a million just below one
+    con = duckdb.connect()
+    con.execute(f"create table embeddings as select * from (values (0::bigint, [1.0::double, 0.0], 0), (1, [{score!r}::double, {math.sqrt(1 - score * score)!r}], 1)) t(vec_id, embedding, label)")
+    con.execute(f"create table documents as select * from (values (0::bigint, 'alpha beta', 'a'), (1, 'gamma delta', 'a')) t(doc_id, text, source) where doc_id >= {0 if own else 1}")
+    for t in ("embeddings", "documents"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    cur = con.execute(registry.oracle_sql()[name])
+    want = Counter(tuple(map(str, r)) for r in cur.fetchall())
+    assert any("0.504787" in r for r in want)
+    assert want == Counter(tuple(map(str, r)) for r in registry.queries()[name](spark, str(tmp_path)).select(*(d[0] for d in cur.description)).collect())
+
+
 def test_reachable_reads_its_edges_once(spark, tmp_path):
     path = f"file://{tmp_path}/edges"
     spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 5)], "src long, dst long").write.parquet(path)
