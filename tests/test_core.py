@@ -138,7 +138,7 @@ def test_queries_of_many_blocks_equal_their_sql(spark, sf, name, monkeypatch):
 
 
 #: Queries that show a vector's score, and whether their question's own document is there.
-SCORED = [("a40_top_evidence_signal", False), ("w6_fusion", True), ("j14_knn_graph", True), ("r1_vector_top_k", True), ("r2_vector_provider", True), ("prj6_vector_finalise", True), ("r7_passage_vector_search", True)]
+SCORED = [("a40_top_evidence_signal", False), ("w6_fusion", True), ("j14_knn_graph", True), ("r1_vector_top_k", True), ("r2_vector_provider", True), ("prj6_vector_finalise", True), ("r7_passage_vector_search", True), ("r8_temporal_boost", True)]
 
 
 @pytest.mark.parametrize("name, own", SCORED)
