@@ -161,3 +161,7 @@ def pages_against_their_sql(spark, tmp_path, name):
 
 def test_web_pages_read_references_as_their_sql(spark, tmp_path):
     pages_against_their_sql(spark, tmp_path, "src1_web_pages")
+
+
+def test_page_markdown_reads_references_as_its_sql(spark, tmp_path):
+    pages_against_their_sql(spark, tmp_path, "src3_page_markdown")
