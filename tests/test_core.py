@@ -137,6 +137,18 @@ def test_queries_of_many_blocks_equal_their_sql(spark, sf, name, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+#: Queries whose full-text search goes over several groups of ranges.
+GROUPED = ["a40_top_evidence_signal"]
+
+
+@pytest.mark.parametrize("name", GROUPED)
+def test_queries_of_many_groups_equal_their_sql(spark, sf, name, monkeypatch):
+    from quillgraph.operators import inverted_index as II
+
+    monkeypatch.setattr(II, "GROUP", 20)
+    test_queries_of_many_blocks_equal_their_sql(spark, sf, name, monkeypatch)
+
+
 #: Queries that show a vector's score, and whether their question's own document is there.
 SCORED = [("a40_top_evidence_signal", False), ("w6_fusion", True), ("j14_knn_graph", True), ("r1_vector_top_k", True), ("r2_vector_provider", True), ("prj6_vector_finalise", True), ("r7_passage_vector_search", True), ("r8_temporal_boost", True)]
 

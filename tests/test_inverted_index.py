@@ -187,3 +187,20 @@ def test_blocks_stay_where_their_range_was_read(spark, tmp_path):
         files.setdefault(r.range, set()).add(r.file)
     assert len(files) >= 6 and all(len(f) == 1 for f in files.values())  # nothing was dealt anew by term
     assert index.n == 700 and all([r.term for r in rows if r.file == f] == sorted(r.term for r in rows if r.file == f) for f in {r.file for r in rows})
+
+
+def test_a_search_stores_no_pair_of_query_and_range(spark, index, monkeypatch):
+    stored = []
+    monkeypatch.setattr(II, "materialize", lambda df, tag, old=II.materialize: (stored.append(old(df, tag)), stored[-1])[1])
+    asked = spark.createDataFrame([(q, t) for q in range(40) for t in ("the", f"term{q}")], "query_id long, term string")
+    assert II.bm25(index, asked).results.count() == 400
+    assert stored and max(f.count() for f in stored) <= 80
+
+
+def test_an_index_is_written_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    written = []
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, old=DataFrameWriter.parquet, **b: (written.append(path), old(self, path, *a, **b))[1])
+    II.build(spark.createDataFrame([(1, "a few words")], "doc_id long, text string"), f"file://{tmp_path}/index")
+    assert sorted(p.rsplit("/", 1)[1] for p in written) == ["blocks", "figures"]
