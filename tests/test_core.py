@@ -138,7 +138,7 @@ def test_queries_of_many_blocks_equal_their_sql(spark, sf, name, monkeypatch):
 
 
 #: Queries whose full-text search goes over several groups of ranges.
-GROUPED = ["a40_top_evidence_signal", "x1_question_loop", "r11_comprehensive_fold", "r10_hybrid_search"]
+GROUPED = ["a40_top_evidence_signal", "x1_question_loop", "r11_comprehensive_fold", "r10_hybrid_search", "a16_provider_diagnostics"]
 
 
 @pytest.mark.parametrize("name", GROUPED)
