@@ -402,3 +402,38 @@ def test_prompt_selection_takes_no_text_to_python(spark):
     assert [r.chunk_id for r in got.orderBy("place").collect()] == [[10, 11, 12][i] for i in want]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan[plan.index("FlatMapGroupsInPandas") : plan.index("\n", plan.index("FlatMapGroupsInPandas"))]
+
+
+def test_nearest_rows_over_blocks_with_ties_and_bad_vectors(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    from quillgraph.operators import vectors
+
+    rng = np.random.default_rng(6)
+    rows = [*rng.normal(size=(150, 5)), *[np.ones(5)] * 60, *[np.zeros(5)] * 3, np.array([np.nan] * 5), *(np.ones(5) + rng.normal(size=(30, 5)) * 1e-7)]
+    ids = rng.permutation(len(rows))
+    left, right = pd.DataFrame({"query_id": ids, "left_vec": rows}), pd.DataFrame({"vec_id": ids, "right_vec": rows})
+    unit = vectors._matrix(right["right_vec"])
+    scores = np.round(unit @ unit.T, 9)
+    for gathered in (vectors.GATHERED, 100):
+        monkeypatch.setattr(vectors, "GATHERED", gathered)
+        for block in (4096, 16):
+            monkeypatch.setattr(vectors, "BLOCK", block)
+            for ties, own in (("small", False), ("large", True)):
+                got = vectors._nearest(left, right, 7, ties, own).groupby("query_id")["vec_id"].apply(list).to_dict()
+                sign = 1 if ties == "small" else -1
+                for at, i in enumerate(ids):
+                    want = sorted((p for p in range(len(ids)) if np.isfinite(scores[at, p]) and not (own and p == at)), key=lambda p: (-scores[at, p], sign * ids[p]))[:7]
+                    assert got.get(i, []) == [ids[p] for p in want]
+
+
+def test_a_search_has_as_few_blocks_as_its_cores_need(spark, monkeypatch):
+    from quillgraph.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    rows = spark.range(400).selectExpr("id as vec_id", "array(cast(id as double), 1.0) as embedding")
+    seen = spark.sparkContext.accumulator(0)
+    nearest = vectors._nearest
+    monkeypatch.setattr(vectors, "_nearest", lambda *a: (seen.add(len(a[0])), nearest(*a))[1])
+    assert vectors.block_top_k(rows.withColumnRenamed("vec_id", "query_id"), rows, 3).count() == 1200
+    assert seen.value <= 400 * 13  # not one copy of the queries for each two vectors
